@@ -112,10 +112,11 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 5, shortlist: int = 150, subspaces: int = 32, sample: int = 8_000, block: int = 512, chunk: int = 8_192, slices: int = 24, seed: int = 0) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 5, shortlist: int = 150, subspaces: int | None = None, sample: int = 4_000, block: int = 512, chunk: int = 8_192, slices: int = 24, seed: int = 0) -> DataFrame:
     """(query_id, rank, id, score): each query's k nearest by cosine, of all rows but itself.
 
     sample bounds the rows that train the quantiser (on the driver); block and chunk bound what one join row holds.
+    subspaces must be even; None gives every dimension a four-bit code of its own, the most exact form.
     """
     rows = usable(vectors, id_col, vector)
     dims = {r[0]: r[1] for r in rows.groupBy(F.size("vec").alias("d")).count().collect()}
@@ -127,7 +128,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     got = rows.filter(place < int(1_000_000 * min(1.0, sample / max(n, 1)))).orderBy(place, "id").limit(2 * sample).select("vec").toPandas()
     train = np.array(got["vec"].tolist(), float).reshape(-1, dim) if len(got) else np.eye(1, dim)
     train /= np.linalg.norm(train, axis=1, keepdims=True)
-    model = train_quantizer(train, subspaces, seed=seed)
+    model = train_quantizer(train, subspaces or dim + dim % 2, seed=seed)
     blocks = max(1, -(-n_asked // block))
     id_type = rows.schema["id"].dataType.simpleString()
 
