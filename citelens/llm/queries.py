@@ -22,8 +22,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.OrdinalModel:
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    return toxicity.train_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,13 +72,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(np.clip(x, -60, 60) / 2))
 
 
-def fit_ordinal(rows: list[dict[int, int]], grades: np.ndarray, weight: np.ndarray, levels: list[int], l1: float = 1e-3, steps: int = 250, rate: float = 0.3) -> OrdinalModel:
-    """Weighted maximum likelihood with L1, by proximal AdaGrad; columns in fewer than three rows carry no weight."""
+def fit_ordinal(columns: list[np.ndarray], counts: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, levels: list[int], l1: float = 1e-3, steps: int = 250, rate: float = 0.3) -> OrdinalModel:
+    """Weighted maximum likelihood with L1, by proximal AdaGrad; columns in fewer than three rows carry no weight.
+
+    A row is its hashed columns and their counts, as arrays.
+    """
     k = len(levels)
-    lengths = np.array([len(r) for r in rows])
-    index = np.fromiter((c for r in rows for c in r), np.int64, lengths.sum())
-    value = np.fromiter((min(v, 8) for r in rows for v in r.values()), np.float32, lengths.sum())
-    row = np.repeat(np.arange(len(rows)), lengths)
+    n = len(columns)
+    index, value = np.concatenate(columns), np.minimum(np.concatenate(counts), 8).astype(np.float32)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in columns])
     common = np.flatnonzero(np.bincount(index, minlength=1 << DIM_BITS) >= 3)
     place = np.full(1 << DIM_BITS, -1, np.int64)
     place[common] = np.arange(len(common))
@@ -90,7 +92,7 @@ def fit_ordinal(rows: list[dict[int, int]], grades: np.ndarray, weight: np.ndarr
     cumulative = np.clip(np.cumsum(np.bincount(y, weight, k))[:-1], 1e-6, 1 - 1e-6)
     theta, theta_seen = np.log(cumulative / (1 - cumulative)), np.full(k - 1, 1e-8)
     for _ in range(steps):
-        score = np.bincount(row, w[index] * value, len(rows))
+        score = np.bincount(row, w[index] * value, n)
         edges = np.concatenate([[-60.0], theta, [60.0]])
         upper, lower = _sigmoid(edges[y + 1] - score), _sigmoid(edges[y] - score)
         p = np.maximum(upper - lower, 1e-12)
@@ -108,10 +110,13 @@ def fit_ordinal(rows: list[dict[int, int]], grades: np.ndarray, weight: np.ndarr
     return OrdinalModel(list(levels), common[used], w[used], theta)
 
 
-def train_toxicity(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", grade: str = "toxic", max_rows: int = 6000, seed: int = 3) -> OrdinalModel:
-    """Fits on at most about ``max_rows`` labelled rows (the documented bound on what reaches the driver)."""
-    labelled = labelled.filter(F.col(grade).isNotNull())
-    counts = {int(r[0]): r[1] for r in labelled.groupBy(grade).count().collect()}
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", grade: str = "toxic", max_rows: int = 4000, seed: int = 3) -> OrdinalModel:
+    """Fits on at most about ``max_rows`` labelled rows (the documented bound on what reaches the driver).
+
+    The labels are sampled first, so only their documents are turned into features and no text is shuffled.
+    """
+    labels = labels.filter(F.col(grade).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(grade).cast("int").alias("grade")).dropDuplicates([id_col])
+    counts = {int(r[0]): r[1] for r in labels.groupBy("grade").count().collect()}
     levels = sorted(counts)
     if len(levels) < 2:
         return OrdinalModel(levels or [0], np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
@@ -119,20 +124,25 @@ def train_toxicity(labelled: DataFrame, id_col: str = "doc_id", text: str = "tex
     place = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000))
     bound = F.lit(0)
     for level in levels:
-        bound = F.when(F.col(grade) == level, F.lit(int(1_000_000 * min(1.0, each / counts[level])))).otherwise(bound)
-    sample = labelled.filter(place < bound).select(F.col(grade).cast("int").alias("grade"), F.col(text).alias("text"))
+        bound = F.when(F.col("grade") == level, F.lit(int(1_000_000 * min(1.0, each / counts[level])))).otherwise(bound)
+    chosen = labels.filter(place < bound).limit(2 * max_rows)
+    sample = docs.select(F.col(id_col), F.col(text).alias("text")).join(F.broadcast(chosen), id_col).select("grade", "text")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [feature_counts(t) for t in batch["text"]]
-            yield pd.DataFrame({"grade": batch["grade"], "columns": [np.fromiter(f, np.int32, len(f)) for f in found], "counts": [np.fromiter(f.values(), np.int32, len(f)) for f in found]})
-
-    got = sample.mapInPandas(features, "grade int, columns array<int>, counts array<int>").limit(2 * max_rows).toPandas()
-    rows = [dict(zip(c, n, strict=True)) for c, n in zip(got["columns"], got["counts"], strict=True)]
-    order = np.array(sorted(range(len(rows)), key=lambda i: (got["grade"][i], len(rows[i]), sorted(rows[i].items())[:4])))  # a fixed order, whatever the tasks'
-    grades = got["grade"].to_numpy()[order]
-    share = {level: (counts[level] / max(1, (grades == level).sum())) * counts[level] ** -0.5 for level in levels}
-    return fit_ordinal([rows[i] for i in order], grades, np.array([share[g] for g in grades]), levels)
+            found = [sorted(feature_counts(t).items()) for t in batch["text"]]
+            yield pd.DataFrame({"grade": batch["grade"], "columns": [np.array([c for c, _ in f], np.int32).tobytes() for f in found], "counts": [np.array([n for _, n in f], np.int32).tobytes() for f in found]})
+
+    got = sample.mapInPandas(features, "grade int, columns binary, counts binary").limit(2 * max_rows).toPandas()
+    columns, numbers = ([np.frombuffer(bytes(b), np.int32) for b in got[c]] for c in ("columns", "counts"))
+    grades = got["grade"].to_numpy()
+    if len(set(grades)) < 2:
+        return OrdinalModel(sorted(set(grades.tolist())) or levels[:1], np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    order = sorted(range(len(grades)), key=lambda i: (grades[i], columns[i].tobytes(), numbers[i].tobytes()))  # a fixed order, whatever the tasks'
+    grades = grades[order]
+    levels = sorted(set(grades.tolist()))
+    share = {level: counts[level] ** 0.5 / (grades == level).sum() for level in levels}
+    return fit_ordinal([columns[i] for i in order], [numbers[i] for i in order], grades, np.array([share[g] for g in grades]), levels)
 
 
 def severity(model: OrdinalModel, text: Column) -> Column:

@@ -36,7 +36,7 @@ def empty(spark):
 
 
 def every(df):
-    return (lambda d: line_dedup.drop_boilerplate_lines(d, host="source"), lambda d: mixing.mix_plan(d)[0], mixing.mixed_documents, lambda d: toxicity.score_toxicity(d, toxicity.train_toxicity(d.withColumn("toxic", F.lit(0)))),
+    return (lambda d: line_dedup.drop_boilerplate_lines(d, host="source"), lambda d: mixing.mix_plan(d)[0], mixing.mixed_documents, lambda d: toxicity.score_toxicity(d, toxicity.train_toxicity(d, d.select("doc_id", F.when(F.col("doc_id") > 3, 1).otherwise(0).alias("toxic")))),
             lsh_forest.near_duplicates, lambda d: sharding.shuffle_to_shards(d.select("doc_id", "text"), ["doc_id", "text"], 3), packing.pack_documents,
             lambda d: language_id.predict_language(d, language_id.reference_texts(d, "doc_id", "text", "lang", 1000)), lambda d: license_scan.license_spans(d, ["doc_id", "text"]), lambda d: d.select(mpeg_audio.encode_audio(F.col("text").cast("binary"))))
 
@@ -95,7 +95,7 @@ def test_ordinal_grades():
         g = int(rng.integers(0, 4))
         rows.append({1: g + 1} | {int(c): 1 for c in rng.integers(10, 200, 20)})
         grades.append(g)
-    model = toxicity.fit_ordinal(rows[:600], np.array(grades[:600]), np.ones(600), [0, 1, 2, 3])
+    model = toxicity.fit_ordinal([np.array(list(r)) for r in rows[:600]], [np.array(list(r.values())) for r in rows[:600]], np.array(grades[:600]), np.ones(600), [0, 1, 2, 3])
     known = dict(zip(model.columns.tolist(), model.weights.tolist()))
     p = model.probabilities(np.array([sum(known.get(c, 0) * n for c, n in r.items()) for r in rows[600:]]))
     assert (np.diff(model.thresholds) > 0).all() and np.allclose(p.sum(axis=1), 1)
