@@ -15,7 +15,7 @@ from citelens.llm import line_dedup, lsh_forest, mixing, packing, queries, toxic
 from citelens.llm.shared import table, with_checkpoints
 
 #: Expected severity from which a document goes, on the labels' own scale (0 clean, 1 toxic).
-SEVERITY_LIMIT = 0.4
+SEVERITY_LIMIT = 0.5
 #: The model's result has no SQL form; tests hold each stage against a plain version instead.
 ORACLE_SQL = None
 
