@@ -59,7 +59,7 @@ def publications_from_xml(records: DataFrame) -> DataFrame:
 
 def deleted_ids(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, lineSep="</DeleteCitation>").filter(F.contains("value", F.lit("<DeleteCitation>")))
-    return rows.select(F.explode(F.regexp_extract_all(F.substring_index("value", "<DeleteCitation>", -1), F.lit(r"<PMID[^>]*>(\d+)</PMID>"), F.lit(1))).cast("long").alias("id"))
+    return rows.select(F.explode(F.regexp_extract_all(F.substring_index("value", "<DeleteCitation>", -1), F.lit(r"<PMID[^>]*>(\d+)</PMID>"), F.lit(1))).alias("id")).select(F.col("id").cast("long"))
 
 
 def publications_from_json(spark: SparkSession, path: str) -> DataFrame:
