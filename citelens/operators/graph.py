@@ -50,7 +50,7 @@ def topic_subgraph(edges: DataFrame, topics: DataFrame, comp: int) -> DataFrame:
 
 
 def sparsify(edges: DataFrame, k: int, weight: str = "similarity") -> DataFrame:
-    """Each node keeps its k strongest edges; an edge stays if either end keeps it within k and the other is not above 2k.
+    """An edge stays if it is among the k strongest of both its ends, or the strongest of one.
 
     The order-dependent greedy rule (nodes by degree, each taking edges to nodes that still have room) is replaced by its
     order-free form: rank edges at both ends, keep those of rank <= k at both, and every node's strongest edge.
