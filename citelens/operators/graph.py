@@ -107,18 +107,39 @@ def page_rank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     return ranks
 
 
-def ego_components(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(ego, node, comp): components of each node's neighbourhood without the node, by smallest label."""
+def ego_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """(ego, node, comp): components of each node's neighbourhood without the node, by smallest label.
+
+    Meant for sparsified graphs, whose neighbourhoods are small; goes on until no label changes.
+    """
     e = both_ways(edges)
     members = e.select(F.col("node").alias("ego"), F.col("other").alias("node"))
     ties = members.join(e.select("node", "other"), "node").join(members.withColumnRenamed("node", "other"), ["ego", "other"], "left_semi").select("ego", "node", "other")
-    labels = members.withColumn("comp", F.col("node"))
+    keep = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    ties, labels = keep(ties), keep(members.withColumn("comp", F.col("node")))
     for _ in range(rounds):
         near = ties.join(labels.withColumnRenamed("node", "other"), ["ego", "other"]).groupBy("ego", "node").agg(F.min("comp").alias("near"))
-        labels = labels.join(near, ["ego", "node"], "left").select("ego", "node", F.least("comp", F.coalesce("near", "comp")).alias("comp"))
+        grown = keep(labels.join(near, ["ego", "node"], "left").select("ego", "node", F.least("comp", F.coalesce("near", "comp")).alias("comp"), (F.coalesce("near", "comp") < F.col("comp")).alias("moved")))
+        labels = grown.drop("moved")
+        if grown.filter("moved").limit(1).count() == 0:
+            break
     return labels
 
 
+def personas(edges: DataFrame, weight: str = "similarity") -> DataFrame:
+    """(src, dst, weight): every node split into one persona "node:comp" a component of its neighbourhood."""
+    egos = ego_components(edges)
+    mine = egos.select(F.col("ego").alias("src"), F.col("node").alias("dst"), F.concat_ws(":", F.col("ego").cast("string"), F.col("comp").cast("string")).alias("a"))
+    theirs = egos.select(F.col("ego").alias("dst"), F.col("node").alias("src"), F.concat_ws(":", F.col("ego").cast("string"), F.col("comp").cast("string")).alias("b"))
+    return edges.join(mine, ["src", "dst"]).join(theirs, ["src", "dst"]).select(F.col("a").alias("src"), F.col("b").alias("dst"), weight)
+
+
+def overlapping_communities(edges: DataFrame, rounds: int = 5, weight: str = "similarity") -> DataFrame:
+    """(id, communities array): communities of the persona graph, folded back to the nodes; ids as strings."""
+    found = label_communities(personas(edges, weight), rounds, weight)
+    return found.groupBy(F.substring_index("id", ":", 1).alias("id")).agg(F.array_sort(F.collect_set("community")).alias("communities"))
+
+
 def label_communities(edges: DataFrame, rounds: int = 5, weight: str = "similarity") -> DataFrame:
     """(id, community): synchronous label propagation by summed weight, ties to the smaller label."""
     e = both_ways(edges, weight)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, CountVectorizer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +74,35 @@ def quality(predicted: DataFrame, target: str) -> DataFrame:
 def top_share_label(rows: DataFrame, target: str, share: float = 0.02) -> DataFrame:
     bound = rows.agg(F.percentile(target, F.lit(1 - share)).alias("bound"))
     return rows.crossJoin(F.broadcast(bound)).withColumn("label", (F.col(target) >= F.col("bound")).cast("int")).drop("bound")
+
+
+def topic_hierarchy(rows: DataFrame, vector: str = "embedding", comp: str = "comp", most: int = 1000) -> DataFrame:
+    """(comp, path): path of each topic in a binary tree, "0" or "1" a level from the root, by Ward merges of topic centres.
+
+    Spark reduces rows to one centre a topic; only those, at most ``most``, are merged on the driver.
+    """
+    v = rows.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    centres = v.groupBy(comp).agg(F.count("*").alias("n"), Summarizer.mean(F.col("_v")).alias("m")).limit(most + 1).collect()
+    if len(centres) > most:
+        raise ValueError(f"more than {most} topics")
+    centres.sort(key=lambda r: r[comp])
+    groups = [([r[comp]], r["n"], np.asarray(r["m"].toArray())) for r in centres]
+    paths: dict = {r[comp]: "" for r in centres}
+    while len(groups) > 1:
+        n, m = np.array([g[1] for g in groups], float), np.stack([g[2] for g in groups])
+        cost = n[:, None] * n[None, :] / (n[:, None] + n[None, :]) * ((m[:, None] - m[None, :]) ** 2).sum(axis=2)
+        cost[np.tril_indices(len(groups))] = np.inf
+        i, j = np.unravel_index(int(cost.argmin()), cost.shape)
+        for side, g in (("0", groups[i]), ("1", groups[j])):
+            for c in g[0]:
+                paths[c] = side + paths[c]
+        joined = (groups[i][0] + groups[j][0], groups[i][1] + groups[j][1], (n[i] * m[i] + n[j] * m[j]) / (n[i] + n[j]))
+        groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [joined]
+    return rows.sparkSession.createDataFrame(sorted(paths.items()), f"{comp} {rows.schema[comp].dataType.simpleString()}, path string")
+
+
+def importances(rows: DataFrame, features: list[str], target: str, kind: str = "forest", seed: int = 0) -> DataFrame:
+    """(feature, importance): of a forest or boosted model, or the size of a linear one's coefficients."""
+    model, _ = regression(rows, features, target, kind, seed)
+    values = model.featureImportances if kind in ("forest", "boosted") else model.coefficients
+    return rows.sparkSession.createDataFrame([(f, float(abs(x))) for f, x in zip(features, values.toArray(), strict=True)], "feature string, importance double")

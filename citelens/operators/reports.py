@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citelens.functions.scalars import cut_authors, rescaled
+
 
 def topic_words(token_counts: DataFrame, comps: DataFrame, n: int, ignore: int | None = None) -> DataFrame:
     """(comp, token, score, rank): share of a token's length over topics, times ln(1 + total)."""
@@ -182,3 +184,42 @@ def trimmed_extent(points: DataFrame, spread: float = 2.0, least: int = 5) -> Da
     r = r.join(F.broadcast(mad), "comp").withColumn("inside", F.col("r") <= F.col("mr") + spread * F.col("mad"))
     r = r.withColumn("n", F.sum(F.col("inside").cast("int")).over(Window.partitionBy("comp"))).filter(F.col("inside") | (F.col("n") < least))
     return r.groupBy("comp").agg(F.count("*").alias("kept"), *(f(x).alias(f"{n}_{x}") for x in ("x", "y") for n, f in (("min", F.min), ("max", F.max))))
+
+
+def rescaled_columns(rows: DataFrame, columns: list[str], top: float = 100.0) -> DataFrame:
+    """Columns stretched to 0 ... top; a constant column becomes 0."""
+    s = rows.agg(*(F.min(c).alias(f"low_{c}") for c in columns), *(F.max(c).alias(f"high_{c}") for c in columns))
+    j = rows.crossJoin(F.broadcast(s))
+    return j.select(*(rescaled(F.col(c).cast("double"), F.col(f"low_{c}").cast("double"), F.col(f"high_{c}").cast("double"), top).alias(c) if c in columns else c for c in rows.columns))
+
+
+def group_topics(token_counts: DataFrame, groups: DataFrame, n: int = 10) -> DataFrame:
+    """(comp, token, score, rank): tokens a member of a group, weighted by TF-IDF across groups, the n best above 0."""
+    sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
+    total = sizes.count()
+    tf = token_counts.join(groups.select("id", "comp"), "id").groupBy("comp", "token").agg(F.sum("n").alias("t")).join(F.broadcast(sizes), "comp").withColumn("tf", F.col("t") / F.col("size"))
+    df = F.count("*").over(Window.partitionBy("token"))
+    score = F.round(F.col("tf") * (F.log((1 + F.lit(total)) / (1 + df)) + 1), 9)
+    scored = tf.withColumn("score", score).filter("score > 0")
+    best = F.row_number().over(Window.partitionBy("comp").orderBy(F.desc("score"), "token"))
+    return scored.withColumn("rank", best).filter(F.col("rank") <= n).select("comp", "token", "score", "rank")
+
+
+def yearly_table(winners: DataFrame, pubs: DataFrame, limit: int = 10) -> DataFrame:
+    """winners (year, id, ...) with the paper's title and its authors (", "-joined), the middle of a long list cut."""
+    return winners.join(pubs.select("id", "title", cut_authors(F.col("authors"), limit).alias("authors")), "id")
+
+
+def paper_card(paper: int, pubs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, topic, total, prior, derivative): one paper's row, its topic counted from 1, and its links inside the set."""
+    inside = pubs.select("id")
+    prior = edges.filter(F.col("id_out") == paper).select(F.col("id_in").alias("id")).distinct().join(inside, "id", "left_semi").agg(F.count("*").alias("prior"))
+    later = edges.filter(F.col("id_in") == paper).select(F.col("id_out").alias("id")).distinct().join(inside, "id", "left_semi").agg(F.count("*").alias("derivative"))
+    row = pubs.filter(F.col("id") == paper).select("id", (F.col("comp") + 1).alias("topic"), "total")
+    return row.crossJoin(F.broadcast(prior)).crossJoin(F.broadcast(later))
+
+
+def summary(pubs: DataFrame, edges: DataFrame, authorship: DataFrame) -> DataFrame:
+    """(papers, topics, journals, first_year, last_year, citations, authors): one row."""
+    p = pubs.agg(F.count("*").alias("papers"), F.countDistinct("comp").alias("topics"), F.countDistinct("journal").alias("journals"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    return p.crossJoin(edges.agg(F.count("*").alias("citations"))).crossJoin(authorship.agg(F.countDistinct("author").alias("authors")))

@@ -109,3 +109,10 @@ def result_list(pubs: DataFrame, topic: int | None = None, word: str | None = No
     if journal:
         out = out.filter(F.col("journal").startswith(journal.removesuffix("...")) if journal.endswith("...") else F.col("journal") == journal)
     return out
+
+
+def json_matches(rows: DataFrame, column: str, wanted: dict[str, str], order: list, limit: int) -> DataFrame:
+    """Rows whose JSON column holds every wanted key with that value, the first ``limit`` in the given order."""
+    for key, value in sorted(wanted.items()):
+        rows = rows.filter(F.get_json_object(column, f"$.{key}") == value)
+    return rows.orderBy(*order).limit(limit)

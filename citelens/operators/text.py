@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,10 +84,49 @@ def term_timeline(token_rows: DataFrame, years: DataFrame, terms: DataFrame) ->
     return held.join(years.select("id", "year"), "id").groupBy("token", "year").agg(F.count("*").alias("docs"))
 
 
+def lowess(x: np.ndarray, y: np.ndarray, frac: float = 0.2, rounds: int = 3) -> np.ndarray:
+    """Locally weighted lines at every x: tricube weights over the nearest frac of points, then bisquare reweighting."""
+    n = len(x)
+    k = min(n, max(2, int(frac * n + 1e-10)))
+    away = np.abs(x[:, None] - x[None, :])
+    reach = np.maximum(np.sort(away, axis=1)[:, k - 1], 1e-12)[:, None]
+    near = np.clip(1 - (away / reach) ** 3, 0, None) ** 3
+    trust, fit = np.ones(n), y.astype(float)
+    for _ in range(rounds + 1):
+        w = near * trust
+        total = w.sum(axis=1)
+        safe = np.where(total > 0, total, 1.0)
+        mx, my = (w * x).sum(axis=1) / safe, (w * y).sum(axis=1) / safe
+        dx = x[None, :] - mx[:, None]
+        spread = (w * dx * dx).sum(axis=1)
+        slope = np.where(spread > 1e-12, (w * dx * (y[None, :] - my[:, None])).sum(axis=1) / np.where(spread > 1e-12, spread, 1.0), 0.0)
+        fit = np.where(total > 0, my + slope * (x - mx), y)
+        off = np.abs(y - fit)
+        scale = 6 * np.median(off)
+        if scale <= 1e-12:
+            break
+        trust = np.clip(1 - (off / scale) ** 2, 0, None) ** 2
+    return fit
+
+
+def smoothed_timeline(timeline: DataFrame, frac: float = 0.2) -> DataFrame:
+    """(token, year, docs, smooth): a term's years without gaps, smoothed, whole numbers from 0 up.  A group is one term's years."""
+    span = timeline.groupBy("token").agg(F.sequence(F.min("year"), F.max("year")).alias("years")).select("token", F.explode("years").alias("year"))
+    full = span.join(timeline, ["token", "year"], "left").na.fill(0, ["docs"])
+
+    def smooth(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("year")
+        fit = lowess(group["year"].to_numpy(float), group["docs"].to_numpy(float), frac)
+        return group.assign(smooth=np.clip(fit + 1e-9, 0, None).astype("int64"))[["token", "year", "docs", "smooth"]]
+
+    return full.groupBy("token").applyInPandas(smooth, "token string, year int, docs long, smooth long")
+
+
 def document_embeddings(weights: DataFrame, vectors: DataFrame, vocabulary_size: int) -> DataFrame:
-    """(id, dim, value): mean over the vocabulary of tfidf * token vector."""
-    t = weights.join(vectors, "token").select("id", "tfidf", F.posexplode("vector").alias("dim", "x"))
-    return t.groupBy("id", "dim").agg((F.sum(F.col("tfidf") * F.col("x")) / vocabulary_size).alias("value"))
+    """(id, vector): mean over the vocabulary of tfidf * token vector, summed as whole vectors in the map tasks."""
+    t = weights.join(vectors, "token").withColumn("v", array_to_vector("vector"))
+    total = t.groupBy("id").agg(Summarizer.sum(F.col("v"), F.col("tfidf")).alias("s"))
+    return total.select("id", F.transform(vector_to_array("s"), lambda x: x / vocabulary_size).alias("vector"))
 
 
 def mean_vectors(chunks: DataFrame, id_col: str = "id", vector: str = "embedding") -> DataFrame:

@@ -10,17 +10,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelens.functions.scalars import cosine, dot, l2_distance, l2_normalised
+from citelens.operators.text import chunks
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
-    """(query, id, chunk, distance, rank): exact k nearest by L2 distance of a small, given set of queries (query, vector).
+def nearest(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", block: int = 1000) -> DataFrame:
+    """(query, id, chunk, distance, rank): exact k nearest by L2 distance of the stated queries (query, vector).
 
-    The query set is stated by the caller and checked to be small before it is broadcast; every row is read once.
+    Up to ``block`` queries are broadcast and every row is read once.  More are cut into blocks of about that size, and so
+    are the rows; every pair of blocks is one bounded task, and each keeps its k best before the final ranking's shuffle.
     """
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("at most 1000 queries at once; use several calls or the approximate search")
-    q = F.broadcast(queries.select("query", F.col(vector).alias("query_vector")))
-    d = rows.join(q, F.size(vector) == F.size("query_vector")).withColumn("distance", l2_distance(F.col(vector), F.col("query_vector")))
+    q = queries.select("query", F.col(vector).alias("query_vector"))
+    n = q.count()
+    if n <= block:
+        pairs = rows.join(F.broadcast(q), F.size(vector) == F.size("query_vector"))
+    else:
+        q_blocks, r_blocks = -(-n // block), 16
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        left = rows.withColumn("_r", F.pmod(F.xxhash64("id", "chunk"), F.lit(r_blocks)).cast("int")).withColumn("_q", every(q_blocks))
+        right = q.withColumn("_q", F.pmod(F.xxhash64("query"), F.lit(q_blocks)).cast("int")).withColumn("_r", every(r_blocks))
+        pairs = left.join(right, ["_q", "_r"]).filter(F.size(vector) == F.size("query_vector"))
+    d = pairs.withColumn("distance", l2_distance(F.col(vector), F.col("query_vector")))
     w = Window.partitionBy("query").orderBy(F.round("distance", 9), "id", "chunk")
     return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "id", "chunk", "distance", "rank")
 
@@ -55,6 +64,37 @@ def best_papers(hits: DataFrame, pubs: DataFrame, n: int, years: tuple[int, int]
     return j.orderBy(F.coalesce("abstract", F.lit("")) == "", F.round("distance", 9), F.desc("year"), "id").limit(n).select("id", "distance")
 
 
+def combined_embeddings(graph: DataFrame, texts: DataFrame, graph_weight: float = 2.0, text_weight: float = 1.0) -> DataFrame:
+    """(id, embedding): both vectors at length 1, weighted, one after the other, scaled to length 1."""
+    j = graph.select("id", F.col("embedding").alias("g")).join(texts.select("id", F.col("embedding").alias("t")), "id")
+    scaled = lambda c, w: F.transform(l2_normalised(F.col(c)), lambda x: x * F.lit(w))
+    return j.select("id", l2_normalised(F.concat(scaled("g", graph_weight), scaled("t", text_weight))).alias("embedding"))
+
+
+def missing_embeddings(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Encoded chunks (id, chunk, year, embedding) of the texts that known (id) lacks, newest year first within a task."""
+    left = texts.join(known.select("id").distinct(), "id", "left_anti")
+    years = left.select("id", "year")
+    coded = encode_texts(chunks(left).select("id", "chunk", "text"))
+    return coded.join(years, "id").select("id", "chunk", "year", "embedding").sortWithinPartitions(F.desc("year"), "id", "chunk")
+
+
+def backfill_stream(texts: DataFrame, path: str, checkpoint: str):
+    """Writer of a stream of texts (id, abstract, year): each micro-batch encodes what the table at path lacks and appends it.
+
+    Batches are folders of their own that a repeated batch overwrites, so a restart adds nothing twice.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        schema = "id long, chunk int, year int, embedding array<float>, batch int"
+        known = spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("batch") != number) if number else spark.createDataFrame([], schema)
+        fresh = missing_embeddings(batch.dropDuplicates(["id"]), known).select(F.col("id").cast("long"), F.col("chunk").cast("int"), F.col("year").cast("int"), "embedding")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return texts.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
 def encode_texts(texts: DataFrame, dim: int = 64, text: str = "text") -> DataFrame:
     """Deterministic hashed bag-of-words vectors of length 1: the default encoder; pass vectors of your own to use another."""
 
@@ -74,13 +114,13 @@ def encode_texts(texts: DataFrame, dim: int = 64, text: str = "text") -> DataFra
     return texts.withColumn("embedding", encode(F.col(text)))
 
 
-def relevant_papers(chunks: DataFrame, search_vector: list[float], question_vector: list[float], threshold: float = 0.5, n: int = 50) -> DataFrame:
+def relevant_papers(chunk_rows: DataFrame, search_vector: list[float], question_vector: list[float], threshold: float = 0.5, n: int = 50) -> DataFrame:
     """(id, chunk, score): papers with a chunk near the mean of both vectors; of each the chunk nearest to the question."""
     both = F.array(*(F.lit(float((a + b) / 2)) for a, b in zip(search_vector, question_vector, strict=True)))
     question = F.array(*(F.lit(float(x)) for x in question_vector))
-    near = chunks.withColumn("c", cosine(F.col("embedding"), both)).filter(F.col("c") >= threshold)
+    near = chunk_rows.withColumn("c", cosine(F.col("embedding"), both)).filter(F.col("c") >= threshold)
     papers = near.groupBy("id").agg(F.max("c").alias("best")).orderBy(F.desc("best"), "id").limit(n)
-    s = chunks.join(papers.select("id"), "id", "left_semi").withColumn("score", cosine(F.col("embedding"), question))
+    s = chunk_rows.join(papers.select("id"), "id", "left_semi").withColumn("score", cosine(F.col("embedding"), question))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "chunk")
     return s.withColumn("r", F.row_number().over(w)).filter("r = 1").select("id", "chunk", "score")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citelens.functions import scalars
-from citelens.operators import citations, graph, models, reports, search, text, vectors
+from citelens.operators import citations, graph, impact, models, reports, search, text, vectors
 from citelens.plans import adapters as A
 from citelens.plans.adapters import with_tables
 from citelens.sources import records, tables
@@ -62,9 +62,9 @@ _add("cit_12_max_gain", lambda s, d: citations.max_gain(_by_year(s, d)), with_ta
 _add("cit_13_max_relative_gain", lambda s, d: citations.max_relative_gain(_by_year(s, d)).withColumn("gain", F.round("gain", 6)), with_tables("edges by_year", ", g AS (SELECT year, id, count / greatest(coalesce(sum(count) OVER (PARTITION BY id ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 1) AS gain FROM by_year) SELECT year, id, round(gain, 6) AS gain FROM g WHERE gain >= 0.01 QUALIFY row_number() OVER (PARTITION BY year ORDER BY gain DESC, id) = 1"))
 _add("cit_14_dynamics", lambda s, d: citations.dynamics(_by_year(s, d), A.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.lit(1995).alias("year")), 2001), with_tables("edges by_year", "SELECT p_partkey AS id, CAST(y AS INT) AS year, coalesce(count, 0) AS count FROM part CROSS JOIN range(1995, 2002) r(y) LEFT JOIN by_year b ON b.id = p_partkey AND b.year = y"))
 _add("cit_15_prior_and_derivative", lambda s, d: citations.neighbours_in_set(A.order_edges(s, d), _order_pubs(s, d), 1000), with_tables("order_edges pubs", f", {_OP}, n AS (SELECT DISTINCT 'prior' AS kind, id_in AS id FROM order_edges WHERE id_out = 1000 UNION ALL SELECT DISTINCT 'derivative', id_out FROM order_edges WHERE id_in = 1000) SELECT kind, id, total FROM n JOIN opubs USING (id) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY total DESC, id) <= 200"))
-_add("cit_16_expand", lambda s, d: citations.expand(A.order_edges(s, d), A.pubs(s, d).filter("id % 7 = 3").select("id"), citations.citation_counts(A.order_edges(s, d)), 100), with_tables("order_edges pubs", ", m AS (SELECT id FROM pubs WHERE id % 7 = 3), n AS (SELECT id_in AS id FROM order_edges WHERE id_out IN (FROM m) UNION SELECT id_out FROM order_edges WHERE id_in IN (FROM m)), c AS (SELECT id_in, count(*) AS c FROM order_edges GROUP BY 1 HAVING count(*) >= 3) SELECT id, coalesce(c, 1) AS total FROM n LEFT JOIN c ON id_in = id WHERE id NOT IN (FROM m) ORDER BY total DESC, id LIMIT 100"))
+_add("cit_16_expand", lambda s, d: citations.expand(A.order_edges(s, d), A.pubs(s, d).filter("type = 'P'").select("id"), citations.citation_counts(A.order_edges(s, d)), 100), with_tables("order_edges pubs", ", m AS (SELECT id FROM pubs WHERE type = 'P'), n AS (SELECT id_in AS id FROM order_edges WHERE id_out IN (FROM m) UNION SELECT id_out FROM order_edges WHERE id_in IN (FROM m)), c AS (SELECT id_in, count(*) AS c FROM order_edges GROUP BY 1 HAVING count(*) >= 3) SELECT id, coalesce(c, 1) AS total FROM n LEFT JOIN c ON id_in = id WHERE id NOT IN (FROM m) ORDER BY total DESC, id LIMIT 100"))
 _add("cit_17_citation_band", lambda s, d: citations.citation_band(A.parts(s, d)).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")), with_tables("edges parts", ", q AS (SELECT quantile_cont(total, 0.1) AS a, quantile_cont(total, 0.9) AS b FROM parts) SELECT round(avg(total), 6) AS mean, round(stddev_pop(total), 6) AS std FROM parts, q WHERE total BETWEEN a AND b"))
-_add("cit_18_expand_steps", lambda s, d: citations.expand_steps(A.order_edges(s, d), A.pubs(s, d).filter("id % 7 = 3").select("id"), citations.citation_counts(A.order_edges(s, d)), 2, 1000))
+_add("cit_18_expand_steps", lambda s, d: citations.expand_steps(A.order_edges(s, d), A.pubs(s, d).filter("type = 'P'").select("id"), citations.citation_counts(A.order_edges(s, d)), 2, 1000))
 
 # Table maintenance
 _add("snk_01_upsert", lambda s, d: tables.upsert(A.pubs(s, d).select("id", "type"), A.pubs(s, d).filter("id % 10 = 0").select("id", F.lit("X").alias("type")).unionByName(A.pubs(s, d).filter("id % 10 = 1").select((F.col("id") + 10_000_000_000).alias("id"), "type"))), with_tables("pubs", "SELECT id, CASE WHEN id % 10 = 0 THEN 'X' ELSE type END AS type FROM pubs UNION ALL SELECT id + 10000000000, type FROM pubs WHERE id % 10 = 1"))
@@ -130,7 +130,7 @@ _add("grf_06_topic_subgraph", lambda s, d: graph.topic_subgraph(_similarity(s, d
 _add("grf_07_degrees", lambda s, d: graph.degrees(_similarity(s, d)).select("node", "degree", F.round("size", 6).alias("size")), with_tables("edges order_edges", _SIM + ", g AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM sim UNION ALL SELECT dst FROM sim) GROUP BY node) SELECT node, degree, round((degree - min(degree) OVER ())::DOUBLE / (max(degree) OVER () - min(degree) OVER ()) + 0.3, 6) AS size FROM g"))
 _add("grf_04_sparse_graph", lambda s, d: graph.sparsify(_similarity(s, d), 10))
 _add("grf_08_transition_weights", lambda s, d: graph.transition_weights(graph.sparsify(_similarity(s, d), 5)).withColumn("probability", F.round("probability", 6)))
-_add("grf_09_random_walks", lambda s, d: graph.random_walks(graph.sparsify(_similarity(s, d), 5), A.pubs(s, d).filter("comp = 3").select("id"), walks=2, length=4).select("walker", F.array_join("walk", ",").alias("walk")))
+_add("grf_09_random_walks", lambda s, d: graph.random_walks(graph.sparsify(_similarity(s, d), 5), A.pubs(s, d).select("id"), walks=2, length=4).select("walker", F.array_join("walk", ",").alias("walk")))
 _add("grf_11_page_rank", lambda s, d: graph.page_rank(_journal_edges(s, d), A.pubs(s, d).select(F.col("journal").alias("id")).distinct(), rounds=5).select("id", F.round("rank", 6).alias("rank")))
 _add("grf_13_communities", lambda s, d: graph.label_communities(graph.sparsify(_similarity(s, d), 5), 3))
 
@@ -163,7 +163,7 @@ def vectors_mean(s, d):
 
 
 # Vectors
-_add("emb_04_exact_search", lambda s, d: vectors.nearest(A.chunk_vectors(s, d), A.table(s, d, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query"), "embedding"), 10).select("query", "id", "chunk", F.round("distance", 5).alias("distance"), "rank"), "SELECT q.vec_id AS query, e.vec_id // 2 AS id, CAST(e.vec_id % 2 AS INT) AS chunk, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), e.vec_id) AS INT) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 5 QUALIFY rank <= 10")
+_add("emb_04_exact_search", lambda s, d: vectors.nearest(A.chunk_vectors(s, d), A.table(s, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding"), 10).select("query", "id", "chunk", F.round("distance", 5).alias("distance"), "rank"), "SELECT q.vec_id AS query, e.vec_id // 2 AS id, CAST(e.vec_id % 2 AS INT) AS chunk, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), e.vec_id) AS INT) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10")
 
 
 def _in_cells(s, d):
@@ -231,3 +231,127 @@ _add("log_03_totals", lambda s, d: logs.totals(logs.sessions(A.log_events(s, d))
 _add("log_04_daily", lambda s, d: logs.daily(A.log_events(s, d)).select(F.col("day").cast("string").alias("day"), "count"), "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS count FROM events GROUP BY 1")
 _add("log_05_recent", lambda s, d: logs.recent(A.log_events(s, d)).select("job", "event"), with_tables("events", "SELECT job, event FROM ev ORDER BY ts DESC, job DESC LIMIT 50"))
 _add("log_06_feedback", lambda s, d: logs.feedback(A.table(s, d, "events").select((F.col("user_id") % 50).alias("key"), F.when(F.col("value") > 50, 1).otherwise(0).alias("value"), (F.col("event_type") == "error").alias("cancel"), "ts")), "WITH m AS (SELECT user_id % 50 AS key, CASE WHEN value > 50 THEN 1 ELSE 0 END AS value, event_type = 'error' AS cancel, ts FROM events), s AS (SELECT *, min(ts) FILTER (NOT cancel) OVER (PARTITION BY key) AS seen FROM m), g AS (SELECT key, sum(CASE WHEN cancel THEN -value ELSE value END) AS v, CAST(sum(CASE WHEN cancel THEN -1 ELSE 1 END) AS BIGINT) AS count FROM s WHERE NOT cancel OR ts > seen GROUP BY key) SELECT key, floor(100 * v / count) / 100 AS score, count FROM g WHERE count <> 0")
+
+
+# Records built from the tables, through the readers
+def _xml(s, d):
+    refs = A.edges(s, d).groupBy(F.col("id_out").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id_in")), lambda r: F.concat(F.lit('<Reference><ArticleId IdType="pubmed">'), r.cast("string"), F.lit("</ArticleId></Reference>"))), "").alias("refs"))
+    o = A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year")).join(refs, "id", "left")
+    i = F.col("id").cast("string")
+    return o.select(F.concat(F.lit("<PubmedArticle><PMID>"), i, F.lit("</PMID><PubDate><MedlineDate>Spring "), F.col("year").cast("string"), F.lit("</MedlineDate></PubDate><ArticleTitle>[Order <i>"), i, F.lit("</i>.]</ArticleTitle><PublicationType>Review</PublicationType>"), F.coalesce("refs", F.lit("")), F.lit("</PubmedArticle>")).alias("xml"))
+
+
+_add("src_01_xml_publications", lambda s, d: records.publications_from_xml(_xml(s, d)).select("id", "year", "title", "type", F.size("refs").cast("long").alias("refs")), with_tables("edges", "SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INT) AS year, 'Order ' || o_orderkey AS title, 'Review' AS type, coalesce(n, 0) AS refs FROM orders LEFT JOIN (SELECT id_out, count(*) AS n FROM edges GROUP BY 1) ON id_out = o_orderkey"))
+
+
+def _json(s, d):
+    p = A.table(s, d, "part")
+    line = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.lit("").alias("paperAbstract"), F.concat(F.lit("19"), (F.col("p_size") + 10).cast("string")).alias("year"), F.concat(F.col("p_partkey").cast("string"), F.lit("v2")).alias("pmid"), F.array("p_brand", "p_type").alias("entities")))
+    return p.select(F.from_json(line, records.JSON_RECORD).alias("r")).select("r.*")
+
+
+_add("src_11_json_publications", lambda s, d: records.tidy_json(_json(s, d)).select("id", "title", "abstract", "year", "pmid", "keywords"), "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, CAST(NULL AS VARCHAR) AS abstract, CAST('19' || (p_size + 10) AS INT) AS year, p_partkey AS pmid, p_brand || ', ' || p_type AS keywords FROM part")
+_add("flt_14_json_ranked", lambda s, d: search.json_matches(A.table(s, d, "events"), "props", {"k": "26"}, [F.desc("value"), F.desc("ts"), F.col("event_id")], 100).select("event_id", "value"), "SELECT event_id, value FROM events WHERE json_extract_string(props, '$.k') = '26' ORDER BY value DESC, ts DESC, event_id LIMIT 100")
+
+
+def _lines(s, d):
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "DEBUG").otherwise("INFO")
+    return A.table(s, d, "events").select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",123 "), level, F.lit(" search args: "), "props").alias("value"))
+
+
+_add("log_01_lines", lambda s, d: logs.parse_lines(_lines(s, d)).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"), "level", "params"), "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || '.123' AS ts, CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, props AS params FROM events WHERE event_type <> 'view'")
+
+# Search by vectors
+_NEAR = "n AS (SELECT q.vec_id AS query, e.vec_id // 2 AS id, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), e.vec_id) <= 10)"
+
+
+def _hits(s, d):
+    return vectors.nearest(A.chunk_vectors(s, d), A.table(s, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding"), 10)
+
+
+_add("emb_07_multi_query_search", lambda s, d: vectors.best_papers(_hits(s, d), A.texts(s, d), 20).select("id", F.round("distance", 5).alias("distance")), with_tables("texts", f", {_NEAR} SELECT id, round(d, 5) AS distance FROM (SELECT id, min(distance) AS d FROM n GROUP BY id) JOIN texts USING (id) ORDER BY coalesce(abstract, '') = '', round(d, 9), year DESC, id LIMIT 20"))
+_add("emb_03_stored_or_missing", lambda s, d: A.texts(s, d).select("id").join(A.chunk_vectors(s, d).groupBy("id").agg(F.count("*").alias("stored")), "id", "left").na.fill(0, ["stored"]), "SELECT doc_id AS id, coalesce(n, 0) AS stored FROM documents LEFT JOIN (SELECT vec_id // 2 AS i, count(*) AS n FROM embeddings GROUP BY 1) ON i = doc_id")
+_add("emb_08_backfill", lambda s, d: vectors.missing_embeddings(A.texts(s, d), A.chunk_vectors(s, d)).select("id", "chunk", F.round(scalars.norm(F.col("embedding")), 4).alias("norm")))
+
+
+def _asked(s, d):
+    two = {r[0]: list(r[1]) for r in A.table(s, d, "embeddings").filter("vec_id IN (0, 1)").select("vec_id", "embedding").collect()}
+    return vectors.relevant_papers(A.chunk_vectors(s, d), two.get(0, [0.0]), two.get(1, [0.0]), 0.1)
+
+
+_add("emb_09_question_retrieval", lambda s, d: _asked(s, d).withColumn("score", F.round("score", 5)), "WITH q AS (SELECT a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id = 1), m AS (SELECT y, list_transform(range(1, len(x) + 1), lambda i: (x[i] + y[i]) / 2) AS m FROM q), c AS (SELECT vec_id // 2 AS id, CAST(vec_id % 2 AS INT) AS chunk, list_cosine_similarity(embedding::DOUBLE[], m) AS c, list_cosine_similarity(embedding::DOUBLE[], y) AS score FROM embeddings, m), p AS (SELECT id FROM c WHERE c >= 0.1 GROUP BY id ORDER BY max(c) DESC, id LIMIT 50) SELECT id, chunk, round(score, 5) AS score FROM c WHERE id IN (FROM p) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk) = 1")
+_CHUNK = "SELECT vec_id // 2 AS id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings WHERE vec_id % 2 = {}"
+_add("clu_06_combined", lambda s, d: vectors.combined_embeddings(A.chunk_vectors(s, d).filter("chunk = 0"), A.chunk_vectors(s, d).filter("chunk = 1")).select("id", F.round(F.element_at("embedding", 1), 5).alias("first"), F.round(F.element_at("embedding", -1), 5).alias("last")), f"WITH g AS ({_CHUNK.format(0)}), t AS ({_CHUNK.format(1)}) SELECT id, round(2 * g.v[1] / g.n / sqrt(5), 5) AS first, round(t.v[-1] / t.n / sqrt(5), 5) AS last FROM g JOIN t USING (id)")
+_add("clu_05_topic_hierarchy", lambda s, d: models.topic_hierarchy(A.chunk_vectors(s, d)))
+_add("clu_08_rescaled", lambda s, d: reports.rescaled_columns(A.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x")), ["x"]).withColumn("x", F.round("x", 6)), "SELECT c_custkey AS id, round(100 * (c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()), 6) AS x FROM customer")
+
+
+# Text models
+def _in_vocabulary(s, d):
+    v = text.vocabulary(text.counts(_tokens(s, d)), A.table(s, d, "documents").count()).select("token")
+    return _tokens(s, d).join(F.broadcast(v), "token", "left_semi")
+
+
+def _token_lists(s, d):
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
+    return _in_vocabulary(s, d).groupBy("id").agg(ordered.alias("tokens"))
+
+
+def _document_embeddings(s, d):
+    found = models.token_vectors(_token_lists(s, d), 32)
+    return text.document_embeddings(text.tfidf(text.counts(_in_vocabulary(s, d)), A.table(s, d, "documents").count()), found, found.count())
+
+
+_add("txt_05_in_vocabulary", lambda s, d: _in_vocabulary(s, d).groupBy("id").agg(F.count("*").alias("n")), with_tables("tokens counts", f", v AS (SELECT token FROM counts GROUP BY token HAVING count(*) >= 0.001 * {_N} AND count(*) <= 0.8 * {_N} ORDER BY sum(n) DESC, token LIMIT 10000) SELECT id, count(*) AS n FROM tokens WHERE token IN (FROM v) GROUP BY id"))
+_add("txt_08_token_vectors", lambda s, d: models.token_vectors(_token_lists(s, d), 32).select("token", F.size("vector").alias("dim")))
+_add("txt_09_document_embeddings", lambda s, d: _document_embeddings(s, d).select("id", F.size("vector").alias("dim")))
+_add("txt_12_smoothed_timeline", lambda s, d: text.smoothed_timeline(text.term_timeline(_tokens(s, d), A.texts(s, d), text.popular_terms(_tokens(s, d), 20)), 0.6))
+_add("txt_14_main_topics", lambda s, d: models.topics(_token_lists(s, d), 10)[0].select("id", "main"))
+_add("grf_12_ego_components", lambda s, d: graph.ego_components(graph.sparsify(_similarity(s, d), 5)))
+_add("grf_13_overlapping_communities", lambda s, d: graph.overlapping_communities(graph.sparsify(_similarity(s, d), 5), 3).select("id", F.array_join("communities", ",").alias("communities")))
+
+# Authors and reports
+_NAMES = "names AS (SELECT id, list(author ORDER BY author) AS a FROM authorship GROUP BY id)"
+
+
+def _names(s, d):
+    return A.authorship(s, d).groupBy("id").agg(F.array_sort(F.collect_list("author")).alias("a"))
+
+
+def _order_by_year(s, d):
+    return citations.citations_by_year(A.order_edges(s, d), A.order_years(s, d))
+
+
+_add("ath_01_first_and_last", lambda s, d: _names(s, d).select("id", F.array_join(reports.first_and_last(F.col("a")), ",").alias("authors")), with_tables("authorship", f", {_NAMES} SELECT id, CASE WHEN len(a) <= 2 THEN array_to_string(a, ',') ELSE a[1] || ',' || a[-1] END AS authors FROM names"))
+_add("ath_04_weighted_author_graph", lambda s, d: reports.author_graph(A.authorship(s, d), A.order_edges(s, d)), with_tables("authorship order_edges", ", e AS (SELECT x.author AS src, y.author AS dst, 100 AS w FROM authorship x JOIN authorship y ON x.id = y.id AND x.author < y.author UNION ALL SELECT least(x.author, y.author), greatest(x.author, y.author), 1 FROM order_edges JOIN authorship x ON x.id = id_out JOIN authorship y ON y.id = id_in WHERE x.author <> y.author) SELECT src, dst, CAST(sum(w) AS BIGINT) AS weight FROM e GROUP BY ALL"))
+_add("ath_05_author_embeddings", lambda s, d: text.mean_vectors(A.authorship(s, d).join(A.chunk_vectors(s, d), "id").select("author", "embedding"), "author").withColumn("value", F.round("value", 5) + 0.0), with_tables("authorship", "SELECT author, CAST(dim - 1 AS INT) AS dim, round(avg(x::DOUBLE), 5) + 0.0 AS value FROM (SELECT author, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings JOIN authorship ON id = vec_id // 2) GROUP BY ALL"))
+_add("ath_06_group_topics", lambda s, d: reports.group_topics(text.counts(_tokens(s, d)), A.texts(s, d)).withColumn("score", F.round("score", 6)), with_tables("tokens counts", ", z AS (SELECT doc_id % 5 AS comp, count(*) AS size FROM documents GROUP BY 1), t AS (SELECT id % 5 AS comp, token, sum(n) AS t FROM counts GROUP BY ALL), r AS (SELECT comp, token, round(t / size * (ln((1 + (SELECT count(*) FROM z))::DOUBLE / (1 + count(*) OVER (PARTITION BY token))) + 1), 9) AS score FROM t JOIN z USING (comp)) SELECT comp, token, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY comp ORDER BY score DESC, token) AS INT) AS rank FROM r QUALIFY rank <= 10"))
+_add("rep_03_most_cited_by_year", lambda s, d: reports.yearly_table(citations.max_gain(_order_by_year(s, d)), _names(s, d).select("id", F.concat(F.lit("Order "), F.col("id").cast("string")).alias("title"), F.array_join("a", ", ").alias("authors")), 4).select("year", "id", "count", "title", "authors"), with_tables("order_edges authorship", f", {_NAMES}, y AS (SELECT id_in AS id, CAST(year(o_orderdate) AS INT) AS year, count(*) AS count FROM order_edges JOIN orders ON o_orderkey = id_out GROUP BY ALL), b AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY year ORDER BY count DESC, id) = 1) SELECT year, id, count, 'Order ' || id AS title, CASE WHEN len(a) <= 4 THEN array_to_string(a, ',') ELSE array_to_string(a[1:3], ',') || ',...,' || a[-1] END AS authors FROM b JOIN names USING (id)"))
+_add("rep_04_paper_card", lambda s, d: reports.paper_card(1000, _order_pubs(s, d), A.order_edges(s, d)), with_tables("order_edges pubs", f", {_OP} SELECT id, comp + 1 AS topic, total, (SELECT count(DISTINCT id_in) FROM order_edges WHERE id_out = 1000) AS prior, (SELECT count(DISTINCT id_out) FROM order_edges WHERE id_in = 1000) AS derivative FROM opubs WHERE id = 1000"))
+_add("rep_06_summary", lambda s, d: reports.summary(A.pubs(s, d), A.order_edges(s, d), A.authorship(s, d)), with_tables("order_edges pubs authorship", "SELECT count(*) AS papers, count(DISTINCT comp) AS topics, count(DISTINCT journal) AS journals, min(year) AS first_year, max(year) AS last_year, (SELECT count(*) FROM order_edges) AS citations, (SELECT count(DISTINCT author) FROM authorship) AS authors FROM pubs"))
+
+# Impact features
+_MIX = "mix AS (SELECT id_out AS id, comp AS topic, count(*) / sum(count(*)) OVER (PARTITION BY id_out) AS p FROM edges JOIN parts ON parts.id = id_in GROUP BY id_out, comp)"
+
+
+def _mixtures(s, d):
+    c = A.edges(s, d).join(A.parts(s, d).select(F.col("id").alias("id_in"), "comp"), "id_in").groupBy(F.col("id_out").alias("id"), F.col("comp").alias("topic")).agg(F.count("*").alias("n"))
+    return c.select("id", "topic", (F.col("n") / F.sum("n").over(Window.partitionBy("id"))).alias("p"))
+
+
+def _matrix(s, d):
+    team = A.authorship(s, d).groupBy("id").agg(F.count("*").alias("n_authors"))
+    first = reports.first_years(_order_by_year(s, d), A.order_years(s, d), 5).select("id", "c1", "c5")
+    return impact.feature_matrix(A.order_years(s, d), [team, first], ["c1", "c5"], 2006)
+
+
+_MATRIX = "m AS (SELECT i.o_orderkey AS id, CAST(year(i.o_orderdate) AS INT) AS year, " + ", ".join(f"count(o.o_orderkey) FILTER (year(o.o_orderdate) < year(i.o_orderdate) + {n}) AS c{n}" for n in (1, 5)) + " FROM orders i LEFT JOIN order_edges e ON e.id_in = i.o_orderkey LEFT JOIN orders o ON o.o_orderkey = e.id_out GROUP BY ALL), t AS (SELECT id, count(*) AS n_authors FROM authorship GROUP BY id), f AS (SELECT m.id, year, 2006 - year AS recency, n_authors, c1, c5 FROM m LEFT JOIN t USING (id))"
+_add("prd_03_topic_popularity", lambda s, d: impact.topic_popularity(_mixtures(s, d), A.order_years(s, d)).withColumn("popularity", F.round("popularity", 5)), with_tables("edges parts", f", {_MIX}, s AS (SELECT CAST(year(o_orderdate) AS INT) AS year, topic, round(sum(p), 9) AS x FROM mix JOIN orders ON o_orderkey = id GROUP BY ALL) SELECT year, topic, round(x, 5) AS popularity, CAST(row_number() OVER (PARTITION BY year ORDER BY x DESC, topic) AS INT) AS rank FROM s"))
+_add("prd_04_diversity", lambda s, d: impact.diversity(_mixtures(s, d)).withColumn("diversity", F.round("diversity", 6) + 0.0), with_tables("edges parts", f", {_MIX} SELECT id, round(sum(p * ln(p)), 6) + 0.0 AS diversity FROM mix GROUP BY id"))
+_add("prd_07_author_productivity", lambda s, d: impact.productivity(A.order_edges(s, d), A.authorship(s, d))[1], with_tables("order_edges authorship", "SELECT x.author, count(*) AS productivity FROM order_edges JOIN authorship x ON x.id = id_out JOIN authorship y ON y.id = id_in AND x.author = y.author GROUP BY x.author"))
+_add("prd_08_author_features", lambda s, d: impact.author_features(_order_pubs(s, d), A.authorship(s, d), s.range(1996, 1999).select(F.col("id").cast("int").alias("cut"))).select("author", "cut", F.round("mean", 6).alias("mean"), "rank", "h_index", "g_index", F.round("coauthors", 6).alias("coauthors")), with_tables("order_edges pubs authorship", f", {_OP}, r AS (SELECT author, CAST(cut AS INT) AS cut, opubs.id, total, n - 1 AS others FROM authorship JOIN opubs USING (id) JOIN (SELECT id, count(*) AS n FROM authorship GROUP BY id) USING (id) JOIN range(1996, 1999) c(cut) ON year <= cut), k AS (SELECT *, row_number() OVER w AS rn, sum(total) OVER (PARTITION BY author, cut ORDER BY total DESC, id ROWS UNBOUNDED PRECEDING) AS run FROM r WINDOW w AS (PARTITION BY author, cut ORDER BY total DESC, id)), g AS (SELECT author, cut, avg(total) AS mean, CAST(coalesce(max(rn) FILTER (total >= rn), 0) AS INT) AS h_index, CAST(coalesce(max(rn) FILTER (run >= rn * rn), 0) AS INT) AS g_index, avg(others) AS coauthors FROM k GROUP BY ALL) SELECT author, cut, round(mean, 6) AS mean, CAST(rank() OVER (PARTITION BY cut ORDER BY round(mean, 9) DESC) AS INT) AS rank, h_index, g_index, round(coauthors, 6) AS coauthors FROM g"))
+_add("prd_09_paper_author_means", lambda s, d: impact.paper_author_means(A.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("author")), A.table(s, d, "supplier").select(F.col("s_suppkey").alias("author"), F.col("s_acctbal").alias("mean")), ["mean"], 3).withColumn("mean", F.round("mean", 4)), "WITH l AS (SELECT l_orderkey AS id, l_linenumber AS pos, l_suppkey, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS last FROM lineitem) SELECT id, round(avg(s_acctbal), 4) AS mean FROM l LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE pos < 3 OR pos = last GROUP BY id")
+_add("prd_10_feature_matrix", lambda s, d: _matrix(s, d).select("id", "recency", F.coalesce("n_authors", F.lit(0)).alias("n_authors"), *(F.round(f"log1p_{c}", 6).alias(f"log1p_{c}") for c in ("c1", "c5"))), with_tables("order_edges authorship", f", {_MATRIX} SELECT id, CAST(recency AS INT) AS recency, coalesce(n_authors, 0) AS n_authors, round(ln(1 + c1), 6) AS log1p_c1, round(ln(1 + c5), 6) AS log1p_c5 FROM f"))
+_add("prd_12_time_split", lambda s, d: impact.time_split(_matrix(s, d), 8).groupBy("split").agg(F.count("*").alias("n")), with_tables("order_edges authorship", f", {_MATRIX} SELECT CASE WHEN recency > 11 THEN 'train' WHEN recency > 9 THEN 'validate' END AS split, count(*) AS n FROM f GROUP BY 1"))
+_add("prd_12_resampled", lambda s, d: impact.resampled(_matrix(s, d).select("id"), 3).groupBy("sample").agg(F.count("*").alias("n")))
+_add("prd_14_importances", lambda s, d: models.importances(_matrix(s, d).na.fill(0), ["recency", "n_authors", "log1p_c1"], "log1p_c5").withColumn("importance", F.round("importance", 4)))

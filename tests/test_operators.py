@@ -1,10 +1,11 @@
 """Small golden cases."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from citelens.functions import scalars
-from citelens.operators import citations, reports, search, text
+from citelens.operators import citations, graph, impact, models, reports, search, text, vectors
 from citelens.sources import records, tables
 from citelens.streaming import logs
 
@@ -85,3 +86,75 @@ def test_bundle_and_upsert(spark, tmp_path):
 
 def test_crc(spark):
     assert spark.range(1).select(scalars.signed_crc32(F.lit("not hex")).alias("c")).first().c == 0
+
+
+def test_lowess():
+    x = np.arange(20.0)
+    assert np.allclose(text.lowess(x, 3 * x + 1, 0.4), 3 * x + 1)
+    y = 3 * x + 1
+    y[10] += 50
+    assert abs(text.lowess(x, y, 0.6)[10] - 31) < 1
+    assert text.lowess(np.array([5.0]), np.array([2.0])).tolist() == [2.0]
+
+
+def test_smoothed_timeline_fills_years(spark):
+    t = spark.createDataFrame([("a", 2000, 2), ("a", 2003, 4), ("b", 1999, 1)], "token string, year int, docs long")
+    got = sorted((r.token, r.year, r.docs) for r in text.smoothed_timeline(t).collect())
+    assert got == [("a", 2000, 2), ("a", 2001, 0), ("a", 2002, 0), ("a", 2003, 4), ("b", 1999, 1)]
+
+
+def test_overlapping_communities(spark):
+    """Two triangles that share node 1: node 1 has two personas, the others one."""
+    e = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0), (2, 3, 1.0), (1, 4, 1.0), (1, 5, 1.0), (4, 5, 1.0)], "src int, dst int, similarity double")
+    egos = {(r.ego, r.node): r.comp for r in graph.ego_components(e).collect()}
+    assert (egos[1, 3], egos[1, 5], egos[2, 3]) == (2, 4, 1)
+    got = {r.id: len(r.communities) for r in graph.overlapping_communities(e, 3).collect()}
+    assert got["1"] == 2 and all(got[str(n)] == 1 for n in (2, 3, 4, 5))
+
+
+def test_ego_components_reach_the_end_of_a_chain(spark):
+    chain = [(n, n + 1, 1.0) for n in range(1, 12)] + [(0, n, 1.0) for n in range(1, 13)]
+    comps = graph.ego_components(spark.createDataFrame(chain, "src int, dst int, similarity double")).filter("ego = 0")
+    assert {r.comp for r in comps.collect()} == {1}
+
+
+def test_topic_hierarchy(spark):
+    rows = [(c, [x, y]) for c, x, y in ((0, 0.0, 0.0), (1, 0.0, 1.0), (2, 9.0, 0.0), (3, 9.0, 1.5))]
+    paths = {r.comp: r.path for r in models.topic_hierarchy(spark.createDataFrame(rows, "comp int, embedding array<double>")).collect()}
+    assert paths[0][0] == paths[1][0] != paths[2][0] == paths[3][0] and {len(p) for p in paths.values()} == {2}
+
+
+def test_document_embeddings(spark):
+    w = spark.createDataFrame([(1, "a", 0.5), (1, "b", 2.0)], "id int, token string, tfidf double")
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 3.0])], "token string, vector array<double>")
+    assert np.allclose(text.document_embeddings(w, v, 2).first().vector, [1.25, 3.0])
+
+
+def test_nearest_in_blocks(spark):
+    rng = np.random.default_rng(0)
+    rows = spark.createDataFrame([(i, 0, rng.normal(size=4).tolist()) for i in range(120)], "id int, chunk int, embedding array<double>")
+    asked = rows.filter("id % 3 = 0").select(rows.id.alias("query"), "embedding")
+    key = lambda df: sorted((r.query, r.rank, r.id) for r in df.collect())
+    assert key(vectors.nearest(rows, asked, 4)) == key(vectors.nearest(rows, asked, 4, block=7))
+
+
+def test_backfill_stream(spark, tmp_path):
+    path, source = str(tmp_path / "out"), str(tmp_path / "in")
+    schema = "id long, abstract string, year int"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        vectors.backfill_stream(spark.readStream.schema(schema).parquet(source), path, str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.id, r.chunk) for r in spark.read.parquet(path).collect())
+
+    assert arrive([(1, "a b. c", 2000), (2, "", 2001)]) == [(1, 0), (2, 0)]
+    assert arrive([(1, "a b. c", 2000), (3, "d", 2002)]) == [(1, 0), (2, 0), (3, 0)]
+
+
+def test_impact(spark):
+    mix = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.5), (2, 0, 1.0), (2, 1, 0.0)], "id int, topic int, p double")
+    got = {r.id: r.diversity for r in impact.diversity(mix).collect()}
+    assert got == {1: pytest.approx(-np.log(2)), 2: 0.0}
+    rows = spark.range(5000)
+    sizes = [r["count"] for r in impact.resampled(rows, 3).groupBy("sample").count().collect()]
+    assert len(sizes) == 3 and all(3800 < n < 4200 for n in sizes)
