@@ -125,10 +125,35 @@ def relevant_papers(chunk_rows: DataFrame, search_vector: list[float], question_
     return s.withColumn("r", F.row_number().over(w)).filter("r = 1").select("id", "chunk", "score")
 
 
-def text_edges(vectors: DataFrame, cells_: DataFrame, top: int = 100, least: float = 0.1) -> DataFrame:
-    """(src, dst, textsimilarity): neighbours by cosine inside the same cell (id, cell), each node's ``top`` best."""
-    v = vectors.join(cells_.select("id", "cell"), "id").select("id", "cell", l2_normalised(F.col("embedding")).alias("v"))
-    pairs = v.alias("a").join(v.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")))
-    s = pairs.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), dot(F.col("a.v"), F.col("b.v")).alias("textsimilarity")).filter(F.col("textsimilarity") > least)
-    w = lambda c: Window.partitionBy(c).orderBy(F.desc("textsimilarity"))
-    return s.withColumn("r1", F.row_number().over(w("src"))).withColumn("r2", F.row_number().over(w("dst"))).filter((F.col("r1") <= top) | (F.col("r2") <= top)).select("src", "dst", "textsimilarity")
+def hybrid_similarity(pairs: DataFrame, vectors: DataFrame, weights: DataFrame, least: float = 0.1) -> DataFrame:
+    """(src, dst, textsimilarity): 0.8 * cosine of vectors (id, embedding) + 0.2 * cosine of TF-IDF rows (id, token, tfidf).
+
+    A cosine of at most ``least``, or of a paper that has none, counts as 0.  The second is a join on the shared tokens of
+    the given pairs only, summed in the map tasks.
+    """
+    pairs = pairs.select("src", "dst").distinct()
+    v = vectors.select("id", l2_normalised(F.col("embedding")).alias("v"))
+    near = pairs.join(v.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(v.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst").select("src", "dst", dot(F.col("a"), F.col("b")).alias("e"))
+    left, right = weights.select(F.col("id").alias("src"), "token", F.col("tfidf").alias("x")), weights.select(F.col("id").alias("dst"), "token", F.col("tfidf").alias("y"))
+    shared = pairs.join(left, "src").join(right, ["dst", "token"]).groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("t"))
+    share = lambda c, w: w * F.when(F.col(c) > least, F.col(c)).otherwise(0.0)
+    return pairs.join(near, ["src", "dst"], "left").join(shared, ["src", "dst"], "left").select("src", "dst", (share("e", 0.8) + share("t", 0.2)).alias("textsimilarity"))
+
+
+def text_edges(vectors: DataFrame, weights: DataFrame, existing: DataFrame, top: int = 100, k: int = 16, probe: int = 4) -> DataFrame:
+    """(src, dst, textsimilarity): edges above 0 to each paper's ``top`` nearest vectors that existing (src, dst) lacks.
+
+    Neighbours come from the ``probe`` cells nearest to each paper out of k (take k with the square root of the papers);
+    each task keeps its best before the shuffle, so the pairs of a cell are never stored.
+    """
+    unit = vectors.select("id", F.lit(0).alias("chunk"), l2_normalised(F.col("embedding")).alias("embedding"))
+    indexed, centroids = cells(unit, k)
+    near = nearest_in_cells(indexed, centroids, unit.select(F.col("id").alias("query"), "embedding"), top + 1, probe)
+    pairs = near.filter("query <> id").withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).filter(F.col("place") <= top)
+    pairs = pairs.select(F.least("query", "id").alias("src"), F.greatest("query", "id").alias("dst")).distinct()
+    return hybrid_similarity(pairs.join(existing.select("src", "dst"), ["src", "dst"], "left_anti"), vectors, weights).filter("textsimilarity > 0")
+
+
+def refreshed(edges: DataFrame, vectors: DataFrame, weights: DataFrame) -> DataFrame:
+    """Edges with the text similarity of their ends, 0 where they have none."""
+    return edges.drop("textsimilarity").join(hybrid_similarity(edges, vectors, weights), ["src", "dst"])

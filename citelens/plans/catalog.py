@@ -307,6 +307,19 @@ _add("txt_08_token_vectors", lambda s, d: models.token_vectors(_token_lists(s, d
 _add("txt_09_document_embeddings", lambda s, d: _document_embeddings(s, d).select("id", F.size("vector").alias("dim")))
 _add("txt_12_smoothed_timeline", lambda s, d: text.smoothed_timeline(text.term_timeline(_tokens(s, d), A.texts(s, d), text.popular_terms(_tokens(s, d), 20)), 0.6))
 _add("txt_14_main_topics", lambda s, d: models.topics(_token_lists(s, d), 10)[0].select("id", "main"))
+
+
+def _text_vectors(s, d):
+    return A.chunk_vectors(s, d).filter("chunk = 0").select("id", "embedding")
+
+
+def _tfidf(s, d):
+    return text.tfidf(text.counts(_tokens(s, d)), A.table(s, d, "documents").count())
+
+
+_W = f"f AS (SELECT token, count(*) AS df FROM counts GROUP BY token), raw AS (SELECT id, token, n * (ln((1 + {_N})::DOUBLE / (1 + df)) + 1) AS raw FROM counts JOIN f USING (token)), w AS (SELECT id, token, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS x FROM raw)"
+_add("grf_02_text_similarity", lambda s, d: vectors.refreshed(A.order_edges(s, d).select(F.col("id_in").alias("src"), F.col("id_out").alias("dst")), _text_vectors(s, d), _tfidf(s, d)).withColumn("textsimilarity", F.round("textsimilarity", 5)), with_tables("order_edges tokens counts", f", {_W}, p AS (SELECT id_in AS src, id_out AS dst FROM order_edges), e AS (SELECT src, dst, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS e FROM p JOIN embeddings a ON a.vec_id = 2 * src JOIN embeddings b ON b.vec_id = 2 * dst), t AS (SELECT src, dst, sum(a.x * b.x) AS t FROM p JOIN w a ON a.id = src JOIN w b ON b.id = dst AND b.token = a.token GROUP BY ALL) SELECT src, dst, round(CASE WHEN e > 0.1 THEN 0.8 * e ELSE 0 END + CASE WHEN t > 0.1 THEN 0.2 * t ELSE 0 END, 5) AS textsimilarity FROM p LEFT JOIN e USING (src, dst) LEFT JOIN t USING (src, dst)"))
+_add("grf_02_text_edges", lambda s, d: vectors.text_edges(_text_vectors(s, d), _tfidf(s, d), A.order_edges(s, d).select(F.col("id_in").alias("src"), F.col("id_out").alias("dst")), 20).withColumn("textsimilarity", F.round("textsimilarity", 5)))
 _add("grf_12_ego_components", lambda s, d: graph.ego_components(graph.sparsify(_similarity(s, d), 5)))
 _add("grf_13_overlapping_communities", lambda s, d: graph.overlapping_communities(graph.sparsify(_similarity(s, d), 5), 3).select("id", F.array_join("communities", ",").alias("communities")))
 

@@ -158,3 +158,23 @@ def test_impact(spark):
     rows = spark.range(5000)
     sizes = [r["count"] for r in impact.resampled(rows, 3).groupBy("sample").count().collect()]
     assert len(sizes) == 3 and all(3800 < n < 4200 for n in sizes)
+
+
+def test_text_edges(spark):
+    """With every cell probed the edges are those of a plain search."""
+    rng = np.random.default_rng(1)
+    v = {i: rng.normal(size=3) for i in range(30)}
+    words = {i: rng.integers(0, 2, 4) * 1.0 for i in range(30)}
+    unit = lambda a: a / (np.linalg.norm(a) or 1)
+    cut = lambda c: c if c > 0.1 else 0.0
+    vectors_ = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "id int, embedding array<double>")
+    weights = spark.createDataFrame([(i, str(t), float(x)) for i, w in words.items() for t, x in enumerate(unit(w)) if x], "id int, token string, tfidf double")
+    known = spark.createDataFrame([(0, n) for n in range(1, 30)], "src int, dst int")
+    want = {}
+    for i in v:
+        best = sorted((j for j in v if j != i), key=lambda j: (np.linalg.norm(unit(v[i]) - unit(v[j])), j))[:4]
+        for j in best:
+            x = 0.8 * cut(unit(v[i]) @ unit(v[j])) + 0.2 * cut(unit(words[i]) @ unit(words[j]))
+            if x > 0 and 0 not in (i, j):
+                want[min(i, j), max(i, j)] = pytest.approx(x)
+    assert {(r.src, r.dst): r.textsimilarity for r in vectors.text_edges(vectors_, weights, known, 4, 3, 3).collect()} == want
