@@ -96,8 +96,8 @@ _HIT = "list_contains(regexp_extract_all(lower(title || ' ' || abstract), '[a-z]
 _add("flt_07_term_match", lambda s, d: A.texts(s, d).filter(search.matches("pathetic", F.col("title"), F.col("abstract"))).select("id"), with_tables("texts", f"SELECT id FROM texts WHERE {_HIT}"))
 _add("flt_08_phrase_match", lambda s, d: A.texts(s, d).filter(search.matches('"mit license"', F.col("title"), F.col("abstract"))).select("id"), with_tables("texts", r"SELECT id FROM texts WHERE regexp_matches(title, '(?i)\bmit\s+license\b') OR regexp_matches(abstract, '(?i)\bmit\s+license\b')"))
 _add("flt_09_attributes", lambda s, d: A.pubs(s, d).filter(F.col("year").between(1997, 1999) & (F.col("type") != "P")).select("id", "year"), with_tables("pubs", "SELECT id, year FROM pubs WHERE year BETWEEN 1997 AND 1999 AND type <> 'P'"))
-_add("flt_10_ranked_search", lambda s, d: search.ranked(A.texts(s, d), s.range(0, 500).select("id", (F.col("id") % 7).alias("count")), "pathetic, idiot", 30).select("id", "year", "count"), with_tables("texts", "SELECT t.id, year, CASE WHEN t.id < 500 THEN t.id % 7 END AS count FROM (SELECT *, regexp_extract_all(lower(title), '[a-z]{1,}') AS a, regexp_extract_all(lower(abstract), '[a-z]{1,}') AS b FROM texts) t WHERE len(list_intersect(list_concat(a, b), ['pathetic', 'idiot'])) > 0 ORDER BY count DESC NULLS LAST, round((len(list_filter(a, lambda x: x IN ('pathetic', 'idiot'))) + 0.4 * len(list_filter(b, lambda x: x IN ('pathetic', 'idiot'))))::DOUBLE / greatest(len(a) + len(b), 1), 9) DESC, year DESC, t.id LIMIT 30"))
-_add("flt_12_sampled_search", lambda s, d: search.ranked(A.texts(s, d), s.range(0).select("id", F.lit(1).alias("count")), "pathetic", 30, fraction=0.5).select("id", "year"))
+_add("flt_10_ranked_search", lambda s, d: search.ranked(A.texts(s, d), citations.citation_counts(A.edges(s, d)), "pathetic, idiot", 30).select("id", "year", F.col("count").cast("double").alias("count")), with_tables("texts edges", "SELECT t.id, year, CAST(c AS DOUBLE) AS count FROM (SELECT *, regexp_extract_all(lower(title), '[a-z]{1,}') AS a, regexp_extract_all(lower(abstract), '[a-z]{1,}') AS b FROM texts) t LEFT JOIN (SELECT id_in, count(*) AS c FROM edges GROUP BY 1 HAVING count(*) >= 3) ON id_in = t.id WHERE len(list_intersect(list_concat(a, b), ['pathetic', 'idiot'])) > 0 ORDER BY count DESC NULLS LAST, round((len(list_filter(a, lambda x: x IN ('pathetic', 'idiot'))) + 0.4 * len(list_filter(b, lambda x: x IN ('pathetic', 'idiot'))))::DOUBLE / greatest(len(a) + len(b), 1), 9) DESC, year DESC, t.id LIMIT 30"))
+_add("flt_12_sampled_search", lambda s, d: search.ranked(A.texts(s, d), citations.citation_counts(A.edges(s, d)), "pathetic", 30, fraction=0.5).select("id", "year"))
 _add("flt_16_without_vectors", lambda s, d: search.without(A.texts(s, d), A.chunk_vectors(s, d)), "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id // 2 FROM embeddings)")
 _add("flt_17_doi", lambda s, d: A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), scalars.is_doi(F.concat(F.lit("10."), F.col("o_orderkey").cast("string"), F.lit("/x.1"))).alias("doi")), "SELECT o_orderkey AS id, length(CAST(o_orderkey AS VARCHAR)) BETWEEN 4 AND 9 AS doi FROM orders")
 _add("flt_03_plain_doi", lambda s, d: A.table(s, d, "part").select(F.col("p_partkey").alias("id"), scalars.plain_doi(F.concat(F.lit(" https://doi.org/10.1000/"), F.col("p_partkey").cast("string"), F.lit("/ "))).alias("doi")), "SELECT p_partkey AS id, '10.1000/' || p_partkey AS doi FROM part")
