@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df does not have."""
-    return stem if stem not in df.columns else f"{stem}_{uuid.uuid4().hex[:8]}"
+    return stem if stem.lower() not in {c.lower() for c in df.columns} else f"{stem}_{uuid.uuid4().hex[:8]}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
