@@ -12,7 +12,7 @@ stream, so the only window over documents is per (source, slice) on three number
 spread over ``slices`` tasks.  Everything after is closed form per row.
 
 Defined results: null text has no words; a null source is a source of its own, last in order; sources without words get
-target 0; repeated rows are documents each; an empty table gives an empty result.
+target 0; repeated rows and rows without an id are documents each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citelens.llm.shared import WORD, cut
+from citelens.llm.shared import WORD, cut, fresh
 
 CAP = 3.0
 
@@ -64,17 +64,22 @@ def sainte_lague(parties: DataFrame, seats: int, weight: str = "target") -> Data
     return out.withColumn("seats", F.col("base") + F.coalesce("moved", F.lit(0))).drop("whole", "share", "base", "lack", "n", "moved_source", "moved")
 
 
+def _identity(id_col: str) -> Column:
+    """What the mix knows a row of docs by: 128 bits of its id, null or not, and its text."""
+    return F.struct(F.xxhash64(F.col(id_col), F.lit("|"), "text").alias("a"), F.xxhash64(F.lit(77), F.col(id_col), F.lit("|"), "text").alias("b"))
+
+
 def _streams(docs: DataFrame, id_col: str, source: str, seed: int, slices: int) -> DataFrame:
-    """(id, source, size, key, slice): what the mix knows of a document; key is its seeded place."""
+    """(id, source, size, key, row, slice): what the mix knows of a document; key is its seeded place, row its identity."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.col("text").cast("binary")))
-    return docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), size.alias("size"), key.alias("key")).withColumn("slice", F.pmod(F.col("key"), F.lit(slices)).cast("int"))
+    return docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), size.alias("size"), key.alias("key"), _identity(id_col).alias("row")).withColumn("slice", F.pmod(F.col("key"), F.lit(slices)).cast("int"))
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", source: str = "source", block_words: int = 32, n_shards: int = 16, seed: int = 11, slices: int = 256) -> tuple[DataFrame, DataFrame]:
     """(documents, quotas).
 
-    documents: id, source, size, start (its first word's place in the source's stream), source_size, target, seats,
+    documents: id, source, size, row, start (its first word's place in the source's stream), source_size, target, seats,
     blocks, first_block, and taken, the words that the mix takes of it, repeats counted.
     quotas: source, shard, quota, the blocks of each source in each mix shard.
     """
@@ -133,7 +138,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source: str = "sour
     """The mix itself: docs' columns, one row for each time that a document or a part of it is taken.
 
     A document of which the extra blocks hold only a part gives that part's words as they stand in the text; documents that
-    the mix does not reach go.  Documents are known by id; of rows that repeat an id with its text, each is taken alike.
+    the mix does not reach go.  Documents are known by id, null or not, and text; rows
+    that agree on both are each taken for what the first of them in the stream is due.
     """
     plan, _ = mix_plan(docs, id_col, source, block_words, 1, seed, slices)
     whole, low, high = _ring(block_words)
@@ -141,10 +147,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source: str = "sour
     span = lambda shift: F.struct(F.greatest(low - start - shift, F.lit(0)).cast("long").alias("from"), F.least(high - start - shift, F.col("size")).cast("long").alias("to"))
     parts = F.filter(F.array(span(F.lit(0)), span(turn)), lambda x: x["to"] > x["from"])
     rounds = F.when((whole > 0) & (F.col("size") > 0), F.array_repeat(F.struct(F.lit(0).cast("long").alias("from"), F.col("size").alias("to")), whole.cast("int"))).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>"))
-    taken = plan.select(F.col("id").alias("_id"), F.col("size").alias("_size"), F.concat(rounds, parts).alias("_spans"))
-    taken = taken.filter(F.size("_spans") > 0).dropDuplicates(["_id"])
-    joined = docs.join(taken, F.col(id_col) == F.col("_id")).withColumn("_span", F.explode("_spans"))
+    row, right, due, one = (fresh(docs, x) for x in ("mix_row", "taken_row", "mix_due", "mix_span"))
+    taken = plan.select(F.col("row").alias(right), "start", F.struct(F.col("size").alias("size"), F.concat(rounds, parts).alias("spans")).alias(due))
+    taken = taken.groupBy(right).agg(F.min_by(due, "start").alias(due)).filter(F.size(F.col(due)["spans"]) > 0)
+    joined = docs.withColumn(row, _identity(id_col)).join(taken, F.col(row) == F.col(right)).withColumn(one, F.explode(F.col(due)["spans"]))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    part = F.array_join(F.slice(words, F.col("_span.from").cast("int") + 1, (F.col("_span.to") - F.col("_span.from")).cast("int")), "")
-    all_of_it = (F.col("_span.from") == 0) & (F.col("_span.to") >= F.col("_size"))
+    part = F.array_join(F.slice(words, F.col(one)["from"].cast("int") + 1, (F.col(one)["to"] - F.col(one)["from"]).cast("int")), "")
+    all_of_it = (F.col(one)["from"] == 0) & (F.col(one)["to"] >= F.col(due)["size"])
     return joined.withColumn("text", F.when(all_of_it, F.col("text")).otherwise(part)).select(docs.columns)
