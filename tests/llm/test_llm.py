@@ -14,7 +14,8 @@ from tokenizers import Tokenizer
 from citelens.llm import anisotropic_ann, language_id, license_scan, line_dedup, lsh_forest, mixing, mpeg_audio, packing, queries, sharding, toxicity
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start long, id long, taken long"
+CLASHES = ("start", "id", "taken", "shard", "slot", "n_lines", "severity", "row", "key", "h", "hash", "size", "spans", "row_hash", "mix_row", "page_key", "sequence_id", "label", "pos", "tree", "node", "vec")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in CLASHES)
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,7 @@ def odd(spark):
     """Nulls, empty and long texts, repeats and clashing column names."""
     long = " ".join(f"w{i % 977}" for i in range(30_000))
     rows = [(1, None, None, None), (2, "", "en", "a"), (3, long, "en", "a"), (4, long, "en", None), (4, long, "en", None), (None, "x y z", "de", "b"), (6, " \n\t ", None, "b"), (7, "\u0085 \U0001f600", "en", "b")]
-    return spark.createDataFrame([(i, t, l, s, None, 5, 6, 7) for i, t, l, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, l, s, None, *range(len(CLASHES))) for i, t, l, s in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +38,7 @@ def empty(spark):
 
 def every(df):
     return (lambda d: line_dedup.drop_boilerplate_lines(d, host="source"), lambda d: mixing.mix_plan(d)[0], mixing.mixed_documents, lambda d: toxicity.score_toxicity(d, toxicity.train_toxicity(d, d.select("doc_id", F.when(F.col("doc_id") > 3, 1).otherwise(0).alias("toxic")))),
-            lsh_forest.near_duplicates, lambda d: sharding.shuffle_to_shards(d.select("doc_id", "text"), ["doc_id", "text"], 3), packing.pack_documents,
+            lsh_forest.near_duplicates, lambda d: sharding.shuffle_to_shards(d, ["doc_id", "text"], 3), packing.pack_documents,
             lambda d: language_id.predict_language(d, language_id.reference_texts(d, "doc_id", "text", "lang", 1000)), lambda d: license_scan.license_spans(d, ["doc_id", "text"]), lambda d: d.select(mpeg_audio.encode_audio(F.col("text").cast("binary"))))
 
 
@@ -48,6 +49,57 @@ def test_odd_and_empty_rows(odd, empty, n):
     assert len(operator(empty).toPandas()) == 0
 
 
+def by_id(df):
+    out = defaultdict(list)
+    for r in df.collect():
+        out[r.doc_id].append(r)
+    return out
+
+
+def test_odd_rows_have_their_defined_results(odd):
+    """Null text, empty text, a long text, repeats and a null id, each as the operators' docstrings say."""
+    rows = odd.count()
+    lines = by_id(line_dedup.drop_boilerplate_lines(odd, host="source"))
+    assert sum(map(len, lines.values())) == rows and lines[1][0].text is None and lines[1][0].n_lines == 0 and lines[2][0].text == ""
+    plan = by_id(mixing.mix_plan(odd)[0].withColumnRenamed("id", "doc_id"))
+    assert sum(map(len, plan.values())) == rows and [r["size"] for r in plan[1]] == [0] and len(plan[4]) == 2 and plan[None][0]["size"] == 3
+    groups = by_id(lsh_forest.near_duplicates(odd))
+    assert all(groups[i][0].n_shingles == 0 and groups[i][0].kept and groups[i][0].component_id == i for i in (1, 2, 6))
+    assert {r.component_id for r in groups[3] + groups[4]} == {3} and len(groups[4]) == 2 and groups[None][0].component_id is None and groups[None][0].kept
+    shards = sharding.shuffle_to_shards(odd, ["doc_id", "text"], 3).collect()
+    assert len(shards) == rows and max(Counter(r.shard for r in shards).values()) == 3
+    packed = by_id(packing.pack_documents(odd))
+    assert packed[1][0].length == packed[2][0].length == 1 and len(packed[4]) % 2 == 0 and sum(r.length for r in packed[4]) == 2 * sum(r.length for r in packed[3])
+    languages = by_id(language_id.predict_language(odd, {"en": "some words", "de": "einige"}))
+    assert all((languages[i][0].lang_pred, languages[i][0].score) == ("und", 0.0) for i in (1, 2, 6, 7)) and languages[4][0] == languages[4][1]
+    assert by_id(language_id.predict_language(odd, {}))[3][0].lang_pred == "und"
+    assert license_scan.license_spans(odd, ["doc_id", "text"]).count() == 0
+    media = odd.select("doc_id", mpeg_audio.decode_audio(mpeg_audio.encode_audio(F.col("text").cast("binary"))).alias("a"))
+    assert bytes(by_id(media)[1][0].a.payload) == b"" and by_id(media)[1][0].a.n_frames == 0 and len(by_id(media)[3][0].a.payload) == len(by_id(odd)[3][0].text)
+
+
+def test_mix_keeps_rows_without_an_id(spark):
+    """Every source is taken as it is (targets meet sizes), so no row may go, with or without an id."""
+    rows = [(None, f"null {i} word", "a") for i in range(40)] + [(i, f"some {i} word", "a") for i in range(40)]
+    mixed = mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(r.text for r in mixed.collect()) == sorted(r[1] for r in rows)
+
+
+def test_toxicity_of_one_grade_and_of_none(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    for labels, expected in (([(1, 1), (2, 1)], 1.0), ([(1, None)], 0.0), ([], 0.0)):
+        model = toxicity.train_toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert [r.expected_severity for r in toxicity.score_toxicity(df, model).collect()] == [expected] * 2
+
+
+def test_search_without_usable_rows(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert anisotropic_ann.search(none, none).count() == 0
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = anisotropic_ann.search(two, two.filter("vec_id % 50 = 0")).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1)] and abs(got[0].score - 0.5**0.5) < 1e-12
+
+
 def test_line_dedup_rule(spark):
     pages = spark.createDataFrame([(i, f"line {i}\n menu \n", "h") for i in range(10)] + [(99, "menu", "other")], "doc_id long, text string, source string")
     got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_boilerplate_lines(pages, host="source").collect()}
@@ -130,7 +182,7 @@ def test_near_duplicates_against_all_pairs(spark):
 
 
 def test_shards_are_exact(spark, docs):
-    got = sharding.shuffle_to_shards(docs.select("doc_id", "text"), ["doc_id", "text"], 7, rows_per_partition=20, cells=3).toPandas()
+    got = sharding.shuffle_to_shards(docs.select("doc_id", "text"), ["doc_id", "text"], 7, rows_per_partition=20).toPandas()
     sizes = got.groupby("shard").size()
     assert sorted(got.doc_id) == sorted(r.doc_id for r in docs.select("doc_id").collect()) and sizes.max() - sizes.min() <= 1
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
