@@ -7,7 +7,7 @@ frames, and gives exact durations (samples / sampling rate as whole numbers) and
 The writer stores bytes losslessly in the frames' main data: side information is all zero, so a decoder plays silence and
 passes over the data as ancillary.  Every frame is protected; the last takes the smallest bitrate that holds the rest.
 
-Both are one Arrow map a column: no shuffle, one value at a time.  Defined results: a null column value is an empty payload
+Both are one Arrow map a column: no shuffle, one value at a time, and ``ROWS`` values at most wait to go back to Spark.  Defined results: a null column value is an empty payload
 for the writer and an unreadable stream (no frames) for the reader; equal values give equal results.
 """
 
@@ -27,6 +27,8 @@ KBITS_V1 = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
 KBITS_V2 = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 POLYNOMIAL = 0x8005
+#: Results of this many values go back to Spark at a time, so that an Arrow batch is not held twice as a whole.
+ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -182,8 +184,10 @@ def read_payload(data: bytes, stream: Stream) -> bytes:
     return b"".join(parts)[:n]
 
 
-def _encode(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda p: write_stream(p or b""))
+def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.iloc[at : at + ROWS].map(lambda p: write_stream(p or b""))
 
 
 FIELDS = "n_frames long, samples long, rate long, duration double, min_kbits int, max_kbits int, checked long, sound long, skipped long, vbr_frames long, tags map<string,string>, offsets array<long>, payload binary"
@@ -191,7 +195,8 @@ FIELDS = "n_frames long, samples long, rate long, duration double, min_kbits int
 
 def _decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame([_row(m) for m in batch], columns=[f.split(" ")[0] for f in FIELDS.split(", ")])
+        for at in range(0, len(batch), ROWS):
+            yield pd.DataFrame([_row(m) for m in batch.iloc[at : at + ROWS]], columns=[f.split(" ")[0] for f in FIELDS.split(", ")])
 
 
 def _row(media: bytes | None) -> tuple:
