@@ -90,3 +90,12 @@ def word_tokens(text: Column, shortest: int = 3) -> Column:
 
 def rescaled(value: Column, low: Column, high: Column, top: float = 100.0) -> Column:
     return F.coalesce(top * (value - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+
+
+def list_label(kind: str, value: Column) -> Column:
+    """What a result list is about; topics count from 1."""
+    return F.concat(F.lit(f"{kind}: "), (value + 1 if kind == "topic" else value).cast("string"))
+
+
+def zeros_where_null(vector: Column, dim: int) -> Column:
+    return F.coalesce(vector, F.array_repeat(F.lit(0.0).cast("float"), dim))

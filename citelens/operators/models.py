@@ -106,3 +106,11 @@ def importances(rows: DataFrame, features: list[str], target: str, kind: str = "
     model, _ = regression(rows, features, target, kind, seed)
     values = model.featureImportances if kind in ("forest", "boosted") else model.coefficients
     return rows.sparkSession.createDataFrame([(f, float(abs(x))) for f, x in zip(features, values.toArray(), strict=True)], "feature string, importance double")
+
+
+def node_vectors(walks: DataFrame, nodes: DataFrame, degrees: DataFrame, dim: int = 64, window: int = 5, seed: int = 0) -> DataFrame:
+    """(id, vector): skip-gram vectors of walks; a node without edges has ones, one that no walk reached has zeros."""
+    learned = token_vectors(walks.select(F.col("walk").cast("array<string>").alias("tokens")), dim, window, seed)
+    joined = nodes.select("id").join(learned, F.col("id").cast("string") == F.col("token"), "left").join(degrees.select(F.col("node").alias("id"), "degree"), "id", "left")
+    alone = F.array_repeat(F.lit(1.0), dim)
+    return joined.select("id", F.when(F.col("degree").isNull(), alone).otherwise(F.coalesce("vector", F.array_repeat(F.lit(0.0), dim))).alias("vector"))

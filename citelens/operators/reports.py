@@ -223,3 +223,38 @@ def summary(pubs: DataFrame, edges: DataFrame, authorship: DataFrame) -> DataFra
     """(papers, topics, journals, first_year, last_year, citations, authors): one row."""
     p = pubs.agg(F.count("*").alias("papers"), F.countDistinct("comp").alias("topics"), F.countDistinct("journal").alias("journals"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
     return p.crossJoin(edges.agg(F.count("*").alias("citations"))).crossJoin(authorship.agg(F.countDistinct("author").alias("authors")))
+
+
+def topics_or_frequent(token_rows: DataFrame, comps: DataFrame, n: int) -> DataFrame:
+    """(comp, token, score, rank): topic words, or the most frequent tokens where there are fewer than two components."""
+    if comps.select("comp").distinct().limit(2).count() > 1:
+        return topic_words(token_rows.groupBy("id", "token").agg(F.count("*").alias("n")), comps, n)
+    per = token_rows.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token")
+    distinct = token_rows.agg(F.countDistinct("token").alias("distinct"))
+    top = per.limit(n).crossJoin(F.broadcast(distinct)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "token")))
+    comp = comps.agg(F.coalesce(F.min("comp"), F.lit(0)).alias("comp"))
+    return top.crossJoin(F.broadcast(comp)).select("comp", "token", (F.col("n") / F.col("distinct")).alias("score"), "rank")
+
+
+def overall_shares(pubs: DataFrame) -> DataFrame:
+    """(comp, count, share, low, high): share of all papers in percent, stacked in the order of components."""
+    c = pubs.groupBy("comp").agg(F.count("*").alias("count"))
+    c = c.withColumn("share", 100.0 * F.col("count") / F.sum("count").over(Window.partitionBy()))
+    high = F.sum("share").over(Window.orderBy("comp").rowsBetween(Window.unboundedPreceding, 0))
+    return c.withColumn("high", high).withColumn("low", F.col("high") - F.col("share"))
+
+
+def graph_view(pubs: DataFrame, edges: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, comp, tags, degree) and edges (src, dst, similarity) of a sparse graph; tags: the topic's words in rank order."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    tags = words.groupBy("comp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]), ",").alias("tags"))
+    nodes = pubs.select("id", "comp").join(tags, "comp", "left").join(ends, "id", "left").na.fill({"tags": "", "degree": 0})
+    return nodes.select("id", "comp", "tags", "degree"), edges.select("src", "dst", "similarity")
+
+
+def spread(rows: DataFrame, key: str, value: str, share: float = 0.8) -> DataFrame:
+    """(key, median, mad, p80 or the like) of a value by key: two grouped passes, no window over a hot key."""
+    middle = rows.groupBy(key).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(share)).alias(f"p{round(100 * share)}"))
+    away = rows.join(middle.select(F.col(key).alias("of_key"), F.col("median").alias("middle")), F.col(key).eqNullSafe(F.col("of_key")))
+    mad = away.groupBy("of_key").agg(F.percentile(F.abs(F.col(value) - F.col("middle")), F.lit(0.5)).alias("mad"))
+    return middle.join(mad, F.col(key).eqNullSafe(F.col("of_key"))).drop("of_key")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citelens.functions.scalars import word_tokens
+from citelens.functions.scalars import plain_doi, plain_quotes, word_tokens
 
 
 def by_ids(pubs: DataFrame, wanted: str) -> DataFrame:
@@ -16,6 +16,20 @@ def by_ids(pubs: DataFrame, wanted: str) -> DataFrame:
     return pubs.filter(F.col("id").isin(ids))
 
 
+def by_dois(pubs: DataFrame, wanted: str) -> DataFrame:
+    """';'-separated DOIs, with or without a resolver's address and quotes."""
+    asked = pubs.sparkSession.createDataFrame([(w.strip(),) for w in wanted.split(";") if w.strip()], "asked string")
+    return pubs.join(F.broadcast(asked.select(plain_doi(plain_quotes(F.col("asked"))).alias("doi")).distinct()), "doi", "left_semi")
+
+
+def lookup(pubs: DataFrame, key: str, value: str) -> DataFrame:
+    """Papers by id, doi or title."""
+    found = {"id": by_ids, "doi": by_dois, "title": by_titles}.get(key)
+    if found is None:
+        raise ValueError(f"no lookup by {key}")
+    return found(pubs, value)
+
+
 def in_order(pubs: DataFrame, ids: list[int]) -> DataFrame:
     """Existing papers in the order of the request."""
     wanted = pubs.sparkSession.createDataFrame(list(enumerate(ids)), "pos int, id long")

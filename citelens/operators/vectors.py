@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citelens.functions.scalars import cosine, dot, l2_distance, l2_normalised
+from citelens.functions.scalars import cosine, dot, l2_distance, l2_normalised, zeros_where_null
 from citelens.operators.text import chunks
 
 
@@ -157,3 +157,9 @@ def text_edges(vectors: DataFrame, weights: DataFrame, existing: DataFrame, top:
 def refreshed(edges: DataFrame, vectors: DataFrame, weights: DataFrame) -> DataFrame:
     """Edges with the text similarity of their ends, 0 where they have none."""
     return edges.drop("textsimilarity").join(hybrid_similarity(edges, vectors, weights), ["src", "dst"])
+
+
+def looked_up(tokens: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """(token, embedding): a token's vector, zeros where the table has none."""
+    table = vectors.select("token", F.col("embedding").cast("array<float>").alias("known"))
+    return tokens.join(table, "token", "left").select("token", zeros_where_null(F.col("known"), dim).alias("embedding"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,12 @@ def log_events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("job"), "ts", event.alias("event"), "value", "props")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name under the cluster's shared checkpoint folder; a local one only where none is set (tests)."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citelens-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 #: SQL twins, as common table expressions.
 SQL = {
     "edges": "edges AS (SELECT DISTINCT l_orderkey AS id_out, l_partkey AS id_in FROM lineitem)",

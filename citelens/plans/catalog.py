@@ -235,10 +235,10 @@ _add("log_06_feedback", lambda s, d: logs.feedback(A.table(s, d, "events").selec
 
 # Records built from the tables, through the readers
 def _xml(s, d):
-    refs = A.edges(s, d).groupBy(F.col("id_out").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id_in")), lambda r: F.concat(F.lit('<Reference><ArticleId IdType="pubmed">'), r.cast("string"), F.lit("</ArticleId></Reference>"))), "").alias("refs"))
+    refs = A.edges(s, d).groupBy(F.col("id_out").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id_in")), lambda r: F.concat(F.lit('<Reference><ArticleId IdType="pubmed">'), r.cast("string"), F.lit("</ArticleId></Reference>"))), "").alias("refs"))  # one more below, which is no number
     o = A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year")).join(refs, "id", "left")
     i = F.col("id").cast("string")
-    return o.select(F.concat(F.lit("<PubmedArticle><PMID>"), i, F.lit("</PMID><PubDate><MedlineDate>Spring "), F.col("year").cast("string"), F.lit("</MedlineDate></PubDate><ArticleTitle>[Order <i>"), i, F.lit("</i>.]</ArticleTitle><PublicationType>Review</PublicationType>"), F.coalesce("refs", F.lit("")), F.lit("</PubmedArticle>")).alias("xml"))
+    return o.select(F.concat(F.lit("<PubmedArticle><PMID>"), i, F.lit("</PMID><PubDate><MedlineDate>Spring "), F.col("year").cast("string"), F.lit("</MedlineDate></PubDate><ArticleTitle>[Order <i>"), i, F.lit("</i>.]</ArticleTitle><PublicationType>Review</PublicationType>"), F.coalesce("refs", F.lit("")), F.lit("<Reference><ArticleId IdType=\"pubmed\">n/a</ArticleId></Reference></PubmedArticle>")).alias("xml"))
 
 
 _add("src_01_xml_publications", lambda s, d: records.publications_from_xml(_xml(s, d)).select("id", "year", "title", "type", F.size("refs").cast("long").alias("refs")), with_tables("edges", "SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INT) AS year, 'Order ' || o_orderkey AS title, 'Review' AS type, coalesce(n, 0) AS refs FROM orders LEFT JOIN (SELECT id_out, count(*) AS n FROM edges GROUP BY 1) ON id_out = o_orderkey"))
@@ -368,3 +368,119 @@ _add("prd_10_feature_matrix", lambda s, d: _matrix(s, d).select("id", "recency",
 _add("prd_12_time_split", lambda s, d: impact.time_split(_matrix(s, d), 8).groupBy("split").agg(F.count("*").alias("n")), with_tables("order_edges authorship", f", {_MATRIX} SELECT CASE WHEN recency > 11 THEN 'train' WHEN recency > 9 THEN 'validate' END AS split, count(*) AS n FROM f GROUP BY 1"))
 _add("prd_12_resampled", lambda s, d: impact.resampled(_matrix(s, d).select("id"), 3).groupBy("sample").agg(F.count("*").alias("n")))
 _add("prd_14_importances", lambda s, d: models.importances(_matrix(s, d).na.fill(0), ["recency", "n_authors", "log1p_c1"], "log1p_c5").withColumn("importance", F.round("importance", 4)))
+
+_add("src_07_references", lambda s, d: records.publications_from_xml(_xml(s, d)).select(F.col("id").alias("id_out"), F.explode("refs").alias("id_in")), with_tables("edges", "SELECT id_out, id_in FROM edges"))
+
+
+def _person_xml(s, d):
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    key, name, nation, segment = (F.col(f"c_{c}") for c in ("custkey", "name", "nationkey", "mktsegment"))
+    return A.table(s, d, "customer").select(text(
+        "<PubmedArticle><PMID>", key, "</PMID><Journal><Title>", segment, "</Title></Journal><Language>eng</Language><AuthorList><Author ValidYN=\"Y\"><LastName>R&amp;D</LastName></Author><Author><LastName>", name,
+        "</LastName><Initials>K</Initials><AffiliationInfo><Affiliation> ", segment, ". </Affiliation></AffiliationInfo></Author><Author><CollectiveName>All</CollectiveName></Author></AuthorList><ELocationID EIdType=\"doi\">10.1000/c",
+        key, "</ELocationID><DataBankList><DataBank><DataBankName>GEO</DataBankName><AccessionNumberList><AccessionNumber>G", nation, "</AccessionNumber><AccessionNumber>H</AccessionNumber></AccessionNumberList></DataBank></DataBankList></PubmedArticle>").alias("xml"))
+
+
+_add("src_08_authors", lambda s, d: records.publications_from_xml(_person_xml(s, d)).select("id", F.array_join("authors", "; ").alias("authors"), F.array_join("affiliations", "; ").alias("affiliations"), F.array_join(F.transform("databanks", lambda b: F.concat(b["name"], F.lit(":"), F.array_join(b["accessions"], ","))), ";").alias("databanks")), "SELECT c_custkey AS id, 'R&D; ' || c_name || ' K' AS authors, c_mktsegment AS affiliations, 'GEO:G' || c_nationkey || ',H' AS databanks FROM customer")
+_add("src_09_identifiers", lambda s, d: records.publications_from_xml(_person_xml(s, d)).select("id", "doi", "journal", "language"), "SELECT c_custkey AS id, '10.1000/c' || c_custkey AS doi, c_mktsegment AS journal, 'eng' AS language FROM customer")
+_add("src_02_deleted_ids", lambda s, d: records.ids_of_deletions(A.table(s, d, "orders").select(F.concat(F.lit("<PMID>7</PMID>"), F.when(F.col("o_orderkey") % 97 == 0, "<DeleteCitation>").otherwise("<Other>"), F.lit("<PMID Version=\"1\">"), F.col("o_orderkey").cast("string"), F.lit("</PMID>")).alias("value"))), "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 97 = 0")
+
+
+def _json_lines(s, d):
+    p, key = A.table(s, d, "part"), F.col("p_partkey")
+    line = F.to_json(F.struct(key.cast("string").alias("id"), F.when(key % 5 > 0, F.col("p_name")).alias("title"), F.col("p_type").alias("paperAbstract")))
+    return p.select(F.when(key % 3 == 0, F.substring(line, 1, 8)).otherwise(line).alias("value"))
+
+
+_add("src_10_json_lines", lambda s, d: records.publications_from_lines(_json_lines(s, d)).select("id", "title", "abstract"), "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_type AS abstract FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 3 <> 0")
+_add("src_13_pending_files", lambda s, d: records.pending_files(A.table(s, d, "part").select(F.format_string("batch%02dn%04d.xml.gz", (F.col("p_partkey") % 3 + 20).cast("int"), F.col("p_partkey").cast("int")).alias("name")), 21, 100), "SELECT printf('batch%02dn%04d.xml.gz', p_partkey % 3 + 20, p_partkey) AS name, CAST(p_partkey % 3 + 20 AS INT) AS file_year, CAST(p_partkey AS INT) AS file_no FROM part WHERE p_partkey < 100000 AND (p_partkey % 3 = 2 OR (p_partkey % 3 = 1 AND p_partkey > 100))")
+_add("src_18_first_vectors", lambda s, d: records.first_vectors(A.chunk_vectors(s, d), 1000).select("id", "chunk"), "SELECT vec_id // 2 AS id, CAST(vec_id % 2 AS INT) AS chunk FROM embeddings ORDER BY vec_id LIMIT 1000")
+_add("src_19_id_list", lambda s, d: records.whole_ids(A.table(s, d, "part").select(F.when(F.col("p_partkey") % 4 == 0, "none").when(F.col("p_partkey") % 4 < 3, F.col("p_partkey").cast("string")).alias("id"))), "SELECT p_partkey AS id FROM part WHERE p_partkey % 4 IN (1, 2)")
+_add("src_21_log_levels", lambda s, d: logs.parse_lines(_lines(s, d)).groupBy("level", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("count")), "SELECT CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS count FROM events WHERE event_type <> 'view' GROUP BY ALL")
+
+
+# Writers, each written to the shared folder and read back
+def _id_map(s, d):
+    ids = A.chunk_vectors(s, d).select("id", "chunk")
+    return tables.write_id_map(ids, A.scratch(s, "id-map"), A.table(s, d, "embeddings").count())
+
+
+def _dump_by_year(s, d):
+    """Dumped twice: the years up to 1998 first, so that the second dump writes the others alone."""
+    path, rows = A.scratch(s, "by-year"), A.order_years(s, d)
+    tables.write_by_year(rows.filter("year <= 1998"), path)
+    tables.write_by_year(rows, path)
+    return s.read.option("sep", "\t").csv(path).select(F.col("_c0").cast("long").alias("id"), "year")
+
+
+def _staged(s, d):
+    """The second call finds the table of the first."""
+    path = A.scratch(s, "stage")
+    tables.stage(s, path, lambda: citations.citation_counts(A.edges(s, d)))
+    return tables.stage(s, path, lambda: citations.citation_counts(A.edges(s, d)).limit(0))
+
+
+def _bundle(s, d):
+    path = A.scratch(s, "bundle")
+    tables.save_bundle({"pubs": A.pubs(s, d), "edges": A.edges(s, d)}, path)
+    kept = tables.load_bundle(s, path)
+    return kept["pubs"].join(kept["edges"], F.col("id") == F.col("id_out"), "left").groupBy("id", "journal").agg(F.count("id_in").alias("refs"))
+
+
+def _table_file(s, d):
+    path = A.scratch(s, "table")
+    tables.write_table(citations.citation_matrix(_by_year(s, d), _YEARS), path)
+    return s.read.option("header", True).csv(path).select(F.col("id").cast("long").alias("id"), F.col("total").cast("long").alias("total"))
+
+
+_add("snk_08_id_map", _id_map, "SELECT vec_id // 2 AS id, CAST(vec_id % 2 AS INT) AS chunk FROM embeddings")
+_add("snk_09_dump_by_year", _dump_by_year, "SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INT) AS year FROM orders")
+_add("snk_10_stage", _staged, with_tables("edges", "SELECT id_in AS id, count(*) AS count FROM edges GROUP BY 1 HAVING count(*) >= 3"))
+_add("snk_11_bundle", _bundle, with_tables("pubs edges", "SELECT id, journal, count(id_in) AS refs FROM pubs LEFT JOIN edges ON id = id_out GROUP BY ALL"))
+_add("snk_12_table_file", _table_file, with_tables("edges by_year", "SELECT id, CAST(sum(count) AS BIGINT) AS total FROM by_year GROUP BY id"))
+
+# Lookups
+_add("flt_01_lookup", lambda s, d: search.lookup(A.parts(s, d).withColumn("doi", F.concat(F.lit("10.1000/p"), F.col("id").cast("string"))), "doi", "https://doi.org/10.1000/p7/; '10.1000/p12';10.1000/x").select("id", "doi"), "SELECT p_partkey AS id, '10.1000/p' || p_partkey AS doi FROM part WHERE p_partkey IN (7, 12)")
+_add("flt_02_ids", lambda s, d: search.by_ids(A.parts(s, d), "12; 7;; 999999999").select("id", "title"), "SELECT p_partkey AS id, p_name AS title FROM part WHERE p_partkey IN (7, 12)")
+_add("flt_06_expression", lambda s, d: A.texts(s, d).filter(search.matches('pathetic idiot, "mit license", Apache', F.col("title"), F.col("abstract"))).select("id"), with_tables("texts", r", w AS (SELECT *, regexp_extract_all(lower(title || ' ' || abstract), '[a-z]{1,}') AS w FROM texts) SELECT id FROM w WHERE (list_contains(w, 'pathetic') AND list_contains(w, 'idiot')) OR regexp_matches(title, '(?i)\bmit\s+license\b') OR regexp_matches(abstract, '(?i)\bmit\s+license\b') OR list_contains(w, 'apache')"))
+_add("flt_11_relevance", lambda s, d: A.texts(s, d).select("id", F.round(search.relevance("pathetic, idiot", F.col("title"), F.col("abstract")), 9).alias("relevance")).filter("relevance > 0"), with_tables("texts", "SELECT id, r AS relevance FROM (SELECT id, round((len(list_filter(a, lambda x: x IN ('pathetic', 'idiot'))) + 0.4 * len(list_filter(b, lambda x: x IN ('pathetic', 'idiot'))))::DOUBLE / greatest(len(a) + len(b), 1), 9) AS r FROM (SELECT *, regexp_extract_all(lower(title), '[a-z]{1,}') AS a, regexp_extract_all(lower(abstract), '[a-z]{1,}') AS b FROM texts)) WHERE r > 0"))
+_add("flt_15_existing_in_order", lambda s, d: search.in_order(A.parts(s, d), [31, 5, 999_999_999, 17]).select("id", "title"), "SELECT p_partkey AS id, p_name AS title FROM part WHERE p_partkey IN (5, 17, 31)")
+_add("nrm_02_defaults", lambda s, d: records.with_defaults(A.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, "Review").alias("type"), F.when(F.col("p_size") < 10, F.lit(2001)).alias("year"))), "SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN 'Review' ELSE 'Article' END AS type, '' AS keywords, '' AS mesh, CAST(CASE WHEN p_size < 10 THEN 2001 ELSE 1970 END AS INT) AS year FROM part")
+_add("emb_02_token_lookup", lambda s, d: vectors.looked_up(A.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("token")), A.table(s, d, "embeddings").filter("vec_id % 2 = 0").select(F.col("vec_id").cast("string").alias("token"), "embedding"), 64).select("token", F.round(F.col("embedding")[0].cast("double"), 5).alias("first")), "SELECT CAST(p_partkey AS VARCHAR) AS token, coalesce(round(embedding[1]::DOUBLE, 5), 0.0) AS first FROM part LEFT JOIN embeddings ON vec_id = p_partkey AND vec_id % 2 = 0")
+
+
+def _semantic(s, d):
+    """Papers nearest to one vector: every chunk is measured, filters come first, so nothing is fetched in excess."""
+    asked = A.table(s, d, "embeddings").filter("vec_id = 0").select(F.col("vec_id").alias("query"), "embedding")
+    allowed = A.texts(s, d).filter(F.col("year").between(1996, 2000))
+    hits = vectors.nearest(A.chunk_vectors(s, d).join(allowed.select("id"), "id", "left_semi"), asked, 60)
+    return vectors.best_papers(hits, allowed, 20).select("id", F.round("distance", 5).alias("distance"))
+
+
+_add("emb_06_semantic_search", _semantic, with_tables("texts", ", a AS (SELECT * FROM texts WHERE year BETWEEN 1996 AND 2000), n AS (SELECT e.vec_id // 2 AS id, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id // 2 IN (SELECT id FROM a) ORDER BY round(distance, 9), e.vec_id LIMIT 60) SELECT id, round(d, 5) AS distance FROM (SELECT id, min(distance) AS d FROM n GROUP BY id) JOIN a USING (id) ORDER BY coalesce(abstract, '') = '', round(d, 9), year DESC, id LIMIT 20"))
+
+# Graph, topics and reports
+_add("grf_03_weighted_similarity", lambda s, d: graph.similarity(graph.build(A.order_edges(s, d), citations.cocitations(A.edges(s, d), A.order_years(s, d)).groupBy("cited_1", "cited_2").agg(F.count("*").alias("total")).filter("total >= 2"), citations.coupling(A.edges(s, d), 2)), {"bibcoupling": 1, "cocitation": 2, "citation": 4}).groupBy("similarity").agg(F.count("*").alias("pairs")), with_tables("edges order_edges", _SIM.replace("3 * coalesce(b, 0) + 10 * coalesce(c, 0) + coalesce(e, 0)", "coalesce(b, 0) + 2 * coalesce(c, 0) + 4 * coalesce(e, 0)") + "SELECT similarity, count(*) AS pairs FROM sim GROUP BY similarity"))
+_add("grf_10_node_vectors", lambda s, d: models.node_vectors(graph.random_walks(graph.sparsify(_similarity(s, d), 5), A.pubs(s, d).select("id"), walks=2, length=4), A.pubs(s, d), graph.degrees(graph.sparsify(_similarity(s, d), 5)), dim=16).select("id", F.size("vector").alias("n")))
+_add("txt_02_stems", lambda s, d: _tokens(s, d).select("token", text.stem(F.col("token")).alias("stem")).groupBy("stem").agg(F.countDistinct("token").alias("forms"), F.count("*").alias("count")))
+_add("top_02_frequent_fallback", lambda s, d: reports.topics_or_frequent(_tokens(s, d), A.texts(s, d).select("id", F.lit(0).alias("comp")), 20).withColumn("score", F.round("score", 9)), with_tables("tokens", ", c AS (SELECT token, count(*) AS n FROM tokens GROUP BY token) SELECT 0 AS comp, token, round(n::DOUBLE / (SELECT count(*) FROM c), 9) AS score, CAST(row_number() OVER (ORDER BY n DESC, token) AS INT) AS rank FROM c ORDER BY n DESC, token LIMIT 20"))
+_add("top_07_overall_shares", lambda s, d: reports.overall_shares(A.pubs(s, d)).select("comp", "count", *(F.round(c, 5).alias(c) for c in ("share", "low", "high"))), with_tables("pubs", ", c AS (SELECT comp, count(*) AS count FROM pubs GROUP BY comp), s AS (SELECT *, (100.0 * count / sum(count) OVER ())::DOUBLE AS share FROM c), h AS (SELECT *, sum(share) OVER (ORDER BY comp) AS high FROM s) SELECT comp, count, round(share, 5) AS share, round(high - share, 5) AS low, round(high, 5) AS high FROM h"))
+
+
+def _graph_view(s, d):
+    comps = A.texts(s, d).select("id", "comp")
+    pubs_ = A.parts(s, d).select("id", (F.col("id") % 5).alias("comp"))
+    words = reports.topic_words(text.counts(_tokens(s, d)), comps, 5)
+    return reports.graph_view(pubs_, graph.sparsify(_similarity(s, d), 5), words)[0]
+
+
+_add("rep_05_graph_view", _graph_view)
+_add("ath_07_author_table", lambda s, d: reports.author_sizes(reports.author_totals(A.authorship(s, d).join(_order_pubs(s, d), "id"), 0.0)).withColumn("size", F.round("size", 6)), with_tables("order_edges pubs authorship", f", {_OP}, a AS (SELECT author, CAST(sum(total) AS BIGINT) AS cited, count(*) AS papers FROM authorship JOIN opubs USING (id) GROUP BY author) SELECT *, round((1 + 10 * ln(1 + cited)) * 10 / max(1 + 10 * ln(1 + cited)) OVER () + 3, 6) AS size FROM a"))
+
+# Scalar functions
+_add("fnc_02_cut_authors", lambda s, d: A.authorship(s, d).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("author")), ", ").alias("a")).select("id", scalars.cut_authors(F.col("a"), 3).alias("authors")), with_tables("authorship", "SELECT id, CASE WHEN count(*) <= 3 THEN string_agg(author, ',' ORDER BY author) ELSE (list(author ORDER BY author))[1] || ',' || (list(author ORDER BY author))[2] || ',...,' || max(author) END AS authors FROM authorship GROUP BY id"))
+_add("fnc_04_plain_quotes", lambda s, d: A.table(s, d, "part").select(F.col("p_partkey").alias("id"), scalars.plain_quotes(F.concat(F.lit("\"'"), "p_name", F.lit("'" * 3 + 's"')).alias("x")).alias("text")), "SELECT p_partkey AS id, p_name || chr(39) || 's' AS text FROM part")
+_add("fnc_07_truthy", lambda s, d: A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), scalars.truthy(F.when(F.col("o_orderkey") % 3 == 0, " True ").when(F.col("o_orderkey") % 3 == 1, "no")).alias("truth")), "SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS truth FROM orders")
+_add("fnc_08_array_measures", lambda s, d: A.table(s, d, "embeddings").filter("vec_id % 2 = 0").select((F.col("vec_id") + 1).alias("next"), F.col("embedding").alias("a")).join(A.table(s, d, "embeddings"), F.col("next") == F.col("vec_id")).select("vec_id", *(F.round(f(F.col("a"), F.col("embedding")), 5).alias(n) for n, f in (("dot", scalars.dot), ("cosine", scalars.cosine), ("distance", scalars.l2_distance)))), "SELECT b.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS dot, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0")
+_add("fnc_09_spread", lambda s, d: reports.spread(A.table(s, d, "customer"), "c_mktsegment", "c_acctbal").select("c_mktsegment", *(F.round(c, 6).alias(c) for c in ("median", "mad", "p80"))), "WITH m AS (SELECT *, median(c_acctbal) OVER (PARTITION BY c_mktsegment) AS m FROM customer) SELECT c_mktsegment, round(median(c_acctbal), 6) AS median, round(median(abs(c_acctbal - m)), 6) AS mad, round(quantile_cont(c_acctbal, 0.8), 6) AS p80 FROM m GROUP BY c_mktsegment")
+_add("fnc_10_labels", lambda s, d: A.texts(s, d).select("id", scalars.list_label("topic", F.col("comp")).alias("label"), scalars.source_url(F.col("lang"), F.col("id"), {"en": "https://example.org/en/", "de": "https://example.org/de/"}).alias("url")), with_tables("texts", "SELECT id, 'topic: ' || (comp + 1) AS label, CASE lang WHEN 'en' THEN 'https://example.org/en/' || id WHEN 'de' THEN 'https://example.org/de/' || id ELSE '' END AS url FROM texts"))

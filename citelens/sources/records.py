@@ -42,23 +42,50 @@ def xml_records(spark: SparkSession, path: str, record: str = "PubmedArticle") -
     return lines.filter(start > 0).select(F.concat(F.expr(f"substring(value, locate('<{record}>', value))"), F.lit(f"</{record}>")).alias("xml"))
 
 
+def _elements(xml: Column, name: str) -> Column:
+    """What stands inside each element of that name, in document order."""
+    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>"), F.lit(1))
+
+
+def _plain(text: Column) -> Column:
+    """Without the markup's own escapes."""
+    for escape, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(escape), F.lit(sign))
+    return text
+
+
+def author_names(xml: Column) -> Column:
+    """"LastName Initials" of each author; one without initials is the last name alone, one without a name goes."""
+    one = lambda a, name: F.nullif(_plain(F.trim(F.regexp_extract(a, rf"<{name}>([^<]*)</{name}>", 1))), F.lit(""))
+    return F.filter(F.transform(_elements(xml, "Author"), lambda a: F.concat_ws(" ", one(a, "LastName"), one(a, "Initials"))), lambda n: n != "")
+
+
+def databanks(xml: Column) -> Column:
+    """Array of (name, accessions)."""
+    return F.transform(_elements(xml, "DataBank"), lambda d: F.struct(F.regexp_extract(d, r"<DataBankName>([^<]*)</DataBankName>", 1).alias("name"), _elements(d, "AccessionNumber").alias("accessions")))
+
+
 def publications_from_xml(records: DataFrame) -> DataFrame:
-    """(id, year, title, abstract, type, keywords, refs, authors, journal, doi, language) of XML records."""
+    """(id, year, title, abstract, type, keywords, refs, authors, affiliations, databanks, journal, doi, language) of XML records."""
     x = lambda path: F.xpath("xml", F.lit(path))
     one = lambda path: F.xpath_string("xml", F.lit(path))
     number = lambda c: c.try_cast("long")
-    authors = F.transform(F.arrays_zip(x("//Author/LastName/text()"), x("//Author/Initials/text()")), lambda a: F.concat_ws(" ", a["0"], a["1"]))
     abstract = F.array_join(F.concat(x("//Abstract/AbstractText//text()"), x("//OtherAbstract/AbstractText//text()")), " ")
     return records.select(
         number(one("//PMID")).alias("id"), publication_year(one("//PubDate/Year"), one("//PubDate/MedlineDate")).alias("year"),
         clean_title(one("//ArticleTitle")).alias("title"), F.trim(ascii_only(abstract)).alias("abstract"), publication_type(x("//PublicationType/text()")).alias("type"),
         F.transform(x("//Keyword/text()"), keyword).alias("keywords"), F.filter(F.transform(x("//Reference//ArticleId[@IdType='pubmed']/text()"), number), lambda i: i.isNotNull()).alias("refs"),
-        authors.alias("authors"), one("//Journal/Title").alias("journal"), one("//ELocationID[@EIdType='doi']|//ArticleIdList/ArticleId[@IdType='doi']").alias("doi"), one("//Language").alias("language"),
+        author_names(F.col("xml")).alias("authors"), F.transform(x("//Affiliation/text()"), lambda a: F.btrim(a, F.lit(" ."))).alias("affiliations"), databanks(F.col("xml")).alias("databanks"), one("//Journal/Title").alias("journal"), one("//ELocationID[@EIdType='doi']|//ArticleIdList/ArticleId[@IdType='doi']").alias("doi"), one("//Language").alias("language"),
     ).filter("id IS NOT NULL")
 
 
 def deleted_ids(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.text(path, lineSep="</DeleteCitation>").filter(F.contains("value", F.lit("<DeleteCitation>")))
+    return ids_of_deletions(spark.read.text(path, lineSep="</DeleteCitation>"))
+
+
+def ids_of_deletions(texts: DataFrame) -> DataFrame:
+    """(id): the ids behind the opening tag of a list of deletions, in texts (value) cut at its closing tag."""
+    rows = texts.filter(F.contains("value", F.lit("<DeleteCitation>")))
     return rows.select(F.explode(F.regexp_extract_all(F.substring_index("value", "<DeleteCitation>", -1), F.lit(r"<PMID[^>]*>(\d+)</PMID>"), F.lit(1))).alias("id")).select(F.col("id").cast("long"))
 
 
@@ -68,6 +95,18 @@ def publications_from_json(spark: SparkSession, path: str) -> DataFrame:
     return tidy_json(raw)
 
 
+def publications_from_lines(lines: DataFrame) -> DataFrame:
+    """Records of text lines (value), one JSON object each; malformed ones and ones without id or title go."""
+    return tidy_json(lines.select(F.from_json("value", JSON_RECORD).alias("r")).select("r.*").filter("id IS NOT NULL AND title IS NOT NULL"))
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """Null type, keywords, mesh and year as Article, '', '' and 1970; a column that rows lack is added."""
+    for name, value in (("type", "Article"), ("keywords", ""), ("mesh", ""), ("year", 1970)):
+        rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in rows.columns else F.lit(value))
+    return rows
+
+
 def tidy_json(raw: DataFrame) -> DataFrame:
     empty = lambda c: F.nullif(F.col(c), F.lit(""))
     return raw.select("id", "title", empty("paperAbstract").alias("abstract"), F.col("year").try_cast("int").alias("year"), empty("doi").alias("doi"), F.substring_index("pmid", "v", 1).try_cast("long").alias("pmid"),
@@ -91,7 +130,24 @@ def key_census(rows: DataFrame, column: str = "props") -> DataFrame:
 
 
 def id_list(spark: SparkSession, path: str, column: str = "id") -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True).select(F.col(column).try_cast("long").alias("id")).dropna()
+    return whole_ids(spark.read.csv(path, sep="\t", header=True), column)
+
+
+def whole_ids(rows: DataFrame, column: str = "id") -> DataFrame:
+    """(id): the entries of a text column that are whole numbers."""
+    return rows.select(F.col(column).try_cast("long").alias("id")).dropna()
+
+
+def pending_files(files: DataFrame, year: int, last: int, pattern: str = r"(\d{2})n(\d{4,5})\.xml") -> DataFrame:
+    """(name, file_year, file_no): files numbered after the last one read; a newer year's files count from the start."""
+    part = lambda i: F.regexp_extract("name", pattern, i).try_cast("int")
+    numbered = files.select("name", part(1).alias("file_year"), part(2).alias("file_no")).dropna()
+    return numbered.filter((F.col("file_year") > year) | ((F.col("file_year") == year) & (F.col("file_no") > last)))
+
+
+def first_vectors(rows: DataFrame, n: int) -> DataFrame:
+    """The sample that an index is trained on: the first n chunks by id."""
+    return rows.orderBy("id", "chunk").limit(n)
 
 
 def new_files(spark: SparkSession, path: str, schema: T.StructType | str, pattern: str = r"(\d{4,5})\.xml") -> DataFrame:

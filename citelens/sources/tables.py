@@ -47,7 +47,12 @@ def weighted_tokens(texts: DataFrame) -> DataFrame:
 
 
 def write_by_year(rows: DataFrame, path: str) -> None:
-    """Tab-separated, compressed, a folder a year; years already there stay untouched in append mode."""
+    """Tab-separated, compressed, a folder a year; years that are already there are left as they are."""
+    try:
+        there = rows.sparkSession.read.option("sep", "\t").csv(path).select(F.col("year").cast(rows.schema["year"].dataType)).distinct()
+        rows = rows.join(there, "year", "left_anti")
+    except AnalysisException:
+        pass  # nothing is there yet
     rows.write.mode("append").partitionBy("year").option("sep", "\t").option("compression", "gzip").csv(path)
 
 
@@ -60,6 +65,21 @@ def stage(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> D
         return spark.read.parquet(path)
 
 
+def write_id_map(ids: DataFrame, path: str, size: int) -> DataFrame:
+    """The ids of an index by place, compressed; their number must be the index's."""
+    ids.write.option("compression", "gzip").parquet(path)
+    written = ids.sparkSession.read.parquet(path)
+    found = written.count()
+    if found != size:
+        raise ValueError(f"{found} ids for an index of {size} rows")
+    return written
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """Comma-separated and compressed, without the columns of single years."""
+    rows.select([c for c in rows.columns if not c.isdigit()]).write.option("header", True).option("compression", "gzip").csv(path)
+
+
 def save_bundle(tables: dict[str, DataFrame], path: str) -> None:
     spark = next(iter(tables.values())).sparkSession
     for name, table in tables.items():

@@ -178,3 +178,27 @@ def test_text_edges(spark):
             if x > 0 and 0 not in (i, j):
                 want[min(i, j), max(i, j)] = pytest.approx(x)
     assert {(r.src, r.dst): r.textsimilarity for r in vectors.text_edges(vectors_, weights, known, 4, 3, 3).collect()} == want
+
+
+def test_authors_keep_their_own_initials(spark):
+    xml = "<A><Author><LastName>One</LastName></Author><Author ValidYN=\"Y\"><LastName>Two &amp; Co</LastName><Initials>T</Initials></Author><Author><CollectiveName>All</CollectiveName></Author></A>"
+    assert spark.createDataFrame([(xml,)], "xml string").select(records.author_names(F.col("xml")).alias("a")).first().a == ["One", "Two & Co T"]
+
+
+def test_lookup_refuses_other_keys(spark):
+    pubs = spark.createDataFrame([(1, "A.", "10.1/x")], "id long, title string, doi string")
+    assert [search.lookup(pubs, k, v).count() for k, v in (("id", "1;"), ("title", "a"), ("doi", "http://doi.org/10.1/x/"))] == [1, 1, 1]
+    with pytest.raises(ValueError):
+        search.lookup(pubs, "journal", "x")
+
+
+def test_id_map_must_fit_its_index(spark, tmp_path):
+    with pytest.raises(ValueError):
+        tables.write_id_map(spark.range(3), str(tmp_path / "ids"), 4)
+
+
+def test_dumped_years_stay_as_they_are(spark, tmp_path):
+    path = str(tmp_path / "dump")
+    tables.write_by_year(spark.createDataFrame([(1, 1999)], "id long, year int"), path)
+    tables.write_by_year(spark.createDataFrame([(2, 1999), (3, 2000)], "id long, year int"), path)
+    assert {(int(r[0]), r.year) for r in spark.read.option("sep", "\t").csv(path).collect()} == {(1, 1999), (3, 2000)}
