@@ -4,16 +4,21 @@
    Equal sets are one class from here on, however many copies there are; its representative is the smallest id.
 2. Forest: ``trees`` sorted orders of the representatives, each by its own rotation of the signature.  Range partitioning
    and a sort inside the tasks put longest common prefixes side by side; neighbours within ``reach`` places that share at
-   least ``depth`` minima are candidates.  The depth adapts to the region: where many signatures share the first minima,
-   the sort has ordered them by the following ones, so a crowded region compares at a longer prefix.  A candidate survives
-   if its signature estimate is within about four standard deviations of the threshold.
-3. Candidates only say who may belong together: their connected components are candidate clusters, and inside a cluster
+   least ``depth`` minima are candidates.  A candidate survives if its signature estimate is within about four standard
+   deviations of the threshold.
+3. Crowds: where more rows share the ``depth`` minima than ``reach`` covers, or a partition's edge may have cut such a run,
+   the rows are a crowd, and so are both ends of any pair that the forest could not compare.  A crowd's pairs come from a
+   prefix-filter join: of a set of n shingles the n - ceil(threshold * n) + 1 rarest are posted, of which a linked pair must
+   share one whatever the order; a bounded sample of the crowd says which are common, which decides the work, not the
+   result.  All of a posting list that sizes allow is compared by estimate, breadth first; a list whose rows the forest has
+   already put into one component can link nothing new and is left out.
+4. Candidates only say who may belong together: their connected components are candidate clusters, and inside a cluster
    every text is measured against every other that is not yet linked, on full shingle sets (breadth first, one vectorised
    pass a text).  So a link counts only if it is exact, and no cap on partners loses one.  A cluster beyond ``block``
    shingles is cut into blocks, and every pair of blocks is a task of bounded size.
 
 A hot group of copies is one class; of near copies, one cluster in bounded blocks.  No step emits the pairs of a group.
-Nothing but loop counters reaches the driver.
+Nothing but loop counters and the common shingles of the sample (at most ``COMMON``) reaches the driver.
 
 Defined results: null or empty text has an empty set, is linked with nothing and is kept; rows that repeat an id with
 equal text are equal rows; a null id has a null component and is kept; an empty table gives an empty result.
@@ -34,6 +39,11 @@ from citelens.llm.shared import cut
 
 PRIME_A, PRIME_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
+#: At most so many common shingles order a crowd's postings, counted in a sample of about SAMPLE of its texts.
+COMMON, SAMPLE = 200_000, 1_000
+#: Posting lists up to this length are compared many at a time, longer ones one by one.
+SHORT = 16
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * PRIME_B
@@ -100,47 +110,166 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def _low(signatures: pd.Series) -> list[bytes]:
+    """The last byte of each minimum, which estimates compare."""
+    return [np.frombuffer(s, ">u4").astype(np.uint8).tobytes() for s in signatures]
+
+
 def forest_links(reps: DataFrame, hashes: int, trees: int, depth: int, reach: int, least: float, key_minima: int = 8) -> DataFrame:
-    """(a, b): links of prefix neighbours whose estimate is at least ``least``, thinned to a spanning forest in each task."""
+    """(a, b): links of prefix neighbours whose estimate is at least ``least``, thinned to a spanning forest in each task.
+
+    A row of a crowd, which has prefix neighbours that were not compared, is linked with itself.
+    """
     step = 4 * (hashes // trees)
 
     def rotated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                low = [np.frombuffer(s, ">u4").astype(np.uint8).tobytes() for s in part["signature"]]
+                low = _low(part["signature"])
                 keys = [(s + s)[t * step : t * step + 4 * key_minima] for t in range(trees) for s in part["signature"]]
                 yield pd.DataFrame({"tree": np.repeat(np.arange(trees, dtype=np.int32), len(part)), "key": keys, "id": np.tile(part["id"].to_numpy(), trees), "low": low * trees})
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: pd.DataFrame | None = None
         for batch in batches:
-            if last is not None:
+            if not len(batch):
+                continue
+            first = last is None
+            if not first:
                 batch = pd.concat([last, batch], ignore_index=True)
-            last = batch.iloc[-reach:]
+            last = batch.iloc[-(reach + 1) :]
             n = len(batch)
             tree = batch["tree"].to_numpy()
             keys = np.frombuffer(b"".join(batch["key"]), np.uint32).reshape(n, key_minima)
             low = np.frombuffer(b"".join(batch["low"]), np.uint8).reshape(n, hashes)
+            ids = batch["id"].to_numpy()
             found: list[tuple[np.ndarray, np.ndarray]] = []
-            for d in range(1, reach + 1):
+            crowd = np.zeros(n + 1, int)  # a run beyond reach, as steps up at its first and down after its last row
+            for d in range(1, reach + 2):
                 i = np.flatnonzero((tree[d:] == tree[:-d]) & (keys[d:, :depth] == keys[:-d, :depth]).all(axis=1)) if n > d else np.zeros(0, int)
+                if d > reach:
+                    np.add.at(crowd, i, 1)
+                    np.add.at(crowd, i + d + 1, -1)
+                    break
                 for at in range(0, len(i), 50_000):
                     j = i[at : at + 50_000]
                     j = j[(low[j] == low[j + d]).mean(axis=1) >= least]
                     found.append((j, j + d))
+            crowded = crowd.cumsum()[:n] > 0
+            if first:
+                crowded |= (tree == tree[0]) & (keys[:, :depth] == keys[0, :depth]).all(axis=1)
+            yield pd.DataFrame({"a": ids[crowded], "b": ids[crowded]})
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 root = _roots(n, a, b)
                 child = np.flatnonzero(root != np.arange(n))
-                ids = batch["id"].to_numpy()
                 yield pd.DataFrame({"a": ids[child], "b": ids[root[child]]})
+        if last is not None:
+            end = last.iloc[-1]
+            cut_off = last[(last["tree"] == end["tree"]) & (last["key"].str[: 4 * depth] == end["key"][: 4 * depth])]["id"].to_numpy()
+            yield pd.DataFrame({"a": cut_off, "b": cut_off})
 
     id_type = reps.schema["id"].dataType.simpleString()
     sorted_ = reps.select("id", "signature").mapInPandas(rotated, f"tree int, key binary, id {id_type}, low binary")
     spread = sorted_.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", "id")
     pairs = spread.mapInPandas(neighbours, f"a {id_type}, b {id_type}")
-    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def estimated_links(sizes: np.ndarray, low: np.ndarray, percent: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as places, of all pairs that sizes allow and whose estimate is at least ``least``: breadth first."""
+    left, a, b = np.arange(len(sizes)), [], []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            p = queue.pop()
+            near = 100 * np.minimum(sizes[left], sizes[p]) >= percent * np.maximum(sizes[left], sizes[p])
+            near[near] = (low[left[near]] == low[p]).mean(axis=1) >= least
+            hit, left = left[near], left[~near]
+            a.append(np.full(len(hit), p))
+            b.append(hit)
+            queue += hit.tolist()
+    return (np.concatenate(a), np.concatenate(b)) if a else (left, left)
+
+
+def crowd_links(docs: DataFrame, crowd: DataFrame, id_col: str, text: str, width: int, percent: int, hashes: int, least: float) -> DataFrame:
+    """(a, b): links inside a crowd (id, part, n_shingles, signature) by a prefix-filter join, whose estimate is at least ``least``.
+
+    part is the component that an id is in already; pairs in one part may be left out.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(crowd.select("id"), "id", "left_semi").dropDuplicates(["id"])
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t in batch["text"]:
+                yield pd.DataFrame({"shingle": shingle_set(t, width).view(np.int64)})
+
+    chosen = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(crowd.count(), 1)))
+    counted = texts.filter(chosen).select("text").mapInPandas(shingles, "shingle long").groupBy("shingle").count().filter("count > 1")
+    common = counted.orderBy(F.desc("count"), "shingle").limit(COMMON).toPandas().sort_values("shingle")
+    known, often = common["shingle"].to_numpy(np.int64), common["count"].to_numpy(np.int64)
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.iloc[at : at + 200]
+                rarest = []
+                for t in part["text"]:
+                    s = shingle_set(t, width).view(np.int64)
+                    i = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
+                    rank = np.where(known[i] == s, often[i], 0) if len(known) else np.zeros(len(s), np.int64)
+                    rarest.append(s[np.lexsort((s, rank))[: len(s) + percent * -len(s) // 100 + 1]])
+                yield pd.DataFrame({"shingle": np.concatenate(rarest), "id": np.repeat(part["id"].to_numpy(), [len(r) for r in rarest])})
+
+    def lows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "n": batch["n_shingles"], "low": _low(batch["signature"])})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by shingle; a list that a batch may have cut waits for the next."""
+        held: list[pd.DataFrame] = []
+
+        def done() -> Iterator[pd.DataFrame]:
+            rows = pd.concat(held, ignore_index=True)
+            ids, sizes = rows["id"].to_numpy(), rows["n"].to_numpy()
+            low = np.frombuffer(b"".join(rows["low"]), np.uint8).reshape(len(rows), hashes)
+            shingle = rows["shingle"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+            lengths = np.diff(np.append(starts, len(rows)))
+            short = np.repeat(lengths <= SHORT, lengths)
+            for d in range(1, min(SHORT, len(rows))):
+                i = np.flatnonzero(short[d:] & (shingle[d:] == shingle[:-d]))
+                i = i[100 * np.minimum(sizes[i], sizes[i + d]) >= percent * np.maximum(sizes[i], sizes[i + d])]
+                i = i[(low[i] == low[i + d]).mean(axis=1) >= least]
+                yield pd.DataFrame({"a": ids[i], "b": ids[i + d]})
+            for s, n in zip(starts[lengths > SHORT], lengths[lengths > SHORT], strict=True):
+                a, b = estimated_links(sizes[s : s + n], low[s : s + n], percent, least)
+                yield pd.DataFrame({"a": ids[s + a], "b": ids[s + b]})
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            shingle = batch["shingle"].to_numpy()
+            if held and held[-1]["shingle"].iloc[-1] != shingle[0]:
+                yield from done()
+                held = []
+            tail = int(np.flatnonzero(shingle == shingle[-1])[0])
+            if tail:
+                held.append(batch.iloc[:tail])
+                yield from done()
+                held = []
+            held.append(batch.iloc[tail:])
+        if held:
+            yield from done()
+
+    postings = texts.mapInPandas(prefixes, f"shingle long, id {id_type}").join(crowd.select("id", "part"), "id")
+    mixed = postings.groupBy("shingle").agg(F.min("part").alias("low_part"), F.max("part").alias("high_part")).filter("low_part <> high_part")
+    shared = postings.join(mixed.select("shingle"), "shingle", "left_semi").select("shingle", "id")
+    rows = shared.join(crowd.mapInPandas(lows, f"id {id_type}, n long, low binary"), "id").repartition("shingle").sortWithinPartitions("shingle", "id")
+    pairs = rows.select("shingle", "id", "n", "low").mapInPandas(compare, f"a {id_type}, b {id_type}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def connected(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -229,15 +358,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """(id, n_shingles, component_id, kept) for every row of docs; kept: the smallest id of its component.
 
     depth minima must agree, which a pair at the threshold does in a tree with chance 0.8**3; all twenty trees miss it
-    with chance 1e-6.  The estimate's floor lies four standard deviations below the threshold.
+    with chance 1e-6.  The estimate's floor lies four standard deviations below the threshold.  reach says how much the
+    forest compares itself; what lies further apart is a crowd's.
     """
     rows = cut(sketch(docs, id_col, text, width, hashes, seed))
     full = rows.filter(F.col("set_key").isNotNull() & F.col("id").isNotNull())
     classes = full.groupBy("set_key").agg(F.min("id").alias("rep"))
     reps = cut(full.join(classes.withColumnRenamed("set_key", "class_key"), (F.col("set_key") == F.col("class_key")) & (F.col("id") == F.col("rep"))).select("id", "n_shingles", "signature").dropDuplicates(["id"]))
     spread = 4 * (percent / 100 * (1 - percent / 100) / hashes) ** 0.5
-    candidates = forest_links(reps, hashes, trees, depth, reach, percent / 100 - spread)
-    clusters = connected(candidates)
+    least = percent / 100 - spread
+    links = cut(forest_links(reps, hashes, trees, depth, reach, least))
+    parts = cut(connected(links.filter("a <> b")))
+    crowd = reps.join(links.filter("a = b").select(F.col("a").alias("id")), "id", "left_semi").join(parts, F.col("id") == F.col("node"), "left")
+    crowd = cut(crowd.select("id", F.coalesce("root", "id").alias("part"), "n_shingles", "signature"))
+    more = crowd_links(docs, crowd, id_col, text, width, percent, hashes, least)
+    clusters = connected(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     members = clusters.select("node", "root").unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct()
     members = cut(members.join(reps.select("id", "n_shingles"), F.col("node") == F.col("id")).select("node", "root", "n_shingles"))
     roots = connected(confirmed_links(docs, members, id_col, text, width, percent, block))

@@ -181,6 +181,24 @@ def test_near_duplicates_against_all_pairs(spark):
         assert got == dict(enumerate(root))
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """Crowds that share a passage without being similar, each with one linked pair.  A reach of 1 stands for crowds eight times the size."""
+    texts, crowd, own = [], 2500, 48
+    for c in range(3):
+        passage = " ".join(f"c{c}p{i}" for i in range(64))
+        for n in (6, *[own] * crowd, 6):
+            texts.append(f"{passage} " + " ".join(f"o{len(texts)}x{i}" for i in range(n)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(df, reach=1).collect()}
+    sizes = np.array([len(lsh_forest.shingle_set(t, 5)) for t in texts])
+    expected = np.arange(len(texts))
+    for c in range(0, len(texts), crowd + 2):  # any two of a crowd share the passage's 60 shingles and no others
+        n = sizes[c : c + crowd + 2]
+        i, j = np.nonzero(100 * 60 >= 80 * (n[:, None] + n[None, :] - 60))
+        np.minimum.at(expected, c + i, c + j)
+    assert (expected != np.arange(len(texts))).sum() == 3 and got == dict(enumerate(expected.tolist()))
+
+
 def test_shards_are_exact(spark, docs):
     got = sharding.shuffle_to_shards(docs.select("doc_id", "text"), ["doc_id", "text"], 7, rows_per_partition=20).toPandas()
     sizes = got.groupby("shard").size()
