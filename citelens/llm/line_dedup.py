@@ -9,7 +9,8 @@ tasks; (3) the few keys over the ratio are joined back to the (page, key) pairs,
 Text crosses the network once at most, for the join of pages with their own dropped keys.
 
 Defined results: a null host is a host of its own; null text stays null and counts as a page without lines; repeated rows
-count as pages each; an empty table gives an empty result; other columns pass through untouched.
+count as pages each, unless ``copies`` is False, which counts a host's equal pages once, in the share and in the total, and so
+leaves copies of whole pages to other operators; an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -38,22 +39,25 @@ def _keys(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(trimmed, lambda x: x != ""), _key))
 
 
-def boilerplate_keys(pages: DataFrame, text: str = "text", host: str = "host", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def boilerplate_keys(pages: DataFrame, text: str = "text", host: str = "host", max_ratio: float = 0.05, min_pages: int = 5, copies: bool = True) -> DataFrame:
     """(host, key, pages, total): the lines, by key, that exceed the ratio on their host."""
     narrow = pages.select(F.col(host).alias("host"), _keys(F.col(text)).alias("keys"))
+    if not copies:
+        page = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(77), text).alias("b"))
+        narrow = pages.select(F.col(host).alias("host"), page.alias("page"), _keys(F.col(text)).alias("keys")).dropDuplicates(["host", "page"])
     totals = narrow.groupBy("host").agg(F.count("*").alias("total"))
     counts = narrow.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
     joined = counts.join(totals.withColumnRenamed("host", "total_host"), F.col("host").eqNullSafe(F.col("total_host")))
     return joined.filter(F.col("pages") > max_ratio * F.col("total")).select("host", "key", "pages", "total")
 
 
-def drop_boilerplate_lines(pages: DataFrame, text: str = "text", host: str = "host", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate_lines(pages: DataFrame, text: str = "text", host: str = "host", max_ratio: float = 0.05, min_pages: int = 5, copies: bool = True) -> DataFrame:
     """pages with boilerplate lines taken out of ``text``, and n_lines, n_dropped (long) beside it.
 
     The few boilerplate keys of a host are gathered into one array (at most lines-per-page / max_ratio of them, by the
     ratio itself) and meet the pages by host; the join is Spark's own choice by measured size.
     """
-    bad = cut(boilerplate_keys(pages, text, host, max_ratio, min_pages).select("host", "key"))
+    bad = cut(boilerplate_keys(pages, text, host, max_ratio, min_pages, copies).select("host", "key"))
     row, drop, right = fresh(pages, "page_key"), fresh(pages, "dropped_keys"), fresh(pages, "held_by")
     # A page is known by its host and its lines: equal pages of a host lose the same lines, so no row number is needed.
     page = pages.withColumn(row, F.struct(F.xxhash64(host, text).alias("a"), F.xxhash64(F.lit(77), host, text).alias("b")))

@@ -31,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; every document stays."""
-    return _counted(line_dedup.drop_boilerplate_lines(docs, host="source"), docs.columns)
+    """Boilerplate lines of a source go; every document stays.  Equal pages count once, so that near-dedup finds their text."""
+    return _counted(line_dedup.drop_boilerplate_lines(docs, host="source", copies=False), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,6 +106,20 @@ def test_line_dedup_rule(spark):
     assert got[3] == ("line 3\n", 1) and got[99] == ("menu", 0)
 
 
+def test_pipeline_leaves_one_of_a_large_group_of_copies(spark):
+    """Copies that fill a third of a source, through the four stages before packing, without a toxic document among them."""
+    import corpus_pipeline
+
+    copy = " ".join(f"c{i}" for i in range(40)) + "\n" + " ".join(f"d{i}" for i in range(40))
+    texts = [copy] * 30 + [" ".join(f"t{n}w{i}" for i in range(80)) + "\nmenu" for n in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, SF).cache()
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert left[0] == copy and not set(left) & set(range(1, 30)) and "menu" not in left[40]
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, docs, SF).collect()} >= {0}
+
+
 def plain_quotients(weights, seats):
     won = Counter()
     for _ in range(seats):
