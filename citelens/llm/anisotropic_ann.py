@@ -4,11 +4,13 @@ Vectors are scaled to length 1, so the largest inner product is the largest cosi
 codes (16 centroids a subspace) is trained on a bounded sample under the anisotropic loss: of a residual r of x, the part
 along x costs ``eta`` times what the part across it costs, for that is what shifts large inner products.  Codes are chosen
 by coordinate descent under the same loss, for every row.  A query's scan adds table entries, two codes at a time (byte
-tables of 256 sums), and its best ``shortlist`` rows are measured exactly in double precision on the original vectors.
+tables of 256 sums), and its best ``shortlist`` rows, with all that tie with the last of them, are measured exactly in
+double precision on the original vectors.  Of equal vectors only the k + 1 smallest ids are in the index, for no other can
+be among k results that leave out the query itself.
 
 Plan: the index is packed into chunks of codes, inside the map that encodes; queries are packed into blocks; blocks and
 chunks meet by an equi-join on (block, slice), so each chunk is read once a query block and both sides are of bounded size.
-A task keeps only each query's shortlist.  Shortlists are merged by a window per query, and the exact step joins by id.
+A task keeps only each query's shortlist and its ties.  Shortlists are merged by a window per query, and the exact step joins by id.
 
 Defined results: vectors that are null, zero, of another dimension than the most common, or hold a null or non-finite
 component take no part; ties go to the smaller id; with fewer candidates than k all are returned; an empty table gives an
@@ -124,6 +126,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     rows = cut(rows.filter(F.size("vec") == dim))
     asked = cut(usable(queries, id_col, vector).filter(F.size("vec") == dim))
     n, n_asked = dims.get(dim, 0), asked.count()
+    equal = Window.partitionBy("vec").orderBy("id")
+    held = rows.withColumn("r", F.row_number().over(equal)).filter(F.col("r") <= k + 1).drop("r")
     place = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000))
     got = rows.filter(place < int(1_000_000 * min(1.0, sample / max(n, 1)))).orderBy(place, "id").limit(2 * sample).select("vec").toPandas()
     train = np.array(got["vec"].tolist(), float).reshape(-1, dim) if len(got) else np.eye(1, dim)
@@ -142,37 +146,36 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
                 yield pd.DataFrame({"ids": [part["id"].tolist()], "codes": [codes.tobytes()]})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        best: dict[int, tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]] = {}
         for batch in batches:
             for b, ids, codes, asked_ids, asked_vectors in zip(batch["block"], batch["ids"], batch["codes"], batch["query_ids"], batch["query_vectors"], strict=True):
                 ids, asked_ids = np.asarray(ids), np.asarray(asked_ids)
                 q = np.stack([np.asarray(v, float) for v in asked_vectors])
                 tables = model.tables(q / np.linalg.norm(q, axis=1, keepdims=True))
                 code = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
-                _, old_ids, old_scores = best.get(b, (asked_ids, np.zeros((len(q), 0), ids.dtype), np.zeros((len(q), 0), np.float32)))
+                _, old_ids, old_scores = best.get(b, (asked_ids, [ids[:0]] * len(q), [np.zeros(0, np.float32)] * len(q)))
                 new_ids, new_scores = [], []
                 for i in range(len(q)):
                     score = np.zeros(len(ids), np.float32)
                     for m in range(code.shape[1]):
                         score += tables[i, m][code[:, m]]
                     all_ids, all_scores = np.concatenate([old_ids[i], ids]), np.concatenate([old_scores[i], np.where(ids == asked_ids[i], -np.inf, score)])
-                    keep = np.argpartition(-all_scores, shortlist)[:shortlist] if len(all_ids) > shortlist else np.arange(len(all_ids))
-                    short = len(keep)
+                    keep = all_scores >= (np.partition(all_scores, -shortlist)[-shortlist] if len(all_ids) > shortlist else -np.inf)
                     new_ids.append(all_ids[keep])
                     new_scores.append(all_scores[keep])
-                best[b] = (asked_ids, np.stack([x[:short] for x in new_ids]), np.stack([x[:short] for x in new_scores]))
+                best[b] = (asked_ids, new_ids, new_scores)
         for asked_ids, ids, scores in best.values():
             for i, q in enumerate(asked_ids):
                 good = scores[i] > -np.inf
                 yield pd.DataFrame({"query_id": q, "id": ids[i][good], "estimate": scores[i][good]})
 
-    chunks = rows.mapInPandas(index, f"ids array<{id_type}>, codes binary").withColumn("slice", F.pmod(F.xxhash64("codes"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    chunks = held.mapInPandas(index, f"ids array<{id_type}>, codes binary").withColumn("slice", F.pmod(F.xxhash64("codes"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     packed = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("q"))
     packed = packed.select("block", F.col("q.id").alias("query_ids"), F.col("q.vec").alias("query_vectors"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
     met = chunks.join(packed, ["block", "slice"]).select("block", "ids", "codes", "query_ids", "query_vectors")
     found = met.mapInPandas(scan, f"query_id {id_type}, id {id_type}, estimate float")
-    near = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "id")
-    listed = found.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= shortlist).select("query_id", "id")
+    near = Window.partitionBy("query_id").orderBy(F.desc("estimate"))
+    listed = found.withColumn("r", F.rank().over(near)).filter(F.col("r") <= shortlist).select("query_id", "id")
     exact = listed.join(rows, "id").join(asked.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec")), "query_id")
     score = _dot(F.col("vec"), F.col("query_vec")) / (F.sqrt(_dot(F.col("vec"), F.col("vec"))) * F.sqrt(_dot(F.col("query_vec"), F.col("query_vec"))))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

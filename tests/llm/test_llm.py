@@ -295,6 +295,25 @@ def test_vector_recall(spark):
     assert len(got) == 150 and hits / 150 >= 0.9
 
 
+def test_search_among_equal_and_near_vectors(spark):
+    """More rows than the shortlist that tie in the estimates: the smallest ids of the equal ones, the true nearest of the near ones."""
+    rng = np.random.default_rng(3)
+    one, other = rng.normal(size=(2, 8))
+    x = np.concatenate([rng.normal(size=(12000, 8)), np.tile(one, (3000, 1)), other + 1e-5 * rng.normal(size=(400, 8))])
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    asked = [*ids[12000:12004], *ids[15000:15004]]
+    got = anisotropic_ann.search(df, df.filter(F.col("vec_id").isin([int(i) for i in asked]))).toPandas().sort_values(["query_id", "rank"])
+    unit, hits = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q in asked[:4]:
+        assert got[got.query_id == q].vec_id.tolist() == [i for i in sorted(ids[12000:15000]) if i != q][:5]
+    for q in asked[4:]:
+        far = ((unit - unit[ids == q]) ** 2).sum(axis=1)
+        far[ids == q] = 9
+        hits += len(set(ids[np.argsort(far)[:5]]) & set(got[got.query_id == q].vec_id))
+    assert hits >= 18
+
+
 def test_audio_round_trip_and_resync(spark):
     for payload in (b"", b"a", bytes(range(256)) * 40):
         media = mpeg_audio.write_stream(payload)
