@@ -222,12 +222,15 @@ def test_shards_are_exact(spark, docs):
     assert matrix.sum(axis=1).tolist() == [5, 0, 9] and sorted(matrix.sum(axis=0)) == [3, 3, 4, 4]
 
 
-def test_packing_is_a_round_trip(docs, odd):
+def test_packing_is_a_round_trip(spark, docs, odd):
     public = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    public.encode_special_tokens = True
-    for df in (docs.limit(60).cache(), odd.filter("doc_id <> 4")):
+    hostile = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 3), (3, "<|endoftext|"), (4, "ab" * 500_000), (5, None)], "doc_id long, text string")
+    for df in (docs, odd.filter("doc_id <> 4"), hostile):
         got = packing.pack_documents(df).toPandas()
+        assert got.columns.tolist() == ["doc_id", "start", "length", "ids", "doc_tokens", "bucket", "batch", "place", "sequence_id", "offset"]
         assert got.sequence_id.is_unique and all(n & (n - 1) == 0 and n <= 2048 for n in got.length)
+        assert (2**got.bucket == got.length).all() and (got.groupby("batch").bucket.nunique() == 1).all()
+        assert all(sorted(g.place) == list(range(len(g))) and g.length.sum() <= 65_536 for _, g in got.groupby("batch"))
         for r in df.select("doc_id", "text").collect():
             mine = got[got.doc_id == r.doc_id].sort_values("start")
             assert np.frombuffer(b"".join(mine.ids), "<u4").tolist() == [*public.encode(r.text or "", add_special_tokens=False).ids, 1]
