@@ -9,8 +9,14 @@ the id, each grade weighing as the square root of its
 frequency, so a rare grade is not drowned).  Everything else runs over all rows: one Arrow map over the
 documents, with the non-zero weights as the only state, so scoring has no shuffle and no skew.
 
+A count above ``MOST`` counts as ``MOST``, in the fit and in scoring alike: a distinct word counts once, so only a beginning
+that more than eight distinct words of a text share is touched.  Columns in fewer than three labelled rows get no weight, as
+the L1 fit could not tell them from noise.
+
 Defined results: null or empty text has the score of no words; a repeated row is scored alike; with no labelled rows, or
-one grade only, every document gets that grade (0 if none).  Null labels are ignored.
+one grade only, every document gets that grade (0 if none).  Null labels and null ids are ignored; of several labels of an
+id the highest counts; a labelled id with several texts trains on each.  Labels are joined by the id alone and results have
+their own columns, so clashing names do no harm.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ from pyspark.sql import functions as F
 from citelens.llm.shared import fresh
 
 DIM_BITS = 20
+#: The most that a feature counts in one text.
+MOST = 8
 #: Contributions of words that a worker remembers before it starts afresh.
 REMEMBERED = 400_000
 _letters = re.compile(r"[^\W\d_]+")
@@ -79,7 +87,7 @@ def fit_ordinal(columns: list[np.ndarray], counts: list[np.ndarray], grades: np.
     """
     k = len(levels)
     n = len(columns)
-    index, value = np.concatenate(columns), np.minimum(np.concatenate(counts), 8).astype(np.float32)
+    index, value = np.concatenate(columns), np.minimum(np.concatenate(counts), MOST).astype(np.float32)
     row = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in columns])
     common = np.flatnonzero(np.bincount(index, minlength=1 << DIM_BITS) >= 3)
     place = np.full(1 << DIM_BITS, -1, np.int64)
@@ -115,7 +123,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     The labels are sampled first, so only their documents are turned into features and no text is shuffled.
     """
-    labels = labels.filter(F.col(grade).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(grade).cast("int").alias("grade")).dropDuplicates([id_col])
+    labels = labels.filter(F.col(grade).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(grade).cast("int").alias("grade")).groupBy(id_col).agg(F.max("grade").alias("grade"))
     counts = {int(r[0]): r[1] for r in labels.groupBy("grade").count().collect()}
     levels = sorted(counts)
     if len(levels) < 2:
@@ -125,15 +133,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     bound = F.lit(0)
     for level in levels:
         bound = F.when(F.col("grade") == level, F.lit(int(1_000_000 * min(1.0, each / counts[level])))).otherwise(bound)
-    chosen = labels.filter(place < bound).limit(2 * max_rows)
-    sample = docs.select(F.col(id_col), F.col(text).alias("text")).join(F.broadcast(chosen), id_col).select("grade", "text")
+    chosen = labels.filter(place < bound).orderBy(place, id_col).limit(2 * max_rows)
+    sample = docs.select(F.col(id_col), F.col(text).alias("text")).join(F.broadcast(chosen), id_col).select(place.alias("place"), id_col, "grade", "text")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [sorted(feature_counts(t).items()) for t in batch["text"]]
-            yield pd.DataFrame({"grade": batch["grade"], "columns": [np.array([c for c, _ in f], np.int32).tobytes() for f in found], "counts": [np.array([n for _, n in f], np.int32).tobytes() for f in found]})
+            yield pd.DataFrame({"place": batch["place"], "grade": batch["grade"], "columns": [np.array([c for c, _ in f], np.int32).tobytes() for f in found], "counts": [np.array([n for _, n in f], np.int32).tobytes() for f in found]})
 
-    got = sample.mapInPandas(features, "grade int, columns binary, counts binary").limit(2 * max_rows).toPandas()
+    found = sample.mapInPandas(features, "place long, grade int, columns binary, counts binary")
+    got = found.orderBy("place", "grade", "columns", "counts").limit(2 * max_rows).toPandas()
     columns, numbers = ([np.frombuffer(bytes(b), np.int32) for b in got[c]] for c in ("columns", "counts"))
     grades = got["grade"].to_numpy()
     if len(set(grades)) < 2:
@@ -165,7 +174,7 @@ def severity(model: OrdinalModel, text: Column) -> Column:
                         hit = memory[word] = tuple(f for f in _features(word) if f in known)
                     for f in hit:
                         columns[f] = columns.get(f, 0) + 1
-                scores[i] = sum(known[f] * min(n, 8) for f, n in sorted(columns.items()))
+                scores[i] = sum(known[f] * min(n, MOST) for f, n in sorted(columns.items()))
             p = model.probabilities(scores) if len(levels) > 1 else np.ones((len(batch), 1))
             yield pd.DataFrame({"expected_severity": p @ levels, "grade": levels[p.argmax(axis=1)].astype("int32"), "p_worst": p[:, -1]})
 
