@@ -1,7 +1,7 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-A row's partition is a seeded hash of it, so the same row lies in the same partition whichever task reads it again after an
-executor is lost.  One grouped count gives the partitions' sizes; the matrix of how many rows each partition sends to each
+Rows are first written to the checkpoint folder with a number each, so a row read again after an executor is lost lies where
+it lay.  A row's partition is a seeded hash of its keys and that number, which parts equal rows.  One grouped count gives the partitions' sizes; the matrix of how many rows each partition sends to each
 shard is drawn from the multivariate hypergeometric distribution with the shard sizes as column sums (at most one apart).
 Rows are permuted inside their partition and dealt by the matrix row, exchanged, and permuted again inside the shard.
 
@@ -9,8 +9,7 @@ The matrix is partitions x shards integers and the only thing on the driver; ``m
 partitions hold more rows and their sort spills.  A shard is numbered in cells of about ``rows_per_partition`` rows, whose
 counts are summed first, so no task holds a shard whole.
 
-Defined results: null text has size 16 and a null checksum counted as 0 bytes; equal rows are separate rows and share
-nothing; null ids hash like any value; columns named like the results are replaced; an empty table gives an empty result.
+Defined results: equal rows are separate rows, each with a place of its own, however many there are; null ids hash like any value; columns named like the results are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +36,10 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
 
 def shuffle_to_shards(rows: DataFrame, keys: list[str], shards: int = 40, seed: int = 5, rows_per_partition: int = 50_000, max_partitions: int = 20_000) -> DataFrame:
     """rows with shard (int, 0 to shards - 1) and slot (long, gapless from 0 inside the shard); keys tell rows apart."""
-    rows = rows.drop("shard", "slot")
-    hash_, part, rank, cell, ends_, s, c, before_ = (fresh(rows, x) for x in ("row_hash", "row_part", "row_rank", "row_cell", "dealt_ends", "of_shard", "of_cell", "cell_offset"))
+    kept = rows.drop("shard", "slot")
+    number, hash_, part, rank, cell, ends_, s, c, before_ = (fresh(kept, x) for x in ("row_number", "row_hash", "row_part", "row_rank", "row_cell", "dealt_ends", "of_shard", "of_cell", "cell_offset"))
+    rows = cut(kept.withColumn(number, F.monotonically_increasing_id()))
+    keys = [*keys, number]
     spark = rows.sparkSession
     total = rows.count()
     parts = min(max(8, -(-total // rows_per_partition)), max_partitions)
@@ -58,4 +59,4 @@ def shuffle_to_shards(rows: DataFrame, keys: list[str], shards: int = 40, seed:
     offsets = sizes.withColumn(before_, F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = Window.partitionBy("shard", cell).orderBy(hash_, *keys)
     numbered = sent.withColumn(rank, F.row_number().over(inside)).join(F.broadcast(offsets) if shards * cells <= 100_000 else offsets, (F.col("shard") == F.col(s)) & (F.col(cell) == F.col(c)))
-    return numbered.withColumn("slot", (F.col(before_) + F.col(rank) - 1).cast("long")).select(*rows.columns, "shard", "slot")
+    return numbered.withColumn("slot", (F.col(before_) + F.col(rank) - 1).cast("long")).select(*kept.columns, "shard", "slot")
