@@ -1,7 +1,7 @@
 """Line dedup by site-relative frequency.
 
-A line is boilerplate on a host when the share of that host's pages that hold it exceeds ``max_ratio`` and at least
-``min_pages`` pages hold it.  Lines are compared without their surrounding ASCII white space; blank lines are never dropped.
+A line is boilerplate on a host when the share of that host's pages that hold it exceeds ``max_ratio`` and it repeats there:
+at least ``min_pages`` (two) pages hold it, for on a host of under 1 / max_ratio pages any line exceeds the ratio.  Lines are compared without their surrounding ASCII white space; blank lines are never dropped.
 
 Plan: (1) every page is cut into its distinct lines and each line becomes a 128-bit key, before any shuffle; (2) one
 partial + final count by (host, key), so a host with a third of all pages or a line on every page is pre-summed in the map
@@ -39,7 +39,7 @@ def _keys(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(trimmed, lambda x: x != ""), _key))
 
 
-def boilerplate_keys(pages: DataFrame, text: str = "text", host: str = "host", max_ratio: float = 0.05, min_pages: int = 5, copies: bool = True) -> DataFrame:
+def boilerplate_keys(pages: DataFrame, text: str = "text", host: str = "host", max_ratio: float = 0.05, min_pages: int = 2, copies: bool = True) -> DataFrame:
     """(host, key, pages, total): the lines, by key, that exceed the ratio on their host."""
     narrow = pages.select(F.col(host).alias("host"), _keys(F.col(text)).alias("keys"))
     if not copies:
@@ -51,7 +51,7 @@ def boilerplate_keys(pages: DataFrame, text: str = "text", host: str = "host", m
     return joined.filter(F.col("pages") > max_ratio * F.col("total")).select("host", "key", "pages", "total")
 
 
-def drop_boilerplate_lines(pages: DataFrame, text: str = "text", host: str = "host", max_ratio: float = 0.05, min_pages: int = 5, copies: bool = True) -> DataFrame:
+def drop_boilerplate_lines(pages: DataFrame, text: str = "text", host: str = "host", max_ratio: float = 0.05, min_pages: int = 2, copies: bool = True) -> DataFrame:
     """pages with boilerplate lines taken out of ``text``, and n_lines, n_dropped (long) beside it.
 
     The few boilerplate keys of a host are gathered into one array (at most lines-per-page / max_ratio of them, by the
