@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citelens.llm import anisotropic_ann, language_id, license_scan, line_dedup, lsh_forest, mixing, mpeg_audio, packing, sharding, toxicity
-from citelens.llm.shared import cut, table
+from citelens.llm.shared import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("text").cast("binary")
     size = (F.coalesce(F.octet_length(raw), F.lit(0)) + 16).cast("long")
-    rows = cut(table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"))
     sharded = sharding.shuffle_to_shards(rows, ["doc_id", "size", "text_crc32"], shards=40)
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -98,7 +98,7 @@ OP1_SQL = r"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 k AS (SELECT DISTINCT doc_id, source, l FROM (SELECT doc_id, source, trim(unnest(ls), chr(32)||chr(9)||chr(13)||chr(11)||chr(12)) AS l FROM d) WHERE l <> ''),
 t AS (SELECT source, count(*) AS total FROM d GROUP BY source),
-bad AS (SELECT k.source, k.l FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source GROUP BY k.source, k.l, t.total HAVING count(*) >= 5 AND count(*) > 0.05 * t.total),
+bad AS (SELECT k.source, k.l FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source GROUP BY k.source, k.l, t.total HAVING count(*) >= 2 AND count(*) > 0.05 * t.total),
 n AS (SELECT doc_id, source, ls, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
 x AS (SELECT n.doc_id, n.pos, n.line, bad.l IS NOT NULL AS gone FROM n LEFT JOIN bad ON n.source IS NOT DISTINCT FROM bad.source AND trim(n.line, chr(32)||chr(9)||chr(13)||chr(11)||chr(12)) = bad.l),
 g AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped FROM x GROUP BY doc_id)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +18,13 @@ def ascii_lower(text: Column) -> Column:
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Makes checkpoint() usable: the cluster's own shared folder where one is set, a scratch folder only where none is (tests)."""
+    """Makes checkpoint() usable: the shared folder that the cluster names in spark.checkpoint.dir."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citelens-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return spark
 
 
@@ -39,7 +41,3 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def with_empty_check(df: DataFrame) -> bool:
-    return df.limit(1).count() == 0

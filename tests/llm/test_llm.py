@@ -92,6 +92,46 @@ def test_toxicity_of_one_grade_and_of_none(spark):
         assert [r.expected_severity for r in toxicity.score_toxicity(df, model).collect()] == [expected] * 2
 
 
+def test_several_labels_of_an_id_count_as_the_highest(spark):
+    df = spark.createDataFrame([(i, "vile " * (i % 2) + f"w{i % 7} plain words") for i in range(60)], "doc_id long, text string")
+    once = [(i, i % 2) for i in range(60)]
+    models = [toxicity.train_toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")) for labels in (once, once + [(i, 0) for i in range(60)])]
+    assert models[0].weights.tolist() == models[1].weights.tolist() and models[0].thresholds.tolist() == models[1].thresholds.tolist()
+    got = {r.doc_id: r.expected_severity for r in toxicity.score_toxicity(df, models[1]).collect()}
+    assert min(got[i] for i in range(1, 60, 2)) > 0.5 > max(got[i] for i in range(0, 60, 2))
+
+
+def test_scores_are_those_of_a_plain_model(spark, docs):
+    """Expected severity recomputed word by word with the fitted weights, and the fit against a plain gradient of the likelihood."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"g{g}x{rng.integers(0, 6)}" if rng.random() < 0.4 else f"n{rng.integers(0, 40)}" for _ in range(12)) for g in rng.integers(0, 3, 400)]
+    grades = [max(int(w[1]) for w in t.split() if w[0] == "g") if "g" in t else 0 for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.train_toxicity(df, spark.createDataFrame(list(enumerate(grades)), "doc_id long, toxic int"))
+    known = dict(zip(model.columns.tolist(), model.weights.tolist()))
+    for r in toxicity.score_toxicity(df, model).collect():
+        x = sum(known.get(c, 0.0) * min(n, toxicity.MOST) for c, n in toxicity.feature_counts(texts[r.doc_id]).items())
+        below = [1 / (1 + np.exp(x - t)) for t in model.thresholds]
+        p = np.diff([0.0, *below, 1.0])
+        assert abs(r.expected_severity - sum(g * q for g, q in zip(model.grades, p))) < 1e-9 and r.grade == model.grades[int(np.argmax(p))]
+
+    # Thresholds are not penalised, so at the optimum each one's gradient of the weighted likelihood is near zero.
+    counts = Counter(grades)
+    weight = np.array([counts[g] ** 0.5 / counts[g] for g in grades])
+    weight /= weight.sum()
+    score = np.array([sum(known.get(c, 0.0) * min(n, toxicity.MOST) for c, n in toxicity.feature_counts(t).items()) for t in texts])
+
+    def loss(thresholds):
+        edges = np.concatenate([[-60.0], thresholds, [60.0]])
+        s = lambda v: 1 / (1 + np.exp(-v))
+        y = np.array([model.grades.index(g) for g in grades])
+        return -(weight * np.log(np.maximum(s(edges[y + 1] - score) - s(edges[y] - score), 1e-12))).sum()
+
+    for k in range(len(model.thresholds)):
+        step = np.eye(len(model.thresholds))[k] * 1e-4
+        assert abs(loss(model.thresholds + step) - loss(model.thresholds - step)) / 2e-4 < 0.02
+
+
 def test_search_without_usable_rows(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert anisotropic_ann.search(none, none).count() == 0
@@ -101,9 +141,10 @@ def test_search_without_usable_rows(spark):
 
 
 def test_line_dedup_rule(spark):
-    pages = spark.createDataFrame([(i, f"line {i}\n menu \n", "h") for i in range(10)] + [(99, "menu", "other")], "doc_id long, text string, source string")
+    pages = spark.createDataFrame([(i, f"line {i}\n menu \n", "h") for i in range(10)] + [(99, "menu", "other"), (100, "a\nb", "two"), (101, "b\nc", "two")], "doc_id long, text string, source string")
     got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_boilerplate_lines(pages, host="source").collect()}
     assert got[3] == ("line 3\n", 1) and got[99] == ("menu", 0)
+    assert got[100] == ("a", 1) and got[101] == ("c", 1)  # a host of two pages: the repeated line goes, lines of one page stay
 
 
 def test_pipeline_leaves_one_of_a_large_group_of_copies(spark):
@@ -213,6 +254,24 @@ def test_near_duplicates_in_a_crowd(spark):
     assert (expected != np.arange(len(texts))).sum() == 3 and got == dict(enumerate(expected.tolist()))
 
 
+def test_shards_query(spark):
+    """Every document once, sizes and checksums of its text, counts at most one apart, gapless slots, no shard tied to a partition of the file."""
+    got = queries.op5_sharding(spark, SF).toPandas()
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas()
+    raw = texts.text.map(lambda t: (t or "").encode())
+    expected = sorted(zip(texts.doc_id, raw.map(len) + 16, raw.map(zlib.crc32)))
+    assert sorted(zip(got.doc_id, got["size"], got.text_crc32)) == expected and set(got.law) == {"rows"} and got.grown_shard.isna().all()
+    sizes = got.groupby("shard").size()
+    assert len(sizes) == 40 and sizes.max() - sizes.min() <= 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_a_row_repeated_often_is_shared_out(spark):
+    rows = spark.createDataFrame([(1, "same")] * 5000 + [(2, "other")] * 11, "doc_id long, text string")
+    got = sharding.shuffle_to_shards(rows, ["doc_id", "text"], 10, rows_per_partition=100).toPandas()
+    assert len(got) == 5011 and got.groupby("shard").size().between(501, 502).all() and got.groupby("shard").slot.max().between(500, 501).all()
+    assert len(got[got.doc_id == 2].shard.unique()) > 3
+
+
 def test_shards_are_exact(spark, docs):
     got = sharding.shuffle_to_shards(docs.select("doc_id", "text"), ["doc_id", "text"], 7, rows_per_partition=20).toPandas()
     sizes = got.groupby("shard").size()
@@ -330,6 +389,45 @@ def test_audio_round_trip_and_resync(spark):
     assert mpeg_audio.parse_stream(bytes(bad)).sound == 1
 
 
+def test_audio_of_damaged_and_foreign_streams(spark):
+    payload = bytes(range(256)) * 40
+    media = mpeg_audio.write_stream(payload)
+    s = mpeg_audio.parse_stream(media)
+    whole = len(s.offsets)
+    broken = mpeg_audio.parse_stream(media[: s.offsets[4]] + b"\0" * 50 + media[s.offsets[5] :])  # one frame lost, the one before it kept
+    assert len(broken.offsets) == whole - 1 and broken.offsets[3] == s.offsets[3] and broken.skipped == 50 and broken.sound == broken.checked
+    cut = mpeg_audio.parse_stream(media[: s.offsets[5] + 30])
+    assert len(cut.offsets) == 5 and cut.skipped == 30
+    frames = media[s.offsets[0] :]
+    text = b"\0payload_bytes\0" + str(len(payload)).encode()
+    v22 = b"TXX" + len(text).to_bytes(3, "big") + text
+    v24 = b"TXXX" + bytes((0, 0, 0, len(text))) + b"\0\0" + text
+    for tag in (b"ID3\x02\0\0" + bytes((0, 0, 0, len(v22))) + v22, b"ID3\x04\0\x40" + bytes((0, 0, 0, len(v24) + 6)) + b"\0\0\0\6\1\0" + v24, b"ID3\x04\0\x10" + bytes((0, 0, 0, len(v24))) + v24 + b"3DI\x04\0\x10" + bytes((0, 0, 0, len(v24)))):
+        again = mpeg_audio.parse_stream(tag + frames)
+        assert again.skipped == 0 and len(again.offsets) == whole and mpeg_audio.read_payload(tag + frames, again) == payload
+    raw = b"\0n\0\xff\0\xe0"  # \xff\xe0 once its unsynchronisation is undone
+    tag = b"TXXX" + (len(raw) - 1).to_bytes(4, "big") + b"\0\0" + raw
+    assert mpeg_audio.parse_stream(b"ID3\x03\0\x80" + bytes((0, 0, 0, len(tag))) + tag + frames).tags == {"TXXX:n": "\xff\xe0"}
+    odd = media.replace(b"payload_bytes\0" + str(len(payload)).encode(), b"payload_bytes\0" + b"x" * len(str(len(payload))))
+    assert mpeg_audio.read_payload(odd, mpeg_audio.parse_stream(odd)) == b""
+    table = bytearray(mpeg_audio._frame(9, b"", 576))
+    table[36:54] = b"VBRI" + b"\0\1\0\0\0\0" + (9999).to_bytes(4, "big") + (77).to_bytes(4, "big")
+    vbri = mpeg_audio.parse_stream(bytes(table) + media[s.offsets[1] :])
+    assert (vbri.vbr_bytes, vbri.vbr_frames, len(vbri.audio)) == (9999, 77, whole - 1)
+    for head, size, samples in ((b"\xff\xff\x94\x00", 288 * 4 * 12 // 48, 384), (b"\xff\xfd\x94\x00", 144 * 160 // 48, 1152)):  # layers I and II at 48 kHz
+        stream = mpeg_audio.parse_stream(head.ljust(size, b"\0") * 3)
+        assert len(stream.offsets) == 3 and {h.samples for h in stream.headers} == {samples} and stream.checked == 0
+    rng = random.Random(5)
+    for _ in range(300):
+        noise = bytearray(media[: rng.randint(0, len(media))])
+        for _ in range(rng.randint(1, 30)):
+            if noise:
+                noise[rng.randrange(min(len(noise), 400))] = rng.choice((0, 255, rng.randrange(256)))
+        mpeg_audio.read_payload(bytes(noise), mpeg_audio.parse_stream(bytes(noise)))
+    got = spark.createDataFrame([(1, None), (2, b"no stream"), (3, odd)], "payload long, media binary").select("payload", mpeg_audio.decode_audio(F.col("media")).alias("a")).collect()
+    assert [(r.payload, r.a.n_frames) for r in got[:2]] == [(1, 0), (2, 0)] and got[2].a.n_frames == whole - 1
+
+
 def test_audio_query(spark):
     got = queries.op10_mpeg_audio(spark, SF).toPandas().set_index("doc_id")
     import hashlib
