@@ -1,27 +1,32 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 1. Sketch (one Arrow map): the distinct word shingles of the whole text, a 128-bit key of that set and ``hashes`` minima.
-   Equal sets are one class from here on, however many copies there are; its representative is the smallest id.
-2. Forest: ``trees`` sorted orders of the representatives, each by its own rotation of the signature.  Range partitioning
-   and a sort inside the tasks put longest common prefixes side by side; neighbours within ``reach`` places that share at
-   least ``depth`` minima are candidates.  A candidate survives if its signature estimate is within about four standard
-   deviations of the threshold.
-3. Crowds: where more rows share the ``depth`` minima than ``reach`` covers, or a partition's edge may have cut such a run,
-   the rows are a crowd, and so are both ends of any pair that the forest could not compare.  A crowd's pairs come from a
-   prefix-filter join: of a set of n shingles the n - ceil(threshold * n) + 1 rarest are posted, of which a linked pair must
-   share one whatever the order; a bounded sample of the crowd says which are common, which decides the work, not the
-   result.  All of a posting list that sizes allow is compared by estimate, breadth first; a list whose rows the forest has
-   already put into one component can link nothing new and is left out.
-4. Candidates only say who may belong together: their connected components are candidate clusters, and inside a cluster
-   every text is measured against every other that is not yet linked, on full shingle sets (breadth first, one vectorised
-   pass a text).  So a link counts only if it is exact, and no cap on partners loses one.  A cluster beyond ``block``
-   shingles is cut into blocks, and every pair of blocks is a task of bounded size.
-
-A hot group of copies is one class; of near copies, one cluster in bounded blocks.  No step emits the pairs of a group.
+   Equal sets are one node from here on, however many copies there are.
+2. Forest: ``trees`` sorted orders of the nodes, each by its own rotation of the signature.  Range partitioning and a sort
+   inside the tasks put longest common prefixes side by side.  A region's depth adapts to its crowd: a run that shares
+   ``depth`` minima is compared whole if it has at most ``reach`` + 1 nodes, and a longer one at whatever depth its parts
+   have so few, which are the neighbours within ``reach`` places.  A pair survives if its signature estimate is within
+   about four standard deviations of the threshold.
+3. Crowds: a node whose run was too long, or cut by a partition's edge, in at least ``CROWDED`` trees may have partners that
+   no tree compared.  Their pairs come from a prefix-filter join: of a set of n shingles the n - ceil(threshold * n) + 1
+   rarest are posted, of which a linked pair must share one whatever the order; a bounded sample of the crowd says which are
+   common, which decides the work, not the result.  Posting lists meet in one shuffle; a list of one component can link
+   nothing new, and of others one pair for any two components is enough.
+4. Candidates only say who may belong together: their connected components are candidate clusters, whose links are measured
+   on full shingle sets.  Clusters are cut into blocks of at most ``block`` shingles.  First every block is solved alone,
+   with the cluster's first nodes as guests in all of them, so that blocks of near copies of one text grow together in
+   linear work; then only nodes outside a cluster's largest component meet the blocks of the others.
+
+A hot group of copies is one node; of near copies, one cluster in bounded blocks.  No step emits the pairs of a group.
 Nothing but loop counters and the common shingles of the sample (at most ``COMMON``) reaches the driver.
 
-Defined results: null or empty text has an empty set, is linked with nothing and is kept; rows that repeat an id with
-equal text are equal rows; a null id has a null component and is kept; an empty table gives an empty result.
+A linked pair at the threshold shares ``depth`` minima of a tree with chance 0.8**3, of twenty trees none with chance 6e-7
+and fewer than CROWDED with chance 1.3e-5; the estimate's floor loses 3e-5.  Both fall fast with similarity.
+
+Defined results: null or empty text has an empty set, is linked with nothing and is kept; rows that repeat an id with equal
+text are equal rows; rows that share an id but not the text are documents each, and kept is true for all whose component's
+smallest id is theirs, first for one of them; a null id has a null component, links nothing and is kept; results have their own columns, so
+clashing names do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelens.llm.shared import cut
+from citelens.llm.shared import cut, join_counted
 
 PRIME_A, PRIME_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -43,6 +48,12 @@ PRIME_A, PRIME_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 COMMON, SAMPLE = 200_000, 1_000
 #: Posting lists up to this length are compared many at a time, longer ones one by one.
 SHORT = 16
+#: A node is of a crowd if its run was not compared whole in so many trees.
+CROWDED = 2
+#: The first nodes of a cluster of several blocks that every block is measured against.
+GUESTS = 16
+#: Rounds after which connected() raises; each halves the longest path at least.
+ROUNDS = 100
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,7 +89,7 @@ def _factors(hashes: int, seed: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text: str, width: int, hashes: int, seed: int) -> DataFrame:
-    """(id, n_shingles, set_key binary or null, signature binary of big-endian 32-bit minima)."""
+    """(id, text_key, n_shingles, set_key binary or null, signature binary of big-endian 32-bit minima)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,9 +101,18 @@ def sketch(docs: DataFrame, id_col: str, text: str, width: int, hashes: int, see
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 signatures.append(minima(s, factors).astype(">u4").tobytes() if len(s) else None)
-            yield pd.DataFrame({"id": batch["id"], "n_shingles": n, "set_key": keys, "signature": signatures})
+            yield pd.DataFrame({"id": batch["id"], "text_key": batch["text_key"], "n_shingles": n, "set_key": keys, "signature": signatures})
+
+    return _texts(docs, id_col, text).mapInPandas(run, f"id {id_type}, text_key long, n_shingles long, set_key binary, signature binary")
+
+
+def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {id_type}, n_shingles long, set_key binary, signature binary")
+
+def _texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
+    """nodes (node, id, text_key and more) with the text of each; a row that docs repeats comes as often."""
+    return _texts(docs, id_col, text).join(nodes, ["id", "text_key"]).drop("id", "text_key")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,14 +131,35 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _low(signatures: pd.Series) -> list[bytes]:
-    """The last byte of each minimum, which estimates compare."""
-    return [np.frombuffer(s, ">u4").astype(np.uint8).tobytes() for s in signatures]
+    """The last four bits of each minimum, two to a byte: what estimates compare."""
+    out = []
+    for s in signatures:
+        last = np.frombuffer(s, ">u4").astype(np.uint8) & 15
+        out.append((last[0::2] | last[1::2] << 4).tobytes())
+    return out
+
+
+class Estimates:
+    """Signature estimates of many nodes, a row of 64-bit words each."""
 
+    def __init__(self, lows: pd.Series | list[bytes], hashes: int):
+        size = -(-hashes // 16) * 8
+        self.words = np.frombuffer(b"".join(x.ljust(size, b"\0") for x in lows), np.uint64).reshape(len(lows), size // 8)
+        self.hashes = hashes
 
-def forest_links(reps: DataFrame, hashes: int, trees: int, depth: int, reach: int, least: float, key_minima: int = 8) -> DataFrame:
-    """(a, b): links of prefix neighbours whose estimate is at least ``least``, thinned to a spanning forest in each task.
+    def at_least(self, a: np.ndarray, b: np.ndarray | int, least: float) -> np.ndarray:
+        """Which pairs of places agree so often that their similarity may be ``least``: four bits agree by chance in 1 of 16."""
+        x = self.words[a] ^ self.words[b]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        differ = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+        return self.hashes - differ >= (least + (1 - least) / 16) * self.hashes
 
-    A row of a crowd, which has prefix neighbours that were not compared, is linked with itself.
+
+def forest_links(nodes: DataFrame, hashes: int, trees: int, depth: int, reach: int, least: float, key_minima: int = 8) -> DataFrame:
+    """(a, b, n): links of prefix neighbours whose estimate is at least ``least``, thinned to a spanning forest in each task.
+
+    A node whose run was not compared whole is linked with itself; n counts the trees.
     """
     step = 4 * (hashes // trees)
 
@@ -128,7 +169,7 @@ def forest_links(reps: DataFrame, hashes: int, trees: int, depth: int, reach: in
                 part = batch.iloc[at : at + 500]
                 low = _low(part["signature"])
                 keys = [(s + s)[t * step : t * step + 4 * key_minima] for t in range(trees) for s in part["signature"]]
-                yield pd.DataFrame({"tree": np.repeat(np.arange(trees, dtype=np.int32), len(part)), "key": keys, "id": np.tile(part["id"].to_numpy(), trees), "low": low * trees})
+                yield pd.DataFrame({"tree": np.repeat(np.arange(trees, dtype=np.int32), len(part)), "key": keys, "node": np.tile(part["node"].to_numpy(), trees), "low": low * trees})
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: pd.DataFrame | None = None
@@ -142,8 +183,8 @@ def forest_links(reps: DataFrame, hashes: int, trees: int, depth: int, reach: in
             n = len(batch)
             tree = batch["tree"].to_numpy()
             keys = np.frombuffer(b"".join(batch["key"]), np.uint32).reshape(n, key_minima)
-            low = np.frombuffer(b"".join(batch["low"]), np.uint8).reshape(n, hashes)
-            ids = batch["id"].to_numpy()
+            estimates = Estimates(batch["low"], hashes)
+            ids = batch["node"].to_numpy()
             found: list[tuple[np.ndarray, np.ndarray]] = []
             crowd = np.zeros(n + 1, int)  # a run beyond reach, as steps up at its first and down after its last row
             for d in range(1, reach + 2):
@@ -154,7 +195,7 @@ def forest_links(reps: DataFrame, hashes: int, trees: int, depth: int, reach: in
                     break
                 for at in range(0, len(i), 50_000):
                     j = i[at : at + 50_000]
-                    j = j[(low[j] == low[j + d]).mean(axis=1) >= least]
+                    j = j[estimates.at_least(j, j + d, least)]
                     found.append((j, j + d))
             crowded = crowd.cumsum()[:n] > 0
             if first:
@@ -167,51 +208,50 @@ def forest_links(reps: DataFrame, hashes: int, trees: int, depth: int, reach: in
                 yield pd.DataFrame({"a": ids[child], "b": ids[root[child]]})
         if last is not None:
             end = last.iloc[-1]
-            cut_off = last[(last["tree"] == end["tree"]) & (last["key"].str[: 4 * depth] == end["key"][: 4 * depth])]["id"].to_numpy()
+            cut_off = last[(last["tree"] == end["tree"]) & (last["key"].str[: 4 * depth] == end["key"][: 4 * depth])]["node"].to_numpy()
             yield pd.DataFrame({"a": cut_off, "b": cut_off})
 
-    id_type = reps.schema["id"].dataType.simpleString()
-    sorted_ = reps.select("id", "signature").mapInPandas(rotated, f"tree int, key binary, id {id_type}, low binary")
-    spread = sorted_.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", "id")
-    pairs = spread.mapInPandas(neighbours, f"a {id_type}, b {id_type}")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def estimated_links(sizes: np.ndarray, low: np.ndarray, percent: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as places, of all pairs that sizes allow and whose estimate is at least ``least``: breadth first."""
-    left, a, b = np.arange(len(sizes)), [], []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            p = queue.pop()
-            near = 100 * np.minimum(sizes[left], sizes[p]) >= percent * np.maximum(sizes[left], sizes[p])
-            near[near] = (low[left[near]] == low[p]).mean(axis=1) >= least
-            hit, left = left[near], left[~near]
-            a.append(np.full(len(hit), p))
-            b.append(hit)
-            queue += hit.tolist()
-    return (np.concatenate(a), np.concatenate(b)) if a else (left, left)
+    sorted_ = nodes.select("node", "signature").mapInPandas(rotated, "tree int, key binary, node long, low binary")
+    spread = sorted_.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    pairs = spread.mapInPandas(neighbours, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def part_links(parts: np.ndarray, sizes: np.ndarray, estimates: Estimates, rows: np.ndarray, percent: int, least: float) -> list[tuple[int, int]]:
+    """Pairs of places in ``rows`` that join their parts, at most one fewer than the parts: every pair of different parts that
+    sizes allow is compared by estimate, but those whose parts have been joined already."""
+    names, part = np.unique(parts[rows], return_inverse=True)
+    order = np.argsort(-np.bincount(part), kind="stable")
+    out, label = [], np.arange(len(names))
+    for k in order[1:]:  # all pairs but those inside the largest part have an end in another
+        for p in np.flatnonzero(part == k):
+            other = np.flatnonzero(label[part] != label[k])
+            if not len(other):
+                return out
+            near = 100 * np.minimum(sizes[rows[other]], sizes[rows[p]]) >= percent * np.maximum(sizes[rows[other]], sizes[rows[p]])
+            other = other[near]
+            hit = other[estimates.at_least(rows[other], rows[p], least)]
+            for j in np.unique(label[part[hit]], return_index=True)[1]:
+                out.append((int(rows[p]), int(rows[hit[j]])))
+                label[label == label[part[hit[j]]]] = label[k]
+    return out
 
 
 def crowd_links(docs: DataFrame, crowd: DataFrame, id_col: str, text: str, width: int, percent: int, hashes: int, least: float) -> DataFrame:
-    """(a, b): links inside a crowd (id, part, n_shingles, signature) by a prefix-filter join, whose estimate is at least ``least``.
-
-    part is the component that an id is in already; pairs in one part may be left out.
-    """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(crowd.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    """(a, b): links between the parts of a crowd (node, id, text_key, part, n_shingles, signature) by a prefix-filter join."""
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for t in batch["text"]:
                 yield pd.DataFrame({"shingle": shingle_set(t, width).view(np.int64)})
 
-    chosen = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(crowd.count(), 1)))
-    counted = texts.filter(chosen).select("text").mapInPandas(shingles, "shingle long").groupBy("shingle").count().filter("count > 1")
+    chosen = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(crowd.count(), 1)))
+    sample = _texts_of(docs, crowd.filter(chosen).select("id", "text_key"), id_col, text)
+    counted = sample.select("text").mapInPandas(shingles, "shingle long").groupBy("shingle").count().filter("count > 1")
     common = counted.orderBy(F.desc("count"), "shingle").limit(COMMON).toPandas().sort_values("shingle")
     known, often = common["shingle"].to_numpy(np.int64), common["count"].to_numpy(np.int64)
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.iloc[at : at + 200]
@@ -221,11 +261,9 @@ def crowd_links(docs: DataFrame, crowd: DataFrame, id_col: str, text: str, width
                     i = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
                     rank = np.where(known[i] == s, often[i], 0) if len(known) else np.zeros(len(s), np.int64)
                     rarest.append(s[np.lexsort((s, rank))[: len(s) + percent * -len(s) // 100 + 1]])
-                yield pd.DataFrame({"shingle": np.concatenate(rarest), "id": np.repeat(part["id"].to_numpy(), [len(r) for r in rarest])})
-
-    def lows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "n": batch["n_shingles"], "low": _low(batch["signature"])})
+                each = [len(r) for r in rarest]
+                low = np.repeat(np.array(_low(part["signature"]), object), each)
+                yield pd.DataFrame({"shingle": np.concatenate(rarest), **{c: np.repeat(part[c].to_numpy(), each) for c in ("node", "part", "n")}, "low": low})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by shingle; a list that a batch may have cut waits for the next."""
@@ -233,20 +271,26 @@ def crowd_links(docs: DataFrame, crowd: DataFrame, id_col: str, text: str, width
 
         def done() -> Iterator[pd.DataFrame]:
             rows = pd.concat(held, ignore_index=True)
-            ids, sizes = rows["id"].to_numpy(), rows["n"].to_numpy()
-            low = np.frombuffer(b"".join(rows["low"]), np.uint8).reshape(len(rows), hashes)
-            shingle = rows["shingle"].to_numpy()
+            shingle, part = rows["shingle"].to_numpy(), rows["part"].to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
             lengths = np.diff(np.append(starts, len(rows)))
+            mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
+            keep = np.flatnonzero(np.repeat(mixed, lengths))
+            if not len(keep):
+                return
+            lengths = lengths[mixed]
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            nodes, sizes, part, shingle = rows["node"].to_numpy()[keep], rows["n"].to_numpy()[keep], part[keep], shingle[keep]
+            estimates = Estimates(rows["low"].to_numpy()[keep], hashes)
             short = np.repeat(lengths <= SHORT, lengths)
-            for d in range(1, min(SHORT, len(rows))):
-                i = np.flatnonzero(short[d:] & (shingle[d:] == shingle[:-d]))
+            for d in range(1, min(SHORT, len(keep))):
+                i = np.flatnonzero(short[d:] & (shingle[d:] == shingle[:-d]) & (part[d:] != part[:-d]))
                 i = i[100 * np.minimum(sizes[i], sizes[i + d]) >= percent * np.maximum(sizes[i], sizes[i + d])]
-                i = i[(low[i] == low[i + d]).mean(axis=1) >= least]
-                yield pd.DataFrame({"a": ids[i], "b": ids[i + d]})
+                i = i[estimates.at_least(i, i + d, least)]
+                yield pd.DataFrame({"a": nodes[i], "b": nodes[i + d]})
             for s, n in zip(starts[lengths > SHORT], lengths[lengths > SHORT], strict=True):
-                a, b = estimated_links(sizes[s : s + n], low[s : s + n], percent, least)
-                yield pd.DataFrame({"a": ids[s + a], "b": ids[s + b]})
+                links = np.array(part_links(part, sizes, estimates, np.arange(s, s + n), percent, least), int).reshape(-1, 2)
+                yield pd.DataFrame({"a": nodes[links[:, 0]], "b": nodes[links[:, 1]]})
 
         for batch in batches:
             if not len(batch):
@@ -264,119 +308,177 @@ def crowd_links(docs: DataFrame, crowd: DataFrame, id_col: str, text: str, width
         if held:
             yield from done()
 
-    postings = texts.mapInPandas(prefixes, f"shingle long, id {id_type}").join(crowd.select("id", "part"), "id")
-    mixed = postings.groupBy("shingle").agg(F.min("part").alias("low_part"), F.max("part").alias("high_part")).filter("low_part <> high_part")
-    shared = postings.join(mixed.select("shingle"), "shingle", "left_semi").select("shingle", "id")
-    rows = shared.join(crowd.mapInPandas(lows, f"id {id_type}, n long, low binary"), "id").repartition("shingle").sortWithinPartitions("shingle", "id")
-    pairs = rows.select("shingle", "id", "n", "low").mapInPandas(compare, f"a {id_type}, b {id_type}")
+    texts = _texts_of(docs, crowd.select("node", "id", "text_key", "part", F.col("n_shingles").alias("n"), "signature"), id_col, text)
+    posted = texts.mapInPandas(postings, "shingle long, node long, part long, n long, low binary")
+    lists = posted.repartition("shingle").sortWithinPartitions("shingle", "node")
+    pairs = lists.mapInPandas(compare, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def connected(links: DataFrame, rounds: int = 40) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """(node, root): smallest reachable node for every node of links (a, b), by alternating large-star and small-star steps.
 
-    Each step is one grouped minimum (summed in the map tasks) and one join on the node, which Spark may split where a node
-    has very many links; the number of steps grows with the logarithm of a component's size.
+    Each step is one grouped minimum (summed in the map tasks) and one join on the node, which a node of very many links does
+    not send into one task.  Steps go on until nothing changes; their number grows with the logarithm of a path's length.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before or state[0] == 0:
-            break
+            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-        small = large.join(least, F.col("u") == F.col("w"))
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct())
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-
-
-def exact_links(ids: list, sets: list[np.ndarray], percent: int) -> list[tuple]:
-    """A spanning forest of all pairs with 100 * intersection >= percent * union: breadth first over texts not yet linked."""
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    _, codes = np.unique(flat, return_inverse=True)
-    ends = np.cumsum(sizes)
-    pieces = [codes[e - n : e] for e, n in zip(ends, sizes, strict=True)]
-    mark = np.zeros(int(codes.max()) + 1, bool)
-    left, out = np.arange(len(ids)), []
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        met = join_counted(both, least, "u", "n", 2 * state[0]).filter("v > u")
+        large = cut(met.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_counted(large, least, "u", "n", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+    raise RuntimeError(f"components not settled after {ROUNDS} rounds")
+
+
+class Sets:
+    """Shingle sets of many nodes in one code space, and which of a choice are similar enough to one of them."""
+
+    def __init__(self, sets: list[np.ndarray], lows: list[bytes], hashes: int, percent: int, least: float):
+        self.sizes = np.array([len(s) for s in sets])
+        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.pieces = np.split(codes, np.cumsum(self.sizes)[:-1])
+        self.mark = np.zeros(int(codes.max()) + 1, bool)
+        self.estimates, self.percent, self.least = Estimates(lows, hashes), percent, least
+
+    def linked(self, p: int, others: np.ndarray) -> np.ndarray:
+        """Those of others with 100 * intersection >= percent * union: of comparable size, then by estimate, then by full sets."""
+        n = self.sizes
+        near = others[100 * np.minimum(n[others], n[p]) >= self.percent * np.maximum(n[others], n[p])]
+        near = near[self.estimates.at_least(near, p, self.least)]
+        if not len(near):
+            return near
+        self.mark[self.pieces[p]] = True
+        ends = np.cumsum(n[near])
+        common = np.add.reduceat(self.mark[np.concatenate([self.pieces[x] for x in near])], ends - n[near], dtype=np.int64)
+        self.mark[self.pieces[p]] = False
+        return near[100 * common >= self.percent * (n[near] + n[p] - common)]
+
+
+def exact_links(sets: Sets) -> list[tuple[int, int]]:
+    """A spanning forest, as places, of all links: breadth first over nodes not yet linked."""
+    left, out = np.arange(len(sets.sizes)), []
     while len(left):
-        queue, left = [left[0]], left[1:]
+        queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             p = queue.pop()
-            # A set can only reach the threshold with one of comparable size.
-            fit = (100 * np.minimum(sizes[left], sizes[p]) >= percent * np.maximum(sizes[left], sizes[p]))
-            near = left[fit]
-            if not len(near):
-                continue
-            mark[pieces[p]] = True
-            common = np.add.reduceat(mark[np.concatenate([pieces[x] for x in near])], np.concatenate([[0], np.cumsum(sizes[near])[:-1]]), dtype=np.int64)
-            mark[pieces[p]] = False
-            hit = near[100 * common >= percent * (sizes[near] + sizes[p] - common)]
-            out += [(ids[p], ids[x]) for x in hit]
+            hit = sets.linked(p, left)
+            out += [(p, x) for x in hit.tolist()]
             queue += hit.tolist()
-            left = left[~np.isin(left, hit)]
+            left = np.setdiff1d(left, hit, assume_unique=True)
     return out
 
 
-def confirmed_links(docs: DataFrame, clusters: DataFrame, id_col: str, text: str, width: int, percent: int, block: int) -> DataFrame:
-    """(a, b): exact links inside candidate clusters (node, root, n_shingles), which come with one row a representative."""
-    load = clusters.groupBy("root").agg(F.sum("n_shingles").alias("load")).select(F.col("root").alias("cluster"), F.ceil(F.col("load") / block).cast("int").alias("blocks"))
-    placed = clusters.join(load, F.col("root") == F.col("cluster")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = placed.select("node", "cluster", "mine", other.alias("other")).select("node", "cluster", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(clusters.select("node"), F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"])
-    id_type = docs.schema[id_col].dataType.simpleString()
+def cross_links(sets: Sets, part: np.ndarray, asked: np.ndarray) -> list[tuple[int, int]]:
+    """Links, as places, that join the parts of the places ``asked`` with those of all others."""
+    label, out = np.unique(part, return_inverse=True)[1], []
+    for p in asked.tolist():
+        for x in sets.linked(p, np.flatnonzero(label != label[p])).tolist():
+            if label[x] != label[p]:
+                out.append((p, x))
+                label[label == label[x]] = label[p]
+    return out
+
+
+def _solved(rows: DataFrame, width: int, percent: int, hashes: int, least: float) -> DataFrame:
+    """(a, b): links of the rows (task, node, part, asked, signature, text) of one task; of those asked only, where any is."""
 
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by task, so one task's texts are all that is held."""
-        key, ids, sets = None, [], []
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by task, so one task's sets are all that is held."""
+        key, held = None, {}
 
         def done() -> pd.DataFrame:
-            links = exact_links(ids, sets, percent) if len(ids) > 1 else []
-            return pd.DataFrame(links, columns=["a", "b"])
+            names = np.array(list(held))
+            sets = Sets([h[0] for h in held.values()], [h[1] for h in held.values()], hashes, percent, least)
+            asked = np.flatnonzero([h[3] for h in held.values()])
+            links = cross_links(sets, np.array([h[2] for h in held.values()]), asked) if len(asked) else exact_links(sets)
+            places = np.array(links, int).reshape(-1, 2)
+            return pd.DataFrame({"a": names[places[:, 0]], "b": names[places[:, 1]]})
 
         for batch in batches:
-            for cluster, x, y, node, t in zip(batch["cluster"], batch["x"], batch["y"], batch["node"], batch["text"], strict=True):
-                if (cluster, x, y) != key:
-                    if len(ids) > 1:
+            for task, node, part, asked, signature, t in zip(*(batch[c] for c in ("task", "node", "part", "asked", "signature", "text")), strict=True):
+                if task != key:
+                    if len(held) > 1:
                         yield done()
-                    key, ids, sets = (cluster, x, y), [], []
-                ids.append(node)
-                sets.append(shingle_set(t, width))
-        if len(ids) > 1:
+                    key, held = task, {}
+                held[node] = shingle_set(t, width), _low([signature])[0], part, asked or (node in held and held[node][3])
+        if len(held) > 1:
             yield done()
 
-    rows = tasks.join(texts, F.col("node") == F.col("id")).select("cluster", "x", "y", "node", "text")
-    return rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInPandas(confirm, f"a {id_type}, b {id_type}")
+    dealt = rows.repartition("task").sortWithinPartitions("task")
+    return dealt.select("task", "node", "part", "asked", "signature", "text").mapInPandas(solve, "a long, b long")
+
+
+def confirmed_links(docs: DataFrame, members: DataFrame, id_col: str, text: str, width: int, percent: int, hashes: int, least: float, block: int) -> DataFrame:
+    """(node, root): components of the exact links inside candidate clusters (node, id, text_key, root, n_shingles, signature)."""
+    load = members.groupBy("root").agg(F.sum("n_shingles").alias("load"), F.count("*").alias("n"))
+    load = load.select("root", "n", F.col("n").alias("size"), F.greatest(F.ceil(F.col("load") / block), F.lit(1)).cast("int").alias("blocks"))
+    placed = cut(join_counted(members, load, "root", "n", members.count()).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    guest = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(GUESTS), "node"), F.col("size")) < GUESTS)
+    where = F.when(guest, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))
+    alone = _texts_of(docs, placed, id_col, text).withColumn("block", F.explode(where))
+    alone = alone.withColumn("task", F.xxhash64("root", "block")).withColumn("part", F.lit(0).cast("long")).withColumn("asked", F.lit(False))
+    links = cut(_solved(alone, width, percent, hashes, least))
+    roots = cut(connected(links))
+    parts = roots.withColumnRenamed("root", "part")
+    large = placed.filter("blocks > 1").drop("mine").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    sizes = large.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("load"))
+    best = F.max(F.struct("n", "part", "load"))
+    open_ = sizes.groupBy("root").agg(F.sum("n").alias("n"), best.alias("best"), F.sum("load").alias("load"), F.count("*").alias("parts")).filter("parts > 1")
+    open_ = cut(open_.select("root", "n", F.col("best.part").alias("main"), F.greatest(F.ceil((F.col("load") - F.col("best.load")) / block), F.lit(1)).cast("int").alias("others")))
+    if not open_.head(1):
+        return roots
+    # Nodes outside a cluster's largest part meet all of its blocks; nodes of that part have no link to find among themselves.
+    left = join_counted(cut(large), open_, "root", "n", placed.count()).withColumn("asked", F.col("part") != F.col("main"))
+    x, y = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "node"), F.col("others")).cast("int")
+    left = cut(left.withColumn("x", x).withColumn("y", y))
+    met = left.withColumn("asked", F.lit(False)).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    met = met.unionByName(left.filter("asked").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    tasks = met.select("node", "id", "text_key", "part", "asked", "signature", F.xxhash64("root", "x", "y").alias("task"))
+    more = _solved(_texts_of(docs, tasks, id_col, text), width, percent, hashes, least)
+    return connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, hashes: int = 80, trees: int = 20, depth: int = 3, reach: int = 8, block: int = 4_000_000, seed: int = 7) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of docs; kept: the smallest id of its component.
+    """(id, text_key, n_shingles, component_id, kept, first) for every row of docs.
 
-    depth minima must agree, which a pair at the threshold does in a tree with chance 0.8**3; all twenty trees miss it
-    with chance 1e-6.  The estimate's floor lies four standard deviations below the threshold.  reach says how much the
-    forest compares itself; what lies further apart is a crowd's.
+    component_id is the smallest id of a component, kept whether it is the row's own; first holds for one id and text of each
+    component, and for all rows that are in none.  text_key is xxhash64 of the text, which tells rows of one id apart.
+    depth minima must agree, which a pair at the threshold does in a tree with chance 0.8**3; reach says how much the forest
+    compares itself, and what lies further apart is a crowd's.  The estimate's floor lies four standard deviations below the
+    threshold.  hashes must be even.
     """
     rows = cut(sketch(docs, id_col, text, width, hashes, seed))
     full = rows.filter(F.col("set_key").isNotNull() & F.col("id").isNotNull())
-    classes = full.groupBy("set_key").agg(F.min("id").alias("rep"))
-    reps = cut(full.join(classes.withColumnRenamed("set_key", "class_key"), (F.col("set_key") == F.col("class_key")) & (F.col("id") == F.col("rep"))).select("id", "n_shingles", "signature").dropDuplicates(["id"]))
-    spread = 4 * (percent / 100 * (1 - percent / 100) / hashes) ** 0.5
-    least = percent / 100 - spread
-    links = cut(forest_links(reps, hashes, trees, depth, reach, least))
+    classes = full.groupBy("set_key").agg(F.min(F.struct("id", "text_key")).alias("rep"), F.count("*").alias("n_rows"))
+    classes = classes.select("set_key", "n_rows", "rep.id", "rep.text_key")
+    nodes = full.join(classes, ["set_key", "id", "text_key"]).dropDuplicates(["set_key", "id", "text_key"])
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "set_key", "n_rows", "id", "text_key", "n_shingles", "signature"))
+    agree = percent / 100 + (1 - percent / 100) / 16  # of four bits
+    least = percent / 100 - 4 * (agree * (1 - agree) / hashes) ** 0.5 * 16 / 15
+    links = cut(forest_links(nodes, hashes, trees, depth, reach, least))
     parts = cut(connected(links.filter("a <> b")))
-    crowd = reps.join(links.filter("a = b").select(F.col("a").alias("id")), "id", "left_semi").join(parts, F.col("id") == F.col("node"), "left")
-    crowd = cut(crowd.select("id", F.coalesce("root", "id").alias("part"), "n_shingles", "signature"))
+    crowd = links.filter(F.col("a") == F.col("b")).filter(F.col("n") >= CROWDED).select(F.col("a").alias("node"))
+    crowd = cut(nodes.join(crowd, "node").join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root", "set_key", "n_rows"))
     more = crowd_links(docs, crowd, id_col, text, width, percent, hashes, least)
-    clusters = connected(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    members = clusters.select("node", "root").unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct()
-    members = cut(members.join(reps.select("id", "n_shingles"), F.col("node") == F.col("id")).select("node", "root", "n_shingles"))
-    roots = connected(confirmed_links(docs, members, id_col, text, width, percent, block))
-    classes = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("class_key"), F.coalesce("root", "rep").alias("component_id"))
-    out = rows.join(classes, F.col("set_key") == F.col("class_key"), "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    clusters = cut(connected(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    members = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
+    members = cut(members.join(nodes.drop("set_key", "n_rows"), "node"))
+    roots = confirmed_links(docs, members, id_col, text, width, percent, hashes, least, block)
+    placed = cut(nodes.select("node", "set_key", "n_rows", "id", "text_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = placed.groupBy("root").agg(F.min(F.struct("id", "text_key")).alias("head"), F.count("*").alias("n"))
+    classes = cut(join_counted(placed.select("root", "set_key", "n_rows"), named, "root", "n", placed.count()).drop("root"))
+    linked = join_counted(full.select("id", "text_key", "n_shingles", "set_key"), classes, "set_key", "n_rows", full.count())
+    linked = linked.withColumn("component_id", F.col("head.id")).withColumn("first", F.struct("id", "text_key") == F.col("head"))
+    alone = rows.filter(F.col("set_key").isNull() | F.col("id").isNull()).withColumn("component_id", F.col("id")).withColumn("first", F.lit(True))
+    columns = ["id", "text_key", "n_shingles", "component_id", "first"]
+    out = linked.select(columns).unionByName(alone.select(columns))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return out.select(F.col("id").alias(id_col), "text_key", "n_shingles", "component_id", kept.alias("kept"), "first")

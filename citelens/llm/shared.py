@@ -39,5 +39,17 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem if stem.lower() not in {c.lower() for c in df.columns} else f"{stem}_{uuid.uuid4().hex[:8]}"
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key and says in ``count`` how many rows of left have it; count goes.
+
+    Keys with more than a thousandth of left's ``total`` rows, of which there are fewer than a thousand, meet by broadcast and
+    are never shuffled into one task; all others meet by whatever join Spark picks.  left is read twice, so cut it first.
+    """
+    often = F.col(count) * 1000 > total
+    hot = right.filter(often)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(~often).drop(count), key, how)
+    return cold.unionByName(left.join(F.broadcast(hot.drop(count)), key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

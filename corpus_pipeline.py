@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citelens.llm import line_dedup, lsh_forest, mixing, packing, queries, toxicity
-from citelens.llm.shared import table, with_checkpoints
+from citelens.llm.shared import fresh, table, with_checkpoints
 
 #: Expected severity from which a document goes, on the labels' own scale (0 clean, 1 toxic).
 SEVERITY_LIMIT = 0.5
@@ -36,11 +36,12 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays, once; a null id is never a copy."""
+    """One document of each group of near copies stays, the one with the smallest id, once; a null id is never a near copy."""
     found = lsh_forest.near_duplicates(docs)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    return left.withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"]).select(docs.columns)
+    gone = found.filter(~F.col("first")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    keyed = docs.withColumn(key := fresh(docs, "text_key"), F.xxhash64("text")).withColumn(other := fresh(docs, "other_key"), F.xxhash64(F.lit(77), "text"))
+    left = keyed.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col(key) == F.col("gone_key")), "left_anti")
+    return left.dropDuplicates(["doc_id", key, other]).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
