@@ -56,19 +56,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text_key", F.xxhash64(F.col("text")))
-    keys = ["doc_id", "text_key"]
-    spans = license_scan.license_spans(docs, keys)
-    found = spans.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.collect_set("label").alias("found"), F.max("similarity").alias("similarity"), F.count("*").alias("n_spans"))
-    words = docs.select(*keys, license_scan.license_words(F.col("text")).alias("words"))
-    places = words.select(*keys, F.size("words").cast("long").alias("n_words"), *(license_scan.phrase_places(F.col("words"), p).alias(k) for k, p in license_scan.BASE_PHRASES.items()))
-    labels = sorted(license_scan.BASE_PHRASES)
-    base = F.filter(F.array(*(F.when(F.size(k) > 0, F.lit(k)) for k in labels)), lambda x: x.isNotNull())
-    every = F.concat(*labels)
-    narrow = places.select(*keys, "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), base.alias("base"))
-    out = narrow.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left")
-    both = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("found", F.array().cast("array<string>")))))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), F.coalesce("similarity", F.lit(0.0)).alias("score"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return license_scan.license_report(docs, ["doc_id", "text_key"]).drop("text_key")
 
 
 def op9_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
