@@ -1,15 +1,18 @@
 """Language identification by cross-parsing entropy.
 
-For every language a suffix automaton is built over labelled text (at most ``chars`` characters, a documented bound).  A
-text is parsed greedily into the longest phrases that occur in that language's text; phrases * log2(reference length) /
-characters estimates its cross-entropy, and the language with the fewest normalised phrases wins.
+For every language a suffix automaton is built over whole labelled texts (at most ``chars`` characters, a documented bound).
+A text is parsed greedily into the longest phrases that occur in that language's text; a character that the language's text
+does not have is a phrase of its own.  phrases * log2(reference length) / characters estimates the cross-entropy, and the
+language with the fewest normalised phrases wins.
 
-The automata are completed into one table (a missing step starts a new phrase at the root), so parsing is a table walk.
-Whole texts are parsed: each is cut into windows of ``window`` characters whose phrase counts add up, and all windows of an
-Arrow batch walk in step, for all languages at once, inside one map over the documents: no shuffle, no skew, bounded state.
+Every language has the alphabet of its own text.  Steps by its ``DENSE`` most frequent characters are one completed table (a
+missing step starts a new phrase at the root), steps by rarer ones a sorted list, so large alphabets cost a search and not
+a wide table.  Whole texts are parsed in one piece, all texts of a group in step and for all languages at once, and the long
+tails of the longest character by character; inside one map over the documents: no shuffle, no skew, bounded state.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; with no labelled text at all every text is
-``und``; repeated rows get equal answers; an empty table gives an empty result.
+``und``; ties go to the first language by name; repeated rows get equal answers; results have their own columns, so clashing
+names do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Character classes of the table; class 0 stands for every character that the references do not have among their most frequent.
-CLASSES = 64
+#: Characters of a language whose steps are in the table; those of all others are searched.
+DENSE = 96
+#: Texts fewer than this are parsed one by one from where the others end.
+FEW = 24
 _letter = regex.compile(r"\p{L}")
 
 
@@ -57,65 +62,100 @@ def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
     return steps
 
 
-class CrossParser:
-    """Completed automata of several languages over shared character classes."""
+class Automaton:
+    """One language's completed automaton.  A step gives the next state + 1, negative where it begins a new phrase.
 
-    def __init__(self, references: dict[str, str]):
-        self.languages = sorted(references)
-        texts = [references[k].lower() for k in self.languages]
-        points = np.concatenate([_points(t) for t in texts]) if texts else np.zeros(0, np.int64)
+    Codes: 0 is a character that the text does not have, 1 to DENSE its most frequent characters, above those the others.
+    """
+
+    def __init__(self, text: str):
+        points = _points(text)
         seen, counts = np.unique(points, return_counts=True)
-        self.alphabet = np.sort(seen[np.argsort(-counts, kind="stable")[: CLASSES - 1]])
-        self.bits = np.array([np.log2(max(2, len(t))) for t in texts])
-        tables, self.roots, at = [], [], 0
-        for t in texts:
-            steps = suffix_automaton(self.classes(_points(t)))
-            root = np.full(CLASSES, at, np.int64)
-            for c, s in steps[0].items():
-                root[c] = at + s
-            table = np.tile(-(root + 1), (len(steps), 1))  # negative: this character begins a new phrase
-            for s, out in enumerate(steps):
-                for c, to in out.items():
-                    table[s, c] = at + to + 1
-            table[0] = -(root + 1)
-            tables.append(table.astype(np.int32))
-            self.roots.append(at)
-            at += len(steps)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-
-    def classes(self, points: np.ndarray) -> np.ndarray:
+        order = np.argsort(-counts, kind="stable")
+        self.codes = np.zeros(len(seen), np.int64)
+        self.codes[order] = np.arange(1, len(seen) + 1)
+        self.alphabet, self.bits = seen, np.log2(max(2, len(text)))
+        steps = suffix_automaton(self.encode(points))
+        self.width = min(DENSE, len(seen)) + 1
+        root = np.zeros(len(seen) + 1, np.int32)  # after a missing step: where the character leads from the root
+        for c, s in steps[0].items():
+            root[c] = s
+        self.root = -(root + 1)
+        table = np.tile(self.root[: self.width], (len(steps), 1))
+        rare: dict[int, int] = {}
+        for s, out in enumerate(steps[1:], 1):
+            for c, to in out.items():
+                if c < self.width:
+                    table[s, c] = to + 1
+                else:
+                    rare[s * (len(seen) + 1) + c] = to + 1
+        self.table, self.rare = table.ravel(), rare
+        self.rare_keys = np.array(sorted(rare), np.int64)
+        self.rare_steps = np.array([rare[k] for k in self.rare_keys.tolist()], np.int32)
+        self.size = len(seen) + 1
+
+    def encode(self, points: np.ndarray) -> np.ndarray:
         if not len(self.alphabet):
             return np.zeros(len(points), np.int64)
         i = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
-        return np.where(self.alphabet[i] == points, i + 1, 0)
-
-    def phrases(self, texts: list[str], window: int) -> np.ndarray:
-        """texts x languages: phrase counts; every character of every text counts."""
-        codes = [self.classes(_points(t.lower())).astype(np.uint8) for t in texts]
-        owner, pieces = [], []
-        for i, c in enumerate(codes):
-            for at in range(0, len(c), window):
-                owner.append(i)
-                pieces.append(c[at : at + window])
+        return np.where(self.alphabet[i] == points, self.codes[i], 0)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        if self.width == self.size:
+            return self.table[state * self.width + code]
+        to = self.table[state * self.width + np.where(code < self.width, code, 0)]
+        i = np.flatnonzero(code >= self.width)
+        if len(i):
+            to[i] = self.root[code[i]]
+            if len(self.rare_keys):
+                key = state[i] * self.size + code[i]
+                at = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+                hit = self.rare_keys[at] == key
+                to[i[hit]] = self.rare_steps[at[hit]]
+        return to
+
+    def walk(self, state: int, codes: list[int]) -> int:
+        """Phrases that begin on the way from a state."""
+        table, width, root, rare, size, n = memoryview(self.table), self.width, self.root, self.rare, self.size, 0
+        for c in codes:
+            to = table[state * width + c] if c < width else rare.get(state * size + c) or int(root[c])
+            if to < 0:
+                n, to = n + 1, -to
+            state = to - 1
+        return n
+
+
+class CrossParser:
+    """Automata of several languages."""
+
+    def __init__(self, references: dict[str, str]):
+        self.languages = sorted(references)
+        self.automata = [Automaton(references[k].lower()) for k in self.languages]
+        self.bits = np.array([a.bits for a in self.automata])
+
+    def phrases(self, texts: list[str], group: int = 1024) -> np.ndarray:
+        """texts x languages: exact phrase counts of the whole texts."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        # Groups of windows of like length, so that the rectangle of codes stays small.
-        order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
-        for first in range(0, len(order), 4096):
-            group = order[first : first + 4096]
-            lengths = np.array([len(pieces[k]) for k in group])
-            width = int(lengths[0]) if len(lengths) else 0
-            grid = np.zeros((width, len(group)), np.uint8)
-            for column, k in enumerate(group):
-                grid[: len(pieces[k]), column] = pieces[k]
-            state = np.repeat(np.array(self.roots, np.int64)[:, None], len(group), axis=1)
-            count = np.zeros(state.shape, np.int64)
-            active = np.searchsorted(-lengths, -np.arange(width), side="left")  # windows longer than each place
-            for place in range(width):
-                n = int(active[place])
-                to = self.table[state[:, :n] * CLASSES + grid[place, :n]]
-                count[:, :n] += to < 0
-                state[:, :n] = np.abs(to) - 1
-            np.add.at(out, np.array([owner[k] for k in group]), count.T)
+        points = [_points(t.lower()) for t in texts]
+        order = sorted(range(len(texts)), key=lambda k: -len(points[k]))
+        for first in range(0, len(order), group):
+            these = order[first : first + group]
+            lengths = np.array([len(points[k]) for k in these])
+            shared = int(lengths[FEW - 1]) if len(these) >= FEW else 0  # places that FEW texts have at least
+            flat = np.concatenate([points[k][:shared] for k in these])
+            starts = np.cumsum(np.minimum(lengths, shared)) - np.minimum(lengths, shared)
+            active = np.searchsorted(-lengths, -np.arange(shared), side="left")  # texts longer than each place
+            for language, automaton in enumerate(self.automata):
+                codes = automaton.encode(flat)
+                state, count = np.zeros(len(these), np.int64), np.zeros(len(these), np.int64)
+                for place in range(shared):
+                    n = int(active[place])
+                    to = automaton.step(state[:n], codes[starts[:n] + place])
+                    count[:n] += to < 0
+                    state[:n] = np.abs(to) - 1
+                for i in np.flatnonzero(lengths > shared):
+                    count[i] += automaton.walk(int(state[i]), automaton.encode(points[these[i]][shared:]).tolist())
+                out[these, language] = count
         return out
 
 
@@ -123,27 +163,35 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
-def reference_texts(labelled: DataFrame, id_col: str, text: str, lang: str, chars: int, docs_per_language: int = 200, seed: int = 1) -> dict[str, str]:
-    """At most ``chars`` characters of text per language: pieces of about docs_per_language documents, chosen by a hash of the id."""
-    labelled = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
+def reference_texts(labelled: DataFrame, id_col: str, text: str, lang: str, chars: int, docs_per_language: int = 400, seed: int = 1) -> dict[str, str]:
+    """Whole texts of each language, at most ``chars`` characters together, of about docs_per_language documents by a hash of the id.
+
+    A text that no longer fits is passed over, and one longer than an eighth of ``chars`` is not read, so that several texts
+    stand for a language; where no text is that short, the shortest that fits does.
+    """
+    labelled = labelled.filter(F.col(lang).isNotNull() & (F.length(text) <= chars))
+    short = F.length(text) <= chars // 8
+    counts = {r[0]: (r[1], r[2]) for r in labelled.groupBy(lang).agg(F.count(F.when(short, 1)), F.min(F.length(text))).collect()}
     if not counts:
         return {}
     place = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000))
-    bound = F.lit(0)
+    bound, fits = F.lit(0), F.lit(False)
     for name in sorted(counts):
-        bound = F.when(F.col(lang) == name, F.lit(int(min(1.0, docs_per_language / counts[name]) * 1_000_000))).otherwise(bound)
-    piece = max(200, 4 * chars // docs_per_language)
-    middle = F.greatest(F.floor((F.length(text) - piece) / 2), F.lit(0)).cast("int") + 1
-    rows = labelled.filter(place < bound).select(F.col(lang).alias("lang"), place.alias("place"), F.substring(F.col(text), middle, F.lit(piece)).alias("piece")).limit(4 * docs_per_language * len(counts)).collect()
-    out: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["place"], r["piece"])):
-        have = out.get(r["lang"], "")
-        out[r["lang"]] = (have + "\n" + r["piece"])[:chars] if len(have) < chars else have
-    return out
-
-
-def predict_language(docs: DataFrame, references: dict[str, str], id_col: str = "doc_id", text: str = "text", window: int = 1024) -> DataFrame:
+        several, least = counts[name]
+        bound = F.when(F.col(lang) == name, F.lit(int(min(1.0, docs_per_language / several) * 1_000_000) if several else 1_000_000)).otherwise(bound)
+        fits = F.when(F.col(lang) == name, short if several else F.length(text) == least).otherwise(fits)
+    chosen = labelled.filter(fits & (place < bound)).select(F.col(lang).alias("lang"), place.alias("place"), F.col(text).alias("whole"))
+    rows = chosen.orderBy("place", "lang", "whole").limit(4 * docs_per_language * len(counts)).collect()
+    out: dict[str, list[str]] = {}
+    left = dict.fromkeys(counts, chars)
+    for r in sorted(rows, key=lambda r: (r["lang"], r["place"], r["whole"])):
+        if len(r["whole"]) + 1 <= left[r["lang"]] or r["lang"] not in out:
+            out.setdefault(r["lang"], []).append(r["whole"])
+            left[r["lang"]] -= len(r["whole"]) + 1
+    return {name: "\n".join(texts) for name, texts in out.items()}
+
+
+def predict_language(docs: DataFrame, references: dict[str, str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, lang_pred, score, entropy) for every row: score is 1 - best / second-best normalised phrase count."""
     shared = docs.sparkSession.sparkContext.broadcast(references)  # bounded: languages * chars
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -158,7 +206,7 @@ def predict_language(docs: DataFrame, references: dict[str, str], id_col: str =
                 names, score, entropy = np.full(len(texts), "und", object), np.zeros(len(texts)), np.full(len(texts), np.nan)
                 if known.any():
                     i = np.flatnonzero(known)
-                    rate = parser.phrases([texts[k] for k in i], window) * parser.bits / np.array([len(texts[k].lower()) for k in i])[:, None]
+                    rate = parser.phrases([texts[k] for k in i]) * parser.bits / np.array([len(texts[k].lower()) for k in i])[:, None]
                     ranked = np.sort(rate, axis=1)
                     names[i] = np.array(parser.languages, object)[rate.argmin(axis=1)]
                     entropy[i] = ranked[:, 0]

@@ -50,7 +50,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    references = language_id.reference_texts(docs.filter(~held_out), "doc_id", "text", "lang", chars=24_000)
+    references = language_id.reference_texts(docs.filter(~held_out), "doc_id", "text", "lang", chars=120_000)
     predicted = language_id.predict_language(docs, references)
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy")
 
