@@ -18,7 +18,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix_plan(table(spark, sf_dir, "documents"))
-    return documents.select(F.col("id").alias("doc_id"), "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+    return documents.select(F.col("id").alias("doc_id"), "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", "shard_taken")
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.OrdinalModel:

@@ -81,7 +81,7 @@ def test_odd_rows_have_their_defined_results(odd):
 def test_mix_keeps_rows_without_an_id(spark):
     """Every source is taken as it is (targets meet sizes), so no row may go, with or without an id."""
     rows = [(None, f"null {i} word", "a") for i in range(40)] + [(i, f"some {i} word", "a") for i in range(40)]
-    mixed = mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    mixed = mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), n_shards=1)
     assert sorted(r.text for r in mixed.collect()) == sorted(r[1] for r in rows)
 
 
@@ -171,23 +171,84 @@ def plain_quotients(weights, seats):
 def test_sainte_lague_is_the_highest_quotients(spark):
     rng = random.Random(4)
     for seats in (1, 7, 100):
-        weights = {f"s{i:02}": rng.random() * 10 ** rng.randint(0, 2) for i in range(12)}
+        weights = {f"s{i:02}": rng.choice((1.0, 2.0, 3.0, rng.random() * 10 ** rng.randint(0, 2))) for i in range(12)}
         got = mixing.sainte_lague(spark.createDataFrame(list(weights.items()), "source string, target double"), seats)
         assert {r.source: r.seats for r in got.collect() if r.seats} == plain_quotients(weights, seats)
 
 
+def test_capped_seats_go_to_the_next_quotients(spark):
+    weights, caps, seats = {"a": 50.0, "b": 30.0, "c": 15.0, "d": 5.0}, {"a": 9, "b": 40, "c": 7, "d": 60}, 60
+    won = Counter()
+    for _ in range(seats):
+        won[max((k for k in sorted(weights) if won[k] < caps[k]), key=lambda k: weights[k] / (2 * won[k] + 1))] += 1
+    got = mixing.sainte_lague(spark.createDataFrame([(k, w, caps[k]) for k, w in weights.items()], "source string, target double, most long"), seats, cap="most")
+    assert {r.source: r.seats for r in got.collect()} == dict(won)
+
+
+def plain_mix(rows, n_shards, block_words=32):
+    """Words of each document that each mix shard takes, block by block: rows are (start, size, source), plan the quotas."""
+    stream = defaultdict(dict)
+    for i, (source, start, size, first, blocks, quota) in rows.items():
+        for w in range(start, start + size):
+            stream[source][w] = i
+    taken = defaultdict(Counter)
+    plans = {r[0]: r[3:] for r in rows.values()}
+    for source, (first, blocks, quota) in plans.items():
+        place = first
+        for shard, n in enumerate(quota):
+            for _ in range(n):
+                for w in range(place * block_words, (place + 1) * block_words):
+                    if w in stream[source]:
+                        taken[stream[source][w]][shard] += 1
+                place = (place + 1) % blocks
+    return taken
+
+
+def test_mix_against_a_plain_one(spark, docs):
+    """The query on 300 documents: sizes, targets, quotas, and every block dealt one by one around its source's ring."""
+    import re
+    few = docs.orderBy("doc_id").limit(300).unionByName(docs.orderBy("doc_id").limit(3)).cache()
+    plan, quotas = mixing.mix_plan(few)
+    rows, quota = plan.collect(), defaultdict(lambda: [0] * 16)
+    for r in quotas.collect():
+        quota[r.source][r.shard] = r.quota
+    texts = Counter((r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.source) for r in few.collect())
+    assert Counter((r.id, r["size"], r.source) for r in rows) == texts
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += r["size"]
+    assert all(r.source_size == sizes[r.source] for r in rows)
+    targets = {r.source: r.target for r in rows}
+    seats = -(-sum(sizes.values()) // 32)
+    for k in range(1, 17):  # the first k shards together are an allocation by highest quotients
+        won = Counter()
+        for _ in range(seats * k // 16):
+            won[max((s for s in sorted(targets) if won[s] < 3 * -(-sizes[s] // 32)), key=lambda s: targets[s] / (2 * won[s] + 1))] += 1
+        assert {s: sum(quota[s][:k]) for s in targets} == {s: won[s] for s in targets}
+    expected = plain_mix({(r.id, r.start): (r.source, r.start, r["size"], r.first_block, r.blocks, quota[r.source]) for r in rows}, 16)
+    for r in rows:
+        assert {p.shard: p.words for p in r.shard_taken} == dict(expected[r.id, r.start]) and r.taken == sum(expected[r.id, r.start].values())
+
+
 def test_mix_is_near_its_targets_and_repeats(spark, docs):
     plan, quotas = mixing.mix_plan(docs)
     rows = plan.toPandas()
-    again = mixing.mix_plan(docs)[0].toPandas()
+    again = mixing.mix_plan(docs.repartition(5))[0].toPandas()
     assert sorted(zip(rows.id, rows.taken)) == sorted(zip(again.id, again.taken))
     assert (rows.taken <= 3 * rows["size"]).all()
     sums = rows.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
     assert ((sums.taken - sums.target).abs() <= 64).all()
     assert abs(sums.target.sum() - rows["size"].sum()) < 1e-6
     assert quotas.filter("quota < 0").count() == 0
-    mixed = mixing.mixed_documents(docs).select("doc_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n")).toPandas().groupby("doc_id").n.sum()
-    assert mixed.to_dict() == {i: t for i, t in zip(rows.id, rows.taken) if t}
+    mixed = mixing.mixed_documents(docs, shard_col="mix").select("doc_id", "mix", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n")).toPandas()
+    assert mixed.groupby("doc_id").n.sum().to_dict() == {i: t for i, t in zip(rows.id, rows.taken) if t}
+    due = Counter()
+    for i, parts in zip(rows.id, rows.shard_taken):
+        due.update({(i, p["shard"]): p["words"] for p in parts})
+    assert mixed.groupby(["doc_id", "mix"]).n.sum().to_dict() == dict(due)
+    held = mixed.merge(rows[["id", "source"]], left_on="doc_id", right_on="id").groupby(["source", "mix"]).n.sum()
+    for r in quotas.collect():  # a block may be short only at the stream's end
+        assert 32 * r.quota - 32 * 3 <= held.get((r.source, r.shard), 0) <= 32 * r.quota
 
 
 def test_targets_are_capped_and_reshared(spark):
