@@ -446,7 +446,7 @@ def confirmed_links(docs: DataFrame, members: DataFrame, id_col: str, text: str,
     return connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, hashes: int = 80, trees: int = 20, depth: int = 3, reach: int = 8, block: int = 4_000_000, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, hashes: int = 80, trees: int = 20, depth: int = 3, reach: int = 8, block: int = 100_000, seed: int = 7) -> DataFrame:
     """(id, text_key, n_shingles, component_id, kept, first) for every row of docs.
 
     component_id is the smallest id of a component, kept whether it is the row's own; first holds for one id and text of each
