@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citelens.sources.tables import cut
+
 
 def citations_by_year(edges: DataFrame, pubs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(id, year, count): citing papers by their own year; self citations and null years are left out."""
@@ -126,12 +128,37 @@ def citation_band(totals: DataFrame, seeds: DataFrame | None = None, low: float
     return inside.agg(F.avg("total").alias("mean"), F.stddev_pop("total").alias("std"))
 
 
-def expand_steps(edges: DataFrame, seeds: DataFrame, counts: DataFrame, steps: int, limit: int, spread: float = 5.0) -> DataFrame:
-    """(id, step): seeds, then per step the neighbours whose totals lie in the seeds' band, most cited first, up to limit."""
-    found = seeds.select("id", F.lit(0).alias("step"))
-    for step in range(1, steps + 1):
-        band = citation_band(total_citations(found, counts))
-        new = expand(edges, found, counts, limit).crossJoin(F.broadcast(band))
-        fits = new.filter(F.abs(F.col("total") - F.col("mean")) <= spread * F.greatest(F.col("std"), F.lit(1e-9)))
-        found = found.unionByName(fits.select("id", F.lit(step).alias("step")))
-    return found.join(total_citations(found, counts), "id").orderBy("step", F.desc("total"), "id").limit(limit).select("id", "step")
+def expand_steps(edges: DataFrame, seeds: DataFrame, counts: DataFrame, steps: int, limit: int, similar: DataFrame | None = None, semantic: float = 0.2, most: int = 5000, spread: float = 5.0) -> DataFrame:
+    """(id, step): seeds first, then what each step adds, up to ``limit`` papers.
+
+    Step 0 adds papers of similar texts: those of ``similar`` (id, distance) that are nearest, for the ``semantic`` share of the
+    room.  Step 1 adds direct references, most cited first.  Every further step adds neighbours by citation, at most ``most``
+    looked at, whose totals lie within mean +- spread * std of the seeds and their references.
+    """
+    found = cut(seeds.select("id", F.lit(0).alias("step"), F.lit(0).alias("place")).distinct())
+    if steps == 0:
+        return found.select("id", "step")
+    n = found.count()
+
+    def grown(new: DataFrame, step: int, room: int, *order) -> None:
+        """The first of new, in an order, that are not there yet."""
+        nonlocal found, n
+        fresh = new.join(found.select("id"), "id", "left_anti").orderBy(*order, "id").limit(max(room, 0))
+        found = cut(found.unionByName(fresh.select("id", F.lit(step).alias("step"), F.lit(step + 1).alias("place"))))
+        n = found.count()
+
+    refs = edges.join(seeds.select(F.col("id").alias("id_out")).distinct(), "id_out", "left_semi").select(F.col("id_in").alias("id")).distinct()
+    band = cut(citation_band(total_citations(seeds.select("id").union(refs).distinct(), counts)))
+    if similar is not None:
+        grown(similar.groupBy("id").agg(F.min("distance").alias("distance")), 0, int((limit - n) * semantic), F.round("distance", 9))
+    first = 1
+    if refs.head(1):
+        grown(total_citations(refs, counts), 1, limit - n, F.desc("total"))
+        first = 2
+    for step in range(first, steps + 1):
+        if n >= limit:
+            break
+        new = expand(edges, found, counts, max(most - n, 0)).crossJoin(F.broadcast(band))
+        near = F.abs(F.col("total") - F.col("mean")) <= spread * F.coalesce(F.col("std"), F.lit(0.0))
+        grown(new.filter(near), step, limit - n, F.desc("total"))
+    return found.select("id", "step")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citelens.sources.tables import cut
+
 KINDS = ("cocitation", "bibcoupling", "citation", "textsimilarity")
 
 
@@ -34,9 +38,9 @@ def both_ways(edges: DataFrame, weight: str = "similarity") -> DataFrame:
 def degrees(edges: DataFrame, weight: str = "similarity") -> DataFrame:
     """(node, degree, size): size is the degree over the largest, rescaled to 0.3 to 1.3."""
     d = both_ways(edges, weight).groupBy("node").agg(F.count("*").alias("degree"))
-    every = Window.partitionBy()
-    low, high = F.min("degree").over(every), F.max("degree").over(every)
-    return d.withColumn("size", F.coalesce((F.col("degree") - low) / F.nullif(high - low, F.lit(0)), F.lit(0.0)) + 0.3)
+    ends = d.agg(F.min("degree").alias("low"), F.max("degree").alias("high"))
+    share = (F.col("degree") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0))
+    return d.crossJoin(F.broadcast(ends)).select("node", "degree", (F.coalesce(share, F.lit(0.0)) + 0.3).alias("size"))
 
 
 def similar(edges: DataFrame, paper: int, n: int = 200) -> DataFrame:
@@ -75,55 +79,72 @@ def transition_weights(edges: DataFrame, p: float = 5.0, q: float = 2.0, weight:
 def random_walks(edges: DataFrame, nodes: DataFrame, walks: int = 50, length: int = 30, p: float = 5.0, q: float = 2.0, seed: int = 0, weight: str = "similarity") -> DataFrame:
     """(walker, walk array): biased walks of at most ``length`` nodes; a node without edges walks alone.
 
-    Every step is one join of the walkers with their node's neighbours; the draw is the least -log(u)/w with u hashed from
-    (seed, walker, step, neighbour), so walks do not depend on partitioning and no table of triples is built.
+    Every step is one join of the walkers with their node's list of neighbours, which they carry to the next step as the list
+    of their previous node.  The draw is the least -log(u) / w with u hashed from (seed, walker, step, neighbour), so walks do
+    not depend on partitioning and no table of triples is built.  Meant for sparsified graphs, whose lists are short.
     """
     e = both_ways(edges, weight)
-    walkers = nodes.select("id", F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("n")).select(F.xxhash64(F.lit(seed), "id", "n").alias("walker"), F.array("id").alias("walk"))
-    reach = e.select(F.col("node").alias("prev"), F.col("other").alias("next"), F.lit(True).alias("adjacent"))
+    lists = cut(e.groupBy("node").agg(F.collect_list(F.struct("other", "weight")).alias("near")))
+    starts = nodes.select("id", F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("n"))
+    none = F.lit(None).cast(f"array<{dict(e.dtypes)['other']}>")
+    walkers = starts.select(F.xxhash64(F.lit(seed), "id", "n").alias("walker"), F.array("id").alias("walk"), F.col("id").alias("node"), none.alias("before"))
     for step in range(1, length):
-        w = walkers.withColumn("node", F.element_at("walk", -1)).withColumn("prev", F.try_element_at("walk", F.lit(-2)))
-        moves = w.join(e.withColumnRenamed("other", "next"), "node").join(reach, ["prev", "next"], "left")
-        bias = F.when(F.col("prev").isNull(), 1.0).when(F.col("next") == F.col("prev"), 1 / p).when(F.col("adjacent").isNull(), 1 / q).otherwise(1.0)
-        u = (F.pmod(F.xxhash64(F.lit(seed), "walker", F.lit(step), "next"), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-        chosen = moves.groupBy("walker").agg(F.min_by("next", -F.log(u) / (F.col("weight") * bias)).alias("chosen"))
-        walkers = walkers.join(chosen, "walker", "left").select("walker", F.when(F.col("chosen").isNull(), F.col("walk")).otherwise(F.concat("walk", F.array("chosen"))).alias("walk"))
-        if step % 5 == 0 and edges.sparkSession.sparkContext.getCheckpointDir():
-            walkers = walkers.checkpoint()
-    return walkers
+        moves = walkers.join(lists, "node", "left")
+        prev = F.try_element_at("walk", F.lit(-2))
+
+        def drawn(x: Column) -> Column:
+            u = (F.pmod(F.xxhash64(F.lit(seed), "walker", F.lit(step), x["other"]), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)  # noqa: B023
+            bias = F.when(F.col("before").isNull(), 1.0).when(x["other"] == prev, 1 / p).when(~F.array_contains("before", x["other"]), 1 / q).otherwise(1.0)  # noqa: B023
+            return F.struct((-F.log(u) / (x["weight"] * bias)).alias("score"), x["other"].alias("next"))
+
+        moves = moves.withColumn("next", F.array_min(F.transform("near", drawn))["next"])
+        walk = F.when(F.col("next").isNull(), F.col("walk")).otherwise(F.concat("walk", F.array("next")))
+        walkers = moves.select("walker", walk.alias("walk"), F.coalesce("next", "node").alias("node"), F.transform("near", lambda x: x["other"]).alias("before"))
+        if step % 5 == 0:
+            walkers = cut(walkers)
+    return walkers.select("walker", "walk")
 
 
 def page_rank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 10, weight: str = "weight") -> DataFrame:
     """(id, rank) on undirected weighted edges (src, dst); dangling mass is spread evenly.  A fixed number of rounds."""
     e = both_ways(edges, weight)
-    out = e.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("node"))).select("node", "other", "share")
+    out = cut(e.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("node"))).select("node", "other", "share"))
     n = nodes.count()
     ranks = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for _ in range(rounds):
+    for turn in range(rounds):
         given = ranks.join(out, F.col("id") == F.col("node")).groupBy("other").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         got = nodes.select("id").join(given, F.col("id") == F.col("other"), "left").select("id", F.coalesce("got", F.lit(0.0)).alias("got"))
         lost = got.agg((1.0 - F.sum("got")).alias("lost"))
         ranks = got.crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * (F.col("got") + F.col("lost") / n)).alias("rank"))
+        ranks = cut(ranks) if turn % 5 == 4 else ranks
     return ranks
 
 
-def ego_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def page_rank_by_cut(edges: DataFrame, nodes: DataFrame, cuts: list[int], **options) -> DataFrame:
+    """(id, cut, rank): page_rank of the edges (src, dst, weight, year) up to each of a few cut-off years."""
+    def upto(year: int) -> DataFrame:
+        e = edges.filter(F.col("year") <= year).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+        return page_rank(e, nodes, **options).select("id", F.lit(year).alias("cut"), "rank")
+
+    return reduce(DataFrame.unionByName, map(upto, cuts))
+
+
+def ego_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(ego, node, comp): components of each node's neighbourhood without the node, by smallest label.
 
-    Meant for sparsified graphs, whose neighbourhoods are small; goes on until no label changes.
+    Meant for sparsified graphs, whose neighbourhoods are small; goes on until no label changes, and raises beyond ``rounds``.
     """
     e = both_ways(edges)
     members = e.select(F.col("node").alias("ego"), F.col("other").alias("node"))
     ties = members.join(e.select("node", "other"), "node").join(members.withColumnRenamed("node", "other"), ["ego", "other"], "left_semi").select("ego", "node", "other")
-    keep = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    ties, labels = keep(ties), keep(members.withColumn("comp", F.col("node")))
+    ties, labels = cut(ties), cut(members.withColumn("comp", F.col("node")))
     for _ in range(rounds):
         near = ties.join(labels.withColumnRenamed("node", "other"), ["ego", "other"]).groupBy("ego", "node").agg(F.min("comp").alias("near"))
-        grown = keep(labels.join(near, ["ego", "node"], "left").select("ego", "node", F.least("comp", F.coalesce("near", "comp")).alias("comp"), (F.coalesce("near", "comp") < F.col("comp")).alias("moved")))
+        grown = cut(labels.join(near, ["ego", "node"], "left").select("ego", "node", F.least("comp", F.coalesce("near", "comp")).alias("comp"), (F.coalesce("near", "comp") < F.col("comp")).alias("moved")))
         labels = grown.drop("moved")
-        if grown.filter("moved").limit(1).count() == 0:
-            break
-    return labels
+        if not grown.filter("moved").head(1):
+            return labels
+    raise RuntimeError(f"components not settled after {rounds} rounds")
 
 
 def personas(edges: DataFrame, weight: str = "similarity") -> DataFrame:
@@ -140,12 +161,35 @@ def overlapping_communities(edges: DataFrame, rounds: int = 5, weight: str = "si
     return found.groupBy(F.substring_index("id", ":", 1).alias("id")).agg(F.array_sort(F.collect_set("community")).alias("communities"))
 
 
-def label_communities(edges: DataFrame, rounds: int = 5, weight: str = "similarity") -> DataFrame:
-    """(id, community): synchronous label propagation by summed weight, ties to the smaller label."""
-    e = both_ways(edges, weight)
-    labels = e.select(F.col("node").alias("id")).distinct().withColumn("community", F.col("id"))
-    for _ in range(rounds):
-        votes = e.join(labels.withColumnRenamed("id", "other"), "other").groupBy("node", "community").agg(F.sum("weight").alias("votes"))
-        w = Window.partitionBy("node").orderBy(F.desc("votes"), "community")
-        labels = votes.withColumn("r", F.row_number().over(w)).filter("r = 1").select(F.col("node").alias("id"), "community")
-    return labels
+def label_communities(edges: DataFrame, rounds: int = 10, weight: str = "similarity", resolution: float = 1.0) -> DataFrame:
+    """(id, community): labels that move to where modularity gains most, ties to the smaller label.
+
+    A node's gain in a community is the weight of its edges into it, less resolution * its own weight * the community's
+    weight over that of all edges.  Every other node (by hash and round) moves at a time, so that two do not swap for ever; a
+    node stays where no other community gains more.
+    """
+    e = cut(both_ways(edges, weight))
+    degree = e.groupBy("node").agg(F.sum("weight").alias("k"))
+    whole = degree.agg(F.sum("k").alias("whole"))
+    labels = cut(degree.select(F.col("node").alias("id"), F.col("node").alias("community"), "k"))
+    for turn in range(rounds):
+        sizes = labels.groupBy("community").agg(F.sum("k").alias("size"))
+        mine = labels.select(F.col("id").alias("node"), F.col("community").alias("own"), "k")
+        votes = e.join(labels.select(F.col("id").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("weight").alias("votes"))
+        votes = votes.unionByName(mine.select("node", F.col("own").alias("community"), F.lit(0.0).alias("votes"))).groupBy("node", "community").agg(F.sum("votes").alias("votes"))
+        scored = votes.join(mine, "node").join(sizes, "community").crossJoin(F.broadcast(whole))
+        others = F.col("size") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("votes") - resolution * F.col("k") * others / F.col("whole"), 9)
+        best = scored.groupBy("node", "k", "own").agg(F.max(F.struct(gain.alias("gain"), (F.col("community") == F.col("own")).alias("stay"), (-F.col("community") if dict(labels.dtypes)["community"] != "string" else F.lit(0)).alias("order"), "community")).alias("best"))
+        turn_of = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
+        labels = cut(best.select(F.col("node").alias("id"), F.when(turn_of, F.col("best.community")).otherwise(F.col("own")).alias("community"), "k"))
+    return labels.select("id", "community")
+
+
+def modularity(edges: DataFrame, communities: DataFrame, weight: str = "similarity", resolution: float = 1.0) -> DataFrame:
+    """(modularity): one row, of communities (id, community) on the edges."""
+    named = lambda end: communities.select(F.col("id").alias(end), F.col("community").alias(f"{end}_community"))
+    inside = edges.join(named("src"), "src").join(named("dst"), "dst").agg(F.sum(weight).alias("whole"), F.sum(F.when(F.col("src_community") == F.col("dst_community"), F.col(weight)).otherwise(0.0)).alias("inside"))
+    degree = both_ways(edges, weight).join(communities.withColumnRenamed("id", "node"), "node").groupBy("community").agg(F.sum("weight").alias("k"))
+    expected = degree.agg(F.sum(F.col("k") * F.col("k")).alias("squares"))
+    return inside.crossJoin(expected).select((F.col("inside") / F.col("whole") - resolution * F.col("squares") / (4 * F.col("whole") * F.col("whole"))).alias("modularity"))

@@ -63,7 +63,8 @@ def time_split(rows: DataFrame, step: int, recency: int = 11) -> DataFrame:
     return rows.withColumn("split", F.when(r > recency, "train").when(r > step + 1, "validate"))
 
 
-def resampled(rows: DataFrame, times: int, share: float = 0.8, id_col: str = "id", seed: int = 0) -> DataFrame:
+def resampled(rows: DataFrame, times: int, share: float = 0.8, id_col: str = "id") -> DataFrame:
     """rows with sample (0 to times - 1): each sample holds a row with the given chance, decided by a hash of its id."""
     draws = rows.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    return draws.filter(F.pmod(F.xxhash64(F.lit(seed), id_col, "sample"), F.lit(1_000_000)) < int(share * 1_000_000))
+    place = F.conv(F.substring(F.md5(F.concat_ws("-", "sample", id_col)), 1, 8), 16, 10).cast("long")
+    return draws.filter(place < int(share * 2**32))

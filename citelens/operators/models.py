@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
-from pyspark.ml.feature import PCA, CountVectorizer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citelens.operators.search import sampled
+
 
 def principal_components(rows: DataFrame, vector: str = "embedding", share: float = 0.9, most: int = 50) -> DataFrame:
     """rows with ``components`` (array): as many principal components as hold the given share of variance."""
@@ -37,20 +40,31 @@ def clusters(rows: DataFrame, k: int, vector: str = "embedding", hierarchical: b
     return kind(k=k, seed=seed, predictionCol="comp").fit(v).transform(v).drop("features")
 
 
+def clusters_or_none(rows: DataFrame, k: int, vector: str = "embedding", exact: int = 5000, seed: int = 0) -> DataFrame:
+    """rows with comp: hierarchical clusters up to ``exact`` rows, k-means beyond; 0 for all if there are at most k rows or no features."""
+    n = rows.count()
+    width = rows.agg(F.max(F.size(vector))).first()[0] or 0
+    if n <= k or width <= 0:
+        return rows.withColumn("comp", F.lit(0))
+    return clusters(rows, k, vector, n <= exact, seed)
+
+
 def topics(documents: DataFrame, k: int = 20, words: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """((id, mixture, main), (topic, terms)) of documents (id, tokens) by latent Dirichlet allocation."""
     vectors = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=10_000).fit(documents)
     rows = vectors.transform(documents)
     model = LDA(k=k, seed=seed, maxIter=10).fit(rows)
-    names = F.array(*(F.lit(w) for w in vectors.vocabulary))
-    described = model.describeTopics(words).select("topic", F.transform("termIndices", lambda i: names[i]).alias("terms"))
+    names = documents.sparkSession.createDataFrame(list(enumerate(vectors.vocabulary)), "i int, word string")  # at most vocabSize
+    placed = model.describeTopics(words).select("topic", F.posexplode("termIndices").alias("place", "i")).join(F.broadcast(names), "i")
+    described = placed.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("terms"))
     mix = model.transform(rows).select("id", vector_to_array("topicDistribution").alias("mixture"))
     return mix.withColumn("main", F.array_position("mixture", F.array_max("mixture")) - 1), described
 
 
 def token_vectors(documents: DataFrame, dim: int = 128, window: int = 5, seed: int = 0) -> DataFrame:
     """(token, vector): skip-gram vectors of documents (tokens) or walks."""
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=0, maxIter=3, seed=seed, inputCol="tokens", outputCol="v").fit(documents)
+    parts = documents.sparkSession.sparkContext.defaultParallelism  # trained side by side and averaged
+    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=0, maxIter=3, numPartitions=parts, seed=seed, inputCol="tokens", outputCol="v").fit(documents)
     return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
 
 
@@ -65,6 +79,30 @@ def regression(rows: DataFrame, features: list[str], target: str, kind: str = "l
     return model, model.transform(data)
 
 
+def repeated_regression(train: DataFrame, validate: DataFrame, features: list[str], target: str, kind: str = "linear", runs: int = 5, share: float = 0.8, log_target: bool = True, least: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """((feature, coefficient), (run, part, rmse, r2)): fits on samples of the training rows with standardised features.
+
+    Samples are by a hash of (run, id).  Coefficients are means over the runs, 0 where smaller than ``least``, largest first.
+    """
+    spark, scores, total = train.sparkSession, [], np.zeros(len(features))
+    told = F.log1p(target) if log_target else F.col(target).cast("double")
+    for run in range(runs):
+        part = lambda rows: sampled(rows, share, run).withColumn(target, told).select("id", *features, target)  # noqa: B023, E731
+        data = VectorAssembler(inputCols=features, outputCol="raw").transform(part(train))
+        scaler = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="features").fit(data)
+        penalty = {"linear": (0.0, 0.0), "ridge": (0.1, 0.0), "lasso": (0.1, 1.0)}[kind]
+        model = LinearRegression(labelCol=target, regParam=penalty[0], elasticNetParam=penalty[1], standardization=False).fit(scaler.transform(data))
+        total += model.coefficients.toArray()
+        held = VectorAssembler(inputCols=features, outputCol="raw").transform(part(validate))
+        for name, rows in (("train", data), ("validate", held)):
+            q = quality(model.transform(scaler.transform(rows)), target).first()
+            scores.append((run, name, q["rmse"], q["r2"]))
+    mean = np.where(np.abs(total / runs) < least, 0.0, total / runs)
+    order = np.argsort(-np.abs(mean), kind="stable")
+    coefficients = spark.createDataFrame([(features[i], float(mean[i])) for i in order], "feature string, coefficient double")
+    return coefficients, spark.createDataFrame(scores, "run int, part string, rmse double, r2 double")
+
+
 def quality(predicted: DataFrame, target: str) -> DataFrame:
     """(rmse, r2) of predictions."""
     d = predicted.withColumn("_e", F.col(target) - F.col("prediction"))
@@ -76,6 +114,37 @@ def top_share_label(rows: DataFrame, target: str, share: float = 0.02) -> DataFr
     return rows.crossJoin(F.broadcast(bound)).withColumn("label", (F.col(target) >= F.col("bound")).cast("int")).drop("bound")
 
 
+def above_top_share(rows: DataFrame, target: str, share: float = 0.02) -> DataFrame:
+    """rows with label: 1 above the least value among the floor(share * rows) greatest, as a row at that value is no top."""
+    n = int(share * rows.count())
+    least = rows.select(target).orderBy(F.desc(target)).limit(max(n, 1)).agg(F.min(target).alias("least"))
+    return rows.crossJoin(F.broadcast(least)).withColumn("label", (F.col(target) > F.col("least")).cast("int")).drop("least")
+
+
+def balanced_classes(rows: DataFrame, how: str, seed: int = 27) -> DataFrame:
+    """Rows (id, label) of both classes in about equal numbers: the larger one sampled ("down") or the smaller repeated ("up")."""
+    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    few = min(counts, key=lambda x: (counts[x], x))
+    ratio = max(counts.values()) / max(counts[few], 1)
+    if how == "down":
+        return rows.filter(F.col("label") == few).unionByName(sampled(rows.filter(F.col("label") != few), 1 / ratio, seed))
+    copies = F.explode(F.sequence(F.lit(1), F.lit(max(1, round(ratio)))))
+    return rows.filter(F.col("label") != few).unionByName(rows.filter(F.col("label") == few).withColumn("_c", copies).drop("_c"))
+
+
+def top_paper_classifier(train: DataFrame, validate: DataFrame, features: list[str], how: str = "down", weight: float = 1.0, trees: int = 100, depth: int = 7, seed: int = 0) -> DataFrame:
+    """(tn, fp, fn, tp, recall, precision): a forest of balanced classes, class 1 weighing ``weight``, on the validation rows."""
+    data = balanced_classes(train, how).withColumn("w", F.when(F.col("label") == 1, float(weight)).otherwise(1.0))
+    table = lambda rows: VectorAssembler(inputCols=features, outputCol="raw").transform(rows)
+    scaler = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="features").fit(table(data))
+    forest = RandomForestClassifier(labelCol="label", weightCol="w", numTrees=trees, maxDepth=depth, seed=seed).fit(scaler.transform(table(data)))
+    p = forest.transform(scaler.transform(table(validate)))
+    count = lambda label, said: F.count_if((F.col("label") == label) & (F.col("prediction") == said))
+    c = p.agg(count(0, 0).alias("tn"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(1, 1).alias("tp"))
+    rate = lambda x: F.coalesce(F.col("tp") / F.nullif(F.col("tp") + F.col(x), F.lit(0)), F.lit(0.0))
+    return c.withColumn("recall", rate("fn")).withColumn("precision", rate("fp"))
+
+
 def topic_hierarchy(rows: DataFrame, vector: str = "embedding", comp: str = "comp", most: int = 1000) -> DataFrame:
     """(comp, path): path of each topic in a binary tree, "0" or "1" a level from the root, by Ward merges of topic centres.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelens.functions.scalars import cut_authors, rescaled
+from citelens.operators.citations import max_gain, max_relative_gain, top_cited
 
 
 def topic_words(token_counts: DataFrame, comps: DataFrame, n: int, ignore: int | None = None) -> DataFrame:
@@ -50,7 +51,7 @@ def component_years(pubs: DataFrame) -> DataFrame:
 def component_token_means(token_counts: DataFrame, comps: DataFrame, n: int) -> DataFrame:
     """(comp, token, mean): tokens per paper of a component, its n largest."""
     sizes = component_sizes(comps)
-    c = token_counts.join(comps.select("id", "comp"), "id").groupBy("comp", "token").agg(F.sum("n").alias("total")).join(F.broadcast(sizes), "comp").withColumn("mean", F.col("total") / F.col("size"))
+    c = token_counts.join(comps.select("id", "comp"), "id").groupBy("comp", "token").agg(F.sum("n").alias("total")).join(sizes, "comp").withColumn("mean", F.col("total") / F.col("size"))
     w = Window.partitionBy("comp").orderBy(F.desc("mean"), "token")
     return c.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).select("comp", "token", "mean")
 
@@ -66,7 +67,8 @@ def scatter(pubs: DataFrame) -> DataFrame:
     k, c = F.row_number().over(w.orderBy("id")) - 1, F.count("*").over(w)
     y = F.greatest(F.lit(1), F.col("total")) + (k - F.floor(c / 2)) / c
     size = 1 + F.log1p("total")
-    return pubs.select("id", "year", y.alias("y"), (size / F.max(size).over(Window.partitionBy())).alias("size"))
+    largest = pubs.agg(F.max(size).alias("largest"))
+    return pubs.withColumn("y", y).crossJoin(F.broadcast(largest)).select("id", "year", "y", (size / F.col("largest")).alias("size"))
 
 
 def histogram(rows: DataFrame, column: str, edges: list[float]) -> DataFrame:
@@ -109,7 +111,8 @@ def author_totals(pubs: DataFrame, least: float = 0.8) -> DataFrame:
 
 def author_sizes(authors: DataFrame) -> DataFrame:
     size = 1 + 10 * F.log1p("cited")
-    return authors.withColumn("size", size * 10 / F.max(size).over(Window.partitionBy()) + 3)
+    largest = authors.agg(F.max(size).alias("largest"))
+    return authors.crossJoin(F.broadcast(largest)).withColumn("size", size * 10 / F.col("largest") + 3).drop("largest")
 
 
 def author_graph(authorship: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -136,7 +139,7 @@ def first_years(by_year: DataFrame, pubs: DataFrame, most: int = 6) -> DataFrame
 
 def rank_and_mean(pubs: DataFrame, key: str, years: DataFrame) -> DataFrame:
     """(key, cut, mean, rank): mean total of papers up to each cut-off year, ranked with ties at their least."""
-    m = pubs.join(F.broadcast(years), F.col("year") <= F.col("cut")).groupBy(key, "cut").agg(F.round(F.avg("total"), 6).alias("mean"))
+    m = pubs.join(years, F.col("year") <= F.col("cut")).groupBy(key, "cut").agg(F.round(F.avg("total"), 6).alias("mean"))
     return m.withColumn("rank", F.rank().over(Window.partitionBy("cut").orderBy(F.desc("mean"))))
 
 
@@ -171,17 +174,17 @@ def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
 def relabelled_by_size(rows: DataFrame, comp: str = "comp") -> DataFrame:
     """Clusters numbered from 0 by falling size, ties to the smaller old label."""
     order = rows.groupBy(comp).agg(F.count("*").alias("n")).withColumn("new", F.row_number().over(Window.orderBy(F.desc("n"), comp)) - 1)
-    return rows.join(F.broadcast(order.select(comp, "new")), comp).withColumn(comp, F.col("new")).drop("new").select(rows.columns)
+    return rows.join(order.select(comp, "new"), comp).withColumn(comp, F.col("new")).drop("new").select(rows.columns)
 
 
 def trimmed_extent(points: DataFrame, spread: float = 2.0, least: int = 5) -> DataFrame:
     """(comp, kept, min_x, max_x, min_y, max_y): points within median + spread * MAD of the median centre, or all if few."""
     c = points.groupBy("comp").agg(F.median("x").alias("cx"), F.median("y").alias("cy"))
-    r = points.join(F.broadcast(c), "comp").withColumn("r", F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2))
+    r = points.join(c, "comp").withColumn("r", F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2))
     m = r.groupBy("comp").agg(F.median("r").alias("mr"))
-    r = r.join(F.broadcast(m), "comp").withColumn("dev", F.abs(F.col("r") - F.col("mr")))
+    r = r.join(m, "comp").withColumn("dev", F.abs(F.col("r") - F.col("mr")))
     mad = r.groupBy("comp").agg(F.median("dev").alias("mad"))
-    r = r.join(F.broadcast(mad), "comp").withColumn("inside", F.col("r") <= F.col("mr") + spread * F.col("mad"))
+    r = r.join(mad, "comp").withColumn("inside", F.col("r") <= F.col("mr") + spread * F.col("mad"))
     r = r.withColumn("n", F.sum(F.col("inside").cast("int")).over(Window.partitionBy("comp"))).filter(F.col("inside") | (F.col("n") < least))
     return r.groupBy("comp").agg(F.count("*").alias("kept"), *(f(x).alias(f"{n}_{x}") for x in ("x", "y") for n, f in (("min", F.min), ("max", F.max))))
 
@@ -197,7 +200,7 @@ def group_topics(token_counts: DataFrame, groups: DataFrame, n: int = 10) -> Dat
     """(comp, token, score, rank): tokens a member of a group, weighted by TF-IDF across groups, the n best above 0."""
     sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
     total = sizes.count()
-    tf = token_counts.join(groups.select("id", "comp"), "id").groupBy("comp", "token").agg(F.sum("n").alias("t")).join(F.broadcast(sizes), "comp").withColumn("tf", F.col("t") / F.col("size"))
+    tf = token_counts.join(groups.select("id", "comp"), "id").groupBy("comp", "token").agg(F.sum("n").alias("t")).join(sizes, "comp").withColumn("tf", F.col("t") / F.col("size"))
     df = F.count("*").over(Window.partitionBy("token"))
     score = F.round(F.col("tf") * (F.log((1 + F.lit(total)) / (1 + df)) + 1), 9)
     scored = tf.withColumn("score", score).filter("score > 0")
@@ -210,13 +213,32 @@ def yearly_table(winners: DataFrame, pubs: DataFrame, limit: int = 10) -> DataFr
     return winners.join(pubs.select("id", "title", cut_authors(F.col("authors"), limit).alias("authors")), "id")
 
 
-def paper_card(paper: int, pubs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, topic, total, prior, derivative): one paper's row, its topic counted from 1, and its links inside the set."""
-    inside = pubs.select("id")
-    prior = edges.filter(F.col("id_out") == paper).select(F.col("id_in").alias("id")).distinct().join(inside, "id", "left_semi").agg(F.count("*").alias("prior"))
-    later = edges.filter(F.col("id_in") == paper).select(F.col("id_out").alias("id")).distinct().join(inside, "id", "left_semi").agg(F.count("*").alias("derivative"))
-    row = pubs.filter(F.col("id") == paper).select("id", (F.col("comp") + 1).alias("topic"), "total")
-    return row.crossJoin(F.broadcast(prior)).crossJoin(F.broadcast(later))
+def paper_card(paper: int, pubs: DataFrame, edges: DataFrame, similar: DataFrame, words: DataFrame, n: int = 50) -> DataFrame:
+    """One paper's row with topic (from 1), topic_tags, and its prior, derivative and similar papers inside the set.
+
+    Lists are arrays of (id, total, topic), most cited first, and of (id, similarity, total, topic), most similar first; pubs
+    has (id, comp, total, ...), similar (id, similarity), words (comp, token, rank).
+    """
+    inside = pubs.select("id", "total", (F.col("comp") + 1).alias("topic"))
+
+    def listed(ids: DataFrame, name: str) -> DataFrame:
+        j = ids.distinct().join(inside, "id").orderBy(F.desc("total"), "id").limit(n)
+        item = F.struct((-F.col("total")).alias("o"), "id", "total", "topic")
+        return j.agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["id"].alias("id"), x["total"].alias("total"), x["topic"].alias("topic"))).alias(name))
+
+    prior = listed(edges.filter(F.col("id_out") == paper).select(F.col("id_in").alias("id")), "prior")
+    later = listed(edges.filter(F.col("id_in") == paper).select(F.col("id_out").alias("id")), "derivative")
+    near = similar.join(inside, "id").orderBy(F.desc("similarity"), "id").limit(n)
+    item = F.struct((-F.col("similarity")).alias("o"), "id", "similarity", "total", "topic")
+    near = near.agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["id"].alias("id"), x["similarity"].alias("similarity"), x["total"].alias("total"), x["topic"].alias("topic"))).alias("similar"))
+    row = pubs.filter(F.col("id") == paper).withColumn("topic", F.col("comp") + 1)
+    row = row.join(topic_tags(words), "comp", "left").na.fill("", ["topic_tags"])
+    return row.crossJoin(F.broadcast(prior)).crossJoin(F.broadcast(later)).crossJoin(F.broadcast(near))
+
+
+def topic_tags(words: DataFrame) -> DataFrame:
+    """(comp, topic_tags): a topic's words in rank order."""
+    return words.groupBy("comp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]), ",").alias("topic_tags"))
 
 
 def summary(pubs: DataFrame, edges: DataFrame, authorship: DataFrame) -> DataFrame:
@@ -225,6 +247,17 @@ def summary(pubs: DataFrame, edges: DataFrame, authorship: DataFrame) -> DataFra
     return p.crossJoin(edges.agg(F.count("*").alias("citations"))).crossJoin(authorship.agg(F.countDistinct("author").alias("authors")))
 
 
+def report_tables(pubs: DataFrame, edges: DataFrame, authorship: DataFrame, by_year: DataFrame, token_counts: DataFrame, comps: DataFrame, n: int = 50) -> dict[str, DataFrame]:
+    """All tables of a result's report, by name."""
+    return {
+        "summary": summary(pubs, edges, authorship), "top_cited_papers": top_cited(pubs, n), "most_cited_per_year": max_gain(by_year),
+        "fastest_growth_per_year": max_relative_gain(by_year), "papers_by_year": papers_per_year(pubs), "component_sizes": component_sizes(pubs),
+        "topic_years": component_years(pubs), "topic_words": topic_words(token_counts, comps, 10),
+        "word_cloud": word_cloud(topic_words(token_counts, comps, 10)), "journals": popular(pubs, "journal", n),
+        "authors": popular(authorship.join(pubs.select("id", "comp"), "id"), "author", n),
+    }
+
+
 def topics_or_frequent(token_rows: DataFrame, comps: DataFrame, n: int) -> DataFrame:
     """(comp, token, score, rank): topic words, or the most frequent tokens where there are fewer than two components."""
     if comps.select("comp").distinct().limit(2).count() > 1:
@@ -247,7 +280,7 @@ def overall_shares(pubs: DataFrame) -> DataFrame:
 def graph_view(pubs: DataFrame, edges: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, comp, tags, degree) and edges (src, dst, similarity) of a sparse graph; tags: the topic's words in rank order."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    tags = words.groupBy("comp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]), ",").alias("tags"))
+    tags = topic_tags(words).withColumnRenamed("topic_tags", "tags")
     nodes = pubs.select("id", "comp").join(tags, "comp", "left").join(ends, "id", "left").na.fill({"tags": "", "degree": 0})
     return nodes.select("id", "comp", "tags", "degree"), edges.select("src", "dst", "similarity")
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citelens.functions.scalars import plain_doi, plain_quotes, word_tokens
+from citelens.operators.citations import citation_counts
+from citelens.operators.text import stem
+from citelens.sources.tables import cut
 
 
 def by_ids(pubs: DataFrame, wanted: str) -> DataFrame:
@@ -64,13 +67,24 @@ def parse_expression(query: str) -> list[list[str]]:
     return out
 
 
-def matches(query: str, title: Column, abstract: Column) -> Column:
-    """Predicate of a search expression: whole words of both fields, phrases inside one field."""
+def same_stem(token: Column, words: list[str]) -> Column:
+    """Whether a token has the stem of one of the words; a stem keeps a word's first three letters, which are looked at first."""
+    result = F.lit(False)
+    for w in words:
+        result = result | (token.startswith(w[:3]) & (stem(token) == stem(F.lit(w))))
+    return result
+
+
+def matches(query: str, title: Column, abstract: Column, relaxed: bool = False) -> Column:
+    """Predicate of a search expression: words of both fields by their stems, phrases as they stand inside one field.
+
+    relaxed takes a phrase as any of its words.
+    """
     tokens = word_tokens(F.concat_ws(" ", title, abstract), 1)
 
     def term(t: str) -> Column:
-        if " " not in t:
-            return F.array_contains(tokens, t)
+        if relaxed or " " not in t:
+            return F.exists(tokens, lambda x: same_stem(x, t.split()))
         pattern = r"(?i)\b" + r"\s+".join(map(re.escape, t.split())) + r"\b"
         return title.rlike(pattern) | abstract.rlike(pattern)
 
@@ -84,19 +98,30 @@ def matches(query: str, title: Column, abstract: Column) -> Column:
 
 
 def relevance(query: str, title: Column, abstract: Column) -> Column:
-    """Term frequency (title 1.0, abstract 0.4) over the number of words."""
+    """Term frequency by stems (title 1.0, abstract 0.4) over the number of words."""
     words = sorted({w for part in parse_expression(query) for t in part for w in t.split()})
-    count = lambda c: F.size(F.filter(word_tokens(c, 1), lambda x: x.isin(words)))
+    count = lambda c: F.size(F.filter(word_tokens(c, 1), lambda x: same_stem(x, words)))
     return (count(title) * 1.0 + count(abstract) * 0.4) / F.greatest(F.size(word_tokens(F.concat_ws(" ", title, abstract), 1)), F.lit(1))
 
 
-def ranked(pubs: DataFrame, counts: DataFrame, query: str, limit: int, sort: str = "Most Cited", years: tuple[int, int] = (1900, 9999), reviews: bool = True, fraction: float | None = None, seed: int = 0) -> DataFrame:
-    """(id, count, rank value, year): matching papers, best first; fraction searches a sample."""
+def sampled(rows: DataFrame, fraction: float, seed: int = 0, id_col: str = "id") -> DataFrame:
+    """About that fraction of the rows, by a hash of the id: the same ones however the rows are dealt."""
+    place = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), id_col)), 1, 8), 16, 10).cast("long")
+    return rows.filter(place < int(fraction * 2**32))
+
+
+def ranked(pubs: DataFrame, edges: DataFrame, query: str, limit: int, sort: str = "Most Cited", years: tuple[int, int] = (1900, 9999), reviews: bool = True, fraction: float | None = None, seed: int = 0) -> DataFrame:
+    """(id, year, relevance, count): matching papers, best first; only the citations of the hits are counted.
+
+    fraction searches a sample, in which a phrase counts as any of its words.
+    """
     base = pubs.filter(F.col("year").between(*years))
     base = base if reviews else base.filter(F.col("type") != "Review")
-    base = base if fraction is None else base.sample(fraction=fraction, seed=seed)
-    hits = base.filter(matches(query, F.col("title"), F.col("abstract"))).select("id", "year", F.round(relevance(query, F.col("title"), F.col("abstract")), 9).alias("relevance"))
-    hits = hits.join(counts, "id", "left")
+    base = base if fraction is None else sampled(base, fraction, seed)
+    found = base.filter(matches(query, F.col("title"), F.col("abstract"), fraction is not None))
+    hits = cut(found.select("id", "year", F.round(relevance(query, F.col("title"), F.col("abstract")), 9).alias("relevance")))
+    cited = edges.join(hits.select(F.col("id").alias("id_in")), "id_in", "left_semi")
+    hits = hits.join(citation_counts(cited), "id", "left")
     order = {"Most Cited": (F.desc_nulls_last("count"), F.desc("relevance"), F.desc("year")), "Most Recent": (F.desc("year"), F.desc("relevance"), F.desc_nulls_last("count"))}.get(sort, (F.desc("relevance"),))
     return hits.orderBy(*order, "id").limit(limit)
 
@@ -110,19 +135,30 @@ def balanced(pubs: DataFrame, n: int) -> DataFrame:
     return pubs.filter("total > 0").unionByName(pubs.filter("total = 0").orderBy("id").limit(n))
 
 
-def result_list(pubs: DataFrame, topic: int | None = None, word: str | None = None, author: str | None = None, journal: str | None = None) -> DataFrame:
-    """Filters of a result list; topic counts from 1; a trailing "..." means a prefix."""
+def result_list(pubs: DataFrame, topic: int | None = None, word: str | None = None, author: str | None = None, journal: str | None = None, listed: DataFrame | None = None, url: str = "") -> DataFrame:
+    """(id, title, authors, url, journal, year, total, doi, topic): the papers that all given filters keep.
+
+    topic counts from 1; word is looked for in title, abstract, mesh and keywords; a trailing "..." means a prefix; listed
+    (id) is a list to stay within: top cited, of the year, or fastest growing.  A missing doi is ''.
+    """
     out = pubs
     if topic is not None:
         out = out.filter(F.col("comp") == topic - 1)
     if word:
-        out = out.filter(F.col("title").rlike("(?i)" + re.escape(word)) | F.col("abstract").rlike("(?i)" + re.escape(word)))
+        inside = F.lit(False)
+        for c in (c for c in ("title", "abstract", "mesh", "keywords") if c in pubs.columns):
+            inside = inside | F.coalesce(F.col(c).rlike("(?i)" + re.escape(word)), F.lit(False))
+        out = out.filter(inside)
+    if listed is not None:
+        out = out.join(listed.select("id"), "id", "left_semi")
     if author:
         prefix = author.removesuffix("...")
         out = out.filter(F.exists(F.split("authors", ", "), lambda a: a.startswith(prefix)) if author.endswith("...") else F.contains("authors", F.lit(author)))
     if journal:
         out = out.filter(F.col("journal").startswith(journal.removesuffix("...")) if journal.endswith("...") else F.col("journal") == journal)
-    return out
+    doi = F.coalesce("doi", F.lit("")) if "doi" in pubs.columns else F.lit("")
+    link = F.concat(F.lit(url), F.col("id").cast("string"))
+    return out.select("id", "title", "authors", link.alias("url"), "journal", "year", F.col("total").cast("long").alias("total"), doi.alias("doi"), (F.col("comp") + 1).alias("topic"))
 
 
 def json_matches(rows: DataFrame, column: str, wanted: dict[str, str], order: list, limit: int) -> DataFrame:

@@ -39,6 +39,12 @@ def stem(word: Column) -> Column:
     return out
 
 
+def stem_sql(word: str) -> str:
+    """stem() as SQL."""
+    cases = (f"WHEN ends_with({word}, '{e}') AND length({word}) >= {len(e) + 3} THEN substr({word}, 1, length({word}) - {len(e)}) || '{o}'" for e, o in ENDINGS)
+    return f"CASE {' '.join(cases)} ELSE {word} END"
+
+
 def surface_forms(token_rows: DataFrame) -> DataFrame:
     """(stem, token): the shortest word of each stem, ties to the first by code point."""
     s = token_rows.withColumn("stem", stem(F.col("token")))
@@ -52,11 +58,12 @@ def counts(token_rows: DataFrame) -> DataFrame:
 def vocabulary(count_rows: DataFrame, n_docs: int, min_df: float = 0.001, max_df: float = 0.8, max_features: int = 10_000) -> DataFrame:
     """(token, df, total): within both document-frequency fractions, the most frequent, relaxed once if nothing is left."""
     per = count_rows.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
-    for low, high in ((min_df, max_df), (min_df - 0.1, max_df + 0.1)):
-        v = per.filter((F.col("df") >= low * n_docs) & (F.col("df") <= high * n_docs))
-        if v.limit(1).count():
-            break
-    return v.orderBy(F.desc("total"), "token").limit(max_features)
+    within = lambda low, high: (F.col("df") >= low * n_docs) & (F.col("df") <= high * n_docs)
+    wide = per.withColumn("strict", within(min_df, max_df)).filter(within(min_df - 0.1, max_df + 0.1))
+    # The strict ones come first; whether there is one is seen in the rows kept, so the corpus is counted once.
+    top = wide.orderBy(F.desc("strict"), F.desc("total"), "token").limit(max_features)
+    found = top.agg(F.bool_or("strict").alias("found"))
+    return top.crossJoin(F.broadcast(found)).filter(F.col("strict") | ~F.col("found")).select("token", "df", "total").orderBy(F.desc("total"), "token")
 
 
 def tfidf(count_rows: DataFrame, n_docs: int) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelens.functions.scalars import cosine, dot, l2_distance, l2_normalised, zeros_where_null
@@ -95,25 +97,40 @@ def backfill_stream(texts: DataFrame, path: str, checkpoint: str):
     return texts.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
-def encode_texts(texts: DataFrame, dim: int = 64, text: str = "text") -> DataFrame:
-    """Deterministic hashed bag-of-words vectors of length 1: the default encoder; pass vectors of your own to use another."""
+def hashed_words(text: Column, dim: int = 64) -> Column:
+    """The default encoder, without Python: distinct words by count in ``dim`` hashed places, signed, scaled to length 1."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    codes = F.transform(words, lambda w: F.crc32(w.cast("binary")))
+    sign = lambda h: F.when(h >= 1 << 31, 1.0).otherwise(-1.0)
+    at = lambda d: F.aggregate(F.filter(codes, lambda h: h % dim == d), F.lit(0.0), lambda s, h: s + sign(h))
+    counted = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), at)
+    return F.transform(l2_normalised(counted), lambda x: x.cast("float"))
+
+
+def encode_texts(texts: DataFrame, dim: int = 64, text: str = "text", encoder: Callable[[list[str]], np.ndarray] | None = None, batch: int = 256) -> DataFrame:
+    """texts with ``embedding``: by the hashed words, or by an encoder of lists of texts, called with ``batch`` at a time."""
+    if encoder is None:
+        return texts.withColumn("embedding", hashed_words(F.col(text), dim))
 
     @F.pandas_udf("array<float>")
-    def encode(batch: pd.Series) -> pd.Series:
-        import zlib
-
-        out = []
-        for t in batch:
-            v = np.zeros(dim)
-            for word in (t or "").lower().split():
-                h = zlib.crc32(word.encode())
-                v[h % dim] += 1 if h >> 31 else -1
-            out.append((v / (np.linalg.norm(v) or 1)).astype("float32"))
-        return pd.Series(out)
+    def encode(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in rows:
+            told = [t or "" for t in part]
+            coded = [np.asarray(encoder(told[at : at + batch]), float) for at in range(0, len(told), batch)]
+            unit = [v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in coded]
+            yield pd.Series([row.astype("float32") for v in unit for row in v])
 
     return texts.withColumn("embedding", encode(F.col(text)))
 
 
+def all_embeddings(texts: DataFrame, stored: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
+    """(id, chunk, embedding, source): stored chunks of the texts, and for texts without any their encoded ones."""
+    known = stored.join(texts.select("id"), "id", "left_semi").select("id", F.col("chunk").cast("int").alias("chunk"), F.col("embedding").cast("array<float>").alias("embedding"), F.lit("stored").alias("source"))
+    left = texts.join(stored.select("id").distinct(), "id", "left_anti")
+    coded = encode_texts(chunks(left).select("id", "chunk", "text"), encoder=encoder)
+    return known.unionByName(coded.select("id", F.col("chunk").cast("int").alias("chunk"), "embedding", F.lit("encoded").alias("source")))
+
+
 def relevant_papers(chunk_rows: DataFrame, search_vector: list[float], question_vector: list[float], threshold: float = 0.5, n: int = 50) -> DataFrame:
     """(id, chunk, score): papers with a chunk near the mean of both vectors; of each the chunk nearest to the question."""
     both = F.array(*(F.lit(float((a + b) / 2)) for a, b in zip(search_vector, question_vector, strict=True)))
@@ -140,15 +157,19 @@ def hybrid_similarity(pairs: DataFrame, vectors: DataFrame, weights: DataFrame,
     return pairs.join(near, ["src", "dst"], "left").join(shared, ["src", "dst"], "left").select("src", "dst", (share("e", 0.8) + share("t", 0.2)).alias("textsimilarity"))
 
 
-def text_edges(vectors: DataFrame, weights: DataFrame, existing: DataFrame, top: int = 100, k: int = 16, probe: int = 4) -> DataFrame:
+def text_edges(vectors: DataFrame, weights: DataFrame, existing: DataFrame, top: int = 100, k: int | None = None, probe: int = 4) -> DataFrame:
     """(src, dst, textsimilarity): edges above 0 to each paper's ``top`` nearest vectors that existing (src, dst) lacks.
 
-    Neighbours come from the ``probe`` cells nearest to each paper out of k (take k with the square root of the papers);
-    each task keeps its best before the shuffle, so the pairs of a cell are never stored.
+    Every paper is a query of the exact blocked search.  With k, neighbours come from the ``probe`` nearest of k cells
+    instead, and those in other cells are missed.  Each task keeps its best before the shuffle, so no pairs are stored.
     """
     unit = vectors.select("id", F.lit(0).alias("chunk"), l2_normalised(F.col("embedding")).alias("embedding"))
-    indexed, centroids = cells(unit, k)
-    near = nearest_in_cells(indexed, centroids, unit.select(F.col("id").alias("query"), "embedding"), top + 1, probe)
+    asked = unit.select(F.col("id").alias("query"), "embedding")
+    if k is None:
+        near = nearest(unit, asked, top + 1)
+    else:
+        indexed, centroids = cells(unit, k)
+        near = nearest_in_cells(indexed, centroids, asked, top + 1, probe)
     pairs = near.filter("query <> id").withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).filter(F.col("place") <= top)
     pairs = pairs.select(F.least("query", "id").alias("src"), F.greatest("query", "id").alias("dst")).distinct()
     return hybrid_similarity(pairs.join(existing.select("src", "dst"), ["src", "dst"], "left_anti"), vectors, weights).filter("textsimilarity > 0")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citelens.sources.tables import shared_folder
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -67,9 +68,8 @@ def log_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's name under the cluster's shared checkpoint folder; a local one only where none is set (tests)."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citelens-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    """A new folder's name under the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: SQL twins, as common table expressions.

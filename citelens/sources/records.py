@@ -54,6 +54,32 @@ def _plain(text: Column) -> Column:
     return text
 
 
+def _string_values(xml: Column, name: str) -> Column:
+    """The text of each element of that name across inline tags, escapes resolved, trimmed; empty ones go."""
+    whole = F.transform(_elements(xml, name), lambda e: F.trim(F.xpath_string(F.concat(F.lit("<e>"), e, F.lit("</e>")), F.lit("/e"))))
+    return F.filter(whole, lambda t: t != "")
+
+
+def abstract_text(xml: Column) -> Column:
+    """The parts of the abstract, then those of other abstracts, one blank between them."""
+    parts = lambda name: F.flatten(F.transform(_elements(xml, name), lambda a: _string_values(a, "AbstractText")))
+    return F.trim(ascii_only(F.array_join(F.concat(parts("Abstract"), parts("OtherAbstract")), " ")))
+
+
+def subject_headings(xml: Column) -> Column:
+    """"Descriptor Qualifier ..." of each subject heading; ", " becomes a blank."""
+    tidy = lambda t: F.trim(F.replace(t, F.lit(", "), F.lit(" ")))
+    one = lambda h: F.concat(_string_values(h, "DescriptorName"), _string_values(h, "QualifierName"))
+    return F.transform(_elements(xml, "MeshHeading"), lambda h: F.array_join(F.transform(one(h), tidy), " "))
+
+
+def article_doi(xml: Column) -> Column:
+    """The DOI among the article's own ids (not those of its references), else its electronic location."""
+    own = F.regexp_replace(xml, r"(?s)<ReferenceList.*?</ReferenceList>|<Reference>.*?</Reference>", "")
+    first = lambda path: F.nullif(F.trim(F.xpath_string(own, F.lit(path))), F.lit(""))
+    return F.coalesce(first("//ArticleIdList/ArticleId[@IdType='doi']"), first("//ELocationID[@EIdType='doi']"))
+
+
 def author_names(xml: Column) -> Column:
     """"LastName Initials" of each author; one without initials is the last name alone, one without a name goes."""
     one = lambda a, name: F.nullif(_plain(F.trim(F.regexp_extract(a, rf"<{name}>([^<]*)</{name}>", 1))), F.lit(""))
@@ -66,16 +92,15 @@ def databanks(xml: Column) -> Column:
 
 
 def publications_from_xml(records: DataFrame) -> DataFrame:
-    """(id, year, title, abstract, type, keywords, refs, authors, affiliations, databanks, journal, doi, language) of XML records."""
+    """(id, year, title, abstract, type, keywords, mesh, refs, authors, affiliations, databanks, journal, doi, language) of XML records."""
     x = lambda path: F.xpath("xml", F.lit(path))
     one = lambda path: F.xpath_string("xml", F.lit(path))
     number = lambda c: c.try_cast("long")
-    abstract = F.array_join(F.concat(x("//Abstract/AbstractText//text()"), x("//OtherAbstract/AbstractText//text()")), " ")
     return records.select(
         number(one("//PMID")).alias("id"), publication_year(one("//PubDate/Year"), one("//PubDate/MedlineDate")).alias("year"),
-        clean_title(one("//ArticleTitle")).alias("title"), F.trim(ascii_only(abstract)).alias("abstract"), publication_type(x("//PublicationType/text()")).alias("type"),
-        F.transform(x("//Keyword/text()"), keyword).alias("keywords"), F.filter(F.transform(x("//Reference//ArticleId[@IdType='pubmed']/text()"), number), lambda i: i.isNotNull()).alias("refs"),
-        author_names(F.col("xml")).alias("authors"), F.transform(x("//Affiliation/text()"), lambda a: F.btrim(a, F.lit(" ."))).alias("affiliations"), databanks(F.col("xml")).alias("databanks"), one("//Journal/Title").alias("journal"), one("//ELocationID[@EIdType='doi']|//ArticleIdList/ArticleId[@IdType='doi']").alias("doi"), one("//Language").alias("language"),
+        clean_title(one("//ArticleTitle")).alias("title"), abstract_text(F.col("xml")).alias("abstract"), publication_type(x("//PublicationType/text()")).alias("type"),
+        F.transform(x("//Keyword/text()"), keyword).alias("keywords"), subject_headings(F.col("xml")).alias("mesh"), F.filter(F.transform(x("//Reference//ArticleId[@IdType='pubmed']/text()"), number), lambda i: i.isNotNull()).alias("refs"),
+        author_names(F.col("xml")).alias("authors"), F.transform(x("//Affiliation/text()"), lambda a: F.btrim(a, F.lit(" ."))).alias("affiliations"), databanks(F.col("xml")).alias("databanks"), one("//Journal/Title").alias("journal"), article_doi(F.col("xml")).alias("doi"), one("//Language").alias("language"),
     ).filter("id IS NOT NULL")
 
 
@@ -95,6 +120,13 @@ def publications_from_json(spark: SparkSession, path: str) -> DataFrame:
     return tidy_json(raw)
 
 
+def publications_from_long_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Records of JSON that may span lines: one ends with a line that ends with "}"."""
+    texts = spark.read.text(path, lineSep="}\n")
+    whole = F.when(F.rtrim("value").endswith("}"), F.col("value")).otherwise(F.concat("value", F.lit("}")))
+    return publications_from_lines(texts.select(whole.alias("value")))
+
+
 def publications_from_lines(lines: DataFrame) -> DataFrame:
     """Records of text lines (value), one JSON object each; malformed ones and ones without id or title go."""
     return tidy_json(lines.select(F.from_json("value", JSON_RECORD).alias("r")).select("r.*").filter("id IS NOT NULL AND title IS NOT NULL"))
@@ -107,6 +139,25 @@ def with_defaults(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def clipped_years(rows: DataFrame, span: int = 50) -> DataFrame:
+    """rows whose years lie at most ``span`` before the last one."""
+    last = rows.agg((F.max("year") - span).cast("int").alias("_first"))
+    return rows.crossJoin(F.broadcast(last)).withColumn("year", F.greatest("year", "_first")).drop("_first")
+
+
+def normalised(rows: DataFrame, span: int = 50) -> DataFrame:
+    """Loaded papers (id, abstract, year, aux, ...) as the analyses take them.
+
+    aux is JSON text of authors and journal, each with a name.  Ids become text, a null abstract '', authors the names that
+    are not empty joined by ", ", and years lie at most ``span`` before the last.
+    """
+    aux = F.from_json("aux", "authors array<struct<name string>>, journal struct<name string>")
+    names = F.filter(F.transform(F.col("_aux.authors"), lambda a: a["name"]), lambda n: n.isNotNull() & (n != ""))
+    out = rows.withColumn("_aux", aux).withColumn("id", F.col("id").cast("string")).withColumn("abstract", F.coalesce("abstract", F.lit(""))).withColumn("year", F.col("year").cast("int"))
+    out = out.withColumn("authors", F.coalesce(F.array_join(names, ", "), F.lit(""))).withColumn("journal", F.coalesce("_aux.journal.name", F.lit("")))
+    return clipped_years(out, span).drop("aux", "_aux")
+
+
 def tidy_json(raw: DataFrame) -> DataFrame:
     empty = lambda c: F.nullif(F.col(c), F.lit(""))
     return raw.select("id", "title", empty("paperAbstract").alias("abstract"), F.col("year").try_cast("int").alias("year"), empty("doi").alias("doi"), F.substring_index("pmid", "v", 1).try_cast("long").alias("pmid"),
@@ -157,4 +208,4 @@ def new_files(spark: SparkSession, path: str, schema: T.StructType | str, patter
 
 def random_papers(pubs: DataFrame, n: int, years: tuple[int, int], reviews: bool = True, seed: int = 0) -> DataFrame:
     p = pubs.filter(F.col("year").between(*years))
-    return (p if reviews else p.filter("type <> 'Review'")).orderBy(F.xxhash64(F.lit(seed), "id")).limit(n)
+    return (p if reviews else p.filter("type <> 'Review'")).orderBy(F.md5(F.concat_ws("-", F.lit(seed), "id")), "id").limit(n)

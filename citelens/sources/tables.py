@@ -3,24 +3,54 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUNDLE_VERSION = 1
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; one of the machine's own only where all runs on this machine (tests)."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder: what loops go on from, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+MAX_TITLE = 1023
+
+
 def upsert(base: DataFrame, updates: DataFrame, key: str = "id", newest: str | None = None) -> DataFrame:
-    """Rows of updates replace those of base; of several updates of a key the newest wins."""
-    if newest:
-        w = Window.partitionBy(key).orderBy(F.desc(newest))
-        updates = updates.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    else:
-        updates = updates.dropDuplicates([key])
-    return base.join(updates.select(key), key, "left_anti").unionByName(updates.select(base.columns))
+    """Rows of updates replace those of base.
+
+    Of several updates of a key the newest wins, ties and updates without ``newest`` to the greatest row, so the result is
+    always the same.  A title is cut to MAX_TITLE characters; an empty abstract is stored as null.
+    """
+    columns = base.columns
+    if "title" in columns:
+        updates = updates.withColumn("title", F.substring("title", 1, MAX_TITLE))
+    if "abstract" in columns:
+        updates = updates.withColumn("abstract", F.nullif("abstract", F.lit("")))
+    rest = [c for c in updates.columns if c not in (key, newest)]
+    row = F.struct(*([newest] if newest else []), *rest)
+    last = updates.groupBy(key).agg(F.max(row).alias("_last")).select(key, "_last.*")
+    return base.join(last.select(key), key, "left_anti").unionByName(last.select(columns))
 
 
 def baseline_gate(incoming: DataFrame, known: DataFrame, edges: DataFrame) -> DataFrame:
@@ -105,9 +135,8 @@ def upsert_batches(updates: DataFrame, path: str, checkpoint: str, key: str = "i
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh_rows = batch.dropDuplicates([key])
-        if number:
-            fresh_rows = upsert(spark.read.parquet(f"{path}/v{number - 1}"), fresh_rows, key)
+        known = spark.read.parquet(f"{path}/v{number - 1}") if number else batch.limit(0)
+        fresh_rows = upsert(known, batch, key)
         fresh_rows.write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -22,14 +22,14 @@ def sessions(events: DataFrame) -> DataFrame:
     return events.groupBy("job").agg(
         F.min("ts").alias("start"), F.min(F.when(terminal, F.col("ts"))).alias("end"),
         F.coalesce(F.min(F.when(terminal, F.struct("ts", F.when(F.col("event") == "result", "Ok").otherwise("Error").alias("status"))))["status"], F.lit("Not found")).alias("status"),
-        F.count_if(F.col("event") == "paper").alias("clicks"), F.bool_or(F.col("event") == "feature").alias("features"),
+        F.count_if(F.col("event") == "paper").alias("clicks"), F.bool_or(F.col("event") == "feature").alias("features"), F.bool_or(F.col("event") == "papers").alias("listed"),
     )
 
 
 def totals(sessions_: DataFrame) -> DataFrame:
     seconds = F.unix_timestamp("end") - F.unix_timestamp("start")
-    return sessions_.agg(F.count("*").alias("searches"), F.count_if(F.col("status") == "Ok").alias("successful"), F.sum("clicks").alias("clicks"), F.count_if("features").alias("with_features"),
-                         F.avg(F.when(F.col("end") != F.col("start"), seconds)).alias("mean_seconds")).withColumn("mean_duration", duration(F.coalesce("mean_seconds", F.lit(0))))
+    return sessions_.agg(F.count("*").alias("searches"), F.count_if(F.col("status") == "Ok").alias("successful"), F.sum("clicks").alias("clicks"), F.count_if("features").alias("with_features"), F.count_if("listed").alias("list_shown"),
+                         F.avg(F.when(F.col("end") != F.col("start"), seconds)).alias("mean_seconds")).withColumn("mean_duration", F.when(F.col("mean_seconds").isNull(), "N/A").otherwise(duration(F.floor("mean_seconds"))))
 
 
 def daily(events: DataFrame) -> DataFrame:
@@ -47,8 +47,17 @@ def sessions_stream(events: DataFrame, gap: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", gap).groupBy("job", F.session_window("ts", gap)).agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count_if(F.col("event") == "paper").alias("clicks"), F.bool_or(F.col("event") == "feature").alias("features")).drop("session_window")
 
 
-def recent(events: DataFrame, n: int = 50) -> DataFrame:
-    return events.orderBy(F.desc("ts"), F.desc("job")).limit(n)
+def recent(sessions_: DataFrame, n: int = 50) -> DataFrame:
+    """(start, job, text, duration, status, clicks, features, listed): the newest searches, marks as "+" and "-".
+
+    text is what was searched for: the query, else "Id: " and the id, else "N/A", where sessions have those columns.
+    """
+    given = [F.col("query")] if "query" in sessions_.columns else []
+    given += [F.concat(F.lit("Id: "), F.col("id").cast("string"))] if "id" in sessions_.columns else []
+    took = F.when(F.col("end") != F.col("start"), duration(F.unix_timestamp("end") - F.unix_timestamp("start"))).otherwise("-")
+    mark = lambda c: F.when(F.col(c), "+").otherwise("-").alias(c)
+    newest = sessions_.filter("start IS NOT NULL").orderBy(F.desc("start"), F.desc("job")).limit(n)
+    return newest.select("start", "job", F.coalesce(*given, F.lit("N/A")).alias("text"), took.alias("duration"), "status", "clicks", mark("features"), mark("listed"))
 
 
 def feedback(marks: DataFrame) -> DataFrame:
