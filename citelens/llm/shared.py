@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citelens.sources.tables import cut, shared_folder
+
+__all__ = ["WORD", "ascii_lower", "cut", "fresh", "join_counted", "table", "with_checkpoints"]
+
 #: White space that parts words, and the rest (ASCII only, so every engine agrees on it).
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,22 +22,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Makes checkpoint() usable: the shared folder that the cluster names in spark.checkpoint.dir."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder)
+    """Makes checkpoint() usable, in the folder that the cluster names."""
+    shared_folder(spark)
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and goes on from there, so that a lost executor costs no recomputation."""
-    with_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df does not have."""
     return stem if stem.lower() not in {c.lower() for c in df.columns} else f"{stem}_{uuid.uuid4().hex[:8]}"
