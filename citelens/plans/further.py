@@ -106,9 +106,18 @@ def nrm_01_clipped_year(s, d):
 
 
 @_query(
-    "WITH r AS (SELECT p_partkey, CAST(1900 + p_size * 2 AS INT) AS y FROM part) SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_name END AS abstract, "
-    "greatest(y, (SELECT max(y) FROM r) - 50) AS year, p_brand || ', ' || p_container AS authors, p_mfgr AS journal FROM part JOIN r USING (p_partkey)"
-    .replace("p_container", "p_type").replace("p_mfgr", "p_brand")
+    (
+        "WITH r AS (SELECT p_partkey, CAST(1900 + p_size * 2 AS INT) AS y FROM part) SELECT CAST(p_partkey AS VARCHAR) AS id, CASE "
+        "WHEN p_size % 2 = 0 THEN '' ELSE p_name END AS abstract, "
+    "greatest(y, (SELECT max(y) FROM r) - 50) AS year, p_brand "
+        "|| ', ' || p_container AS authors, p_mfgr AS journal FROM part JOIN r USING (p_partkey)"
+    ).replace(
+        "p_container",
+        "p_type",
+    ).replace(
+        "p_mfgr",
+        "p_brand",
+    ),
 )
 def nrm_01_normalised(s, d):
     """Ids as text, authors and journal out of the JSON column, empty abstracts, years at most fifty before the last."""
@@ -138,17 +147,39 @@ _RELEVANCE = f"round(({_same_stem('a', 'pathetic', 'idiot')} + 0.4 * {_same_stem
 _ANY = f"{_same_stem('list_concat(a, b)', 'pathetic', 'idiot')} > 0"
 
 
-@_query(with_tables("texts", f", {_WORDS} SELECT id FROM w WHERE {_same_stem('list_concat(a, b)', 'licensed')} > 0 AND {_same_stem('list_concat(a, b)', 'releasing')} > 0"))
+@_query(
+    with_tables(
+        "texts",
+        f", {_WORDS} SELECT id FROM w WHERE {_same_stem('list_concat(a, b)', 'licensed')} > 0 AND {_same_stem('list_concat(a, b)', 'releasing')} > 0",
+    ),
+)
 def flt_07_term_match(s, d):
     return A.texts(s, d).filter(search.matches("licensed releasing", F.col("title"), F.col("abstract"))).select("id")
 
 
-@_query(with_tables("texts", f", {_WORDS} SELECT id FROM w WHERE ({_same_stem('list_concat(a, b)', 'pathetic')} > 0 AND {_same_stem('list_concat(a, b)', 'idiot')} > 0) OR {_phrase('mit license')} OR {_same_stem('list_concat(a, b)', 'apache')} > 0"))
+@_query(
+    with_tables(
+        "texts",
+        (
+            f", {_WORDS} SELECT id FROM w WHERE ({_same_stem('list_concat(a, b)', 'pathetic')} > 0 AND {_same_stem('list_concat(a, b)', 'idiot')} "
+            f"> 0) OR {_phrase('mit license')} OR {_same_stem('list_concat(a, b)', 'apache')} > 0"
+        ),
+    ),
+)
 def flt_06_expression(s, d):
     return A.texts(s, d).filter(search.matches('pathetic idiot, "mit license", Apache', F.col("title"), F.col("abstract"))).select("id")
 
 
-@_query(with_tables("texts edges", f", {_WORDS} SELECT w.id, year, CAST(c AS DOUBLE) AS count FROM w LEFT JOIN (SELECT id_in, count(*) AS c FROM edges GROUP BY 1 HAVING count(*) >= 3) ON id_in = w.id WHERE {_ANY} ORDER BY count DESC NULLS LAST, {_RELEVANCE} DESC, year DESC, w.id LIMIT 30"))
+@_query(
+    with_tables(
+        "texts edges",
+        (
+            f", {_WORDS} SELECT w.id, year, CAST(c AS DOUBLE) AS count FROM w LEFT JOIN (SELECT id_in, count(*) AS c FROM edges GROUP "
+            f"BY 1 HAVING count(*) >= 3) ON id_in = w.id WHERE {_ANY} ORDER BY count DESC NULLS LAST, {_RELEVANCE} DESC, year DESC, "
+            f"w.id LIMIT 30"
+        ),
+    ),
+)
 def flt_10_ranked_search(s, d):
     return search.ranked(A.texts(s, d), A.edges(s, d), "pathetic, idiot", 30).select("id", "year", F.col("count").cast("double").alias("count"))
 
@@ -158,13 +189,34 @@ def flt_11_relevance(s, d):
     return A.texts(s, d).select("id", F.round(search.relevance("pathetic, idiot", F.col("title"), F.col("abstract")), 9).alias("relevance")).filter("relevance > 0")
 
 
-@_query(with_tables("texts edges", f", {_WORDS} SELECT w.id, year FROM w LEFT JOIN (SELECT id_in, count(*) AS c FROM edges GROUP BY 1 HAVING count(*) >= 3) ON id_in = w.id WHERE CAST('0x' || substr(md5('0-' || w.id), 1, 8) AS BIGINT) < 2147483648 AND {_same_stem('list_concat(a, b)', 'public', 'license')} > 0 ORDER BY c DESC NULLS LAST, round(({_same_stem('a', 'public', 'license')} + 0.4 * {_same_stem('b', 'public', 'license')})::DOUBLE / greatest(len(a) + len(b), 1), 9) DESC, year DESC, w.id LIMIT 30"))
+@_query(
+    with_tables(
+        "texts edges",
+        (
+            f", {_WORDS} SELECT w.id, year FROM w LEFT JOIN (SELECT id_in, count(*) AS c FROM edges GROUP BY 1 HAVING count(*) >= 3) "
+            f"ON id_in = w.id WHERE CAST('0x' || substr(md5('0-' || w.id), 1, 8) AS BIGINT) < 2147483648 AND {_same_stem('list_concat(a, b)', 'public', 'license')} "
+            f"> 0 ORDER BY c DESC NULLS LAST, round(({_same_stem('a', 'public', 'license')} + 0.4 * {_same_stem('b', 'public', 'license')})::DOUBLE "
+            f"/ greatest(len(a) + len(b), 1), 9) DESC, year DESC, w.id LIMIT 30"
+        ),
+    ),
+)
 def flt_12_sampled_search(s, d):
     """A phrase that the sampled retry takes as any of its words."""
     return search.ranked(A.texts(s, d), A.edges(s, d), '"public license"', 30, fraction=0.5).select("id", "year")
 
 
-@_query(with_tables("texts edges", ", t AS (SELECT texts.*, coalesce(c, 0) AS total FROM texts LEFT JOIN (SELECT id_in, count(*) AS c FROM edges GROUP BY 1) ON id_in = id), top AS (SELECT id FROM t ORDER BY total DESC, id LIMIT 500) SELECT id, title, journal AS authors, 'https://example.org/' || id AS url, journal, year, total, '' AS doi, comp + 1 AS topic FROM t WHERE id IN (FROM top) AND (regexp_matches(title, '(?i)license') OR regexp_matches(abstract, '(?i)license') OR regexp_matches(lang, '(?i)license')) AND starts_with(journal, 'src1')"))
+@_query(
+    with_tables(
+        "texts edges",
+        (
+            ", t AS (SELECT texts.*, coalesce(c, 0) AS total FROM texts LEFT JOIN (SELECT id_in, count(*) AS c FROM edges GROUP BY "
+            "1) ON id_in = id), top AS (SELECT id FROM t ORDER BY total DESC, id LIMIT 500) SELECT id, title, journal AS authors, "
+            "'https://example.org/' || id AS url, journal, year, total, '' AS doi, comp + 1 AS topic FROM t WHERE id IN (FROM top) "
+            "AND (regexp_matches(title, '(?i)license') OR regexp_matches(abstract, '(?i)license') OR regexp_matches(lang, '(?i)license')) "
+            "AND starts_with(journal, 'src1')"
+        ),
+    ),
+)
 def flt_13_result_list(s, d):
     """Top cited papers of a journal prefix with a word in title, abstract or keywords, as the whole result row."""
     total = A.edges(s, d).groupBy(F.col("id_in").alias("id")).agg(F.count("*").alias("total"))
@@ -175,17 +227,25 @@ def flt_13_result_list(s, d):
 
 # Expansion ------------------------------------------------------------------------------------------------------------------
 
-_TOTAL = "c AS (SELECT id_in, count(*) AS c FROM order_edges GROUP BY 1 HAVING count(*) >= 3), tot AS (SELECT pubs.id, coalesce(c, 1) AS total FROM pubs LEFT JOIN c ON id_in = pubs.id)"
+_TOTAL = (
+    "c AS (SELECT id_in, count(*) AS c FROM order_edges GROUP BY 1 HAVING count(*) >= 3), tot AS (SELECT pubs.id, coalesce(c, 1) AS "
+    "total FROM pubs LEFT JOIN c ON id_in = pubs.id)"
+)
 
 
-@_query(with_tables("order_edges pubs", f""", {_TOTAL}, s AS (SELECT id FROM pubs WHERE type = 'P'), r AS (SELECT DISTINCT id_in AS id FROM order_edges WHERE id_out IN (FROM s)),
+@_query(
+    with_tables(
+        "order_edges pubs",
+        f""", {_TOTAL}, s AS (SELECT id FROM pubs WHERE type = 'P'), r AS (SELECT DISTINCT id_in AS id FROM order_edges WHERE id_out IN (FROM s)),
 b AS (SELECT total FROM tot WHERE id IN (FROM s UNION FROM r)), q AS (SELECT quantile_cont(total, 0.1) AS lo, quantile_cont(total, 0.9) AS hi FROM b),
 m AS (SELECT avg(total) AS mean, stddev_pop(total) AS std FROM b, q WHERE total BETWEEN lo AND hi),
 one AS (SELECT id FROM r JOIN tot USING (id) WHERE id NOT IN (FROM s) ORDER BY total DESC, id LIMIT (SELECT 3000 - count(*) FROM s)),
 f AS (SELECT id, 0 AS step FROM s UNION ALL SELECT id, 1 FROM one), n AS (SELECT id_in AS id FROM order_edges WHERE id_out IN (SELECT id FROM f) UNION SELECT id_out FROM order_edges WHERE id_in IN (SELECT id FROM f)),
 x AS (SELECT id, total FROM n JOIN tot USING (id) WHERE id NOT IN (SELECT id FROM f) ORDER BY total DESC, id LIMIT (SELECT 5000 - count(*) FROM f)),
 two AS (SELECT id FROM x, m WHERE abs(total - mean) <= 5 * std ORDER BY total DESC, id LIMIT (SELECT greatest(3000 - count(*), 0) FROM f))
-SELECT id, CAST(step AS INT) AS step FROM f UNION ALL SELECT id, 2 FROM two"""))
+SELECT id, CAST(step AS INT) AS step FROM f UNION ALL SELECT id, 2 FROM two""",
+    ),
+)
 def cit_18_expand_steps(s, d):
     e = A.order_edges(s, d)
     return citations.expand_steps(e, A.pubs(s, d).filter("type = 'P'").select("id"), citations.citation_counts(e), 2, 3000)
@@ -223,7 +283,19 @@ def grf_04_sparse_graph(s, d):
     return _sparse(s, d, 10).withColumn("similarity", F.round("similarity", 6))
 
 
-@_query(with_tables("edges order_edges", _sparse_sql(5) + ", t AS (SELECT f.other AS prev, f.node, n.other AS next, n.w * CASE WHEN n.other = f.other THEN 0.2 WHEN a.node IS NULL THEN 0.5 ELSE 1.0 END AS w FROM sb f JOIN sb n ON f.node = n.node LEFT JOIN sb a ON a.node = f.other AND a.other = n.other) SELECT prev, node, next, round(w / sum(w) OVER (PARTITION BY prev, node), 6) AS probability FROM t"))
+@_query(
+    with_tables(
+        "edges order_edges",
+        (
+            _sparse_sql(5)
+            + (
+                ", t AS (SELECT f.other AS prev, f.node, n.other AS next, n.w * CASE WHEN n.other = f.other THEN 0.2 WHEN a.node IS "
+                "NULL THEN 0.5 ELSE 1.0 END AS w FROM sb f JOIN sb n ON f.node = n.node LEFT JOIN sb a ON a.node = f.other AND a.other "
+                "= n.other) SELECT prev, node, next, round(w / sum(w) OVER (PARTITION BY prev, node), 6) AS probability FROM t"
+            )
+        ),
+    ),
+)
 def grf_08_transition_weights(s, d):
     return graph.transition_weights(_sparse(s, d)).withColumn("probability", F.round("probability", 6))
 
@@ -249,7 +321,11 @@ def _ranks_sql(rounds: int, edges: str, nodes: str) -> str:
     return out
 
 
-_JOURNALS = "je AS (SELECT least(a.journal, b.journal) AS src, greatest(a.journal, b.journal) AS dst, count(*)::DOUBLE AS weight FROM order_edges JOIN pubs a ON a.id = id_out JOIN pubs b ON b.id = id_in WHERE a.journal <> b.journal {} GROUP BY 1, 2), jn AS (SELECT DISTINCT journal AS id FROM pubs)"
+_JOURNALS = (
+    "je AS (SELECT least(a.journal, b.journal) AS src, greatest(a.journal, b.journal) AS dst, count(*)::DOUBLE AS weight FROM order_edges "
+    "JOIN pubs a ON a.id = id_out JOIN pubs b ON b.id = id_in WHERE a.journal <> b.journal {} GROUP BY 1, 2), jn AS (SELECT DISTINCT "
+    "journal AS id FROM pubs)"
+)
 
 
 @_query(with_tables("order_edges pubs", f", {_JOURNALS.format('')}, {_ranks_sql(10, 'je', 'jn')} SELECT id, round(rank, 6) AS rank FROM r10"))
@@ -258,7 +334,10 @@ def grf_11_page_rank(s, d):
     return graph.page_rank(B._journal_edges(s, d), nodes).select("id", F.round("rank", 6).alias("rank"))
 
 
-_CUT = "je{y} AS (SELECT least(a.journal, b.journal) AS src, greatest(a.journal, b.journal) AS dst, count(*)::DOUBLE AS weight FROM order_edges JOIN pubs a ON a.id = id_out JOIN pubs b ON b.id = id_in WHERE a.journal <> b.journal AND a.year <= {y} GROUP BY 1, 2)"
+_CUT = (
+    "je{y} AS (SELECT least(a.journal, b.journal) AS src, greatest(a.journal, b.journal) AS dst, count(*)::DOUBLE AS weight FROM order_edges "
+    "JOIN pubs a ON a.id = id_out JOIN pubs b ON b.id = id_in WHERE a.journal <> b.journal AND a.year <= {y} GROUP BY 1, 2)"
+)
 
 
 def _by_cut_sql(years: list[int]) -> str:
@@ -280,7 +359,20 @@ def grf_11_page_rank_by_year(s, d):
     return graph.page_rank_by_cut(e, nodes, [1997, 1999, 2001]).withColumn("rank", F.round("rank", 6))
 
 
-@_query(with_tables("edges order_edges", _sparse_sql(5).replace("WITH ", "") + ", ties AS (SELECT m.node AS ego, m.other AS node, x.other FROM sb m JOIN sb x ON x.node = m.other JOIN sb y ON y.node = m.node AND y.other = x.other), g AS (SELECT ego, node, comp FROM (WITH RECURSIVE r AS (SELECT node AS ego, other AS node, other AS reach FROM sb UNION SELECT r.ego, r.node, t.other FROM r JOIN ties t ON t.ego = r.ego AND t.node = r.reach) SELECT ego, node, min(reach) AS comp FROM r GROUP BY ego, node)) SELECT ego, node, comp FROM g"))
+@_query(
+    with_tables(
+        "edges order_edges",
+        (
+            _sparse_sql(5).replace("WITH ", "")
+            + (
+                ", ties AS (SELECT m.node AS ego, m.other AS node, x.other FROM sb m JOIN sb x ON x.node = m.other JOIN sb y ON y.node "
+                "= m.node AND y.other = x.other), g AS (SELECT ego, node, comp FROM (WITH RECURSIVE r AS (SELECT node AS ego, other "
+                "AS node, other AS reach FROM sb UNION SELECT r.ego, r.node, t.other FROM r JOIN ties t ON t.ego = r.ego AND t.node "
+                "= r.reach) SELECT ego, node, min(reach) AS comp FROM r GROUP BY ego, node)) SELECT ego, node, comp FROM g"
+            )
+        ),
+    ),
+)
 def grf_12_ego_components(s, d):
     return graph.ego_components(_sparse(s, d))
 
@@ -314,7 +406,10 @@ def _tfidf(s: SparkSession, d: str) -> DataFrame:
     return text.tfidf(text.counts(B._tokens(s, d)), A.table(s, d, "documents").count())
 
 
-_MEANS = "pv AS MATERIALIZED (SELECT id, list(v ORDER BY dim) AS v FROM (SELECT vec_id // 2 AS id, dim, avg(x::DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY ALL) GROUP BY id)"
+_MEANS = (
+    "pv AS MATERIALIZED (SELECT id, list(v ORDER BY dim) AS v FROM (SELECT vec_id // 2 AS id, dim, avg(x::DOUBLE) AS v FROM (SELECT "
+    "vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY ALL) GROUP BY id)"
+)
 _SHARE = "0.8 * CASE WHEN e > 0.1 THEN e ELSE 0 END + 0.2 * CASE WHEN t > 0.1 THEN t ELSE 0 END"
 
 
@@ -329,7 +424,15 @@ def _text_similarity_sql(pairs: str, last: str) -> str:
     )
 
 
-@_query(with_tables("order_edges tokens counts", _text_similarity_sql("p AS MATERIALIZED (SELECT id_in AS src, id_out AS dst FROM order_edges)", "SELECT src, dst, round(x, 5) + 0.0 AS textsimilarity FROM ts")))
+@_query(
+    with_tables(
+        "order_edges tokens counts",
+        _text_similarity_sql(
+            "p AS MATERIALIZED (SELECT id_in AS src, id_out AS dst FROM order_edges)",
+            "SELECT src, dst, round(x, 5) + 0.0 AS textsimilarity FROM ts",
+        ),
+    ),
+)
 def grf_02_text_similarity(s, d):
     e = A.order_edges(s, d).select(F.col("id_in").alias("src"), F.col("id_out").alias("dst"))
     return vectors.refreshed(e, _paper_vectors(s, d), _tfidf(s, d)).withColumn("textsimilarity", F.round("textsimilarity", 5) + 0.0)
@@ -337,8 +440,11 @@ def grf_02_text_similarity(s, d):
 
 _NEAREST = (
     "un AS MATERIALIZED (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM pv), "
-    "nb AS (SELECT a.id AS q, b.id FROM un a, un b WHERE a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.u, b.u), 9), b.id) <= 100), "
-    "p AS MATERIALIZED (SELECT DISTINCT least(q, id) AS src, greatest(q, id) AS dst FROM nb WHERE (least(q, id), greatest(q, id)) NOT IN (SELECT (id_in, id_out) FROM order_edges))"
+    "nb AS (SELECT "
+    "a.id AS q, b.id FROM un a, un b WHERE a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.u, "
+    "b.u), 9), b.id) <= 100), "
+    "p AS MATERIALIZED (SELECT DISTINCT least(q, id) AS src, greatest(q, id) AS dst FROM nb WHERE "
+    "(least(q, id), greatest(q, id)) NOT IN (SELECT (id_in, id_out) FROM order_edges))"
 )
 
 
@@ -351,12 +457,28 @@ def grf_02_text_edges(s, d):
 # Text -----------------------------------------------------------------------------------------------------------------------
 
 
-@_query(with_tables("tokens", f", f AS (SELECT token, count(*) AS n FROM tokens GROUP BY token), z AS (SELECT *, {text.stem_sql('token')} AS stem FROM f) SELECT stem, count(*) AS forms, CAST(sum(n) AS BIGINT) AS count FROM z GROUP BY stem"))
+@_query(
+    with_tables(
+        "tokens",
+        (
+            f", f AS (SELECT token, count(*) AS n FROM tokens GROUP BY token), z AS (SELECT *, {text.stem_sql('token')} AS stem FROM "
+            f"f) SELECT stem, count(*) AS forms, CAST(sum(n) AS BIGINT) AS count FROM z GROUP BY stem"
+        ),
+    ),
+)
 def txt_02_stems(s, d):
     return B._tokens(s, d).select("token", text.stem(F.col("token")).alias("stem")).groupBy("stem").agg(F.countDistinct("token").alias("forms"), F.count("*").alias("count"))
 
 
-@_query(with_tables("tokens", f", z AS (SELECT DISTINCT token, {text.stem_sql('token')} AS stem FROM tokens) SELECT stem, arg_min(token, (length(token), token)) AS token FROM z GROUP BY stem"))
+@_query(
+    with_tables(
+        "tokens",
+        (
+            f", z AS (SELECT DISTINCT token, {text.stem_sql('token')} AS stem FROM tokens) SELECT stem, arg_min(token, (length(token), "
+            f"token)) AS token FROM z GROUP BY stem"
+        ),
+    ),
+)
 def txt_03_surface_forms(s, d):
     return text.surface_forms(B._tokens(s, d))
 
@@ -413,7 +535,13 @@ def emb_01_encoded_texts(s, d):
     return vectors.encode_texts(A.texts(s, d), text="abstract").select("id", _rounded("embedding").alias("embedding"))
 
 
-@_query(f"WITH {_CHUNKS}, st AS (SELECT vec_id // 2 AS id, CAST(vec_id % 2 AS INT) AS chunk FROM embeddings WHERE vec_id // 2 IN (SELECT doc_id FROM documents)) SELECT id, chunk, 'stored' AS source FROM st UNION ALL SELECT id, chunk, 'encoded' FROM cx WHERE id NOT IN (SELECT vec_id // 2 FROM embeddings)")
+@_query(
+    (
+        f"WITH {_CHUNKS}, st AS (SELECT vec_id // 2 AS id, CAST(vec_id % 2 AS INT) AS chunk FROM embeddings WHERE vec_id // 2 IN (SELECT "
+        f"doc_id FROM documents)) SELECT id, chunk, 'stored' AS source FROM st UNION ALL SELECT id, chunk, 'encoded' FROM cx WHERE "
+        f"id NOT IN (SELECT vec_id // 2 FROM embeddings)"
+    ),
+)
 def emb_03_stored_or_missing(s, d):
     return vectors.all_embeddings(A.texts(s, d), A.chunk_vectors(s, d)).select("id", "chunk", "source")
 
@@ -436,10 +564,21 @@ def clu_03_clusters_by_size(s, d):
 
 # Topics, cards and reports ----------------------------------------------------------------------------------------------------
 
-_SHARES = "c AS (SELECT journal, comp, count(*) AS n FROM pubs GROUP BY ALL), j AS (SELECT journal, list(comp ORDER BY n DESC, comp) AS cs, list(n ORDER BY n DESC, comp) AS ns, sum(n) AS s FROM c GROUP BY journal ORDER BY s DESC, journal LIMIT 20)"
+_SHARES = (
+    "c AS (SELECT journal, comp, count(*) AS n FROM pubs GROUP BY ALL), j AS (SELECT journal, list(comp ORDER BY n DESC, comp) AS "
+    "cs, list(n ORDER BY n DESC, comp) AS ns, sum(n) AS s FROM c GROUP BY journal ORDER BY s DESC, journal LIMIT 20)"
+)
 
 
-@_query(with_tables("pubs", f", {_SHARES} SELECT journal, array_to_string(list_transform(range(1, least(3, len(cs)) + 1), lambda i: cs[i] || ':' || CAST(floor(100.0 * ns[i] / s) AS BIGINT)), ',') AS shares FROM j"))
+@_query(
+    with_tables(
+        "pubs",
+        (
+            f", {_SHARES} SELECT journal, array_to_string(list_transform(range(1, least(3, len(cs)) + 1), lambda i: cs[i] || ':' || "
+            f"CAST(floor(100.0 * ns[i] / s) AS BIGINT)), ',') AS shares FROM j"
+        ),
+    ),
+)
 def met_03_topic_shares(s, d):
     return reports.topic_shares(reports.popular(A.pubs(s, d), "journal", 20), "journal")
 
@@ -453,11 +592,30 @@ def _flat(column: str, *fields: str):
 
 
 _TAGS = B._TOPICS.rstrip() + ", tg AS (SELECT comp, string_agg(token, ',' ORDER BY rank) AS tags FROM w WHERE rank <= 5 GROUP BY comp)"
-_LISTED = "(SELECT string_agg(id || ':' || total || ':' || (comp + 1), ',' ORDER BY total DESC, id) FROM (SELECT DISTINCT o.id, total, comp FROM order_edges JOIN opubs o ON o.id = {other} WHERE {end} = 1000 ORDER BY total DESC, o.id LIMIT 50))"
-_SIMILAR = "(SELECT string_agg(id || ':' || CAST(similarity AS BIGINT) || ':' || total || ':' || (comp + 1), ',' ORDER BY similarity DESC, id) FROM (SELECT o.id, similarity, total, comp FROM sim JOIN opubs o ON o.id = CASE WHEN src = 1000 THEN dst ELSE src END WHERE src = 1000 OR dst = 1000 ORDER BY similarity DESC, o.id LIMIT 50))"
+_LISTED = (
+    "(SELECT string_agg(id || ':' || total || ':' || (comp + 1), ',' ORDER BY total DESC, id) FROM (SELECT DISTINCT o.id, total, comp "
+    "FROM order_edges JOIN opubs o ON o.id = {other} WHERE {end} = 1000 ORDER BY total DESC, o.id LIMIT 50))"
+)
+_SIMILAR = (
+    "(SELECT string_agg(id || ':' || CAST(similarity AS BIGINT) || ':' || total || ':' || (comp + 1), ',' ORDER BY similarity DESC, "
+    "id) FROM (SELECT o.id, similarity, total, comp FROM sim JOIN opubs o ON o.id = CASE WHEN src = 1000 THEN dst ELSE src END WHERE "
+    "src = 1000 OR dst = 1000 ORDER BY similarity DESC, o.id LIMIT 50))"
+)
 
 
-@_query(with_tables("edges order_edges pubs tokens counts", f", {B._OP}{B._SIM.rstrip()}{_TAGS} SELECT id, year, journal, total, p.comp % 5 + 1 AS topic, coalesce(tags, '') AS topic_tags, {_LISTED.format(other='id_in', end='id_out')} AS prior, {_LISTED.format(other='id_out', end='id_in')} AS derivative, {_SIMILAR} AS similar FROM (SELECT * FROM opubs WHERE id = 1000) p LEFT JOIN tg ON tg.comp = p.comp % 5".replace("(comp + 1)", "(comp % 5 + 1)")))
+@_query(
+    with_tables(
+        "edges order_edges pubs tokens counts",
+        (
+            f", {B._OP}{B._SIM.rstrip()}{_TAGS} SELECT id, year, journal, total, p.comp % 5 + 1 AS topic, coalesce(tags, '') AS topic_tags, "
+            f"{_LISTED.format(other='id_in', end='id_out')} AS prior, {_LISTED.format(other='id_out', end='id_in')} AS derivative, "
+            f"{_SIMILAR} AS similar FROM (SELECT * FROM opubs WHERE id = 1000) p LEFT JOIN tg ON tg.comp = p.comp % 5"
+        ).replace(
+            "(comp + 1)",
+            "(comp % 5 + 1)",
+        ),
+    ),
+)
 def rep_04_paper_card(s, d):
     pubs = tables.cut(B._order_pubs(s, d).withColumn("comp", F.col("comp") % 5))
     near = graph.similar(B._similarity(s, d), 1000, 50)
@@ -467,7 +625,19 @@ def rep_04_paper_card(s, d):
     return card.select("id", "year", "journal", "total", "topic", "topic_tags", *lists)
 
 
-@_query(with_tables("edges order_edges tokens counts", _sparse_sql(5).rstrip() + _TAGS + ", dg AS (SELECT node, count(*) AS degree FROM sb GROUP BY node) SELECT p_partkey AS id, p_partkey % 5 AS comp, coalesce(tags, '') AS tags, coalesce(degree, 0) AS degree FROM part LEFT JOIN tg ON tg.comp = p_partkey % 5 LEFT JOIN dg ON dg.node = p_partkey"))
+@_query(
+    with_tables(
+        "edges order_edges tokens counts",
+        (
+            _sparse_sql(5).rstrip() + _TAGS
+            + (
+                ", dg AS (SELECT node, count(*) AS degree FROM sb GROUP BY node) SELECT p_partkey AS id, p_partkey % 5 AS comp, coalesce(tags, "
+                "'') AS tags, coalesce(degree, 0) AS degree FROM part LEFT JOIN tg ON tg.comp = p_partkey % 5 LEFT JOIN dg ON dg.node "
+                "= p_partkey"
+            )
+        ),
+    ),
+)
 def rep_05_graph_view(s, d):
     pubs = A.parts(s, d).select("id", (F.col("id") % 5).alias("comp"))
     return reports.graph_view(pubs, _sparse(s, d), _words(s, d, 5))[0]
@@ -483,10 +653,17 @@ def _reports(s: SparkSession, d: str) -> dict[str, DataFrame]:
     return reports.report_tables(B._order_pubs(s, d), A.order_edges(s, d), A.authorship(s, d), B._order_by_year(s, d), text.counts(B._tokens(s, d)), A.texts(s, d))
 
 
-_YEARLY = "y AS (SELECT id_in AS id, CAST(year(o_orderdate) AS INT) AS year, count(*) AS count FROM order_edges JOIN orders ON o_orderkey = id_out GROUP BY ALL), g AS (SELECT year, id, count / greatest(coalesce(sum(count) OVER (PARTITION BY id ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 1) AS gain FROM y)"
+_YEARLY = (
+    "y AS (SELECT id_in AS id, CAST(year(o_orderdate) AS INT) AS year, count(*) AS count FROM order_edges JOIN orders ON o_orderkey "
+    "= id_out GROUP BY ALL), g AS (SELECT year, id, count / greatest(coalesce(sum(count) OVER (PARTITION BY id ORDER BY year ROWS "
+    "BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 1) AS gain FROM y)"
+)
 
 
-@_query(with_tables("order_edges pubs authorship tokens counts", f""", {B._OP}, {_YEARLY}{B._TOPICS}, js AS (SELECT journal, count(*) AS n FROM opubs WHERE journal <> '' GROUP BY 1 ORDER BY n DESC, journal LIMIT 50),
+@_query(
+    with_tables(
+        "order_edges pubs authorship tokens counts",
+        f""", {B._OP}, {_YEARLY}{B._TOPICS}, js AS (SELECT journal, count(*) AS n FROM opubs WHERE journal <> '' GROUP BY 1 ORDER BY n DESC, journal LIMIT 50),
 ats AS (SELECT author, count(*) AS n FROM authorship JOIN opubs USING (id) GROUP BY 1 ORDER BY n DESC, author LIMIT 50)
 SELECT 'top_cited_papers' AS section, CAST(id AS VARCHAR) AS key, CAST(total AS DOUBLE) AS value FROM (SELECT id, total FROM opubs ORDER BY total DESC, id LIMIT 50)
 UNION ALL SELECT 'most_cited_per_year', year || '-' || id, CAST(count AS DOUBLE) FROM (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY year ORDER BY count DESC, id) = 1)
@@ -494,7 +671,9 @@ UNION ALL SELECT 'fastest_growth_per_year', year || '-' || id, round(gain, 6) FR
 UNION ALL SELECT 'papers_by_year', CAST(year AS VARCHAR), CAST(count(*) AS DOUBLE) FROM opubs GROUP BY year
 UNION ALL SELECT 'component_sizes', CAST(comp AS VARCHAR), CAST(count(*) AS DOUBLE) FROM opubs GROUP BY comp
 UNION ALL SELECT 'topic_words', comp || '-' || token, round(score, 6) FROM w
-UNION ALL SELECT 'journals', journal, CAST(n AS DOUBLE) FROM js UNION ALL SELECT 'authors', author, CAST(n AS DOUBLE) FROM ats"""))
+UNION ALL SELECT 'journals', journal, CAST(n AS DOUBLE) FROM js UNION ALL SELECT 'authors', author, CAST(n AS DOUBLE) FROM ats""",
+    ),
+)
 def rep_06_report(s, d):
     """The report's tables, one under the other as (section, key, value)."""
     t, joined = _reports(s, d), lambda *c: F.concat_ws("-", *c)
@@ -531,7 +710,16 @@ def prd_13_repeated_regression(s, d):
     return out
 
 
-@_query(with_tables("order_edges pubs", f", {B._OP}, t AS (SELECT min(total) AS least FROM (SELECT total FROM opubs ORDER BY total DESC LIMIT (SELECT CAST(floor(0.02 * count(*)) AS BIGINT) FROM opubs))) SELECT CAST(total > least AS INT) AS label, count(*) AS n FROM opubs, t GROUP BY 1"))
+@_query(
+    with_tables(
+        "order_edges pubs",
+        (
+            f", {B._OP}, t AS (SELECT min(total) AS least FROM (SELECT total FROM opubs ORDER BY total DESC LIMIT (SELECT CAST(floor(0.02 "
+            f"* count(*)) AS BIGINT) FROM opubs))) SELECT CAST(total > least AS INT) AS label, count(*) AS n FROM opubs, t GROUP BY "
+            f"1"
+        ),
+    ),
+)
 def prd_15_top_label(s, d):
     return models.above_top_share(B._order_pubs(s, d), "total").groupBy("label").agg(F.count("*").alias("n"))
 
@@ -549,7 +737,15 @@ def prd_15_top_paper_classifier(s, d):
     return out
 
 
-@_query(with_tables("pubs", "SELECT CAST(n AS INT) AS sample, id FROM pubs, range(0, 3) r(n) WHERE CAST('0x' || substr(md5(n || '-' || id), 1, 8) AS BIGINT) < CAST(floor(0.8 * 4294967296) AS BIGINT)"))
+@_query(
+    with_tables(
+        "pubs",
+        (
+            "SELECT CAST(n AS INT) AS sample, id FROM pubs, range(0, 3) r(n) WHERE CAST('0x' || substr(md5(n || '-' || id), 1, 8) "
+            "AS BIGINT) < CAST(floor(0.8 * 4294967296) AS BIGINT)"
+        ),
+    ),
+)
 def prd_12_resampled(s, d):
     return impact.resampled(A.pubs(s, d).select("id"), 3).select("sample", "id")
 
@@ -564,19 +760,42 @@ def _searches(s: SparkSession, d: str) -> DataFrame:
 
 _SESSIONS = (
     "e2 AS (SELECT * REPLACE (CASE WHEN event = 'feature' AND value > 50 THEN 'papers' ELSE event END AS event) FROM ev), "
-    "s AS (SELECT job, min(ts) AS st, min(ts) FILTER (event IN ('result', 'error')) AS en, arg_min(CASE WHEN event = 'result' THEN 'Ok' ELSE 'Error' END, ts) FILTER (event IN ('result', 'error')) AS status, "
-    "count(*) FILTER (event = 'paper') AS clicks, bool_or(event = 'feature') AS f, bool_or(event = 'papers') AS l FROM e2 GROUP BY job), "
-    "z AS (SELECT *, CASE WHEN en <> st THEN CAST(epoch(date_trunc('second', en)) - epoch(date_trunc('second', st)) AS BIGINT) END AS sec FROM s)"
+    "s "
+    "AS (SELECT job, min(ts) AS st, min(ts) FILTER (event IN ('result', 'error')) AS en, arg_min(CASE WHEN event = 'result' THEN 'Ok' "
+    "ELSE 'Error' END, ts) FILTER (event IN ('result', 'error')) AS status, "
+    "count(*) FILTER (event = 'paper') AS clicks, bool_or(event "
+    "= 'feature') AS f, bool_or(event = 'papers') AS l FROM e2 GROUP BY job), "
+    "z AS (SELECT *, CASE WHEN en <> st THEN CAST(epoch(date_trunc('second', "
+    "en)) - epoch(date_trunc('second', st)) AS BIGINT) END AS sec FROM s)"
 )
 _TIME = "printf('%02d:%02d:%02d', ({0} % 86400) // 3600, ({0} % 3600) // 60, {0} % 60)"
 
 
-@_query(with_tables("events", f", {_SESSIONS}, a AS (SELECT CAST(floor(avg(sec)) AS BIGINT) AS m FROM z) SELECT count(*) AS searches, count(*) FILTER (status = 'Ok') AS successful, CAST(sum(clicks) AS BIGINT) AS clicks, count(*) FILTER (f) AS with_features, count(*) FILTER (l) AS list_shown, any_value({_TIME.format('m')}) AS mean_duration FROM z, a"))
+@_query(
+    with_tables(
+        "events",
+        (
+            f", {_SESSIONS}, a AS (SELECT CAST(floor(avg(sec)) AS BIGINT) AS m FROM z) SELECT count(*) AS searches, count(*) FILTER "
+            f"(status = 'Ok') AS successful, CAST(sum(clicks) AS BIGINT) AS clicks, count(*) FILTER (f) AS with_features, count(*) "
+            f"FILTER (l) AS list_shown, any_value({_TIME.format('m')}) AS mean_duration FROM z, a"
+        ),
+    ),
+)
 def log_03_totals(s, d):
     return logs.totals(_searches(s, d)).drop("mean_seconds")
 
 
-@_query(with_tables("events", f", {_SESSIONS} SELECT strftime(st, '%Y-%m-%d %H:%M:%S') AS start, job, 'Id: ' || split_part(job, '-', 1) AS text, CASE WHEN sec IS NULL THEN '-' ELSE {_TIME.format('sec')} END AS duration, coalesce(status, 'Not found') AS status, clicks, CASE WHEN f THEN '+' ELSE '-' END AS features, CASE WHEN l THEN '+' ELSE '-' END AS listed FROM z ORDER BY st DESC, job DESC LIMIT 50"))
+@_query(
+    with_tables(
+        "events",
+        (
+            f", {_SESSIONS} SELECT strftime(st, '%Y-%m-%d %H:%M:%S') AS start, job, 'Id: ' || split_part(job, '-', 1) AS text, CASE "
+            f"WHEN sec IS NULL THEN '-' ELSE {_TIME.format('sec')} END AS duration, coalesce(status, 'Not found') AS status, clicks, "
+            f"CASE WHEN f THEN '+' ELSE '-' END AS features, CASE WHEN l THEN '+' ELSE '-' END AS listed FROM z ORDER BY st DESC, job "
+            f"DESC LIMIT 50"
+        ),
+    ),
+)
 def log_05_recent(s, d):
     told = _searches(s, d).withColumn("id", F.substring_index("job", "-", 1))
     return logs.recent(told).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
