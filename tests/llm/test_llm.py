@@ -237,7 +237,7 @@ def test_mix_is_near_its_targets_and_repeats(spark, docs):
     assert sorted(zip(rows.id, rows.taken)) == sorted(zip(again.id, again.taken))
     assert (rows.taken <= 3 * rows["size"]).all()
     sums = rows.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
-    assert ((sums.taken - sums.target).abs() <= 64).all()
+    assert ((sums.taken - sums.target).abs() <= 128).all()
     assert abs(sums.target.sum() - rows["size"].sum()) < 1e-6
     assert quotas.filter("quota < 0").count() == 0
     mixed = mixing.mixed_documents(docs, shard_col="mix").select("doc_id", "mix", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n")).toPandas()
@@ -315,6 +315,31 @@ def test_near_duplicates_in_a_crowd(spark):
     assert (expected != np.arange(len(texts))).sum() == 3 and got == dict(enumerate(expected.tolist()))
 
 
+def test_a_large_group_of_near_copies_is_one_component(spark):
+    """5000 near copies of one text over many blocks, a second group that is too far, and texts that stand alone."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    far = [f"f{i}" if i % 3 == 0 else w for i, w in enumerate(base)]
+    texts = []
+    for n in range(5000):
+        words = list(base if n % 50 else far)
+        words[rng.randrange(len(words))] = f"e{n}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"s{n}x{i}" for i in range(60)) for n in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(df, block=20_000).collect()}
+    # One changed word costs at most five shingles of 116, so any two copies of one base share 106 of at most 126: linked.
+    expected = {i: (i if i >= 5000 else 0 if i % 50 == 0 else 1) for i in range(len(texts))}
+    assert got == expected
+
+
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(5, a), (5, b), (3, a + " more"), (7, b), (7, b), (8, a)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept, r.first) for r in lsh_forest.near_duplicates(df).collect())
+    assert got == {(5, 3, False, False): 1, (5, 5, True, True): 1, (3, 3, True, True): 1, (7, 5, False, False): 2, (8, 3, False, False): 1}
+
+
 def test_shards_query(spark):
     """Every document once, sizes and checksums of its text, counts at most one apart, gapless slots, no shard tied to a partition of the file."""
     got = queries.op5_sharding(spark, SF).toPandas()
@@ -612,15 +637,3 @@ def test_audio_query(spark):
         padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         row = got.loc[r.doc_id]
         assert (row.n_bytes, row.payload_bytes, row.payload_sha256, row.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, SF)
-        assert after.columns == docs.columns
-        docs = after.cache()
-        assert docs.count() > 0, name
-    assert corpus_pipeline.pack(spark, docs, SF).count() > 0
