@@ -7,8 +7,8 @@
    ``depth`` minima is compared whole if it has at most ``reach`` + 1 nodes, and a longer one at whatever depth its parts
    have so few, which are the neighbours within ``reach`` places.  A pair survives if its signature estimate is within
    about four standard deviations of the threshold.
-3. Crowds: a node whose run was too long, or cut by a partition's edge, in at least ``CROWDED`` trees may have partners that
-   no tree compared.  Their pairs come from a prefix-filter join: of a set of n shingles the n - ceil(threshold * n) + 1
+3. Crowds: a node whose run was too long, or cut by a partition's edge, and holds nodes of other components so far, in at
+   least ``CROWDED`` trees, may have partners that no tree compared.  Their pairs come from a prefix-filter join: of a set of n shingles the n - ceil(threshold * n) + 1
    rarest are posted, of which a linked pair must share one whatever the order; a bounded sample of the crowd says which are
    common, which decides the work, not the result.  Posting lists meet in one shuffle; a list of one component can link
    nothing new, and of others one pair for any two components is enough.
@@ -52,6 +52,8 @@ SHORT = 16
 CROWDED = 2
 #: The first nodes of a cluster of several blocks that every block is measured against.
 GUESTS = 16
+#: Rows of a small table that one task of a round takes.
+ROWS = 100_000
 #: Rounds after which connected() raises; each halves the longest path at least.
 ROUNDS = 100
 
@@ -157,9 +159,9 @@ class Estimates:
 
 
 def forest_links(nodes: DataFrame, hashes: int, trees: int, depth: int, reach: int, least: float, key_minima: int = 8) -> DataFrame:
-    """(a, b, n): links of prefix neighbours whose estimate is at least ``least``, thinned to a spanning forest in each task.
+    """(a, b, run): links of prefix neighbours whose estimate is at least ``least``, thinned to a spanning forest in each task.
 
-    A node whose run was not compared whole is linked with itself; n counts the trees.
+    A node whose run was not compared whole is linked with itself and names the run; other links have none.
     """
     step = 4 * (hashes // trees)
 
@@ -185,6 +187,10 @@ def forest_links(nodes: DataFrame, hashes: int, trees: int, depth: int, reach: i
             keys = np.frombuffer(b"".join(batch["key"]), np.uint32).reshape(n, key_minima)
             estimates = Estimates(batch["low"], hashes)
             ids = batch["node"].to_numpy()
+            runs = tree.astype(np.uint64)
+            for d in range(depth):
+                runs = _mix(runs * PRIME_A + keys[:, d])
+            runs = runs.view(np.int64)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             crowd = np.zeros(n + 1, int)  # a run beyond reach, as steps up at its first and down after its last row
             for d in range(1, reach + 2):
@@ -200,21 +206,29 @@ def forest_links(nodes: DataFrame, hashes: int, trees: int, depth: int, reach: i
             crowded = crowd.cumsum()[:n] > 0
             if first:
                 crowded |= (tree == tree[0]) & (keys[:, :depth] == keys[0, :depth]).all(axis=1)
-            yield pd.DataFrame({"a": ids[crowded], "b": ids[crowded]})
+            yield pd.DataFrame({"a": ids[crowded], "b": ids[crowded], "run": runs[crowded]})
+            ends = (tree == tree[-1]) & (keys[:, :depth] == keys[-1, :depth]).all(axis=1)
+            cut_off = pd.DataFrame({"a": ids[ends], "b": ids[ends], "run": runs[ends]})
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 root = _roots(n, a, b)
                 child = np.flatnonzero(root != np.arange(n))
-                yield pd.DataFrame({"a": ids[child], "b": ids[root[child]]})
+                yield pd.DataFrame({"a": ids[child], "b": ids[root[child]], "run": pd.array([None] * len(child), "Int64")})
         if last is not None:
-            end = last.iloc[-1]
-            cut_off = last[(last["tree"] == end["tree"]) & (last["key"].str[: 4 * depth] == end["key"][: 4 * depth])]["node"].to_numpy()
-            yield pd.DataFrame({"a": cut_off, "b": cut_off})
+            yield cut_off
 
     sorted_ = nodes.select("node", "signature").mapInPandas(rotated, "tree int, key binary, node long, low binary")
     spread = sorted_.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    pairs = spread.mapInPandas(neighbours, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = spread.mapInPandas(neighbours, "a long, b long, run long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "run").distinct()
+
+
+def crowded_nodes(flags: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node): those with CROWDED runs (node, run) and more that hold nodes of several components (node, root)."""
+    placed = cut(flags.join(parts, "node", "left").select("node", "run", F.coalesce("root", "node").alias("part")))
+    runs = placed.groupBy("run").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+    mixed = join_counted(placed.select("node", "run"), runs.filter("low < high").select("run", "n"), "run", "n", placed.count())
+    return mixed.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= CROWDED).select("node")
 
 
 def part_links(parts: np.ndarray, sizes: np.ndarray, estimates: Estimates, rows: np.ndarray, percent: int, least: float) -> list[tuple[int, int]]:
@@ -328,13 +342,16 @@ def connected(links: DataFrame) -> DataFrame:
         if state == before or state[0] == 0:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
         before = state
+        # Links never grow in number, so tables that have become small are read and written by few tasks.
+        tasks = max(1, -(-state[0] // ROWS))
+        edges = edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         met = join_counted(both, least, "u", "n", 2 * state[0]).filter("v > u")
-        large = cut(met.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        large = cut(met.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct().coalesce(tasks))
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_counted(large, least, "u", "n", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct().coalesce(tasks))
     raise RuntimeError(f"components not settled after {ROUNDS} rounds")
 
 
@@ -464,8 +481,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     agree = percent / 100 + (1 - percent / 100) / 16  # of four bits
     least = percent / 100 - 4 * (agree * (1 - agree) / hashes) ** 0.5 * 16 / 15
     links = cut(forest_links(nodes, hashes, trees, depth, reach, least))
-    parts = cut(connected(links.filter("a <> b")))
-    crowd = links.filter(F.col("a") == F.col("b")).filter(F.col("n") >= CROWDED).select(F.col("a").alias("node"))
+    parts = cut(connected(links.filter("a <> b").select("a", "b")))
+    crowd = crowded_nodes(links.filter("run IS NOT NULL").select(F.col("a").alias("node"), "run"), parts)
     crowd = cut(nodes.join(crowd, "node").join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root", "set_key", "n_rows"))
     more = crowd_links(docs, crowd, id_col, text, width, percent, hashes, least)
     clusters = cut(connected(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
