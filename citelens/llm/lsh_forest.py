@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelens.llm.shared import cut, join_counted
+from citelens.llm.shared import cut, join_counted, stored
 
 PRIME_A, PRIME_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -112,11 +112,6 @@ def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
-    """nodes (node, id, text_key and more) with the text of each; a row that docs repeats comes as often."""
-    return _texts(docs, id_col, text).join(nodes, ["id", "text_key"]).drop("id", "text_key")
-
-
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member of each of n nodes' component under the links a-b."""
     root = np.arange(n)
@@ -251,8 +246,8 @@ def part_links(parts: np.ndarray, sizes: np.ndarray, estimates: Estimates, rows:
     return out
 
 
-def crowd_links(docs: DataFrame, crowd: DataFrame, id_col: str, text: str, width: int, percent: int, hashes: int, least: float) -> DataFrame:
-    """(a, b): links between the parts of a crowd (node, id, text_key, part, n_shingles, signature) by a prefix-filter join."""
+def crowd_links(texts: DataFrame, crowd: DataFrame, width: int, percent: int, hashes: int, least: float) -> DataFrame:
+    """(a, b): links between the parts of a crowd (node, part, n_shingles, signature) with texts (node, text), by a prefix-filter join."""
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -260,7 +255,7 @@ def crowd_links(docs: DataFrame, crowd: DataFrame, id_col: str, text: str, width
                 yield pd.DataFrame({"shingle": shingle_set(t, width).view(np.int64)})
 
     chosen = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(crowd.count(), 1)))
-    sample = _texts_of(docs, crowd.filter(chosen).select("id", "text_key"), id_col, text)
+    sample = texts.filter(chosen).join(crowd.select("node"), "node", "left_semi")
     counted = sample.select("text").mapInPandas(shingles, "shingle long").groupBy("shingle").count().filter("count > 1")
     common = counted.orderBy(F.desc("count"), "shingle").limit(COMMON).toPandas().sort_values("shingle")
     known, often = common["shingle"].to_numpy(np.int64), common["count"].to_numpy(np.int64)
@@ -322,8 +317,7 @@ def crowd_links(docs: DataFrame, crowd: DataFrame, id_col: str, text: str, width
         if held:
             yield from done()
 
-    texts = _texts_of(docs, crowd.select("node", "id", "text_key", "part", F.col("n_shingles").alias("n"), "signature"), id_col, text)
-    posted = texts.mapInPandas(postings, "shingle long, node long, part long, n long, low binary")
+    posted = texts.join(crowd.select("node", "part", F.col("n_shingles").alias("n"), "signature"), "node").mapInPandas(postings, "shingle long, node long, part long, n long, low binary")
     lists = posted.repartition("shingle").sortWithinPartitions("shingle", "node")
     pairs = lists.mapInPandas(compare, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -433,14 +427,14 @@ def _solved(rows: DataFrame, width: int, percent: int, hashes: int, least: float
     return dealt.select("task", "node", "part", "asked", "signature", "text").mapInPandas(solve, "a long, b long")
 
 
-def confirmed_links(docs: DataFrame, members: DataFrame, id_col: str, text: str, width: int, percent: int, hashes: int, least: float, block: int) -> DataFrame:
-    """(node, root): components of the exact links inside candidate clusters (node, id, text_key, root, n_shingles, signature)."""
+def confirmed_links(texts: DataFrame, members: DataFrame, width: int, percent: int, hashes: int, least: float, block: int) -> DataFrame:
+    """(node, root): components of the exact links inside candidate clusters (node, root, n_shingles, signature) with texts (node, text)."""
     load = members.groupBy("root").agg(F.sum("n_shingles").alias("load"), F.count("*").alias("n"))
     load = load.select("root", "n", F.col("n").alias("size"), F.greatest(F.ceil(F.col("load") / block), F.lit(1)).cast("int").alias("blocks"))
     placed = cut(join_counted(members, load, "root", "n", members.count()).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     guest = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(GUESTS), "node"), F.col("size")) < GUESTS)
     where = F.when(guest, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))
-    alone = _texts_of(docs, placed, id_col, text).withColumn("block", F.explode(where))
+    alone = texts.join(placed, "node").withColumn("block", F.explode(where))
     alone = alone.withColumn("task", F.xxhash64("root", "block")).withColumn("part", F.lit(0).cast("long")).withColumn("asked", F.lit(False))
     links = cut(_solved(alone, width, percent, hashes, least))
     roots = cut(connected(links))
@@ -458,8 +452,8 @@ def confirmed_links(docs: DataFrame, members: DataFrame, id_col: str, text: str,
     left = cut(left.withColumn("x", x).withColumn("y", y))
     met = left.withColumn("asked", F.lit(False)).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     met = met.unionByName(left.filter("asked").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    tasks = met.select("node", "id", "text_key", "part", "asked", "signature", F.xxhash64("root", "x", "y").alias("task"))
-    more = _solved(_texts_of(docs, tasks, id_col, text), width, percent, hashes, least)
+    tasks = met.select("node", "part", "asked", "signature", F.xxhash64("root", "x", "y").alias("task"))
+    more = _solved(texts.join(tasks, "node"), width, percent, hashes, least)
     return connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
@@ -483,12 +477,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links = cut(forest_links(nodes, hashes, trees, depth, reach, least))
     parts = cut(connected(links.filter("a <> b").select("a", "b")))
     crowd = crowded_nodes(links.filter("run IS NOT NULL").select(F.col("a").alias("node"), "run"), parts)
-    crowd = cut(nodes.join(crowd, "node").join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root", "set_key", "n_rows"))
-    more = crowd_links(docs, crowd, id_col, text, width, percent, hashes, least)
+    crowd = cut(nodes.join(crowd, "node").join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).select("node", "part", "n_shingles", "signature"))
+    # All texts meet the nodes once; what comes after works on those that may have a partner.
+    wanted = parts.select("node").union(parts.select("root")).union(crowd.select("node")).distinct()
+    places = nodes.select("node", "id", "text_key").join(wanted, "node")
+    texts = stored(_texts(docs, id_col, text).join(places, ["id", "text_key"]).select("node", "text"))
+    more = crowd_links(texts, crowd, width, percent, hashes, least)
     clusters = cut(connected(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
     members = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
-    members = cut(members.join(nodes.drop("set_key", "n_rows"), "node"))
-    roots = confirmed_links(docs, members, id_col, text, width, percent, hashes, least, block)
+    members = cut(members.join(nodes.select("node", "n_shingles", "signature"), "node"))
+    roots = confirmed_links(texts, members, width, percent, hashes, least, block)
     placed = cut(nodes.select("node", "set_key", "n_rows", "id", "text_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     named = placed.groupBy("root").agg(F.min(F.struct("id", "text_key")).alias("head"), F.count("*").alias("n"))
     classes = cut(join_counted(placed.select("root", "set_key", "n_rows"), named, "root", "n", placed.count()).drop("root"))

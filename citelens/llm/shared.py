@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citelens.sources.tables import cut, shared_folder
 
-__all__ = ["WORD", "ascii_lower", "cut", "fresh", "join_counted", "table", "with_checkpoints"]
+__all__ = ["WORD", "ascii_lower", "cut", "fresh", "join_counted", "stored", "table", "with_checkpoints"]
 
 #: White space that parts words, and the rest (ASCII only, so every engine agrees on it).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +27,13 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read again: compressed, and only the columns asked for."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df does not have."""
     return stem if stem.lower() not in {c.lower() for c in df.columns} else f"{stem}_{uuid.uuid4().hex[:8]}"

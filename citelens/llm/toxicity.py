@@ -37,7 +37,7 @@ DIM_BITS = 20
 #: The most that a feature counts in one text.
 MOST = 8
 #: Contributions of words that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _letters = re.compile(r"[^\W\d_]+")
 
 
