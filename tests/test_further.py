@@ -138,5 +138,5 @@ def test_stems_in_spark_and_sql(spark):
 
     words = ["rational", "relations", "modules", "studies", "running", "classes", "hopeful", "as", "bus", "matches", "elements"]
     mine = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(text.stem(F.col("w"))).collect()]
-    sql = [duckdb.sql(f"SELECT {text.stem_sql(repr(w))}").fetchone()[0] for w in words]
+    sql = [duckdb.connect().execute(f"SELECT {text.stem_sql(repr(w))}").fetchone()[0] for w in words]
     assert mine == sql
