@@ -165,21 +165,23 @@ def _taken_before(place: Column, block_words: int) -> Column:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source: str = "source", block_words: int = 32, n_shards: int = 16, seed: int = 11, shard_col: str | None = None) -> DataFrame:
-    """The mix itself: docs' columns, one row for each time that a mix shard takes a document or a part of it.
+    """The mix itself: docs' columns, one row for each time that the mix takes a document.
 
-    A document of which a quota holds only a part gives that part's words as they stand in the text; documents that the mix
-    does not reach go.  shard_col adds the mix shard (int) under that name.  Documents are known by id, source and text; rows
+    shard_col adds the mix shard (int) under that name; a document of which a shard's quota holds only a part then gives a row
+    for each part, and without it one row.  Only the two documents in which a source's mix begins and ends can be taken in
+    part, and give those words as they stand in the text; documents that the mix does not reach go.  Documents are known by id, source and text; rows
     that agree on all are each taken for what the first of them in the stream is due.
     """
     plan, _ = mix_plan(docs, id_col, source, block_words, n_shards, seed)
     turn, at = _ring(block_words)
     size, most = F.col("size"), F.get("cuts", F.lit(n_shards)) * block_words
+    step = 1 if shard_col else n_shards  # without the shard no quota's end shows, so a document is cut only where the mix begins and ends
 
     def spans(turns: Column) -> Column:
-        """Of one occurrence of the document along the ring, what each mix shard takes."""
+        """Of one occurrence of the document along the ring, what each mix shard takes, or what all of them take together."""
         begin = at + turns * turn
-        low, high = (lambda k: F.get("cuts", k) * block_words), (lambda k: F.get("cuts", k + 1) * block_words)
-        return F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda k: F.struct(k.alias("shard"), F.greatest(low(k) - begin, F.lit(0)).cast("long").alias("from"), F.least(high(k) - begin, size).cast("long").alias("to")))
+        low, high = (lambda k: F.get("cuts", k * step) * block_words), (lambda k: F.get("cuts", (k + 1) * step) * block_words)
+        return F.transform(F.sequence(F.lit(0), F.lit(n_shards // step - 1)), lambda k: F.struct(k.alias("shard"), F.greatest(low(k) - begin, F.lit(0)).cast("long").alias("from"), F.least(high(k) - begin, size).cast("long").alias("to")))
 
     every = F.flatten(F.transform(F.sequence(F.lit(-1), F.floor(most / turn).cast("int")), spans))
     held = plan.filter("taken > 0").withColumn("spans", F.filter(every, lambda x: x["to"] > x["from"]))

@@ -230,6 +230,17 @@ def test_mix_against_a_plain_one(spark, docs):
         assert {p.shard: p.words for p in r.shard_taken} == dict(expected[r.id, r.start]) and r.taken == sum(expected[r.id, r.start].values())
 
 
+def test_mix_keeps_documents_whole_where_no_shard_is_kept(spark):
+    """61 documents of one source, each due once: whole without the shard, in parts that add up with it."""
+    texts = {i: " ".join(f"d{i}w{k}" for k in range(20 + i)) for i in range(61)}
+    docs = spark.createDataFrame([(i, t, "a") for i, t in texts.items()], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.text) for r in mixing.mixed_documents(docs).collect()) == sorted(texts.items())
+    parts = defaultdict(list)
+    for r in mixing.mixed_documents(docs, shard_col="shard").collect():
+        parts[r.doc_id] += r.text.split()
+    assert {i: sorted(w) for i, w in parts.items()} == {i: sorted(t.split()) for i, t in texts.items()}
+
+
 def test_mix_is_near_its_targets_and_repeats(spark, docs):
     plan, quotas = mixing.mix_plan(docs)
     rows = plan.toPandas()
