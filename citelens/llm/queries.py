@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelens.llm import anisotropic_ann, language_id, license_scan, line_dedup, lsh_forest, mixing, mpeg_audio, packing, sharding, toxicity
-from citelens.llm.shared import table
+from citelens.llm import anisotropic_ann, language_id, license_scan, line_dedup, lsh_forest, merkle, mixing, mpeg_audio, packing, periodic_runs, sharding, toxicity
+from citelens.llm.shared import WORD, ascii_lower, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +78,41 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"), F.col("a.duration").alias("duration"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampers = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaf, tampered = merkle.digest(*others, F.col("text")), merkle.digest(*others, ascii_lower(F.col("text")))
+    leaves = table(spark, sf_dir, "documents").select("doc_id", merkle.group_key(F.col("lang")).alias("group_key"), F.col("doc_id").alias("order"), leaf.alias("node"), F.when(tampers, tampered).alias("tampered"))
+    rows = merkle.manifest(leaves).withColumn("folded_root", merkle.folded(F.coalesce("tampered", "node"), F.col("path")))
+    return rows.select("doc_id", F.col("node").alias("leaf"), "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where ten divides crc32(doc_id), the words from one on repeat with a period, both drawn from that hash."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("words")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"), g.alias("g"))
+    rows = rows.withColumn("a", F.when(n > 0, (F.col("g") % n).cast("int")))
+    rows = rows.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.transform(F.sequence(F.col("a"), n - 1), lambda i: F.get("words", F.col("a") + (i - F.col("a")) % F.col("p")))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    words = F.array_join(F.regexp_extract_all("collapsed", F.lit(WORD), F.lit(0)), " ")
+    rows = rows.select("doc_id", "collapsed", "runs", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"))
+    start, length, period = -F.col("longest.back"), F.col("longest.length"), -F.col("longest.less")
+    return rows.select(
+        "doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.col("n_runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"), F.sha2(F.coalesce(words, F.lit("")), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_line_dedup, op2_source_mixing, op3_toxicity, op4_lsh_forest, op5_sharding, op6_packing, op7_language_id, op8_license_scan, op9_anisotropic_ann, op10_mpeg_audio)
+    every = (op1_line_dedup, op2_source_mixing, op3_toxicity, op4_lsh_forest, op5_sharding, op6_packing, op7_language_id, op8_license_scan, op9_anisotropic_ann, op10_mpeg_audio, op12_merkle_manifest, op13_periodic_runs)
     return {q.__name__: q for q in every}
 
 
