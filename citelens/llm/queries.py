@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelens.llm import anisotropic_ann, language_id, license_scan, line_dedup, lsh_forest, merkle, mixing, mpeg_audio, packing, periodic_runs, sharding, toxicity
+from citelens.llm import anisotropic_ann, language_id, license_scan, line_dedup, lsh_forest, merkle, mixing, mpeg_audio, order_minhash, packing, periodic_runs, sharding, toxicity
 from citelens.llm.shared import WORD, ascii_lower, table
 
 
@@ -78,6 +78,15 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"), F.col("a.duration").alias("duration"))
 
 
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    own = F.col("signature")
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", order_minhash.as_text(own).alias("fingerprint"), order_minhash.as_text(F.col("edited_signature")).alias("edited_fingerprint"),
+        order_minhash.likeness(own, F.col("edited_signature")).alias("near_edited"), order_minhash.likeness(own, F.col("next_signature")).alias("near_next"),
+    )
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
     tampers = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
@@ -112,7 +121,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_line_dedup, op2_source_mixing, op3_toxicity, op4_lsh_forest, op5_sharding, op6_packing, op7_language_id, op8_license_scan, op9_anisotropic_ann, op10_mpeg_audio, op12_merkle_manifest, op13_periodic_runs)
+    every = (op1_line_dedup, op2_source_mixing, op3_toxicity, op4_lsh_forest, op5_sharding, op6_packing, op7_language_id, op8_license_scan, op9_anisotropic_ann, op10_mpeg_audio, op11_order_minhash, op12_merkle_manifest, op13_periodic_runs)
     return {q.__name__: q for q in every}
 
 
