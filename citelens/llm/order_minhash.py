@@ -12,7 +12,7 @@ of the ``functions`` sectors of the circle are all that any function can select,
 
 Plan: built-in functions only.  Texts are hash-partitioned by their key once; k-mers are exploded behind that shuffle and both
 windows (occurrence numbers; least items of a sector, behind a group limit) keep its partitioning, so k-mers never cross the
-network.  They sort by spilling, whatever a text's length.  At most functions x picks items a text are gathered.
+network.  They sort by spilling, whatever a text's length, and in memory in partitions of ``chars_per_task``.  At most functions x picks items a text are gathered.
 
 Defined results: null is the empty text; a text without words has the empty signature, alike only to another empty one; fewer
 than k words are one k-mer, the text without the white space around it; words are parted by ASCII white space, and the
@@ -32,6 +32,8 @@ BLANK = r"\x20\x09-\x0D"
 #: Thai to Tibetan, Burmese, Khmer, kana, and Chinese characters: scripts written without blanks between words.
 LONE = r"฀-࿿က-႟ក-៿぀-ヿ㐀-䶿一-鿿"
 ROWS_PER_RANGE = 100_000
+#: A million characters are some 350 000 k-mers with the edited text's, 70 bytes each in either window's sort.  Beyond MOST_TASKS partitions, tasks grow and spill.
+CHARS_PER_TASK, MOST_TASKS = 4_000_000, 100_000
 
 
 def parted(text: Column) -> Column:
@@ -107,7 +109,19 @@ def _following(keys: DataFrame, rows_per_range: int) -> DataFrame:
     return joined.select(*keys.columns, F.col("next.r1").alias("n1"), F.col("next.r2").alias("n2"))
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def _distinct_texts(base: DataFrame, keys: DataFrame, chars_per_task: int) -> DataFrame:
+    """base once a key, in partitions of about so many characters, so that the k-mers of one sort in memory.
+
+    Documents that are each over a thousandth of all rows (fewer than a thousand) are made one before the shuffle."""
+    whole = keys.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("copies") * F.col("n_chars")), F.lit(0)).alias("chars")).first()
+    hot = keys.filter((F.col("copies") > 1) & (F.col("copies") * 1000 > whole.rows)).select("r1", "r2")
+    if hot.count():
+        base = base.join(F.broadcast(hot), ["r1", "r2"], "left_anti").unionByName(base.join(F.broadcast(hot), ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]))
+    parts = min(MOST_TASKS, max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole.chars // chars_per_task)))
+    return base.repartition(parts, "r1", "r2").dropDuplicates(["r1", "r2"])
+
+
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rows_per_range: int = ROWS_PER_RANGE, chars_per_task: int = CHARS_PER_TASK) -> DataFrame:
     """(id_col, n_chars, edited_sha256, signature, edited_signature, next_signature), a row for every row of docs.
 
     A document's edited text has its last n_chars / 3 code points replaced by the first as many (or all) of the next document's,
@@ -118,7 +132,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     base = base.withColumn("r1", F.xxhash64("id", "text")).withColumn("r2", F.xxhash64(F.lit(77), "id", "text"))
     keys = cut(base.groupBy("id", "r1", "r2", F.char_length("text").alias("n_chars")).agg(F.count("*").alias("copies")))
     links = cut(_following(keys, rows_per_range))
-    texts = base.select("r1", "r2", "text").dropDuplicates(["r1", "r2"])
+    texts = _distinct_texts(base.select("r1", "r2", "text"), keys, chars_per_task)
     third = F.floor(F.col("n_chars") / 3).cast("int")
     asked = links.select(F.col("n1").alias("r1"), F.col("n2").alias("r2"), F.col("r1").alias("p1"), F.col("r2").alias("p2"), third.alias("third"))
     heads = texts.join(asked, ["r1", "r2"]).select(F.col("p1").alias("r1"), F.col("p2").alias("r2"), F.substring("text", F.lit(1), F.col("third")).alias("head"))
