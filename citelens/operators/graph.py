@@ -65,6 +65,44 @@ def sparsify(edges: DataFrame, k: int, weight: str = "similarity") -> DataFrame:
     return ends.filter((F.col("ends") == 2) | (F.col("best") == 1)).select("src", "dst", weight)
 
 
+def greedy_sparsify(edges: DataFrame, k: int, weight: str = "similarity") -> DataFrame:
+    """The sequential rule, exactly: nodes by (degree, id) from the greatest on each propose their k strongest edges (ties to the
+    greater neighbour), and one is taken unless it is there already or its other end has k edges by then; a node left without
+    an edge gets its strongest.
+
+    What happens in the sequence follows from a few facts, so it needs no sequence:
+    - Before its own turn a node only receives, so of the proposals that reach it earlier than its turn the first k are taken.
+    - Its edges after its turn are those, and its own proposals that were taken; with k of them it takes no later one.
+    - Otherwise the first of the later proposals are taken, as many as it has room for, and its room depends only on its own
+      proposals to nodes before it.
+    Those last are settled in rounds: a proposal is taken once its place among the later ones is within the room that is certain,
+    refused once it is beyond the room that is possible.  Every round settles at least all proposals to the first node that has
+    unsettled ones, so it ends with nothing left; chains are short, for most nodes are full or have no proposal of that kind.
+    """
+    both = both_ways(edges, weight).filter(F.col("node") != F.col("other"))
+    degree = both.groupBy("node").agg(F.count("*").alias("degree"))
+    strongest = Window.partitionBy("node").orderBy(F.desc("weight"), F.desc("other"))
+    mine = both.withColumn("place", F.row_number().over(strongest)).filter(F.col("place") <= k)
+    asks = mine.join(degree, "node").join(degree.select(F.col("node").alias("other"), F.col("degree").alias("other_degree")), "other")
+    asks = cut(asks.select("node", "other", "weight", "place", "degree", (F.struct("degree", "node") > F.struct("other_degree", "other")).alias("first")))
+    turn = Window.partitionBy("other").orderBy(F.desc("degree"), F.desc("node"))
+    taken = cut(asks.filter("first").withColumn("nth", F.row_number().over(turn)).filter(F.col("nth") <= k).select("node", "other", "weight"))
+    ends = taken.select(F.explode(F.array("node", "other")).alias("other")).groupBy("other").agg(F.count("*").alias("held"))
+    there = taken.select(F.col("node").alias("other"), F.col("other").alias("node"))
+    late = asks.filter("not first").join(there, ["node", "other"], "left_anti").join(ends, "other", "left").withColumn("room", k - F.coalesce("held", F.lit(0)))
+    late = late.filter("room > 0").withColumn("nth", F.row_number().over(turn))
+    late = cut(late.select("node", "other", "weight", "room", "nth", F.lit(None).cast("boolean").alias("taken")))
+    while late.filter("taken is null").head(1):
+        own = late.groupBy(F.col("node").alias("other")).agg(F.count_if("taken").alias("sure"), F.count_if(F.coalesce("taken", F.lit(True))).alias("most"))
+        settled = late.join(own, "other", "left").na.fill(0, ["sure", "most"])
+        verdict = F.when(F.col("nth") <= F.col("room") - F.col("most"), True).when(F.col("nth") > F.col("room") - F.col("sure"), False)
+        late = cut(settled.select("node", "other", "weight", "room", "nth", F.coalesce("taken", verdict).alias("taken")))
+    kept = taken.unionByName(late.filter("taken").select("node", "other", "weight"))
+    reached = kept.select(F.explode(F.array("node", "other")).alias("node")).distinct()
+    alone = asks.filter("place = 1").join(reached, "node", "left_anti").select("node", "other", "weight")
+    return kept.unionByName(alone).select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst"), F.col("weight").alias(weight))
+
+
 def transition_weights(edges: DataFrame, p: float = 5.0, q: float = 2.0, weight: str = "similarity") -> DataFrame:
     """(prev, node, next, probability): second-order walk weights, 1/p back, 1/q away from prev's neighbours, else 1."""
     e = both_ways(edges, weight)

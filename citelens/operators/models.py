@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
-from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citelens.operators import skipgram
 from citelens.operators.search import sampled
 
 
@@ -62,10 +63,8 @@ def topics(documents: DataFrame, k: int = 20, words: int = 20, seed: int = 0) ->
 
 
 def token_vectors(documents: DataFrame, dim: int = 128, window: int = 5, seed: int = 0) -> DataFrame:
-    """(token, vector): skip-gram vectors of documents (tokens) or walks."""
-    parts = documents.sparkSession.sparkContext.defaultParallelism  # trained side by side and averaged
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=0, maxIter=3, numPartitions=parts, seed=seed, inputCol="tokens", outputCol="v").fit(documents)
-    return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
+    """(token, vector): skip-gram vectors of documents (tokens) or walks, trained in blocks of tokens."""
+    return skipgram.vectors(documents, "tokens", dim, window, seed=seed)
 
 
 def regression(rows: DataFrame, features: list[str], target: str, kind: str = "linear", seed: int = 0):
@@ -179,7 +178,7 @@ def importances(rows: DataFrame, features: list[str], target: str, kind: str = "
 
 def node_vectors(walks: DataFrame, nodes: DataFrame, degrees: DataFrame, dim: int = 64, window: int = 5, seed: int = 0) -> DataFrame:
     """(id, vector): skip-gram vectors of walks; a node without edges has ones, one that no walk reached has zeros."""
-    learned = token_vectors(walks.select(F.col("walk").cast("array<string>").alias("tokens")), dim, window, seed)
-    joined = nodes.select("id").join(learned, F.col("id").cast("string") == F.col("token"), "left").join(degrees.select(F.col("node").alias("id"), "degree"), "id", "left")
+    learned = token_vectors(walks.select(F.col("walk").alias("tokens")), dim, window, seed)
+    joined = nodes.select("id").join(learned.withColumnRenamed("token", "id"), "id", "left").join(degrees.select(F.col("node").alias("id"), "degree"), "id", "left")
     alone = F.array_repeat(F.lit(1.0), dim)
     return joined.select("id", F.when(F.col("degree").isNull(), alone).otherwise(F.coalesce("vector", F.array_repeat(F.lit(0.0), dim))).alias("vector"))
