@@ -278,8 +278,34 @@ def _sparse(s: SparkSession, d: str, k: int = 5) -> DataFrame:
     return graph.sparsify(B._similarity(s, d), k)
 
 
-@_query(with_tables("edges order_edges", _sparse_sql(10) + "SELECT src, dst, round(similarity, 6) AS similarity FROM sp"))
+def _greedy_sql(k: int, rounds: int) -> str:
+    """The sequential rule by rounds, unrolled: more than the data need, and what they leave open would show as a mismatch."""
+    out = (
+        B._SIM.rstrip() + ", bw AS (SELECT src AS node, dst AS other, similarity AS w FROM sim UNION ALL SELECT dst, src, similarity FROM sim), "
+        "dg AS (SELECT node, count(*) AS d FROM bw GROUP BY node), "
+        f"rk AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, other DESC) AS place FROM bw QUALIFY place <= {k}), "
+        "asks AS MATERIALIZED (SELECT rk.*, a.d, a.d > b.d OR (a.d = b.d AND rk.node > rk.other) AS first FROM rk JOIN dg a USING (node) JOIN dg b ON b.node = rk.other), "
+        f"taken AS MATERIALIZED (SELECT node, other, w FROM asks WHERE first QUALIFY row_number() OVER (PARTITION BY other ORDER BY d DESC, node DESC) <= {k}), "
+        "held AS (SELECT x, count(*) AS c FROM (SELECT node AS x FROM taken UNION ALL SELECT other FROM taken) GROUP BY x), "
+        f"open AS (SELECT a.*, {k} - coalesce(c, 0) AS room FROM asks a LEFT JOIN held ON x = a.other WHERE NOT first AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.node = a.other AND t.other = a.node)), "
+        "l0 AS MATERIALIZED (SELECT node, other, w, room, row_number() OVER (PARTITION BY other ORDER BY d DESC, node DESC) AS nth, NULL::BOOLEAN AS ok FROM open WHERE room > 0)"
+    )
+    for i in range(1, rounds + 1):
+        own = f"(SELECT node AS x, count(*) FILTER (ok) AS sure, count(*) FILTER (coalesce(ok, true)) AS most FROM l{i - 1} GROUP BY node)"
+        verdict = "CASE WHEN nth <= room - coalesce(most, 0) THEN true WHEN nth > room - coalesce(sure, 0) THEN false END"
+        out += f", l{i} AS MATERIALIZED (SELECT node, other, w, room, nth, coalesce(ok, {verdict}) AS ok FROM l{i - 1} LEFT JOIN {own} ON x = other)"
+    kept = f"kept AS (SELECT node, other, w FROM taken UNION ALL SELECT node, other, w FROM l{rounds} WHERE ok)"
+    alone = "SELECT node, other, w FROM asks WHERE place = 1 AND node NOT IN (SELECT node FROM kept UNION SELECT other FROM kept)"
+    return out + f", {kept} SELECT least(node, other) AS src, greatest(node, other) AS dst, round(w, 6) AS similarity FROM (FROM kept UNION ALL {alone})"
+
+
+@_query(with_tables("edges order_edges", _greedy_sql(10, 30)))
 def grf_04_sparse_graph(s, d):
+    return graph.greedy_sparsify(B._similarity(s, d), 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query(with_tables("edges order_edges", _sparse_sql(10) + "SELECT src, dst, round(similarity, 6) AS similarity FROM sp"))
+def grf_04_strongest_of_both_ends(s, d):
     return _sparse(s, d, 10).withColumn("similarity", F.round("similarity", 6))
 
 
