@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelens.functions.scalars import plain_doi, plain_quotes, word_tokens
@@ -97,11 +98,63 @@ def matches(query: str, title: Column, abstract: Column, relaxed: bool = False)
     return result
 
 
-def relevance(query: str, title: Column, abstract: Column) -> Column:
-    """Term frequency by stems (title 1.0, abstract 0.4) over the number of words."""
-    words = sorted({w for part in parse_expression(query) for t in part for w in t.split()})
-    count = lambda c: F.size(F.filter(word_tokens(c, 1), lambda x: same_stem(x, words)))
-    return (count(title) * 1.0 + count(abstract) * 0.4) / F.greatest(F.size(word_tokens(F.concat_ws(" ", title, abstract), 1)), F.lit(1))
+#: Weights of a word by its field.
+TITLE_WEIGHT, ABSTRACT_WEIGHT = 1.0, 0.4
+
+
+def word_hits(rows: DataFrame, query: str, relaxed: bool = False) -> tuple[DataFrame, list[list[int]]]:
+    """((id, pos, weight, length, terms), alternatives): the words of title and abstract that the query asks for.
+
+    pos counts from 0 through the title and on through the abstract; terms holds a flag for each term of the query, alternatives
+    the numbers of the terms that each needs.  A phrase is its words, all of them, or any of them where relaxed.
+    """
+    terms, alternatives = [], []
+    for part in parse_expression(query):
+        needed = []
+        for t in part:
+            for words in [t.split()] if relaxed else [[w] for w in t.split()]:
+                terms += [] if words in terms else [words]
+                needed.append(terms.index(words))
+        alternatives.append(sorted(set(needed)))
+    title, abstract = (word_tokens(F.coalesce(c, F.lit("")), 1) for c in ("title", "abstract"))
+    words = rows.select("id", F.size(title).alias("n_title"), F.concat(title, abstract).alias("words"))
+    flags = lambda x: F.array(*(same_stem(x, t) for t in terms))
+    found = F.filter(F.transform("words", lambda x, i: F.struct(i.alias("pos"), flags(x).alias("terms"))), lambda x: F.array_contains(x["terms"], True))
+    hits = words.select("id", "n_title", F.size("words").alias("length"), F.explode(found).alias("hit"))
+    weight = F.when(F.col("hit.pos") < F.col("n_title"), TITLE_WEIGHT).otherwise(ABSTRACT_WEIGHT)
+    return hits.select("id", F.col("hit.pos").alias("pos"), weight.alias("weight"), "length", F.col("hit.terms").alias("terms")), alternatives
+
+
+def covers(hits: DataFrame, alternatives: list[list[int]]) -> DataFrame:
+    """(id, length, first, last, density): the least stretches of text that hold all terms of some alternative.
+
+    A stretch that ends at a hit reaches back to the last place of the term that has gone unseen longest; it is a least one if
+    it begins after the stretch of the hit before.  Its density is the harmonic mean of its hits' weights over one more than
+    the words between them.
+    """
+    along = Window.partitionBy("id").orderBy("pos")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    seen = {t: F.max(F.when(F.col("terms")[t], F.col("pos"))).over(upto) for t in {t for a in alternatives for t in a}}
+    everything = lambda a: reduce(lambda x, t: F.when(x.isNotNull() & seen[t].isNotNull(), F.least(x, seen[t])), a[1:], seen[a[0]])
+    begins = [everything(a) for a in alternatives]
+    begin = begins[0] if len(begins) == 1 else F.greatest(*begins)
+    counted = hits.select("id", "pos", "length", begin.alias("first"), F.row_number().over(along).alias("nth"), F.sum(1.0 / F.col("weight")).over(upto).alias("spent"), (1.0 / F.col("weight")).alias("own"))
+    least = counted.withColumn("before", F.lag("first").over(along)).filter(F.col("first").isNotNull() & (F.col("before").isNull() | (F.col("first") > F.col("before"))))
+    start = counted.select("id", F.col("pos").alias("first"), F.col("nth").alias("first_nth"), (F.col("spent") - F.col("own")).alias("spent_before"))
+    n = F.col("nth") - F.col("first_nth") + 1
+    density = n / (F.col("spent") - F.col("spent_before")) / (1 + F.col("pos") - F.col("first") + 1 - n)
+    return least.join(start, ["id", "first"]).select("id", "length", "first", F.col("pos").alias("last"), density.alias("density"))
+
+
+def relevance(rows: DataFrame, query: str, relaxed: bool = False) -> DataFrame:
+    """(id, relevance) of the rows (id, title, abstract) that hold a cover of the query: the sum of its covers' densities over the
+    text's length in words, and over the harmonic mean of the distances between the middles of covers that follow each other."""
+    found = covers(*word_hits(rows, query, relaxed))
+    middle = (F.col("first") + F.col("last")) / 2
+    apart = middle - F.lag(middle).over(Window.partitionBy("id").orderBy("last"))
+    each = found.withColumn("near", 1.0 / apart)
+    whole = each.groupBy("id").agg(F.sum("density").alias("dense"), F.max("length").alias("length"), F.count("*").alias("n"), F.sum("near").alias("near"))
+    return whole.select("id", F.round(F.col("dense") / F.col("length") / F.coalesce(F.col("n") / F.col("near"), F.lit(1.0)), 9).alias("relevance"))
 
 
 def sampled(rows: DataFrame, fraction: float, seed: int = 0, id_col: str = "id") -> DataFrame:
@@ -111,7 +164,7 @@ def sampled(rows: DataFrame, fraction: float, seed: int = 0, id_col: str = "id")
 
 
 def ranked(pubs: DataFrame, edges: DataFrame, query: str, limit: int, sort: str = "Most Cited", years: tuple[int, int] = (1900, 9999), reviews: bool = True, fraction: float | None = None, seed: int = 0) -> DataFrame:
-    """(id, year, relevance, count): matching papers, best first; only the citations of the hits are counted.
+    """(id, year, relevance, count): matching papers, best first; only the hits are weighed and their citations counted.
 
     fraction searches a sample, in which a phrase counts as any of its words.
     """
@@ -119,7 +172,8 @@ def ranked(pubs: DataFrame, edges: DataFrame, query: str, limit: int, sort: str
     base = base if reviews else base.filter(F.col("type") != "Review")
     base = base if fraction is None else sampled(base, fraction, seed)
     found = base.filter(matches(query, F.col("title"), F.col("abstract"), fraction is not None))
-    hits = cut(found.select("id", "year", F.round(relevance(query, F.col("title"), F.col("abstract")), 9).alias("relevance")))
+    found = cut(found.select("id", "year", "title", "abstract"))
+    hits = found.select("id", "year").join(relevance(found, query, fraction is not None), "id", "left").na.fill(0.0, ["relevance"])
     cited = edges.join(hits.select(F.col("id").alias("id_in")), "id_in", "left_semi")
     hits = hits.join(citation_counts(cited), "id", "left")
     order = {"Most Cited": (F.desc_nulls_last("count"), F.desc("relevance"), F.desc("year")), "Most Recent": (F.desc("year"), F.desc("relevance"), F.desc_nulls_last("count"))}.get(sort, (F.desc("relevance"),))

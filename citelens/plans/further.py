@@ -143,7 +143,26 @@ def _phrase(words: str) -> str:
     return f"(regexp_matches(title, '{pattern}') OR regexp_matches(abstract, '{pattern}'))"
 
 
-_RELEVANCE = f"round(({_same_stem('a', 'pathetic', 'idiot')} + 0.4 * {_same_stem('b', 'pathetic', 'idiot')})::DOUBLE / greatest(len(a) + len(b), 1), 9)"
+def _cover_sql(*alternatives: tuple[tuple[str, ...], ...]) -> str:
+    """rel (id, relevance) of the table w, by windows over the places of the words that are asked for; an alternative is a tuple of terms, a
+    term a tuple of words of which any will do."""
+    terms = sorted({t for a in alternatives for t in a})
+    stems = lambda t: ", ".join(text.stem_sql(f"'{w}'") for w in t)
+    flags = ", ".join(f"{text.stem_sql('x')} IN ({stems(t)}) AS t{i}" for i, t in enumerate(terms))
+    seen = ", ".join(f"max(pos) FILTER (t{i}) OVER (PARTITION BY id ORDER BY pos) AS s{i}" for i in range(len(terms)))
+    whole = lambda a: f"CASE WHEN {' AND '.join(f's{terms.index(t)} IS NOT NULL' for t in a)} THEN least({', '.join(f's{terms.index(t)}' for t in a)}) END"
+    return (
+        "pl AS (SELECT id, unnest(list_concat(a, b)) AS x, generate_subscripts(list_concat(a, b), 1) - 1 AS pos, len(a) AS nt, len(a) + len(b) AS n FROM w), "
+        f"hit AS (SELECT id, pos, CASE WHEN pos < nt THEN 1.0 ELSE 0.4 END::DOUBLE AS wt, n, {flags} FROM pl WHERE {' OR '.join(f'{text.stem_sql("x")} IN ({stems(t)})' for t in terms)}), "
+        f"st AS (SELECT id, pos, n, wt, row_number() OVER (PARTITION BY id ORDER BY pos) AS nth, sum(1 / wt) OVER (PARTITION BY id ORDER BY pos) AS spent, {seen} FROM hit), "
+        f"fr AS (SELECT *, greatest({', '.join(whole(a) for a in alternatives)}) AS f FROM st), "
+        "le AS (SELECT * FROM (SELECT *, lag(f) OVER (PARTITION BY id ORDER BY pos) AS bf FROM fr) WHERE f IS NOT NULL AND (bf IS NULL OR f > bf)), "
+        "cv AS (SELECT le.id, le.n, le.f, le.pos, (le.nth - o.nth + 1) / (le.spent - o.spent + 1 / o.wt) / (1 + le.pos - le.f + 1 - (le.nth - o.nth + 1)) AS density FROM le JOIN st o ON o.id = le.id AND o.pos = le.f), "
+        "ap AS (SELECT *, 1 / ((f + pos) / 2 - lag((f + pos) / 2) OVER (PARTITION BY id ORDER BY pos)) AS near FROM cv), "
+        "rel AS (SELECT id, round(sum(density) / max(n) / coalesce(count(*) / sum(near), 1), 9) AS relevance FROM ap GROUP BY id)"
+    )
+
+
 _ANY = f"{_same_stem('list_concat(a, b)', 'pathetic', 'idiot')} > 0"
 
 
@@ -174,9 +193,9 @@ def flt_06_expression(s, d):
     with_tables(
         "texts edges",
         (
-            f", {_WORDS} SELECT w.id, year, CAST(c AS DOUBLE) AS count FROM w LEFT JOIN (SELECT id_in, count(*) AS c FROM edges GROUP "
-            f"BY 1 HAVING count(*) >= 3) ON id_in = w.id WHERE {_ANY} ORDER BY count DESC NULLS LAST, {_RELEVANCE} DESC, year DESC, "
-            f"w.id LIMIT 30"
+            f", {_WORDS}, {_cover_sql((('pathetic',),), (('idiot',),))} SELECT w.id, year, CAST(c AS DOUBLE) AS count FROM w LEFT JOIN rel USING (id) LEFT JOIN "
+            f"(SELECT id_in, count(*) AS c FROM edges GROUP BY 1 HAVING count(*) >= 3) ON id_in = w.id WHERE {_ANY} ORDER BY count DESC NULLS LAST, "
+            f"coalesce(relevance, 0) DESC, year DESC, w.id LIMIT 30"
         ),
     ),
 )
@@ -184,19 +203,24 @@ def flt_10_ranked_search(s, d):
     return search.ranked(A.texts(s, d), A.edges(s, d), "pathetic, idiot", 30).select("id", "year", F.col("count").cast("double").alias("count"))
 
 
-@_query(with_tables("texts", f", {_WORDS} SELECT id, {_RELEVANCE} AS relevance FROM w WHERE {_RELEVANCE} > 0"))
+@_query(with_tables("texts", f", {_WORDS}, {_cover_sql((('pathetic',),), (('idiot',),))} SELECT id, relevance FROM rel"))
 def flt_11_relevance(s, d):
-    return A.texts(s, d).select("id", F.round(search.relevance("pathetic, idiot", F.col("title"), F.col("abstract")), 9).alias("relevance")).filter("relevance > 0")
+    return search.relevance(A.texts(s, d), "pathetic, idiot")
+
+
+@_query(with_tables("texts", f", {_WORDS}, {_cover_sql((('public',), ('license',), ('free',)), (('apache',), ('license',)))} SELECT id, relevance FROM rel"))
+def flt_11_relevance_of_covers(s, d):
+    """Two alternatives of several terms each, a phrase among them."""
+    return search.relevance(A.texts(s, d), '"public license" free, apache license')
 
 
 @_query(
     with_tables(
         "texts edges",
         (
-            f", {_WORDS} SELECT w.id, year FROM w LEFT JOIN (SELECT id_in, count(*) AS c FROM edges GROUP BY 1 HAVING count(*) >= 3) "
-            f"ON id_in = w.id WHERE CAST('0x' || substr(md5('0-' || w.id), 1, 8) AS BIGINT) < 2147483648 AND {_same_stem('list_concat(a, b)', 'public', 'license')} "
-            f"> 0 ORDER BY c DESC NULLS LAST, round(({_same_stem('a', 'public', 'license')} + 0.4 * {_same_stem('b', 'public', 'license')})::DOUBLE "
-            f"/ greatest(len(a) + len(b), 1), 9) DESC, year DESC, w.id LIMIT 30"
+            f", {_WORDS}, {_cover_sql((('public', 'license'),))} SELECT w.id, year FROM w LEFT JOIN rel USING (id) LEFT JOIN (SELECT id_in, count(*) AS c FROM edges GROUP BY 1 HAVING "
+            f"count(*) >= 3) ON id_in = w.id WHERE CAST('0x' || substr(md5('0-' || w.id), 1, 8) AS BIGINT) < 2147483648 AND {_same_stem('list_concat(a, b)', 'public', 'license')} "
+            f"> 0 ORDER BY c DESC NULLS LAST, coalesce(relevance, 0) DESC, year DESC, w.id LIMIT 30"
         ),
     ),
 )
