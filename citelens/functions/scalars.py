@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,8 +60,12 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 
 def l2_normalised(a: Column) -> Column:
-    n = F.nullif(norm(a), F.lit(0.0))
-    return F.transform(a, lambda x: x / n)
+    return bound(F.nullif(norm(a), F.lit(0.0)), lambda n: F.transform(a, lambda x: x / n))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once; Catalyst would else write it into every lambda that mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def signed_crc32(hex_id: Column) -> Column:

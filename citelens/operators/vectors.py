@@ -11,7 +11,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citelens.functions.scalars import cosine, dot, l2_distance, l2_normalised, zeros_where_null
+from citelens.functions.scalars import bound, cosine, dot, l2_distance, l2_normalised, zeros_where_null
+from citelens.operators.neighbours import descent
 from citelens.operators.text import chunks
 
 
@@ -97,20 +98,26 @@ def backfill_stream(texts: DataFrame, path: str, checkpoint: str):
     return texts.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
-def hashed_words(text: Column, dim: int = 64) -> Column:
-    """The default encoder, without Python: distinct words by count in ``dim`` hashed places, signed, scaled to length 1."""
+def hashed_words(texts: DataFrame, text: str, name: str, dim: int = 64) -> DataFrame:
+    """The default encoder, without Python: texts with ``name``, the words by count in ``dim`` hashed places, signed, scaled to length 1.
+
+    A text is split and its words are hashed once; one sort brings its places together, and each place is the difference of two
+    counts of codes.
+    """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    codes = F.transform(words, lambda w: F.crc32(w.cast("binary")))
-    sign = lambda h: F.when(h >= 1 << 31, 1.0).otherwise(-1.0)
-    at = lambda d: F.aggregate(F.filter(codes, lambda h: h % dim == d), F.lit(0.0), lambda s, h: s + sign(h))
-    counted = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), at)
-    return F.transform(l2_normalised(counted), lambda x: x.cast("float"))
+    # Place and sign of a word as one number, 2 * place + (1 for positive), and one of each beside, so that every number is found.
+    number = lambda h: (2 * (h % dim) + F.when(h >= 1 << 31, 1).otherwise(0)).cast("int")
+    marked = F.sort_array(F.concat(F.transform(F.transform(words, lambda w: F.crc32(w.cast("binary"))), number), F.sequence(F.lit(0), F.lit(2 * dim))))
+    below = bound(marked, lambda m: F.transform(F.sequence(F.lit(0), F.lit(2 * dim)), lambda d: F.array_position(m, d) - d))  # how many are below d
+    at = lambda b, d: F.get(b, d)
+    counted = bound(below, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (at(b, 2 * d + 2) - 2 * at(b, 2 * d + 1) + at(b, 2 * d)).cast("double")))
+    return texts.withColumn(name, bound(counted, lambda v: F.transform(l2_normalised(v), lambda x: x.cast("float"))))
 
 
 def encode_texts(texts: DataFrame, dim: int = 64, text: str = "text", encoder: Callable[[list[str]], np.ndarray] | None = None, batch: int = 256) -> DataFrame:
     """texts with ``embedding``: by the hashed words, or by an encoder of lists of texts, called with ``batch`` at a time."""
     if encoder is None:
-        return texts.withColumn("embedding", hashed_words(F.col(text), dim))
+        return hashed_words(texts, text, "embedding", dim)
 
     @F.pandas_udf("array<float>")
     def encode(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -157,12 +164,17 @@ def hybrid_similarity(pairs: DataFrame, vectors: DataFrame, weights: DataFrame,
     return pairs.join(near, ["src", "dst"], "left").join(shared, ["src", "dst"], "left").select("src", "dst", (share("e", 0.8) + share("t", 0.2)).alias("textsimilarity"))
 
 
-def text_edges(vectors: DataFrame, weights: DataFrame, existing: DataFrame, top: int = 100, k: int | None = None, probe: int = 4) -> DataFrame:
+def text_edges(vectors: DataFrame, weights: DataFrame, existing: DataFrame, top: int = 100, k: int | None = None, probe: int = 4, by_descent: bool = False) -> DataFrame:
     """(src, dst, textsimilarity): edges above 0 to each paper's ``top`` nearest vectors that existing (src, dst) lacks.
 
     Every paper is a query of the exact blocked search.  With k, neighbours come from the ``probe`` nearest of k cells
     instead, and those in other cells are missed.  Each task keeps its best before the shuffle, so no pairs are stored.
+    The exact search takes rows squared; by_descent finds nearly all of the same neighbours without it.
     """
+    if by_descent:
+        near = descent(vectors, top)
+        pairs = near.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
+        return hybrid_similarity(pairs.join(existing.select("src", "dst"), ["src", "dst"], "left_anti"), vectors, weights).filter("textsimilarity > 0")
     unit = vectors.select("id", F.lit(0).alias("chunk"), l2_normalised(F.col("embedding")).alias("embedding"))
     asked = unit.select(F.col("id").alias("query"), "embedding")
     if k is None:
