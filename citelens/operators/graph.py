@@ -193,35 +193,82 @@ def personas(edges: DataFrame, weight: str = "similarity") -> DataFrame:
     return edges.join(mine, ["src", "dst"]).join(theirs, ["src", "dst"]).select(F.col("a").alias("src"), F.col("b").alias("dst"), weight)
 
 
-def overlapping_communities(edges: DataFrame, rounds: int = 5, weight: str = "similarity") -> DataFrame:
+def overlapping_communities(edges: DataFrame, weight: str = "similarity", resolution: float = 1.0) -> DataFrame:
     """(id, communities array): communities of the persona graph, folded back to the nodes; ids as strings."""
-    found = label_communities(personas(edges, weight), rounds, weight)
+    found = communities(personas(edges, weight), weight, resolution)
     return found.groupBy(F.substring_index("id", ":", 1).alias("id")).agg(F.array_sort(F.collect_set("community")).alias("communities"))
 
 
-def label_communities(edges: DataFrame, rounds: int = 10, weight: str = "similarity", resolution: float = 1.0) -> DataFrame:
-    """(id, community): labels that move to where modularity gains most, ties to the smaller label.
+def _quality(links: DataFrame, nodes: DataFrame, whole: float, resolution: float) -> float:
+    """Modularity of nodes (id, community, k, loop) with links (node, other, w) both ways and without loops."""
+    mine = lambda end: nodes.select(F.col("id").alias(end), F.col("community").alias(f"c_{end}"))
+    within = links.join(mine("node"), "node").join(mine("other"), "other").filter("c_node = c_other").agg(F.sum("w")).first()[0] or 0.0
+    sums = nodes.groupBy("community").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop")).agg(F.sum(F.col("k") * F.col("k")), F.sum("loop")).first()
+    return (within + sums[1]) / whole - resolution * sums[0] / whole**2
 
-    A node's gain in a community is the weight of its edges into it, less resolution * its own weight * the community's
-    weight over that of all edges.  Every other node (by hash and round) moves at a time, so that two do not swap for ever; a
-    node stays where no other community gains more.
+
+def _moved(links: DataFrame, nodes: DataFrame, whole: float, resolution: float, turn: int) -> DataFrame:
+    """nodes after some of them (half, by a hash of the turn) went to the neighbouring community where modularity gains most; ties
+    go to the smaller community, and a node stays where no other gains more.
+
+    Of two single nodes that would change places only the greater may go to the smaller.
     """
-    e = cut(both_ways(edges, weight))
-    degree = e.groupBy("node").agg(F.sum("weight").alias("k"))
-    whole = degree.agg(F.sum("k").alias("whole"))
-    labels = cut(degree.select(F.col("node").alias("id"), F.col("node").alias("community"), "k"))
-    for turn in range(rounds):
-        sizes = labels.groupBy("community").agg(F.sum("k").alias("size"))
-        mine = labels.select(F.col("id").alias("node"), F.col("community").alias("own"), "k")
-        votes = e.join(labels.select(F.col("id").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("weight").alias("votes"))
-        votes = votes.unionByName(mine.select("node", F.col("own").alias("community"), F.lit(0.0).alias("votes"))).groupBy("node", "community").agg(F.sum("votes").alias("votes"))
-        scored = votes.join(mine, "node").join(sizes, "community").crossJoin(F.broadcast(whole))
-        others = F.col("size") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("votes") - resolution * F.col("k") * others / F.col("whole"), 9)
-        best = scored.groupBy("node", "k", "own").agg(F.max(F.struct(gain.alias("gain"), (F.col("community") == F.col("own")).alias("stay"), (-F.col("community") if dict(labels.dtypes)["community"] != "string" else F.lit(0)).alias("order"), "community")).alias("best"))
-        turn_of = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
-        labels = cut(best.select(F.col("node").alias("id"), F.when(turn_of, F.col("best.community")).otherwise(F.col("own")).alias("community"), "k"))
-    return labels.select("id", "community")
+    sizes = nodes.groupBy(F.col("community").alias("to")).agg(F.sum("k").alias("size"), F.count("*").alias("members"))
+    mine = nodes.select(F.col("id").alias("node"), F.col("community").alias("own"), "k", "loop")
+    there = nodes.select(F.col("id").alias("other"), F.col("community").alias("to"))
+    votes = links.join(there, "other").groupBy("node", "to").agg(F.sum("w").alias("votes"))
+    votes = votes.unionByName(mine.select("node", F.col("own").alias("to"), F.lit(0.0).alias("votes"))).groupBy("node", "to").agg(F.sum("votes").alias("votes"))
+    own_size = sizes.select(F.col("to").alias("own"), F.col("members").alias("own_members"))
+    scored = votes.join(mine, "node").join(sizes, "to").join(own_size, "own")
+    stays = F.col("to") == F.col("own")
+    gain = F.round(F.col("votes") - resolution * F.col("k") * (F.col("size") - F.when(stays, F.col("k")).otherwise(0.0)) / whole, 9)
+    allowed = stays | ~((F.col("own_members") == 1) & (F.col("members") == 1) & (F.col("to") > F.col("own")))
+    best = scored.filter(allowed).groupBy("node", "own", "k", "loop").agg(F.min(F.struct((-gain).alias("loss"), (~stays).alias("leaves"), "to")).alias("best"))
+    may = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+    return best.select(F.col("node").alias("id"), F.when(may, F.col("best.to")).otherwise(F.col("own")).alias("community"), "k", "loop")
+
+
+def community_levels(edges: DataFrame, weight: str = "similarity", resolution: float = 1.0, patience: int = 4, least: float = 1e-6) -> list[tuple[DataFrame, float]]:
+    """[((id, community), modularity)]: from the first level to the last, of all nodes that edges (src, dst) name.
+
+    In a level nodes move between communities in rounds, of which the best state is kept, until ``patience`` rounds bring
+    nothing more; then each community becomes one node, the weights between two of them one link and those inside a loop, and
+    the next level goes on from there.  It ends with the level that gains no more than ``least``, so modularity never falls and no number of rounds
+    is set.  Contracted graphs are never larger, and shrink with the communities.
+    """
+    both = both_ways(edges, weight).select("node", "other", F.col("weight").cast("double").alias("w"))
+    loops = both.filter("node = other").groupBy("node").agg(F.sum("w").alias("loop"))
+    links = cut(both.filter("node <> other").groupBy("node", "other").agg(F.sum("w").alias("w")))
+    strength = both.groupBy("node").agg(F.sum("w").alias("k"))
+    nodes = cut(strength.join(loops, "node", "left").select(F.col("node").alias("id"), F.col("node").alias("community"), "k", F.coalesce("loop", F.lit(0.0)).alias("loop")))
+    whole = nodes.agg(F.sum("k")).first()[0]
+    if not whole:
+        return [(nodes.select("id", "community"), 0.0)]
+    names, levels, turn = nodes.select("id", F.col("id").alias("at")), [], 0
+    best, quality = nodes, _quality(links, nodes, whole, resolution)
+    while True:
+        start, idle = quality, 0
+        while idle < patience:
+            nodes = cut(_moved(links, nodes, whole, resolution, turn))
+            now, turn = _quality(links, nodes, whole, resolution), turn + 1
+            idle = 0 if now > quality + least / 10 else idle + 1
+            if now > quality:
+                best, quality = nodes, now
+        names = cut(names.join(best.select(F.col("id").alias("at"), "community"), "at").select("id", F.col("community").alias("at")))
+        levels.append((names.select("id", F.col("at").alias("community")), quality))
+        if quality <= start + least:
+            return levels
+        mine = lambda end: best.select(F.col("id").alias(end), F.col("community").alias(f"c_{end}"))  # noqa: B023, E731
+        joined = cut(links.join(mine("node"), "node").join(mine("other"), "other").groupBy(F.col("c_node").alias("node"), F.col("c_other").alias("other")).agg(F.sum("w").alias("w")))
+        inside = joined.filter("node = other").select(F.col("node").alias("community"), F.col("w").alias("inside"))
+        sums = best.groupBy("community").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop"))
+        nodes = cut(sums.join(inside, "community", "left").select(F.col("community").alias("id"), "community", "k", (F.col("loop") + F.coalesce("inside", F.lit(0.0))).alias("loop")))
+        links, best = cut(joined.filter("node <> other")), nodes
+
+
+def communities(edges: DataFrame, weight: str = "similarity", resolution: float = 1.0) -> DataFrame:
+    """(id, community): the last level's; a community is named by one of its nodes."""
+    return community_levels(edges, weight, resolution)[-1][0]
 
 
 def modularity(edges: DataFrame, communities: DataFrame, weight: str = "similarity", resolution: float = 1.0) -> DataFrame:

@@ -429,20 +429,20 @@ def grf_12_ego_components(s, d):
 
 @_query()
 def grf_13_communities(s, d):
-    return graph.label_communities(_sparse(s, d))
+    return graph.communities(tables.cut(_sparse(s, d)))
 
 
 @_query()
 def grf_13_modularity(s, d):
     """How good the communities are, at two resolutions."""
     e = tables.cut(_sparse(s, d))
-    each = [graph.modularity(e, graph.label_communities(e, resolution=r), resolution=r).select(F.lit(r).alias("resolution"), F.round("modularity", 6).alias("modularity")) for r in (0.5, 1.0)]
+    each = [graph.modularity(e, graph.communities(e, resolution=r), resolution=r).select(F.lit(r).alias("resolution"), F.round("modularity", 6).alias("modularity")) for r in (0.5, 1.0)]
     return each[0].unionByName(each[1])
 
 
 @_query()
 def grf_13_overlapping_communities(s, d):
-    return graph.overlapping_communities(_sparse(s, d)).select("id", F.array_join("communities", ",").alias("communities"))
+    return graph.overlapping_communities(tables.cut(_sparse(s, d))).select("id", F.array_join("communities", ",").alias("communities"))
 
 
 def _paper_vectors(s: SparkSession, d: str) -> DataFrame:
