@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citelens.sources.tables import cut
+from citelens.sources.tables import cut, stored
 
 KINDS = ("cocitation", "bibcoupling", "citation", "textsimilarity")
 
@@ -96,7 +96,7 @@ def greedy_sparsify(edges: DataFrame, k: int, weight: str = "similarity") -> Dat
         own = late.groupBy(F.col("node").alias("other")).agg(F.count_if("taken").alias("sure"), F.count_if(F.coalesce("taken", F.lit(True))).alias("most"))
         settled = late.join(own, "other", "left").na.fill(0, ["sure", "most"])
         verdict = F.when(F.col("nth") <= F.col("room") - F.col("most"), True).when(F.col("nth") > F.col("room") - F.col("sure"), False)
-        late = cut(settled.select("node", "other", "weight", "room", "nth", F.coalesce("taken", verdict).alias("taken")))
+        late = stored(settled.select("node", "other", "weight", "room", "nth", F.coalesce("taken", verdict).alias("taken")))
     kept = taken.unionByName(late.filter("taken").select("node", "other", "weight"))
     reached = kept.select(F.explode(F.array("node", "other")).alias("node")).distinct()
     alone = asks.filter("place = 1").join(reached, "node", "left_anti").select("node", "other", "weight")
@@ -228,7 +228,7 @@ def _moved(links: DataFrame, nodes: DataFrame, whole: float, resolution: float,
     return best.select(F.col("node").alias("id"), F.when(may, F.col("best.to")).otherwise(F.col("own")).alias("community"), "k", "loop")
 
 
-def community_levels(edges: DataFrame, weight: str = "similarity", resolution: float = 1.0, patience: int = 4, least: float = 1e-6) -> list[tuple[DataFrame, float]]:
+def community_levels(edges: DataFrame, weight: str = "similarity", resolution: float = 1.0, patience: int = 3, least: float = 1e-6) -> list[tuple[DataFrame, float]]:
     """[((id, community), modularity)]: from the first level to the last, of all nodes that edges (src, dst) name.
 
     In a level nodes move between communities in rounds, of which the best state is kept, until ``patience`` rounds bring
@@ -249,21 +249,21 @@ def community_levels(edges: DataFrame, weight: str = "similarity", resolution: f
     while True:
         start, idle = quality, 0
         while idle < patience:
-            nodes = cut(_moved(links, nodes, whole, resolution, turn))
+            nodes = stored(_moved(links, nodes, whole, resolution, turn))
             now, turn = _quality(links, nodes, whole, resolution), turn + 1
             idle = 0 if now > quality + least / 10 else idle + 1
             if now > quality:
                 best, quality = nodes, now
-        names = cut(names.join(best.select(F.col("id").alias("at"), "community"), "at").select("id", F.col("community").alias("at")))
+        names = stored(names.join(best.select(F.col("id").alias("at"), "community"), "at").select("id", F.col("community").alias("at")))
         levels.append((names.select("id", F.col("at").alias("community")), quality))
         if quality <= start + least:
             return levels
         mine = lambda end: best.select(F.col("id").alias(end), F.col("community").alias(f"c_{end}"))  # noqa: B023, E731
-        joined = cut(links.join(mine("node"), "node").join(mine("other"), "other").groupBy(F.col("c_node").alias("node"), F.col("c_other").alias("other")).agg(F.sum("w").alias("w")))
+        joined = stored(links.join(mine("node"), "node").join(mine("other"), "other").groupBy(F.col("c_node").alias("node"), F.col("c_other").alias("other")).agg(F.sum("w").alias("w")))
         inside = joined.filter("node = other").select(F.col("node").alias("community"), F.col("w").alias("inside"))
         sums = best.groupBy("community").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop"))
-        nodes = cut(sums.join(inside, "community", "left").select(F.col("community").alias("id"), "community", "k", (F.col("loop") + F.coalesce("inside", F.lit(0.0))).alias("loop")))
-        links, best = cut(joined.filter("node <> other")), nodes
+        nodes = stored(sums.join(inside, "community", "left").select(F.col("community").alias("id"), "community", "k", (F.col("loop") + F.coalesce("inside", F.lit(0.0))).alias("loop")))
+        links, best = joined.filter("node <> other"), nodes
 
 
 def communities(edges: DataFrame, weight: str = "similarity", resolution: float = 1.0) -> DataFrame:

@@ -33,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read again.  For loops whose columns derive from their own last state: a
+    checkpoint keeps what the optimiser inferred about columns, which doubles with every round, and a table does not."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 MAX_TITLE = 1023
 
 
