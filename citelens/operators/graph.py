@@ -228,11 +228,11 @@ def _moved(links: DataFrame, nodes: DataFrame, whole: float, resolution: float,
     return best.select(F.col("node").alias("id"), F.when(may, F.col("best.to")).otherwise(F.col("own")).alias("community"), "k", "loop")
 
 
-def community_levels(edges: DataFrame, weight: str = "similarity", resolution: float = 1.0, patience: int = 3, least: float = 1e-6) -> list[tuple[DataFrame, float]]:
+def community_levels(edges: DataFrame, weight: str = "similarity", resolution: float = 1.0, patience: int = 2, least: float = 1e-4) -> list[tuple[DataFrame, float]]:
     """[((id, community), modularity)]: from the first level to the last, of all nodes that edges (src, dst) name.
 
-    In a level nodes move between communities in rounds, of which the best state is kept, until ``patience`` rounds bring
-    nothing more; then each community becomes one node, the weights between two of them one link and those inside a loop, and
+    In a level nodes move between communities in rounds, of which the best state is kept, until ``patience`` rounds in a row bring
+    no more than ``least``; then each community becomes one node, the weights between two of them one link and those inside a loop, and
     the next level goes on from there.  It ends with the level that gains no more than ``least``, so modularity never falls and no number of rounds
     is set.  Contracted graphs are never larger, and shrink with the communities.
     """
@@ -251,7 +251,7 @@ def community_levels(edges: DataFrame, weight: str = "similarity", resolution: f
         while idle < patience:
             nodes = stored(_moved(links, nodes, whole, resolution, turn))
             now, turn = _quality(links, nodes, whole, resolution), turn + 1
-            idle = 0 if now > quality + least / 10 else idle + 1
+            idle = 0 if now > quality + least else idle + 1
             if now > quality:
                 best, quality = nodes, now
         names = stored(names.join(best.select(F.col("id").alias("at"), "community"), "at").select("id", F.col("community").alias("at")))

@@ -169,11 +169,11 @@ _ANY = f"{_same_stem('list_concat(a, b)', 'pathetic', 'idiot')} > 0"
 @_query(
     with_tables(
         "texts",
-        f", {_WORDS} SELECT id FROM w WHERE {_same_stem('list_concat(a, b)', 'licensed')} > 0 AND {_same_stem('list_concat(a, b)', 'releasing')} > 0",
+        f", {_WORDS} SELECT id FROM w WHERE {_same_stem('list_concat(a, b)', 'licensed')} > 0 AND {_same_stem('list_concat(a, b)', 'publics')} > 0",
     ),
 )
 def flt_07_term_match(s, d):
-    return A.texts(s, d).filter(search.matches("licensed releasing", F.col("title"), F.col("abstract"))).select("id")
+    return A.texts(s, d).filter(search.matches("licensed publics", F.col("title"), F.col("abstract"))).select("id")
 
 
 @_query(
@@ -260,7 +260,7 @@ _TOTAL = (
 @_query(
     with_tables(
         "order_edges pubs",
-        f""", {_TOTAL}, s AS (SELECT id FROM pubs WHERE type = 'P' AND comp = 3), r AS (SELECT DISTINCT id_in AS id FROM order_edges WHERE id_out IN (FROM s)),
+        f""", {_TOTAL}, s AS (SELECT id FROM pubs WHERE type = 'P'), r AS (SELECT DISTINCT id_in AS id FROM order_edges WHERE id_out IN (FROM s)),
 b AS (SELECT total FROM tot WHERE id IN (FROM s UNION FROM r)), q AS (SELECT quantile_cont(total, 0.1) AS lo, quantile_cont(total, 0.9) AS hi FROM b),
 m AS (SELECT avg(total) AS mean, stddev_pop(total) AS std FROM b, q WHERE total BETWEEN lo AND hi),
 one AS (SELECT id FROM r JOIN tot USING (id) WHERE id NOT IN (FROM s) ORDER BY total DESC, id LIMIT (SELECT greatest(3000 - count(*), 0) FROM s)),
@@ -272,7 +272,7 @@ SELECT id, CAST(step AS INT) AS step FROM f UNION ALL SELECT id, 2 FROM two""",
 )
 def cit_18_expand_steps(s, d):
     e = A.order_edges(s, d)
-    return citations.expand_steps(e, A.pubs(s, d).filter("type = 'P' AND comp = 3").select("id"), citations.citation_counts(e), 2, 3000)
+    return citations.expand_steps(e, A.pubs(s, d).filter("type = 'P'").select("id"), citations.citation_counts(e), 2, 3000)
 
 
 @_query()
@@ -504,6 +504,13 @@ def grf_02_text_edges(s, d):
     return vectors.text_edges(_paper_vectors(s, d), _tfidf(s, d), e).withColumn("textsimilarity", F.round("textsimilarity", 5))
 
 
+@_query(with_tables("order_edges tokens counts", _text_similarity_sql(_NEAREST, "SELECT src, dst, round(x, 5) AS textsimilarity FROM ts WHERE x > 0")))
+def grf_02_edges_by_descent(s, d):
+    """Neighbours by descent, which is exact where the table fits one block."""
+    e = A.order_edges(s, d).select(F.col("id_in").alias("src"), F.col("id_out").alias("dst"))
+    return vectors.text_edges(_paper_vectors(s, d), _tfidf(s, d), e, by_descent=True).withColumn("textsimilarity", F.round("textsimilarity", 5))
+
+
 # Text -----------------------------------------------------------------------------------------------------------------------
 
 
