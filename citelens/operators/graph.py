@@ -193,23 +193,25 @@ def personas(edges: DataFrame, weight: str = "similarity") -> DataFrame:
     return edges.join(mine, ["src", "dst"]).join(theirs, ["src", "dst"]).select(F.col("a").alias("src"), F.col("b").alias("dst"), weight)
 
 
-def overlapping_communities(edges: DataFrame, weight: str = "similarity", resolution: float = 1.0) -> DataFrame:
-    """(id, communities array): communities of the persona graph, folded back to the nodes; ids as strings."""
-    found = communities(personas(edges, weight), weight, resolution)
+def overlapping_communities(edges: DataFrame, rounds: int = 5, weight: str = "similarity", levels: bool = False) -> DataFrame:
+    """(id, communities array): communities of the persona graph, folded back to the nodes; ids as strings.
+
+    levels contracts communities until modularity gains no more, instead of one level of label moves."""
+    split = personas(edges, weight)
+    found = communities(cut(split), weight) if levels else label_communities(split, rounds, weight)
     return found.groupBy(F.substring_index("id", ":", 1).alias("id")).agg(F.array_sort(F.collect_set("community")).alias("communities"))
 
 
-def _quality(links: DataFrame, nodes: DataFrame, whole: float, resolution: float) -> float:
-    """Modularity of nodes (id, community, k, loop) with links (node, other, w) both ways and without loops."""
-    mine = lambda end: nodes.select(F.col("id").alias(end), F.col("community").alias(f"c_{end}"))
-    within = links.join(mine("node"), "node").join(mine("other"), "other").filter("c_node = c_other").agg(F.sum("w")).first()[0] or 0.0
+def _quality(nodes: DataFrame, within: float, whole: float, resolution: float) -> float:
+    """Modularity of nodes (id, community, k, loop) whose links inside communities weigh ``within``, both ways."""
     sums = nodes.groupBy("community").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop")).agg(F.sum(F.col("k") * F.col("k")), F.sum("loop")).first()
     return (within + sums[1]) / whole - resolution * sums[0] / whole**2
 
 
 def _moved(links: DataFrame, nodes: DataFrame, whole: float, resolution: float, turn: int) -> DataFrame:
-    """nodes after some of them (half, by a hash of the turn) went to the neighbouring community where modularity gains most; ties
-    go to the smaller community, and a node stays where no other gains more.
+    """nodes after some of them (half, by a hash of the turn) went to the neighbouring community where modularity gains most, and
+    ``within``, the weight of each node's links inside its community before.  Ties go to the smaller community, and a node
+    stays where no other gains more.
 
     Of two single nodes that would change places only the greater may go to the smaller.
     """
@@ -223,9 +225,9 @@ def _moved(links: DataFrame, nodes: DataFrame, whole: float, resolution: float,
     stays = F.col("to") == F.col("own")
     gain = F.round(F.col("votes") - resolution * F.col("k") * (F.col("size") - F.when(stays, F.col("k")).otherwise(0.0)) / whole, 9)
     allowed = stays | ~((F.col("own_members") == 1) & (F.col("members") == 1) & (F.col("to") > F.col("own")))
-    best = scored.filter(allowed).groupBy("node", "own", "k", "loop").agg(F.min(F.struct((-gain).alias("loss"), (~stays).alias("leaves"), "to")).alias("best"))
+    best = scored.filter(allowed).groupBy("node", "own", "k", "loop").agg(F.min(F.struct((-gain).alias("loss"), (~stays).alias("leaves"), "to")).alias("best"), F.max(F.when(stays, F.col("votes"))).alias("within"))
     may = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-    return best.select(F.col("node").alias("id"), F.when(may, F.col("best.to")).otherwise(F.col("own")).alias("community"), "k", "loop")
+    return best.select(F.col("node").alias("id"), F.when(may, F.col("best.to")).otherwise(F.col("own")).alias("community"), "k", "loop", "within")
 
 
 def community_levels(edges: DataFrame, weight: str = "similarity", resolution: float = 1.0, patience: int = 2, least: float = 1e-4) -> list[tuple[DataFrame, float]]:
@@ -245,15 +247,17 @@ def community_levels(edges: DataFrame, weight: str = "similarity", resolution: f
     if not whole:
         return [(nodes.select("id", "community"), 0.0)]
     names, levels, turn = nodes.select("id", F.col("id").alias("at")), [], 0
-    best, quality = nodes, _quality(links, nodes, whole, resolution)
+    best, quality = nodes, None
     while True:
-        start, idle = quality, 0
+        start, idle = quality, -1
         while idle < patience:
-            nodes = stored(_moved(links, nodes, whole, resolution, turn))
-            now, turn = _quality(links, nodes, whole, resolution), turn + 1
-            idle = 0 if now > quality + least else idle + 1
-            if now > quality:
+            after = stored(_moved(links, nodes, whole, resolution, turn))  # and the quality of nodes comes with it
+            now, turn = _quality(nodes, after.agg(F.sum("within")).first()[0], whole, resolution), turn + 1
+            start = now if start is None else start
+            idle = 0 if quality is None or now > quality + least else idle + 1
+            if quality is None or now > quality:
                 best, quality = nodes, now
+            nodes = after.drop("within")
         names = stored(names.join(best.select(F.col("id").alias("at"), "community"), "at").select("id", F.col("community").alias("at")))
         levels.append((names.select("id", F.col("at").alias("community")), quality))
         if quality <= start + least:
