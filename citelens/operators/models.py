@@ -12,7 +12,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelens.operators import skipgram
+from citelens.operators import linkage, skipgram
+from citelens.operators.reports import relabelled_by_size
 from citelens.operators.search import sampled
 
 
@@ -41,13 +42,21 @@ def clusters(rows: DataFrame, k: int, vector: str = "embedding", hierarchical: b
     return kind(k=k, seed=seed, predictionCol="comp").fit(v).transform(v).drop("features")
 
 
-def clusters_or_none(rows: DataFrame, k: int, vector: str = "embedding", exact: int = 5000, seed: int = 0) -> DataFrame:
-    """rows with comp: hierarchical clusters up to ``exact`` rows, k-means beyond; 0 for all if there are at most k rows or no features."""
+def tree_clusters(rows: DataFrame, k: int, vector: str = "embedding", key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """rows (key, which is unique) with comp: Ward's merge tree cut into k clusters, the largest 0; null for rows that take no part in the tree."""
+    parts = linkage.cut_tree(*linkage.merge_tree(rows, key, vector), k)
+    return rows.join(parts.select(*key, F.col("comp").cast("int").alias("comp")), list(key), "left")
+
+
+def clusters_or_none(rows: DataFrame, k: int, vector: str = "embedding", exact: int = 5000, seed: int = 0, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """rows with comp, the largest cluster 0: of Ward's merge tree up to ``exact`` rows, k-means beyond; 0 for all if there are at most k rows or no features."""
     n = rows.count()
     width = rows.agg(F.max(F.size(vector))).first()[0] or 0
     if n <= k or width <= 0:
         return rows.withColumn("comp", F.lit(0))
-    return clusters(rows, k, vector, n <= exact, seed)
+    if n <= exact:
+        return tree_clusters(rows, k, vector, key)
+    return relabelled_by_size(clusters(rows, k, vector, seed=seed)).withColumn("comp", F.col("comp").cast("int"))
 
 
 def topics(documents: DataFrame, k: int = 20, words: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -144,29 +153,28 @@ def top_paper_classifier(train: DataFrame, validate: DataFrame, features: list[s
     return c.withColumn("recall", rate("fn")).withColumn("precision", rate("fp"))
 
 
-def topic_hierarchy(rows: DataFrame, vector: str = "embedding", comp: str = "comp", most: int = 1000) -> DataFrame:
-    """(comp, path): path of each topic in a binary tree, "0" or "1" a level from the root, by Ward merges of topic centres.
+def topic_hierarchy(rows: DataFrame, vector: str = "embedding", comp: str = "comp") -> DataFrame:
+    """(comp, path): path of each given topic in a binary tree, "0" or "1" a level from the root, by Ward merges of the topics' centres.
 
-    Spark reduces rows to one centre a topic; only those, at most ``most``, are merged on the driver.
+    A topic weighs as many as its rows.  The merges, one fewer than the topics, travel as one array.
     """
     v = rows.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    centres = v.groupBy(comp).agg(F.count("*").alias("n"), Summarizer.mean(F.col("_v")).alias("m")).limit(most + 1).collect()
-    if len(centres) > most:
-        raise ValueError(f"more than {most} topics")
-    centres.sort(key=lambda r: r[comp])
-    groups = [([r[comp]], r["n"], np.asarray(r["m"].toArray())) for r in centres]
-    paths: dict = {r[comp]: "" for r in centres}
-    while len(groups) > 1:
-        n, m = np.array([g[1] for g in groups], float), np.stack([g[2] for g in groups])
-        cost = n[:, None] * n[None, :] / (n[:, None] + n[None, :]) * ((m[:, None] - m[None, :]) ** 2).sum(axis=2)
-        cost[np.tril_indices(len(groups))] = np.inf
-        i, j = np.unravel_index(int(cost.argmin()), cost.shape)
-        for side, g in (("0", groups[i]), ("1", groups[j])):
-            for c in g[0]:
-                paths[c] = side + paths[c]
-        joined = (groups[i][0] + groups[j][0], groups[i][1] + groups[j][1], (n[i] * m[i] + n[j] * m[j]) / (n[i] + n[j]))
-        groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [joined]
-    return rows.sparkSession.createDataFrame(sorted(paths.items()), f"{comp} {rows.schema[comp].dataType.simpleString()}, path string")
+    centres = v.groupBy(comp).agg(F.count("*").alias("size"), vector_to_array(Summarizer.mean(F.col("_v"))).alias("centre"))
+    leaves = linkage.numbered(centres, comp, name="leaf")
+    tree = linkage.weighted_tree(leaves, leaves.count())
+    steps = tree.agg(F.array_sort(F.collect_list(F.struct("node", "left", "right"))).alias("steps"))
+    start = F.struct(F.col("leaf").cast("long").alias("at"), F.lit("").alias("path"))
+    side = lambda s, m, c, mark: F.when(s["at"] == m[c], F.struct(m["node"].alias("at"), F.concat(F.lit(mark), s["path"]).alias("path")))
+    climb = F.aggregate("steps", start, lambda s, m: F.coalesce(side(s, m, "left", "0"), side(s, m, "right", "1"), s))
+    return leaves.crossJoin(F.broadcast(steps)).select(comp, climb["path"].alias("path"))
+
+
+def topic_tree(rows: DataFrame, k: int, vector: str = "embedding", key: tuple[str, ...] = ("id",)) -> tuple[DataFrame, DataFrame]:
+    """((left, right, node, height), (comp, path, place)): the merge tree of all rows contracted to its k clusters, and their ways to the root."""
+    leaves, tree = linkage.merge_tree(rows, key, vector)
+    parts = linkage.cut_tree(leaves, tree, k)
+    merges = linkage.contracted(parts, tree)
+    return merges, linkage.topic_paths(merges, parts)
 
 
 def importances(rows: DataFrame, features: list[str], target: str, kind: str = "forest", seed: int = 0) -> DataFrame:

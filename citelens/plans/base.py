@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citelens.functions import scalars
-from citelens.operators import citations, graph, impact, models, reports, search, text, vectors
+from citelens.operators import citations, graph, impact, linkage, models, reports, search, text, vectors
 from citelens.plans import adapters as A
 from citelens.plans.adapters import with_tables
 from citelens.sources import records, tables
@@ -659,7 +659,7 @@ _add(
 _add("clu_03_clusters", lambda s, d: models.clusters(A.chunk_vectors(s, d).select("id", "chunk", "embedding"), 10).select("id", "chunk", "comp"))
 _add(
     "clu_03_hierarchical_clusters",
-    lambda s, d: models.clusters(A.chunk_vectors(s, d).select("id", "chunk", "embedding"), 10, hierarchical=True).select("id", "chunk", "comp"),
+    lambda s, d: models.tree_clusters(A.chunk_vectors(s, d).select("id", "chunk", "embedding"), 10, key=("id", "chunk")).select("id", "chunk", "comp"),
 )
 _add(
     "clu_04_relabelled",
@@ -1036,7 +1036,10 @@ _add(
         f"/ t.n / sqrt(5), 5) AS last FROM g JOIN t USING (id)"
     ),
 )
-_add("clu_05_topic_hierarchy", lambda s, d: models.topic_hierarchy(A.chunk_vectors(s, d)))
+_add("clu_03_merge_tree", lambda s, d: linkage.merge_tree(A.chunk_vectors(s, d), ("id", "chunk"))[1])
+_add("clu_05_topic_hierarchy", lambda s, d: models.topic_tree(A.chunk_vectors(s, d), 10, key=("id", "chunk"))[1])
+_add("clu_05_topic_merges", lambda s, d: models.topic_tree(A.chunk_vectors(s, d), 10, key=("id", "chunk"))[0])
+_add("clu_05_topic_centres", lambda s, d: models.topic_hierarchy(A.chunk_vectors(s, d)))
 _add(
     "clu_08_rescaled",
     lambda s, d: reports.rescaled_columns(A.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x")), ["x"]).withColumn(

@@ -616,7 +616,7 @@ def clu_02_components(s, d):
 @_query()
 def clu_03_clusters_by_size(s, d):
     """Hierarchical up to 5000 rows, k-means beyond."""
-    return models.clusters_or_none(A.chunk_vectors(s, d).select("id", "chunk", "embedding"), 10).select("id", "chunk", "comp")
+    return models.clusters_or_none(A.chunk_vectors(s, d).select("id", "chunk", "embedding"), 10, key=("id", "chunk")).select("id", "chunk", "comp")
 
 
 # Topics, cards and reports ----------------------------------------------------------------------------------------------------
