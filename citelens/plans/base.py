@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citelens.functions import scalars
-from citelens.operators import citations, graph, impact, linkage, models, reports, search, text, vectors
+from citelens.operators import citations, graph, impact, linkage, models, quantised, reports, search, text, vectors
 from citelens.plans import adapters as A
 from citelens.plans.adapters import with_tables
 from citelens.sources import records, tables
@@ -643,8 +643,11 @@ _add(
 
 
 def _in_cells(s, d):
-    rows, centroids = vectors.cells(A.chunk_vectors(s, d), 16)
-    return vectors.nearest_in_cells(rows, centroids, A.table(s, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding"), 10, 6).select("query", "id", "chunk", "rank")
+    rows, asked = A.chunk_vectors(s, d), A.table(s, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    fitted = quantised.fit(rows)
+    if fitted is None:
+        return vectors.nearest(rows, asked, 10).select("query", "id", "chunk", "rank")
+    return quantised.search(tables.cut(quantised.index(rows, fitted)), rows, asked, fitted, 10).select("query", "id", "chunk", "rank")
 
 
 _add("emb_05_cell_search", _in_cells)
