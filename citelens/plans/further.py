@@ -856,3 +856,55 @@ def log_03_totals(s, d):
 def log_05_recent(s, d):
     told = _searches(s, d).withColumn("id", F.substring_index("job", "-", 1))
     return logs.recent(told).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _job_events(s: SparkSession, d: str) -> DataFrame:
+    """A job is a user's week; clicks are the three features, errors now and then a search without a result."""
+    e = A.table(s, d, "events")
+    feature = F.element_at(F.array(*map(F.lit, logs.FLAGS)), (F.col("event_id") % 3 + 1).cast("int"))
+    kinds = {"signup": F.lit("start"), "purchase": F.lit("result"), "view": F.lit("paper"), "click": feature}
+    event = F.when(F.col("event_id") % 4 == 0, "not_found").otherwise("error")
+    for kind, told in kinds.items():
+        event = F.when(F.col("event_type") == kind, told).otherwise(event)
+    return e.select("event_id", F.concat_ws("-", F.col("user_id").cast("string"), F.date_format(F.date_trunc("week", "ts"), "yyyyMMdd")).alias("job"), "ts", event.alias("event"), "props", "value")
+
+
+_JOB_EVENTS = (
+    "WITH je AS (SELECT event_id, CAST(user_id AS VARCHAR) || '-' || strftime(date_trunc('week', ts), '%Y%m%d') AS job, ts, CASE event_type "
+    "WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'result' WHEN 'view' THEN 'paper' WHEN 'click' THEN (['papers', 'graph', "
+    "'question'])[event_id % 3 + 1] ELSE CASE WHEN event_id % 4 = 0 THEN 'not_found' ELSE 'error' END END AS event, props, value FROM events)"
+)
+
+
+@_query(
+    _JOB_EVENTS
+    + (
+        ", b AS (SELECT *, min(ts) FILTER (event IN ('start', 'error', 'not_found', 'result')) OVER w AS st, min(ts) FILTER (event = 'result') "
+        "OVER w AS fo FROM je WINDOW w AS (PARTITION BY job)), c AS (SELECT *, event = 'paper' AND (fo IS NULL OR ts < fo) AS lo FROM b "
+        "WHERE ts >= st), e AS (SELECT *, lo OR event IN ('error', 'not_found', 'result') AS ends FROM c) SELECT job, "
+        "strftime(min(st), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(min(ts) FILTER (ends), '%Y-%m-%d %H:%M:%S.%f') AS \"end\", arg_max(CASE event "
+        "WHEN 'error' THEN 'Error' WHEN 'not_found' THEN 'Not found' ELSE 'Ok' END, ts) FILTER (ends) AS status, CASE WHEN min(fo) IS NOT "
+        "NULL THEN 'terms' WHEN bool_or(lo) THEN 'paper' END AS type, count(*) FILTER (event = 'paper' AND ts > fo) AS clicks, "
+        "bool_or(event = 'papers') AS papers, bool_or(event = 'graph') AS graph, bool_or(event = 'question') AS question FROM e GROUP BY job"
+    ),
+)
+def log_02_jobs(s, d):
+    told = logs.jobs(_job_events(s, d))
+    return told.select("job", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("start", "end")), "status", "type", "clicks", *logs.FLAGS)
+
+
+@_query(
+    _JOB_EVENTS
+    + (
+        ", q AS (SELECT *, last_value(CASE WHEN event = 'start' THEN props END IGNORE NULLS) OVER (PARTITION BY job ORDER BY ts) AS query FROM je) "
+        "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, 'k' || CAST(event_id % 20 AS VARCHAR) AS key, CASE (CASE WHEN value > 20 THEN 1 "
+        "WHEN value > 5 THEN 0 ELSE -1 END) * (CASE WHEN event_id % 7 = 0 THEN -1 ELSE 1 END) WHEN 1 THEN 'Yes' WHEN -1 THEN 'No' "
+        "ELSE 'Meh' END AS said, query FROM q WHERE event = 'graph' AND query IS NOT NULL ORDER BY ts DESC LIMIT 50"
+    ),
+)
+def log_06_recent(s, d):
+    e = _job_events(s, d)
+    value = F.when(F.col("value") > 20, 1).when(F.col("value") > 5, 0).otherwise(-1)
+    marks = e.filter("event = 'graph'").select("job", "ts", F.concat(F.lit("k"), (F.col("event_id") % 20).cast("string")).alias("key"), value.alias("value"), (F.col("event_id") % 7 == 0).alias("cancel"))
+    told = logs.recent_feedback(marks, e.filter("event = 'start'").select("job", "ts", F.col("props").alias("query")))
+    return told.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), "key", "said", "query")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelens.functions.scalars import duration
@@ -26,6 +26,78 @@ def sessions(events: DataFrame) -> DataFrame:
     )
 
 
+#: Events of a job, in the order in which those of one moment count.
+KINDS = ("start", "error", "not_found", "result", "paper", "papers", "graph", "question")
+FLAGS = ("papers", "graph", "question")
+BEGIN = ("start", "error", "not_found", "result")
+
+
+def _job_events(events: DataFrame) -> DataFrame:
+    """(job, ts, at, event): events of known kinds with a job and a time; ``at`` orders them."""
+    told = events.filter(F.col("ts").isNotNull() & (F.col("job") != "") & F.col("event").isin(*KINDS))
+    return told.select("job", "ts", F.struct("ts", F.array_position(F.array(*map(F.lit, KINDS)), F.col("event")).alias("kind")).alias("at"), "event")
+
+
+def _status(event: Column) -> Column:
+    return F.when(event == "error", "Error").when(event == "not_found", "Not found").otherwise("Ok")
+
+
+def jobs(events: DataFrame) -> DataFrame:
+    """(job, start, end, status, type, clicks, papers, graph, question) from (job, ts, event).
+
+    A job starts with the first of its BEGIN events; what comes before is left out.  A result makes it a search for terms, and papers
+    opened after the first result are clicks; a paper opened before any result makes it a search for that paper, which
+    succeeds.  Errors, results and such papers are ends: the first gives the end, the last the status, null where there is none.
+    Two aggregations, each summed in the map tasks, so a job of very many events is no large group.
+    """
+    e = _job_events(events)
+    first = e.groupBy("job").agg(F.min(F.when(F.col("event").isin(*BEGIN), F.col("at"))).alias("begin"), F.min(F.when(F.col("event") == "result", F.col("at"))).alias("found"))
+    rows = e.join(first.filter("begin IS NOT NULL"), "job").filter(F.col("at") >= F.col("begin"))
+    looked = (F.col("event") == "paper") & (F.col("found").isNull() | (F.col("at") < F.col("found")))
+    ends = F.col("event").isin("error", "not_found", "result") | looked
+    return rows.groupBy("job").agg(
+        F.min("begin")["ts"].alias("start"), F.min(F.when(ends, F.col("ts"))).alias("end"),
+        F.max(F.when(ends, F.struct("at", _status(F.col("event")).alias("status"))))["status"].alias("status"),
+        F.when(F.count("found") > 0, "terms").when(F.bool_or(looked), "paper").alias("type"),
+        F.count_if((F.col("event") == "paper") & (F.col("at") > F.col("found"))).alias("clicks"), *(F.bool_or(F.col("event") == f).alias(f) for f in FLAGS),
+    )
+
+
+def jobs_stream(events: DataFrame, gap: str = "1 day") -> DataFrame:
+    """jobs() of a stream, a row once the watermark says that a job has been silent for the gap.
+
+    The state of an open job is its events, as they may come late and in any order; a job that speaks again after the gap is a
+    new row.  The fold goes over the job's events in order, so it equals the batch whatever the micro-batches were.
+    """
+    open_ = _job_events(events).withWatermark("ts", gap).groupBy("job", F.session_window("ts", gap)).agg(F.collect_list(F.struct("at", "event")).alias("seen"))
+    first = lambda kinds: F.array_min(F.transform(F.filter("seen", lambda x: x["event"].isin(*kinds)), lambda x: x["at"]))
+    told = open_.withColumn("begin", first(BEGIN)).withColumn("found", first(("result",))).filter("begin IS NOT NULL")
+    told = told.withColumn("seen", F.filter("seen", lambda x: x["at"] >= F.col("begin")))
+    looked = lambda x: (x["event"] == "paper") & (F.col("found").isNull() | (x["at"] < F.col("found")))
+    told = told.withColumn("ends", F.array_sort(F.filter("seen", lambda x: x["event"].isin("error", "not_found", "result") | looked(x))))
+    return told.select(
+        "job", F.col("begin.ts").alias("start"), F.get("ends", F.lit(0))["at"]["ts"].alias("end"),
+        F.when(F.size("ends") > 0, _status(F.try_element_at("ends", F.lit(-1))["event"])).alias("status"),
+        F.when(F.col("found").isNotNull(), "terms").when(F.exists("seen", looked), "paper").alias("type"),
+        F.size(F.filter("seen", lambda x: (x["event"] == "paper") & (x["at"] > F.col("found")))).cast("long").alias("clicks"),
+        *(F.array_contains(F.transform("seen", lambda x: x["event"]), f).alias(f) for f in FLAGS),
+    )
+
+
+def recent_feedback(marks: DataFrame, searches: DataFrame, n: int = 50) -> DataFrame:
+    """(ts, key, said, query): the n newest marks (key, value, cancel, ts, job) whose job had searched (job, query, ts) earlier, newest first.
+
+    A cancel turns its value; 1 says "Yes", -1 "No", all else "Meh".  Of several searches of a job the last one before the mark counts.
+    """
+    value = F.when(F.col("cancel"), -F.col("value")).otherwise(F.col("value"))
+    said = F.when(value == 1, "Yes").when(value == -1, "No").otherwise("Meh")
+    rows = marks.select("job", "ts", "key", said.alias("said"), F.lit(None).cast("string").alias("query"))
+    asked = searches.filter("job IS NOT NULL").select("job", "ts", F.lit(None).cast(rows.schema["key"].dataType).alias("key"), F.lit(None).cast("string").alias("said"), F.coalesce("query", F.lit("NA")).alias("query"))
+    earlier = Window.partitionBy("job").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    known = rows.unionByName(asked).filter("job IS NOT NULL").withColumn("query", F.last("query", ignorenulls=True).over(earlier))
+    return known.filter("said IS NOT NULL AND query IS NOT NULL").orderBy(F.desc("ts"), "key", "said").limit(n).select("ts", "key", "said", "query")
+
+
 def totals(sessions_: DataFrame) -> DataFrame:
     seconds = F.unix_timestamp("end") - F.unix_timestamp("start")
     return sessions_.agg(F.count("*").alias("searches"), F.count_if(F.col("status") == "Ok").alias("successful"), F.sum("clicks").alias("clicks"), F.count_if("features").alias("with_features"), F.count_if("listed").alias("list_shown"),
