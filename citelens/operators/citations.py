@@ -76,6 +76,18 @@ def with_totals(pubs: DataFrame, by_year: DataFrame) -> DataFrame:
     return pubs.join(by_year.groupBy("id").agg(F.sum("count").alias("total")), "id", "left").na.fill(0, ["total"])
 
 
+def merged_stats(ids: DataFrame, pubs: DataFrame, matrix: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(publications of ids (id, pos) in the order of pos, with the columns of a citation matrix, and its years).
+
+    A full outer join, so an id that has citations but no publication stays, its authors "".  Only the matrix's columns are filled
+    with 0; a publication's null year stays null.
+    """
+    fresh = [c for c in matrix.columns if c != "id"]
+    j = pubs.join(matrix, "id", "full_outer").na.fill(0, fresh)
+    j = j.withColumn("authors", F.coalesce("authors", F.lit(""))) if "authors" in j.columns else j
+    return ids.select("id", "pos").join(j, "id").orderBy("pos"), [int(c) for c in fresh if c.isdigit()]
+
+
 def top_cited(pubs: DataFrame, n: int) -> DataFrame:
     return pubs.orderBy(F.desc("total"), "id").limit(n)
 

@@ -56,19 +56,27 @@ def component_token_means(token_counts: DataFrame, comps: DataFrame, n: int) ->
     return c.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).select("comp", "token", "mean")
 
 
+def token_sizes(token_counts: DataFrame, papers: int) -> DataFrame:
+    """(token, size): occurrences of a token over the number of papers of the corpus."""
+    return token_counts.groupBy("token").agg((F.sum("n") / papers).alias("size"))
+
+
 def papers_per_year(pubs: DataFrame) -> DataFrame:
     span = pubs.agg(F.min("year").alias("a"), F.max("year").alias("b")).select(F.explode(F.sequence("a", "b")).alias("year"))
     return span.join(pubs.groupBy("year").agg(F.count("*").alias("count")), "year", "left").na.fill(0, ["count"])
 
 
-def scatter(pubs: DataFrame) -> DataFrame:
-    """(id, year, y, size): papers of equal year and total moved apart around their height."""
-    w = Window.partitionBy("year", "total")
+def scatter(pubs: DataFrame, split: bool = False, width: float = 760.0) -> DataFrame:
+    """(id, year, y, size): papers of equal year and total (and component, if split) moved apart around their height.
+
+    The largest circle is as wide as a year of a plot of ``width`` that spans the papers' years, 30 at least.
+    """
+    w = Window.partitionBy(*(["comp"] if split else []), "year", "total")
     k, c = F.row_number().over(w.orderBy("id")) - 1, F.count("*").over(w)
     y = F.greatest(F.lit(1), F.col("total")) + (k - F.floor(c / 2)) / c
     size = 1 + F.log1p("total")
-    largest = pubs.agg(F.max(size).alias("largest"))
-    return pubs.withColumn("y", y).crossJoin(F.broadcast(largest)).select("id", "year", "y", (size / F.col("largest")).alias("size"))
+    scale = pubs.agg((width / F.greatest(F.coalesce(F.max("year") - F.min("year") + 1, F.lit(30)), F.lit(30)) / F.max(size)).alias("scale"))
+    return pubs.withColumn("y", y).crossJoin(F.broadcast(scale)).select("id", "year", "y", (size * F.col("scale")).alias("size"))
 
 
 def histogram(rows: DataFrame, column: str, edges: list[float]) -> DataFrame:

@@ -145,6 +145,30 @@ _add(
         ),
     ),
 )
+def _merged_stats(s, d):
+    """Papers with an odd key are missing, those with citations stay; every third id is asked for, the largest first."""
+    part = A.table(s, d, "part")
+    matrix = citations.citation_matrix(_by_year(s, d), _YEARS)
+    pubs = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.nullif(F.col("p_size") % 4, F.lit(0)).alias("year"), F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("authors"))
+    ids = part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), (-F.col("p_partkey")).alias("pos"))
+    merged, years = citations.merged_stats(ids, pubs, matrix)
+    return merged.select("id", "pos", "title", "year", "authors", "total", *(F.col(str(y)).alias(f"y{y}") for y in years))
+
+
+_add(
+    "cit_10_merged_stats",
+    _merged_stats,
+    with_tables(
+        "edges by_year",
+        (
+            ", m AS (SELECT id, " + ", ".join(f"sum(count) FILTER (year = {y}) AS y{y}" for y in _YEARS) + ", sum(count) AS total FROM by_year GROUP BY id), "
+            "p AS (SELECT p_partkey AS id, p_name AS title, nullif(p_size % 4, 0) AS year, CASE WHEN p_size % 5 <> 0 THEN p_brand END AS authors FROM part WHERE "
+            "p_partkey % 2 = 0) SELECT id, -id AS pos, title, year, coalesce(authors, '') AS authors, CAST(coalesce(total, 0) AS BIGINT) AS total, "
+            + ", ".join(f"CAST(coalesce(y{y}, 0) AS BIGINT) AS y{y}" for y in _YEARS)
+            + " FROM p FULL JOIN m USING (id) WHERE id IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)"
+        ),
+    ),
+)
 _add(
     "cit_11_top_cited",
     lambda s, d: citations.top_cited(A.parts(s, d), 50).select("id", "total"),
@@ -445,6 +469,17 @@ _add(
     ),
 )
 _add("nrm_05_year_backfill", lambda s, d: A.order_years(s, d), "SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INT) AS year FROM orders")
+_add(
+    "nrm_05_backfilled_years",
+    lambda s, d: tables.backfilled_years(
+        A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(1900).alias("year"), "o_orderstatus"),
+        A.table(s, d, "lineitem").filter("l_linenumber > 2").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("date")),
+    ),
+    (
+        "SELECT o_orderkey AS id, CAST(coalesce(y, 1900) AS INT) AS year, o_orderstatus FROM orders LEFT JOIN (SELECT l_orderkey, year(max(l_shipdate)) "
+        "AS y FROM lineitem WHERE l_linenumber > 2 GROUP BY 1) ON l_orderkey = o_orderkey"
+    ),
+)
 _add(
     "fnc_01_cut_text",
     lambda s, d: A.texts(s, d).select("id", scalars.cut_text(F.col("title"), 20).alias("title")),
@@ -746,6 +781,11 @@ _add(
         ),
     ),
 )
+_add(
+    "top_08_token_sizes",
+    lambda s, d: reports.token_sizes(text.counts(_tokens(s, d)), A.table(s, d, "documents").count()).withColumn("size", F.round("size", 6)),
+    with_tables("tokens counts", "SELECT token, round(sum(n) / (SELECT count(*) FROM documents), 6) AS size FROM counts GROUP BY token"),
+)
 _add("rep_01_papers_per_year", lambda s, d: reports.papers_per_year(A.pubs(s, d)), with_tables("pubs", "SELECT year, count(*) AS count FROM pubs GROUP BY year"))
 _add(
     "rep_02_scatter",
@@ -755,7 +795,7 @@ _add(
         (
             f", {_OP} SELECT id, year, round(greatest(1, total) + (row_number() OVER (PARTITION BY year, total ORDER BY id) - 1 - count(*) "
             f"OVER (PARTITION BY year, total) // 2)::DOUBLE / count(*) OVER (PARTITION BY year, total), 6) AS y, round((1 + ln(1 + "
-            f"total)) / max(1 + ln(1 + total)) OVER (), 6) AS size FROM opubs"
+            f"total)) / max(1 + ln(1 + total)) OVER () * 760.0 / greatest(max(year) OVER () - min(year) OVER () + 1, 30), 6) AS size FROM opubs"
         ),
     ),
 )

@@ -176,6 +176,16 @@ def flt_07_term_match(s, d):
     return A.texts(s, d).filter(search.matches("licensed publics", F.col("title"), F.col("abstract"))).select("id")
 
 
+@_query(
+    with_tables(
+        "texts",
+        f", {_WORDS} SELECT id FROM w WHERE {_same_stem('list_concat(a, b)', 'attions')} > 0 AND {_same_stem('list_concat(a, b)', 'oned')} > 0",
+    ),
+)
+def flt_07_frequent_terms(s, d):
+    return A.texts(s, d).filter(search.matches("attions oned", F.col("title"), F.col("abstract"))).select("id")
+
+
 @_query(
     with_tables(
         "texts",

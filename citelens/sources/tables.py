@@ -113,6 +113,16 @@ def write_id_map(ids: DataFrame, path: str, size: int) -> DataFrame:
     return written
 
 
+def backfilled_years(pubs: DataFrame, dates: DataFrame) -> DataFrame:
+    """pubs (id, ...) with ``year`` from dates (id, date), whether or not they had the column; a paper without a date keeps its year.
+
+    Of several dates of a paper the latest counts.
+    """
+    pubs = pubs if "year" in pubs.columns else pubs.withColumn("year", F.lit(None).cast("int"))
+    told = dates.groupBy("id").agg(F.year(F.max("date")).alias("_year"))
+    return pubs.join(told, "id", "left").withColumn("year", F.coalesce("_year", "year")).select(pubs.columns)
+
+
 def write_table(rows: DataFrame, path: str) -> None:
     """Comma-separated and compressed, without the columns of single years."""
     rows.select([c for c in rows.columns if not c.isdigit()]).write.option("header", True).option("compression", "gzip").csv(path)
