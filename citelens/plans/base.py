@@ -152,7 +152,7 @@ def _merged_stats(s, d):
     pubs = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.nullif(F.col("p_size") % 4, F.lit(0)).alias("year"), F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("authors"))
     ids = part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), (-F.col("p_partkey")).alias("pos"))
     merged, years = citations.merged_stats(ids, pubs, matrix)
-    return merged.select("id", "pos", "title", "year", "authors", "total", *(F.col(str(y)).alias(f"y{y}") for y in years))
+    return merged.select("id", "pos", "title", F.col("year").cast("string").alias("year"), "authors", "total", *(F.col(str(y)).alias(f"y{y}") for y in years))
 
 
 _add(
@@ -163,7 +163,7 @@ _add(
         (
             ", m AS (SELECT id, " + ", ".join(f"sum(count) FILTER (year = {y}) AS y{y}" for y in _YEARS) + ", sum(count) AS total FROM by_year GROUP BY id), "
             "p AS (SELECT p_partkey AS id, p_name AS title, nullif(p_size % 4, 0) AS year, CASE WHEN p_size % 5 <> 0 THEN p_brand END AS authors FROM part WHERE "
-            "p_partkey % 2 = 0) SELECT id, -id AS pos, title, year, coalesce(authors, '') AS authors, CAST(coalesce(total, 0) AS BIGINT) AS total, "
+            "p_partkey % 2 = 0) SELECT id, -id AS pos, title, CAST(year AS VARCHAR) AS year, coalesce(authors, '') AS authors, CAST(coalesce(total, 0) AS BIGINT) AS total, "
             + ", ".join(f"CAST(coalesce(y{y}, 0) AS BIGINT) AS y{y}" for y in _YEARS)
             + " FROM p FULL JOIN m USING (id) WHERE id IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)"
         ),
