@@ -159,10 +159,24 @@ def key_graph(edges: DataFrame, pubs: DataFrame, key: str) -> DataFrame:
 
 
 def impact_indices(papers: DataFrame, key: str) -> DataFrame:
-    """(key, h_index, g_index, mean): from each author's or journal's paper totals."""
-    w = Window.partitionBy(key).orderBy(F.desc("total"), "id")
-    r = papers.withColumn("rn", F.row_number().over(w)).withColumn("run", F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("total") >= F.col("rn"), F.col("rn"))), F.lit(0)).alias("h_index"), F.coalesce(F.max(F.when(F.col("run") >= F.col("rn") * F.col("rn"), F.col("rn"))), F.lit(0)).alias("g_index"), F.avg("total").alias("mean"))
+    """(key, h_index, g_index, mean): from each author's or journal's paper totals.
+
+    Papers are counted by key and total first, so a window holds a key's different totals and not its papers, however many they
+    are.  Of the papers of one total, which take the places before + 1 to before + n, the last place within either index is
+    known by arithmetic: the sum down to place x is a quadratic's difference from x squared, so its greater root bounds x.
+    """
+    w = Window.partitionBy(key).orderBy(F.desc("total"))
+    t = F.coalesce("total", F.lit(0))
+    r = papers.groupBy(key, "total").agg(F.count("*").alias("n")).withColumn("mass", t * F.col("n"))
+    r = r.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rest", F.sum("mass").over(w.rowsBetween(Window.unboundedPreceding, 0)) - t * F.col("upto"))
+    first = F.col("upto") - F.col("n") + 1
+    within = lambda x: F.col("rest") + t * x - x * x
+    root = F.floor((t + F.sqrt(F.greatest(t * t + 4 * F.col("rest"), F.lit(0)))) / 2)
+    r = r.withColumn("h", F.when(F.col("total").isNotNull(), F.least(F.floor("total"), "upto"))).withColumn("x", F.least(root + 1, "upto"))
+    r = r.withColumn("g", F.when(within(F.col("x")) >= 0, F.col("x")).when(within(F.col("x") - 1) >= 0, F.col("x") - 1).when(within(F.col("x") - 2) >= 0, F.col("x") - 2))
+    best = lambda c: F.coalesce(F.max(F.when(F.col(c) >= first, F.col(c))), F.lit(0)).cast("int")
+    mean = F.sum("mass") / F.nullif(F.sum(F.when(F.col("total").isNotNull(), F.col("n"))), F.lit(0))
+    return r.groupBy(key).agg(best("h").alias("h_index"), best("g").alias("g_index"), mean.cast("double").alias("mean"))
 
 
 def imputed(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -202,3 +202,18 @@ def test_dumped_years_stay_as_they_are(spark, tmp_path):
     tables.write_by_year(spark.createDataFrame([(1, 1999)], "id long, year int"), path)
     tables.write_by_year(spark.createDataFrame([(2, 1999), (3, 2000)], "id long, year int"), path)
     assert {(int(r[0]), r.year) for r in spark.read.option("sep", "\t").csv(path).collect()} == {(1, 1999), (3, 2000)}
+
+
+def test_impact_indices_of_many_papers(spark):
+    """A key with more papers than the square root of an int's range, and random totals against a plain loop."""
+    spread = lambda x: (x * x * 7919 + x * 31) % 97 % (3 + x % 11)
+    rows = [("a", i, spread(i)) for i in range(400)] + [("b", i, 0) for i in range(3)] + [("c", i, 900 - 400 * i) for i in range(5)] + [("d", i, None) for i in range(2)] + [("e", 0, 50), ("e", 1, 2), ("e", 2, None)]
+    df = spark.createDataFrame(rows, "key string, id long, total long").unionByName(spark.range(70_000).select(F.lit("z").alias("key"), "id", F.lit(60_000).cast("long").alias("total")))
+    got = {r["key"]: (r.h_index, r.g_index, r.mean) for r in reports.impact_indices(df, "key").collect()}
+    assert got.pop("z") == (60_000, 60_000, 60_000.0)
+    for name, (h, g, mean) in got.items():
+        totals = sorted((t for k, _, t in rows if k == name), key=lambda t: (t is None, -(t or 0)))
+        known, sums = [t for t in totals if t is not None], np.cumsum([t or 0 for t in totals])
+        assert h == max([i + 1 for i, t in enumerate(totals) if t is not None and t >= i + 1], default=0)
+        assert g == max([i + 1 for i, s in enumerate(sums) if s >= (i + 1) ** 2], default=0)
+        assert mean == (pytest.approx(sum(known) / len(known)) if known else None)
