@@ -217,3 +217,19 @@ def test_impact_indices_of_many_papers(spark):
         assert h == max([i + 1 for i, t in enumerate(totals) if t is not None and t >= i + 1], default=0)
         assert g == max([i + 1 for i, s in enumerate(sums) if s >= (i + 1) ** 2], default=0)
         assert mean == (pytest.approx(sum(known) / len(known)) if known else None)
+
+
+def test_coupling_meets_on_pairs_of_references(spark):
+    """References that very many papers cite make no pairs of those papers unless they share another one."""
+    rng = np.random.default_rng(0)
+    rows = sorted({(int(p), int(r)) for p in range(300) for r in np.append(rng.choice(150, rng.integers(0, 7), False), [900] * (p % 2))})
+    df = spark.createDataFrame(rows + rows[:50], "id_out long, id_in long")
+    refs = {p: {r for q, r in rows if q == p} for p, _ in rows}
+    for least in (1, 2, 3):
+        want = {(p, q, len(refs[p] & refs[q])) for p in refs for q in refs if p < q and len(refs[p] & refs[q]) >= least}
+        assert set(map(tuple, citations.coupling(df, least).collect())) == want
+    joined = citations.coupling(df, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in joined and "first" in joined
+    turned = df.select(F.col("id_in").alias("id_out"), F.col("id_out").alias("id_in"))  # few papers with long lists: the other way
+    cited = {r: {p for p, q in rows if q == r} for _, r in rows}
+    assert set(map(tuple, citations.coupling(turned, 2).collect())) == {(x, y, len(cited[x] & cited[y])) for x in cited for y in cited if x < y and len(cited[x] & cited[y]) >= 2}
