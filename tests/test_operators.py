@@ -233,3 +233,18 @@ def test_coupling_meets_on_pairs_of_references(spark):
     turned = df.select(F.col("id_in").alias("id_out"), F.col("id_out").alias("id_in"))  # few papers with long lists: the other way
     cited = {r: {p for p, q in rows if q == r} for _, r in rows}
     assert set(map(tuple, citations.coupling(turned, 2).collect())) == {(x, y, len(cited[x] & cited[y])) for x in cited for y in cited if x < y and len(cited[x] & cited[y]) >= 2}
+
+
+def test_ego_components_of_a_very_long_chain(spark):
+    """Ends however long a neighbourhood's chain is, and string ids stay strings."""
+    chain = [(f"{n:04}", f"{n + 1:04}", 1.0) for n in range(1, 1100)] + [("0000", f"{n:04}", 1.0) for n in range(1, 1101)]
+    comps = graph.ego_components(spark.createDataFrame(chain, "src string, dst string, similarity double")).filter("ego = '0000'").collect()
+    assert len(comps) == 1100 and {r.comp for r in comps} == {"0001"}
+
+
+def test_transition_weights_shuffle_no_triples(spark):
+    e = spark.createDataFrame([(1, 2, 1.0), (1, 3, 2.0), (2, 3, 4.0), (3, 4, 8.0)], "src int, dst int, similarity double")
+    found = graph.transition_weights(e, 5.0, 2.0)
+    got = {(r.prev, r.node, r.next): r.probability for r in found.collect()}
+    assert len(got) == 4 + 4 + 9 + 1 and got[4, 3, 2] == pytest.approx(2 / (1.0 + 2 + 1.6)) and got[1, 3, 2] == pytest.approx(4 / (0.4 + 4 + 4))
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
