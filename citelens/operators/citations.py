@@ -139,13 +139,14 @@ def neighbours_in_set(edges: DataFrame, pubs: DataFrame, paper: int, n: int = 20
     return both.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).select("kind", "id", "total")
 
 
-def expand(edges: DataFrame, ids: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
-    """(id, total): references and citers of ids that are not among them, most cited first."""
+def expand(edges: DataFrame, ids: DataFrame, counts: DataFrame, limit: int | None) -> DataFrame:
+    """(id, total): references and citers of ids that are not among them, most cited first; without a limit all, in no order."""
     mine = ids.select(F.col("id").alias("mine"))
     refs = edges.join(mine, F.col("id_out") == F.col("mine"), "left_semi").select(F.col("id_in").alias("id"))
     citers = edges.join(mine, F.col("id_in") == F.col("mine"), "left_semi").select(F.col("id_out").alias("id"))
     new = refs.unionByName(citers).distinct().join(ids.select("id"), "id", "left_anti")
-    return total_citations(new, counts).orderBy(F.desc("total"), "id").limit(limit)
+    found = total_citations(new, counts)
+    return found if limit is None else found.orderBy(F.desc("total"), "id").limit(limit)
 
 
 def citation_band(totals: DataFrame, seeds: DataFrame | None = None, low: float = 0.1, high: float = 0.9, impact: int = 50) -> DataFrame:
@@ -158,37 +159,40 @@ def citation_band(totals: DataFrame, seeds: DataFrame | None = None, low: float
     return inside.agg(F.avg("total").alias("mean"), F.stddev_pop("total").alias("std"))
 
 
-def expand_steps(edges: DataFrame, seeds: DataFrame, counts: DataFrame, steps: int, limit: int, similar: DataFrame | None = None, semantic: float = 0.2, most: int = 5000, spread: float = 5.0) -> DataFrame:
+def expand_steps(edges: DataFrame, seeds: DataFrame, counts: DataFrame, steps: int, limit: int | None, similar: DataFrame | None = None, semantic: float = 0.2, most: int | None = 5000, spread: float = 5.0) -> DataFrame:
     """(id, step): seeds first, then what each step adds, up to ``limit`` papers.
 
     Step 0 adds papers of similar texts: those of ``similar`` (id, distance) that are nearest, for the ``semantic`` share of the
     room.  Step 1 adds direct references, most cited first.  Every further step adds neighbours by citation, at most ``most``
-    looked at, whose totals lie within mean +- spread * std of the seeds and their references.
+    looked at, whose totals lie within mean +- spread * std of the seeds and their references.  None lifts ``limit`` or ``most``.
     """
     found = cut(seeds.select("id", F.lit(0).alias("step"), F.lit(0).alias("place")).distinct())
     if steps == 0:
         return found.select("id", "step")
     n = found.count()
 
-    def grown(new: DataFrame, step: int, room: int, *order) -> None:
+    left = lambda whole: None if whole is None else max(whole - n, 0)
+
+    def grown(new: DataFrame, step: int, room: int | None, *order) -> None:
         """The first of new, in an order, that are not there yet."""
         nonlocal found, n
-        fresh = new.join(found.select("id"), "id", "left_anti").orderBy(*order, "id").limit(max(room, 0))
+        fresh = new.join(found.select("id"), "id", "left_anti")
+        fresh = fresh if room is None else fresh.orderBy(*order, "id").limit(room)
         found = cut(found.unionByName(fresh.select("id", F.lit(step).alias("step"), F.lit(step + 1).alias("place"))))
         n = found.count()
 
     refs = edges.join(seeds.select(F.col("id").alias("id_out")).distinct(), "id_out", "left_semi").select(F.col("id_in").alias("id")).distinct()
     band = cut(citation_band(total_citations(seeds.select("id").union(refs).distinct(), counts)))
     if similar is not None:
-        grown(similar.groupBy("id").agg(F.min("distance").alias("distance")), 0, int((limit - n) * semantic), F.round("distance", 9))
+        grown(similar.groupBy("id").agg(F.min("distance").alias("distance")), 0, None if limit is None else int(left(limit) * semantic), F.round("distance", 9))
     first = 1
     if refs.head(1):
-        grown(total_citations(refs, counts), 1, limit - n, F.desc("total"))
+        grown(total_citations(refs, counts), 1, left(limit), F.desc("total"))
         first = 2
     for step in range(first, steps + 1):
-        if n >= limit:
+        if limit is not None and n >= limit:
             break
-        new = expand(edges, found, counts, max(most - n, 0)).crossJoin(F.broadcast(band))
+        new = expand(edges, found, counts, left(most)).crossJoin(F.broadcast(band))
         near = F.abs(F.col("total") - F.col("mean")) <= spread * F.coalesce(F.col("std"), F.lit(0.0))
-        grown(new.filter(near), step, limit - n, F.desc("total"))
+        grown(new.filter(near), step, left(limit), F.desc("total"))
     return found.select("id", "step")

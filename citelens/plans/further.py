@@ -273,16 +273,16 @@ _TOTAL = (
         f""", {_TOTAL}, s AS (SELECT id FROM pubs WHERE type = 'P'), r AS (SELECT DISTINCT id_in AS id FROM order_edges WHERE id_out IN (FROM s)),
 b AS (SELECT total FROM tot WHERE id IN (FROM s UNION FROM r)), q AS (SELECT quantile_cont(total, 0.1) AS lo, quantile_cont(total, 0.9) AS hi FROM b),
 m AS (SELECT avg(total) AS mean, stddev_pop(total) AS std FROM b, q WHERE total BETWEEN lo AND hi),
-one AS (SELECT id FROM r JOIN tot USING (id) WHERE id NOT IN (FROM s) ORDER BY total DESC, id LIMIT (SELECT greatest(3000 - count(*), 0) FROM s)),
+one AS (SELECT id FROM r JOIN tot USING (id) WHERE id NOT IN (FROM s)),
 f AS (SELECT id, 0 AS step FROM s UNION ALL SELECT id, 1 FROM one), n AS (SELECT id_in AS id FROM order_edges WHERE id_out IN (SELECT id FROM f) UNION SELECT id_out FROM order_edges WHERE id_in IN (SELECT id FROM f)),
-x AS (SELECT id, total FROM n JOIN tot USING (id) WHERE id NOT IN (SELECT id FROM f) ORDER BY total DESC, id LIMIT (SELECT greatest(5000 - count(*), 0) FROM f)),
-two AS (SELECT id FROM x, m WHERE abs(total - mean) <= 5 * std ORDER BY total DESC, id LIMIT (SELECT greatest(3000 - count(*), 0) FROM f))
+x AS (SELECT id, total FROM n JOIN tot USING (id) WHERE id NOT IN (SELECT id FROM f)),
+two AS (SELECT id FROM x, m WHERE abs(total - mean) <= 5 * std)
 SELECT id, CAST(step AS INT) AS step FROM f UNION ALL SELECT id, 2 FROM two""",
     ),
 )
 def cit_18_expand_steps(s, d):
     e = A.order_edges(s, d)
-    return citations.expand_steps(e, A.pubs(s, d).filter("type = 'P'").select("id"), citations.citation_counts(e), 2, 3000)
+    return citations.expand_steps(e, A.pubs(s, d).filter("type = 'P'").select("id"), citations.citation_counts(e), 2, None, most=None)
 
 
 @_query()

@@ -272,3 +272,12 @@ def test_nearest_equals_brute_force_where_vectors_repeat(spark, monkeypatch):
         assert np.allclose([d for _, _, d, _ in near], away[want], atol=1e-12)
     tasks = vectors.nearest(spark.createDataFrame(rows[:300], "id long, chunk int, embedding array<double>"), spark.createDataFrame(asked[:5], "query string, embedding array<double>"), 3)
     assert "FlatMapCoGroupsInArrow" in tasks._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_expansion_without_a_limit_takes_its_steps(spark):
+    """However many seeds there are, their references and their neighbours come too."""
+    edges = spark.createDataFrame([(n, 100 + n) for n in range(40)] + [(200 + n, 100 + n) for n in range(40)], "id_out long, id_in long")
+    seeds, counts = spark.range(40), citations.citation_counts(edges)
+    got = {r.id: r.step for r in citations.expand_steps(edges, seeds, counts, 2, None, most=None).collect()}
+    assert got == {n: 0 for n in range(40)} | {100 + n: 1 for n in range(40)} | {200 + n: 2 for n in range(40)}
+    assert citations.expand_steps(edges, seeds, counts, 2, 30).count() == 40
