@@ -67,6 +67,11 @@ def log_events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("job"), "ts", event.alias("event"), "value", "props")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key over as many partitions as a shuffle has: for narrow rows of few files whose further work is long."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's name under the shared checkpoint folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -965,7 +965,7 @@ _add(
 # Records built from the tables, through the readers
 def _xml(s, d):
     refs = A.edges(s, d).groupBy(F.col("id_out").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id_in")), lambda r: F.concat(F.lit('<Reference><ArticleId IdType="pubmed">'), r.cast("string"), F.lit("</ArticleId></Reference>"))), "").alias("refs"))  # one more below, which is no number
-    o = A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year")).join(refs, "id", "left")
+    o = A.spread(A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year")), "id").join(refs, "id", "left")
     i = F.col("id").cast("string")
     return o.select(F.concat(F.lit("<PubmedArticle><PMID>"), i, F.lit("</PMID><PubDate><MedlineDate>Spring "), F.col("year").cast("string"), F.lit("</MedlineDate></PubDate><ArticleTitle>[Order <i>"), i, F.lit("</i>.]</ArticleTitle><PublicationType>Review</PublicationType>"), F.coalesce("refs", F.lit("")), F.lit("<Reference><ArticleId IdType=\"pubmed\">n/a</ArticleId></Reference></PubmedArticle>")).alias("xml"))
 
@@ -1368,7 +1368,8 @@ _add(
 def _person_xml(s, d):
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     key, name, nation, segment = (F.col(f"c_{c}") for c in ("custkey", "name", "nationkey", "mktsegment"))
-    return A.table(s, d, "customer").select(text(
+    people = A.table(s, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return A.spread(people, "c_custkey").select(text(
         "<PubmedArticle><PMID>", key, "</PMID><Journal><Title>", segment, "</Title></Journal><Language>eng</Language><AuthorList><Author ValidYN=\"Y\"><LastName>R&amp;D</LastName></Author><Author><LastName>", name,
         "</LastName><Initials>K</Initials><AffiliationInfo><Affiliation> ", segment, ". </Affiliation></AffiliationInfo></Author><Author><CollectiveName>All</CollectiveName></Author></AuthorList><ELocationID EIdType=\"doi\">10.1000/c",
         key, "</ELocationID><DataBankList><DataBank><DataBankName>GEO</DataBankName><AccessionNumberList><AccessionNumber>G", nation, "</AccessionNumber><AccessionNumber>H</AccessionNumber></AccessionNumberList></DataBank></DataBankList></PubmedArticle>").alias("xml"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,30 +59,62 @@ def _plain(text: Column) -> Column:
     return text
 
 
-def _string_values(xml: Column, name: str) -> Column:
-    """The text of each element of that name across inline tags, escapes resolved, trimmed; empty ones go."""
-    whole = F.transform(_elements(xml, name), lambda e: F.trim(F.xpath_string(F.concat(F.lit("<e>"), e, F.lit("</e>")), F.lit("/e"))))
-    return F.filter(whole, lambda t: t != "")
-
-
-def abstract_text(xml: Column) -> Column:
-    """The parts of the abstract, then those of other abstracts, one blank between them."""
-    parts = lambda name: F.flatten(F.transform(_elements(xml, name), lambda a: _string_values(a, "AbstractText")))
-    return F.trim(ascii_only(F.array_join(F.concat(parts("Abstract"), parts("OtherAbstract")), " ")))
-
-
-def subject_headings(xml: Column) -> Column:
-    """"Descriptor Qualifier ..." of each subject heading; ", " becomes a blank."""
-    tidy = lambda t: F.trim(F.replace(t, F.lit(", "), F.lit(" ")))
-    one = lambda h: F.concat(_string_values(h, "DescriptorName"), _string_values(h, "QualifierName"))
-    return F.transform(_elements(xml, "MeshHeading"), lambda h: F.array_join(F.transform(one(h), tidy), " "))
-
-
-def article_doi(xml: Column) -> Column:
-    """The DOI among the article's own ids (not those of its references), else its electronic location."""
-    own = F.regexp_replace(xml, r"(?s)<ReferenceList.*?</ReferenceList>|<Reference>.*?</Reference>", "")
-    first = lambda path: F.nullif(F.trim(F.xpath_string(own, F.lit(path))), F.lit(""))
-    return F.coalesce(first("//ArticleIdList/ArticleId[@IdType='doi']"), first("//ELocationID[@EIdType='doi']"))
+#: What one parse of a record brings: the first element of a kind as text, or what stands in all of them.
+PARSED = "xml string, pmid string, year string, medline string, title string, journal string, language string, own_doi string, location_doi string, types array<string>, keywords array<string>, affiliations array<string>, refs array<string>, abstracts array<string>, other_abstracts array<string>, mesh array<array<string>>"
+_FIRST = {"PMID": ("pmid", None), "Year": ("year", "PubDate"), "MedlineDate": ("medline", "PubDate"), "ArticleTitle": ("title", None), "Title": ("journal", "Journal"), "Language": ("language", None)}  # and its parent
+_TEXTS = {"PublicationType": "types", "Keyword": "keywords", "Affiliation": "affiliations"}
+
+
+def _tree(xml: str) -> ElementTree.Element:
+    """The record's elements, names as they are written; comments stay as nodes, as they part the texts around them."""
+    builder, parser = ElementTree.TreeBuilder(insert_comments=True, insert_pis=True), expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = builder.start, builder.end, builder.data
+    parser.CommentHandler, parser.ProcessingInstructionHandler = builder.comment, builder.pi
+    parser.Parse(xml, True)
+    return builder.close()
+
+
+def _fields(xml: str) -> dict:
+    """PARSED of a record."""
+    root, found = _tree(xml), {"xml": xml, "refs": [], "abstracts": [], "other_abstracts": [], "mesh": [], **{f: [] for f in _TEXTS.values()}}
+    texts = lambda e: [t for t in (e.text, *(x.tail for x in e)) if t]
+    whole = lambda e: "".join(e.itertext())
+    told = lambda e, *names: [t for n in names for t in (whole(x).strip(" ") for x in e.iter(n)) if t]
+    todo = [(root, None, False, False)]
+    while todo:
+        e, parent, cited, listed = todo.pop()
+        name = e.tag
+        if name in _FIRST:
+            field, under = _FIRST[name]
+            if field not in found and under in (None, parent):
+                found[field] = whole(e)
+        elif name in _TEXTS:
+            found[_TEXTS[name]] += texts(e)
+        elif name == "ArticleId":
+            kind = e.get("IdType")
+            if kind == "pubmed" and cited:
+                found["refs"] += texts(e)
+            elif kind == "doi" and parent == "ArticleIdList" and not listed:
+                found.setdefault("own_doi", whole(e))
+        elif name == "ELocationID" and e.get("EIdType") == "doi" and not listed:
+            found.setdefault("location_doi", whole(e))
+        elif name in ("Abstract", "OtherAbstract"):
+            found["abstracts" if name == "Abstract" else "other_abstracts"] += told(e, "AbstractText")
+        elif name == "MeshHeading":
+            found["mesh"].append(told(e, "DescriptorName", "QualifierName"))
+        if len(e):
+            cited, listed = cited or name == "Reference", listed or name in ("Reference", "ReferenceList")
+            todo += [(x, name, cited, listed) for x in reversed(e)]
+    return found
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = pa.list_(pa.string())
+    kinds = {"types": texts, "keywords": texts, "affiliations": texts, "refs": texts, "abstracts": texts, "other_abstracts": texts, "mesh": pa.list_(texts)}
+    schema = pa.schema([(n, kinds.get(n, pa.string())) for n in (part.split()[0] for part in PARSED.split(", "))])
+    for batch in batches:
+        yield pa.RecordBatch.from_pylist([_fields(x) for x in batch.column(0).to_pylist() if x], schema)
 
 
 def author_names(xml: Column) -> Column:
@@ -92,15 +129,19 @@ def databanks(xml: Column) -> Column:
 
 
 def publications_from_xml(records: DataFrame) -> DataFrame:
-    """(id, year, title, abstract, type, keywords, mesh, refs, authors, affiliations, databanks, journal, doi, language) of XML records."""
-    x = lambda path: F.xpath("xml", F.lit(path))
-    one = lambda path: F.xpath_string("xml", F.lit(path))
+    """(id, year, title, abstract, type, keywords, mesh, refs, authors, affiliations, databanks, journal, doi, language) of XML records.
+
+    A record is parsed once for all of them; one that is not well formed is an error.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
     number = lambda c: c.try_cast("long")
-    return records.select(
-        number(one("//PMID")).alias("id"), publication_year(one("//PubDate/Year"), one("//PubDate/MedlineDate")).alias("year"),
-        clean_title(one("//ArticleTitle")).alias("title"), abstract_text(F.col("xml")).alias("abstract"), publication_type(x("//PublicationType/text()")).alias("type"),
-        F.transform(x("//Keyword/text()"), keyword).alias("keywords"), subject_headings(F.col("xml")).alias("mesh"), F.filter(F.transform(x("//Reference//ArticleId[@IdType='pubmed']/text()"), number), lambda i: i.isNotNull()).alias("refs"),
-        author_names(F.col("xml")).alias("authors"), F.transform(x("//Affiliation/text()"), lambda a: F.btrim(a, F.lit(" ."))).alias("affiliations"), databanks(F.col("xml")).alias("databanks"), one("//Journal/Title").alias("journal"), article_doi(F.col("xml")).alias("doi"), one("//Language").alias("language"),
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    tidy = lambda t: F.trim(F.replace(t, F.lit(", "), F.lit(" ")))
+    return records.select("xml").mapInArrow(_parsed, PARSED).select(
+        number(F.col("pmid")).alias("id"), publication_year(F.col("year"), text("medline")).alias("year"),
+        clean_title(text("title")).alias("title"), F.trim(ascii_only(F.array_join(F.concat("abstracts", "other_abstracts"), " "))).alias("abstract"), publication_type(F.col("types")).alias("type"),
+        F.transform("keywords", keyword).alias("keywords"), F.transform("mesh", lambda h: F.array_join(F.transform(h, tidy), " ")).alias("mesh"), F.filter(F.transform("refs", number), lambda i: i.isNotNull()).alias("refs"),
+        author_names(F.col("xml")).alias("authors"), F.transform("affiliations", lambda a: F.btrim(a, F.lit(" ."))).alias("affiliations"), databanks(F.col("xml")).alias("databanks"), text("journal").alias("journal"), F.coalesce(some("own_doi"), some("location_doi")).alias("doi"), text("language").alias("language"),
     ).filter("id IS NOT NULL")
 
 

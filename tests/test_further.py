@@ -57,6 +57,18 @@ def test_records_with_markup(spark):
     assert (r.title, r.abstract, r.mesh, r.doi, r.refs) == ("On C. elegans", "CO2 < 5 rest", ["Cells Cultured a b"], "10.1/own", [77])
 
 
+def test_records_are_parsed_once(spark):
+    """Comments part texts, prefixes need no declaration, DOIs of references are not the article's; no path is evaluated on the text."""
+    xml = """<PubmedArticle><PMID> 6 </PMID><Journal><Title>J &amp; <![CDATA[<K>]]></Title></Journal><Keyword>a<!-- c -->b <i>c</i> d, e/f</Keyword><Keyword/>
+    <Abstract><AbstractText>One<m:x> two</m:x></AbstractText></Abstract><OtherAbstract><AbstractText>three</AbstractText></OtherAbstract><Affiliation> Here. </Affiliation><PubDate><Year>2001</Year></PubDate>
+    <ReferenceList Kind="x"><Title>No</Title><Reference><ArticleIdList><ArticleId IdType="doi">10.1/ref</ArticleId><ArticleId IdType="pubmed">8</ArticleId></ArticleIdList></Reference></ReferenceList><ELocationID EIdType="doi"> 10.1/at </ELocationID></PubmedArticle>"""
+    found = records.publications_from_xml(spark.createDataFrame([(xml,), (None,), ("",), ("<PubmedArticle/>",)], "xml string"))
+    r, = found.collect()
+    assert (r.id, r.year, r.title, r.abstract, r.keywords, r.refs, r.affiliations) == (6, 2001, "", "One two three", ["a", "b", "d e f"], [8], ["Here"])
+    assert (r.journal, r.doi, r.language, r.type) == ("J & <K>", "10.1/at", "", "Article")
+    assert "xpath" not in found._jdf.queryExecution().toString()
+
+
 def test_records_over_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": "1", "title": "one",\n "year": "1999"}\n{"id": "2", "title": "two"}\n{"id": 3,\n "ti\n}\n{"id": "4", "title": "four"}')
     assert sorted(r.id for r in records.publications_from_long_lines(spark, str(tmp_path)).collect()) == ["1", "2", "4"]
