@@ -100,3 +100,13 @@ def test_few_rows(spark):
         assert linkage.cut_tree(leaves, tree, 5).count() == len(x)
     with pytest.raises(ValueError, match="components"):
         linkage.merge_tree(table(spark, [[1.0], [1.0, 2.0]]))
+
+
+def test_a_search_sends_groups_to_few_blocks(spark):
+    """Of 300 groups in tiles of 10 each goes to eight blocks, not to thirty."""
+    x = np.random.default_rng(2).normal(size=(300, 3))
+    groups = spark.createDataFrame([(i, 1.0, 0.0, [float(c) for c in v]) for i, v in enumerate(x)], linkage.GROUP)
+    found = linkage._searched(groups, 300, groups, 300, 10).collect()
+    away = ((x[:, None] - x[None]) ** 2).sum(axis=2) + np.diag([np.inf] * 300)
+    assert len(found) <= 2 * 8 * 300
+    assert {i: min((r.cost, r.other) for r in found if r.node == i)[1] for i in range(300)} == dict(enumerate(away.argmin(axis=1)))
