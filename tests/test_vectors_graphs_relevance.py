@@ -184,3 +184,22 @@ def test_relevance_prefers_near_words_and_titles(spark):
     texts = [(1, "gene therapy", "some words of a text here"), (2, "some words", "gene therapy of a text here"), (3, "some words", "gene of a text here therapy"), (4, "", ""), (5, None, "therapy")]
     df = spark.createDataFrame(texts, "id long, title string, abstract string")
     assert [r.id for r in search.relevance(df, "gene therapy").orderBy(F.desc("relevance")).collect()] == [1, 2, 3]
+
+
+def test_edges_by_descent_are_those_of_the_exact_search(spark):
+    """Also where many vectors are equal, so that ties decide."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 16))[rng.integers(0, 200, 1500)] + np.where(rng.random(1500) < 0.5, 0.0, 0.3)[:, None] * rng.standard_normal((1500, 16))
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, embedding array<double>")
+    weights = spark.createDataFrame([(i, "t", 1.0) for i in range(3)], "id long, token string, tfidf double")
+    none = spark.createDataFrame([], "src long, dst long")
+    exact, found = ({(r.src, r.dst) for r in vectors.text_edges(rows, weights, none, 10, by_descent=d).collect()} for d in (False, True))
+    assert found == exact
+
+
+def test_topics_read_documents_once(spark):
+    """What the documents are made from is not made again in every iteration."""
+    made = F.udf(lambda i: [f"w{i % 3}", "all"], "array<string>")
+    documents = spark.range(30).select("id", made("id").alias("tokens"))
+    mixed, _ = models.topics(documents, k=2)
+    assert "PythonUDF" not in mixed._jdf.queryExecution().toString() and mixed.count() == 30
