@@ -1,5 +1,7 @@
 """Search by stems, expansion, records, upserts, communities, models and recall of the cell search, on small cases."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +96,28 @@ def test_walks_go_along_edges(spark):
     assert all(a != b and {a, b} <= {1, 2, 3} for r in rows for a, b in zip(r.walk, r.walk[1:]))
 
 
+def test_walks_do_not_depend_on_regions(spark):
+    """Walks in one task, in regions of at most four nodes, and by the plain rule with the SQL function's draws."""
+    near = {}
+    for i in range(24):
+        for j, w in ((i + 1, 3.0), (i + 2, 1.0), (i * 5, 2.0)):
+            if i != j % 24:
+                near.setdefault(i, {})[j % 24] = near.setdefault(j % 24, {})[i] = w
+    edges = spark.createDataFrame([(a, b, w) for a in near for b, w in near[a].items() if a < b], "src long, dst long, similarity double")
+    nodes = spark.createDataFrame([(i,) for i in range(25)], "id long")
+    runs = [{r.walker: r.walk for r in graph.random_walks(edges, nodes, walks=3, length=8, **options).collect()} for options in ({}, {"most": 4})]
+    assert runs[0] == runs[1] and len(runs[0]) == 75
+    steps = [(w, n, k) for w, walk in runs[0].items() for k in range(1, len(walk)) for n in near[walk[k - 1]]]
+    drawn = spark.createDataFrame(steps, "w long, n long, k int").select("*", F.pmod(F.xxhash64(F.lit(0), "w", "k", "n"), F.lit(1 << 40)).alias("u")).collect()
+    u = {(r.w, r.k, r.n): (r.u + 1) / ((1 << 40) + 1) for r in drawn}
+    for w, walk in runs[0].items():
+        assert len(walk) == (1 if walk[0] == 24 else 8)
+        for k in range(1, len(walk)):
+            prev, node = walk[k - 2] if k > 1 else None, walk[k - 1]
+            bias = {n: 1.0 if prev is None else 0.2 if n == prev else 1.0 if n in near[prev] else 0.5 for n in near[node]}
+            assert walk[k] == min(near[node], key=lambda n: (-math.log(u[w, k, n]) / (near[node][n] * bias[n]), n))  # noqa: B023
+
+
 def test_ranks_by_year(spark):
     edges = spark.createDataFrame([("a", "b", 1.0, 2000), ("a", "c", 1.0, 2001)], "src string, dst string, weight double, year int")
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
