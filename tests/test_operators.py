@@ -124,6 +124,15 @@ def test_topic_hierarchy(spark):
     assert paths[0][0] == paths[1][0] != paths[2][0] == paths[3][0] and {len(p) for p in paths.values()} == {2}
 
 
+def test_document_embeddings_copy_no_vector(spark):
+    """Vectors meet a document's weights, not each of its tokens; documents without a token that has a vector are left out."""
+    w = spark.createDataFrame([(1, "a", 0.5), (1, "b", 2.0), (1, "q", 9.0), (2, "b", 1.0), (3, "q", 1.0)], "id long, token string, tfidf double")
+    v = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 5.0])], "token string, vector array<float>")
+    df = text.document_embeddings(w, v, 2)
+    assert "Join" not in df._jdf.queryExecution().toString()
+    assert {r.id: r.vector for r in df.collect()} == {1: [3.25, 5.5], 2: [1.5, 2.5]}
+
+
 def test_document_embeddings(spark):
     w = spark.createDataFrame([(1, "a", 0.5), (1, "b", 2.0)], "id int, token string, tfidf double")
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 3.0])], "token string, vector array<double>")

@@ -51,6 +51,36 @@ def test_skipgram_of_nothing(spark):
     assert [len(r.vector) for r in skipgram.vectors(spark.createDataFrame([(["x"],)], "tokens array<string>"), dim=8).collect()] == [8]
 
 
+def test_skipgram_reads_sequences_once(spark):
+    """Counts of tokens and pairs come from one pass, in chunks that are sorted (many tokens) or tallied (few)."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rng = random.Random(3)
+    rows = [([f"t{rng.randrange(most)}" for _ in range(12)],) for most in (5, 10_000) for _ in range(40)]
+    read = spark.createDataFrame(rows, "tokens array<string>").select(F.udf(counted, "array<string>")("tokens").alias("tokens"))
+    got = skipgram.vectors(read, dim=4, passes=1).collect()
+    assert {r.token for r in got} == {w for (r,) in rows for w in r} and seen.value == len(rows)
+
+
+def test_skipgram_of_known_tokens(spark):
+    """Others drop out before windows, and then sequences that are too short."""
+    rng = random.Random(4)
+    rows = [[rng.choice("abcdefxyz") for _ in range(rng.randrange(1, 12))] for _ in range(60)] + [["x"], []]
+    kept = [r for r in ([w for w in r if w in "abcdef"] for r in rows) if len(r) >= 5]
+    frame = lambda r: spark.createDataFrame([(x,) for x in r], "tokens array<string>")
+    got = {r.token: r.vector for r in skipgram.vectors(frame(rows), dim=8, known=list("fedcbaq"), least=5).collect()}
+    assert got == {r.token: r.vector for r in skipgram.vectors(frame(kept), dim=8).collect()} and set(got) == set("abcdef")
+
+
+def test_summed_runs():
+    rows, first = np.arange(120, dtype=np.float32).reshape(40, 3), np.array([0, 1, 4, 12, 21])
+    assert np.array_equal(skipgram._summed_runs(rows, first), np.add.reduceat(rows, first, axis=0))
+
+
 # Greedy sparsification
 
 
