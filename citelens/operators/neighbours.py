@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citelens.sources.tables import cut
+from citelens.sources.tables import cut, stored, unstored
 
 PAIRS = "node long, other long, distance double"
 WIDTH_OF_BLOCK = 1000
@@ -107,7 +107,7 @@ def descent(rows: DataFrame, k: int = 100, sample: int = 24, few: float = 0.001,
     packed = cut(rows.select(F.col("id").cast("long").alias("node"), _packed(F.col(vector)).alias("packed")))
     if not packed.head(1):
         return packed.select("node", F.col("node").alias("other"), F.lit(0.0).alias("distance"))
-    lists = cut(_best(_in_blocks(packed, k, tables, seed, width).withColumn("fresh", F.lit(True)), k))
+    lists = stored(_best(_in_blocks(packed, k, tables, seed, width).withColumn("fresh", F.lit(True)), k))
     n = packed.count()
     if n <= width:
         return lists.select("node", "other", "distance")
@@ -128,8 +128,8 @@ def descent(rows: DataFrame, k: int = 100, sample: int = 24, few: float = 0.001,
         both = old.unionByName(came.select("node", "other", "distance", F.lit(True).alias("fresh"), F.lit(True).alias("entered")))
         once = both.groupBy("node", "other").agg(F.min("distance").alias("distance"), F.min("fresh").alias("fresh"), F.min("entered").alias("entered"))
         order = Window.partitionBy("node").orderBy("distance", "other")
-        merged = cut(once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place"))
-        changed = merged.filter("entered").count()
-        lists = merged.drop("entered")
+        last, lists = lists, stored(once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place"))
+        changed = lists.filter("entered").count()
+        unstored(last)
         if changed <= few * n * k:
             return lists.select("node", "other", "distance")

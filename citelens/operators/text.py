@@ -68,13 +68,14 @@ def vocabulary(count_rows: DataFrame, n_docs: int, min_df: float = 0.001, max_df
     return top.crossJoin(F.broadcast(found)).filter(F.col("strict") | ~F.col("found")).select("token", "df", "total").orderBy(F.desc("total"), "token")
 
 
-def tfidf(count_rows: DataFrame, n_docs: int, few: bool = False) -> DataFrame:
+def tfidf(count_rows: DataFrame, n_docs: int, few: bool = False, of: DataFrame | None = None) -> DataFrame:
     """(id, token, tfidf): n * (ln((1 + docs) / (1 + df)) + 1), each document of length 1.
 
     With ``few`` distinct tokens (a bounded vocabulary) every task holds their frequencies, and rows stay where they are.
+    ``of`` (rows as count_rows) are those of the documents asked for, where these are not all; frequencies are of all.
     """
     df = count_rows.groupBy("token").agg(F.count("*").alias("df"))
-    raw = count_rows.join(F.broadcast(df) if few else df, "token").withColumn("raw", F.col("n") * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1))
+    raw = (count_rows if of is None else of).join(F.broadcast(df) if few else df, "token").withColumn("raw", F.col("n") * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1))
     return raw.select("id", "token", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))).alias("tfidf"))
 
 

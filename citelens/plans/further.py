@@ -462,8 +462,10 @@ def _paper_vectors(s: SparkSession, d: str) -> DataFrame:
     return mean.groupBy("id").agg(ordered.alias("embedding"))
 
 
-def _tfidf(s: SparkSession, d: str) -> DataFrame:
-    return text.tfidf(text.counts(B._tokens(s, d)), A.table(s, d, "documents").count())
+def _tfidf(s: SparkSession, d: str, ids: DataFrame | None = None) -> DataFrame:
+    """Of the given papers (id), or of all."""
+    of = ids and text.counts(text.tokens(A.texts(s, d).join(ids.select("id"), "id", "left_semi"), stop=False))
+    return text.tfidf(text.counts(B._tokens(s, d)), A.table(s, d, "documents").count(), of=of)
 
 
 _MEANS = (
@@ -511,14 +513,14 @@ _NEAREST = (
 @_query(with_tables("order_edges tokens counts", _text_similarity_sql(_NEAREST, "SELECT src, dst, round(x, 5) AS textsimilarity FROM ts WHERE x > 0")))
 def grf_02_text_edges(s, d):
     e = A.order_edges(s, d).select(F.col("id_in").alias("src"), F.col("id_out").alias("dst"))
-    return vectors.text_edges(_paper_vectors(s, d), _tfidf(s, d), e).withColumn("textsimilarity", F.round("textsimilarity", 5))
+    return vectors.text_edges(_paper_vectors(s, d), _tfidf(s, d, A.chunk_vectors(s, d)), e).withColumn("textsimilarity", F.round("textsimilarity", 5))
 
 
 @_query(with_tables("order_edges tokens counts", _text_similarity_sql(_NEAREST, "SELECT src, dst, round(x, 5) AS textsimilarity FROM ts WHERE x > 0")))
 def grf_02_edges_by_descent(s, d):
     """Neighbours by descent, which is exact where the table fits one block."""
     e = A.order_edges(s, d).select(F.col("id_in").alias("src"), F.col("id_out").alias("dst"))
-    return vectors.text_edges(_paper_vectors(s, d), _tfidf(s, d), e, by_descent=True).withColumn("textsimilarity", F.round("textsimilarity", 5))
+    return vectors.text_edges(_paper_vectors(s, d), _tfidf(s, d, A.chunk_vectors(s, d)), e, by_descent=True).withColumn("textsimilarity", F.round("textsimilarity", 5))
 
 
 # Text -----------------------------------------------------------------------------------------------------------------------

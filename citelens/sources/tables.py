@@ -6,7 +6,8 @@ import json
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -27,20 +28,44 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What runs within leaves no shuffle files, which else stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder: what loops go on from, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_dropped(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again.  For loops whose columns derive from their own last state: a
     checkpoint keeps what the optimiser inferred about columns, which doubles with every round, and a table does not."""
     path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstored(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote and that nothing reads any more, as a loop's last state but one."""
+    for df in tables:
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            if not re.fullmatch(r"rows-[0-9a-f]{32}", folder.rpartition("/")[2]):
+                raise ValueError(f"{folder} is no table of stored()")
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 MAX_TITLE = 1023
 
 

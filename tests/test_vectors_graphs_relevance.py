@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from citelens.operators import graph, models, neighbours, search, skipgram, vectors
 from citelens.operators.text import ENDINGS
+from citelens.sources import tables
 
 # Skip-gram
 
@@ -233,3 +235,42 @@ def test_topics_read_documents_once(spark):
     documents = spark.range(30).select("id", made("id").alias("tokens"))
     mixed, _ = models.topics(documents, k=2)
     assert "PythonUDF" not in mixed._jdf.queryExecution().toString() and mixed.count() == 30
+
+
+def test_hybrid_similarity_moves_papers_not_tokens_of_pairs(spark, monkeypatch):
+    """In many blocks, against the plain rule; papers without a vector, with null or NaN in it, of another width or with two of them."""
+    monkeypatch.setattr(vectors, "PAPERS_OF_A_BLOCK", 7)
+    monkeypatch.setattr(vectors, "TOKENS_AT_ONCE", 5)
+    rng = np.random.default_rng(5)
+    v = {i: [float(x) for x in rng.normal(size=3)] for i in range(40)} | {1: [1.0, None, 2.0], 2: [1.0, float("nan"), 2.0], 3: [1.0, 2.0], 4: [0.0, 0.0, 0.0], 5: None, 6: []}
+    words = {i: {str(t): float(rng.random()) for t in range(8) if rng.random() < 0.5} for i in range(3, 40)} | {50: {"0": 1.0}, 51: {"0": 1.0}}
+    twice = [(7, [1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.0])]
+    rows = spark.createDataFrame([(i, x) for i, x in v.items() if i != 7] + twice, "id long, embedding array<double>")
+    weights = spark.createDataFrame([(i, t, x) for i, w in words.items() for t, x in w.items()] + [(8, None, 1.0)], "id long, token string, tfidf double")
+    pairs = [(i, j) for i in (*range(40), 50, 51, 60) for j in (*range(40), 50, 51, 60) if i <= j and (i + j) % 3 != 1]
+    asked = spark.createDataFrame([*pairs, *pairs[:9], (None, 3)], "src long, dst long")
+    unit = lambda a: [x / n for x in a] if (n := np.sqrt(sum(x * x for x in a))) else None
+    share = lambda x: 0.0 if x <= 0.1 else x
+    all_vectors = lambda i: [x for k, x in twice if k == 7] if i == 7 else [v.get(i)]
+    want = [(None, 3, 0.0)]
+    for i, j in pairs:
+        t = sum(x * words[j][token] for token, x in words.get(i, {}).items() if token in words.get(j, {}))
+        for a in all_vectors(i):
+            for b in all_vectors(j):
+                sound = a and b and len(a) == len(b) and None not in (*a, *b) and (x := unit(a)) and (y := unit(b))
+                want.append((i, j, 0.8 * share(sum(p * q for p, q in zip(x, y)) if sound else 0.0) + 0.2 * share(t)))
+    found = vectors.hybrid_similarity(asked, rows, weights)
+    got = sorted(((r.src, r.dst, round(r.textsimilarity, 9)) for r in found.collect()), key=str)
+    assert [str(r) for r in got] == [str(r) for r in sorted(((i, j, round(float(x), 9)) for i, j, x in want), key=str)]
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_written_states_leave_no_shuffle_and_can_go(spark):
+    folders = list(spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+    shuffles = lambda: {f for top in folders for f in Path(top).rglob("shuffle_*.data")}
+    before, rows = shuffles(), spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    state = tables.stored(rows)
+    assert not shuffles() - before and tables.cut(rows).count() == state.count() == 10
+    tables.unstored(state)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        state.collect()
