@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citelens.sources.tables import cut, stored
+from citelens.sources.tables import cut, stored, unstored
 
 KINDS = ("cocitation", "bibcoupling", "citation", "textsimilarity")
 
@@ -457,21 +457,25 @@ def label_communities(edges: DataFrame, rounds: int = 10, weight: str = "similar
     weight over that of all edges.  Every other node (by hash and round) moves at a time, so that two do not swap for ever; a
     node stays where no other community gains more.
     """
-    e = cut(both_ways(edges, weight))
-    degree = e.groupBy("node").agg(F.sum("weight").alias("k"))
-    whole = degree.agg(F.sum("k").alias("whole"))
-    labels = cut(degree.select(F.col("node").alias("id"), F.col("node").alias("community"), "k"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = cut(both_ways(edges, weight).repartition(parts, "other"))  # lies by other in all rounds
+    degree = e.groupBy(F.col("node").alias("id")).agg(F.sum("weight").alias("k"))
+    labels = stored(degree.select("id", F.col("id").alias("community"), "k"))
+    whole = labels.agg(F.sum("k")).first()[0]
+    order = -F.col("community") if dict(labels.dtypes)["community"] != "string" else F.lit(0)
     for turn in range(rounds):
         sizes = labels.groupBy("community").agg(F.sum("k").alias("size"))
-        mine = labels.select(F.col("id").alias("node"), F.col("community").alias("own"), "k")
-        votes = e.join(labels.select(F.col("id").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("weight").alias("votes"))
-        votes = votes.unionByName(mine.select("node", F.col("own").alias("community"), F.lit(0.0).alias("votes"))).groupBy("node", "community").agg(F.sum("votes").alias("votes"))
-        scored = votes.join(mine, "node").join(sizes, "community").crossJoin(F.broadcast(whole))
+        mine = stored(labels.join(sizes, "community").select("id", "community", "k", "size"))  # one row a node, so no edge meets the sizes
+        votes = e.join(mine.select(F.col("id").alias("other"), "community", "size"), "other").select("node", "community", "size", F.col("weight").alias("votes"))
+        votes = votes.unionByName(mine.select(F.col("id").alias("node"), "community", "size", F.lit(0.0).alias("votes"))).repartition(parts, "node")
+        votes = votes.groupBy("node", "community").agg(F.sum("votes").alias("votes"), F.first("size").alias("size"))
+        scored = votes.join(mine.select(F.col("id").alias("node"), F.col("community").alias("own"), "k"), "node")
         others = F.col("size") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("votes") - resolution * F.col("k") * others / F.col("whole"), 9)
-        best = scored.groupBy("node", "k", "own").agg(F.max(F.struct(gain.alias("gain"), (F.col("community") == F.col("own")).alias("stay"), (-F.col("community") if dict(labels.dtypes)["community"] != "string" else F.lit(0)).alias("order"), "community")).alias("best"))
+        gain = F.round(F.col("votes") - resolution * F.col("k") * others / F.lit(whole), 9)
+        best = scored.groupBy("node", "k", "own").agg(F.max(F.struct(gain.alias("gain"), (F.col("community") == F.col("own")).alias("stay"), order.alias("order"), "community")).alias("best"))
         turn_of = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
-        labels = cut(best.select(F.col("node").alias("id"), F.when(turn_of, F.col("best.community")).otherwise(F.col("own")).alias("community"), "k"))
+        last, labels = labels, stored(best.select(F.col("node").alias("id"), F.when(turn_of, F.col("best.community")).otherwise(F.col("own")).alias("community"), "k"))
+        unstored(last, mine)
     return labels.select("id", "community")
 
 

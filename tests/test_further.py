@@ -1,12 +1,13 @@
 """Search by stems, expansion, records, upserts, communities, models and recall of the cell search, on small cases."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citelens.operators import citations, graph, models, search, text, vectors
+from citelens.operators import citations, graph, models, reports, search, text, vectors
 from citelens.sources import records, tables
 
 
@@ -176,3 +177,20 @@ def test_stems_in_spark_and_sql(spark):
     mine = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(text.stem(F.col("w"))).collect()]
     sql = [duckdb.connect().execute(f"SELECT {text.stem_sql(repr(w))}").fetchone()[0] for w in words]
     assert mine == sql
+
+
+def _written(spark):
+    """Bytes of every folder of rows in the shared folder."""
+    sizes = {}
+    for part in Path(tables.shared_folder(spark).removeprefix("file:")).rglob("part-*"):
+        sizes[part.parent] = sizes.get(part.parent, 0) + part.stat().st_size
+    return sizes
+
+
+def _two_cliques(spark):
+    return spark.createDataFrame([(a, b, 1.0) for a in range(12) for b in range(a + 1, 12) if (a < 6) == (b < 6) or a + b == 11], "src long, dst long, similarity double")
+
+
+def test_rounds_of_labels_keep_only_their_last_state(spark):
+    before, found = set(_written(spark)), graph.label_communities(_two_cliques(spark), rounds=6)
+    assert len(set(_written(spark)) - before) <= 2 and found.count() == 12
