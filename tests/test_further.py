@@ -194,3 +194,14 @@ def _two_cliques(spark):
 def test_rounds_of_labels_keep_only_their_last_state(spark):
     before, found = set(_written(spark)), graph.label_communities(_two_cliques(spark), rounds=6)
     assert len(set(_written(spark)) - before) <= 2 and found.count() == 12
+
+
+def test_author_graph_adds_up_numbers_not_names(spark):
+    """Pairs are summed by places of names in their order and get the names at the end; repeated and null rows as before."""
+    papers = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (1, None), (2, "B"), (2, "a"), (3, "é"), (None, "b"), (None, "c")], "id long, author string")
+    edges = spark.createDataFrame([(1, 2), (1, 2), (3, 1), (4, 1), (None, 1)], "id_out long, id_in long")
+    found = reports.author_graph(papers, edges)
+    want = {("a", "b"): 102, ("B", "a"): 102, ("B", "b"): 2, ("a", "é"): 1, ("b", "é"): 1}
+    assert {(r.src, r.dst): r.weight for r in found.collect()} == want and found.columns == ["src", "dst", "weight"]
+    assert {(r.src, r.dst): r.weight for r in reports.author_graph(papers).collect()} == {("a", "b"): 100, ("B", "a"): 100}
+    assert "place" in found._jdf.queryExecution().optimizedPlan().toString()
