@@ -205,3 +205,12 @@ def test_author_graph_adds_up_numbers_not_names(spark):
     assert {(r.src, r.dst): r.weight for r in found.collect()} == want and found.columns == ["src", "dst", "weight"]
     assert {(r.src, r.dst): r.weight for r in reports.author_graph(papers).collect()} == {("a", "b"): 100, ("B", "a"): 100}
     assert "place" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_walkers_are_numbered_where_they_start(spark):
+    """A node is written with one number, whatever the number of its walkers, which are those of the SQL function."""
+    before = _written(spark)
+    walks = graph.random_walks(_two_cliques(spark), spark.range(13).toDF("id"), walks=2000, length=2)
+    assert sum(size for folder, size in _written(spark).items() if folder not in before) < 50_000
+    want = spark.range(13).select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda n: F.xxhash64(F.lit(0), "id", n))).alias("walker"))
+    assert walks.count() == 26_000 and walks.join(want, "walker", "left_semi").count() == 26_000
