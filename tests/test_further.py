@@ -196,6 +196,12 @@ def test_rounds_of_labels_keep_only_their_last_state(spark):
     assert len(set(_written(spark)) - before) <= 2 and found.count() == 12
 
 
+def test_levels_of_communities_keep_only_their_names(spark):
+    before, levels = set(_written(spark)), graph.community_levels(_two_cliques(spark))
+    assert len(set(_written(spark)) - before) <= 2 + len(levels) + 2
+    assert levels[-1][0].count() == 12
+
+
 def test_author_graph_adds_up_numbers_not_names(spark):
     """Pairs are summed by places of names in their order and get the names at the end; repeated and null rows as before."""
     papers = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (1, None), (2, "B"), (2, "a"), (3, "é"), (None, "b"), (None, "c")], "id long, author string")
